@@ -49,8 +49,8 @@ def connected_groups(
         hook = scratch.save(hook, f"map{k}")
         maps.append(hook)
         new = (
-            edges.join(hook.withColumnsRenamed({"v": "a", "r": "ra"}), "a")
-            .join(hook.withColumnsRenamed({"v": "b", "r": "rb"}), "b")
+            edges.join(hook.select(F.col("v").alias("a"), F.col("r").alias("ra")), "a")
+            .join(hook.select(F.col("v").alias("b"), F.col("r").alias("rb")), "b")
             .where("ra <> rb")
             .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
             .distinct()
@@ -65,7 +65,7 @@ def connected_groups(
         return vertices.select("vertex", F.col("vertex").alias("group_id"))
     whole = maps[-1]
     for k in range(len(maps) - 2, -1, -1):
-        later = whole.withColumnsRenamed({"v": "r", "r": "r2"})
+        later = whole.select(F.col("v").alias("r"), F.col("r").alias("r2"))
         whole = maps[k].join(later, "r", "left").select("v", F.coalesce("r2", "r").alias("r"))
         if k % 4 == 0:
             whole = scratch.save(whole, f"whole{k}")
