@@ -234,31 +234,30 @@ def _join(solve, node: tuple, parts: list) -> pa.RecordBatch:
     return solve(node, reps[order], np.concatenate([p[1] for p in parts])[order], [cells[k] for k in order])
 
 
-def _split_large(nodes: DataFrame, large: DataFrame, lloyd: int = 2) -> DataFrame:
-    """One bisection of every node in large, spread over the cluster; returns the new paths of their sets.
+def _split_large(mine: DataFrame, scratch: Scratch, tag: str, lloyd: int = 2) -> DataFrame:
+    """One bisection of every node in mine, spread over the cluster: (rep, side).
 
-    The first halves are the sets with and without the cell whose frequency is nearest to one half; then
-    rounds of 2-means with the squared distance |x|² - 2<x, c> + |c|². A round that would empty a half keeps
-    the halves of the round before. Centres are rows (node, cell), so no node meets in one task.
+    mine: (node, n, rep, weight, cells). The first halves are the sets with and without the cell whose
+    frequency is nearest to one half; then rounds of 2-means with the squared distance |x|² - 2<x, c> + |c|²
+    (|x|² is the same for both centres). A round that would empty a half keeps the halves of the round
+    before. Centres are rows (node, cell), so no node meets in one task. Each step is written, which keeps the plans small.
     """
-    key = ["a", "b", "path"]
-    mine = nodes.join(F.broadcast(large.select(*key, "n")), key) if large.count() <= 10_000 else nodes.join(large.select(*key, "n"), key)
-    cells = mine.select(*key, "rep", "weight", "n", F.size("cells").alias("size"), F.explode("cells").alias("cell"))
-    nearest = cells.groupBy(*key, "cell").agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    pivot = nearest.groupBy(*key).agg(F.min_by("cell", F.struct(F.abs(2 * F.col("c") - F.col("n")), F.col("cell"))).alias("pivot"))
-    side = mine.join(F.broadcast(pivot) if large.count() <= 10_000 else pivot, key).select(*key, "rep", "weight", F.array_contains("cells", F.col("pivot")).cast("int").alias("side"))
-    for _ in range(lloyd):
-        on = cells.join(side.select(*key, "rep", "side"), [*key, "rep"])
-        w = [F.sum(F.when(F.col("side") == s, F.col("weight"))) for s in (0, 1)]
-        total = side.groupBy(*key).agg(*(x.alias(f"w{s}") for s, x in enumerate(w)))
-        centre = on.groupBy(*key, "cell").agg(*(F.coalesce(x, F.lit(0)).alias(f"s{s}") for s, x in enumerate(w))).join(total, key)
-        centre = centre.select(*key, "cell", *((F.col(f"s{s}") / F.col(f"w{s}")).alias(f"c{s}") for s in (0, 1)))
-        norm = centre.groupBy(*key).agg(*(F.sum(F.col(f"c{s}") * F.col(f"c{s}")).alias(f"q{s}") for s in (0, 1)))
-        dots = cells.join(centre, [*key, "cell"]).groupBy(*key, "rep").agg(*(F.sum(f"c{s}").alias(f"d{s}") for s in (0, 1)), F.first("weight").alias("weight"))
-        moved = dots.join(norm, key).withColumn("moved", (F.col("q1") - 2 * F.col("d1") < F.col("q0") - 2 * F.col("d0")).cast("int"))
-        real = moved.groupBy(*key).agg((F.min("moved") < F.max("moved")).alias("real"))
-        side = moved.join(real, key).join(side.select(*key, "rep", "side"), [*key, "rep"]).select(*key, "rep", "weight", F.when(F.col("real"), F.col("moved")).otherwise(F.col("side")).alias("side"))
-    return side.select(*key, "rep", F.concat("path", F.col("side").cast("string")).alias("new_path"))
+    cells = mine.select("node", "rep", "weight", "n", F.explode("cells").alias("cell"))
+    nearest = cells.groupBy("node", "cell").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    pivot = nearest.groupBy("node").agg(F.min_by("cell", F.struct(F.abs(2 * F.col("c") - F.col("n")), F.col("cell"))).alias("pivot"))
+    side = scratch.save(mine.join(pivot, "node").select("node", "rep", "weight", F.array_contains("cells", F.col("pivot")).cast("int").alias("side")), f"{tag}-side0")
+    half = [F.when(F.col("side") == s, F.col("weight")) for s in (0, 1)]
+    for k in range(lloyd):
+        total = side.groupBy("node").agg(*(F.sum(h).alias(f"w{s}") for s, h in enumerate(half)))
+        sums = cells.join(side.select("rep", "side"), "rep").groupBy("node", "cell").agg(*(F.coalesce(F.sum(h), F.lit(0)).alias(f"s{s}") for s, h in enumerate(half)))
+        centre = scratch.save(sums.join(total, "node").select("node", "cell", *((F.col(f"s{s}") / F.col(f"w{s}")).alias(f"c{s}") for s in (0, 1))), f"{tag}-centre{k}")
+        norm = centre.groupBy("node").agg(F.sum(F.col("c1") * F.col("c1") - F.col("c0") * F.col("c0")).alias("q"))
+        dots = cells.join(centre, ["node", "cell"]).groupBy("node", "rep").agg(F.sum(F.col("c1") - F.col("c0")).alias("d"))
+        moved = scratch.save(dots.join(norm, "node").select("node", "rep", (F.col("q") < 2 * F.col("d")).cast("int").alias("moved")), f"{tag}-moved{k}")
+        real = moved.groupBy("node").agg((F.min("moved") < F.max("moved")).alias("real"))
+        new = side.join(moved.select("rep", "moved"), "rep").join(real, "node")
+        side = scratch.save(new.select("node", "rep", "weight", F.when(F.col("real"), F.col("moved")).otherwise(F.col("side")).alias("side")), f"{tag}-side{k + 1}")
+    return side.select("rep", "side")
 
 
 def similarity_clusters(sets: DataFrame, alike: float = 0.5, node_limit: int = 4000, scratch: Scratch | None = None) -> DataFrame:
@@ -282,14 +281,15 @@ def similarity_clusters(sets: DataFrame, alike: float = 0.5, node_limit: int = 4
     key = ["a", "b", "path"]
     deepest = 0
     for k in range(1, 200):
-        large = scratch.save(nodes.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > node_limit), f"large{k}")
+        large = scratch.save(nodes.groupBy(*key).agg(F.count("*").alias("n"), F.min("rep").alias("node")).where(F.col("n") > node_limit), f"large{k}")
         if large.isEmpty():
             break
-        moved = _split_large(nodes, large)
-        nodes = scratch.save(
-            nodes.join(moved, [*key, "rep"], "left").select("a", "b", F.coalesce("new_path", "path").alias("path"), "rep", "weight", "cells", "h1", "h2"), f"nodes{k}"
-        )
+        mine = scratch.save(nodes.join(large, key).select("node", "n", "rep", "weight", "cells"), f"mine{k}")
+        side = _split_large(mine, scratch, f"split{k}")
+        moved = nodes.join(side, "rep", "left").withColumn("path", F.concat("path", F.coalesce(F.col("side").cast("string"), F.lit(""))))
+        nodes = scratch.save(moved.select("a", "b", "path", "rep", "weight", "cells", "h1", "h2"), f"nodes{k}")
         scratch.drop(f"nodes{k - 1}")
+        scratch.drop(f"mine{k}")
         deepest = k
     else:
         raise RuntimeError("a node could not be split")
