@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,11 +27,13 @@ def ngrams(words: Column, least: int = 1, most: int = 4) -> Column:
     return F.flatten(F.array(*(of(n) for n in range(least, most + 1))))
 
 
-def occurrences(text: Column, part: Column) -> Column:
-    """PRJ-16: all 0-based places of a part in a text, overlapping ones too."""
-    last = F.length(text) - F.length(part)
-    places = F.when((last >= 0) & (F.length(part) > 0), F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.filter(places, lambda i: F.substring(text, i + 1, F.length(part)) == part)
+def occurrences(text: Column, part: str) -> Column:
+    """PRJ-16: all 0-based places of a part in a text, overlapping ones too; empty for an empty part."""
+    if not part:
+        return F.when(text.isNotNull(), F.array().cast("array<int>"))
+    pieces = F.split(F.concat(F.lit("\u0001"), text), F.lit("(?=" + re.escape(part) + ")"))
+    ends = F.aggregate(pieces, F.array().cast("array<int>"), lambda done, x: F.concat(done, F.array(F.length(x) + F.when(F.size(done) > 0, F.element_at(done, -1)).otherwise(F.lit(-1)))))
+    return F.slice(ends, F.lit(1), F.size(ends) - 1)
 
 
 def longest_between(text: Column, mark: str) -> Column:

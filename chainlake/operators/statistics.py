@@ -116,7 +116,7 @@ def classification_scores(rows: DataFrame, keys: list[str], truth: str, guess: s
         F.avg((t == g).cast("double")).alias("accuracy"), F.avg((F.abs(t - g) <= 1).cast("double")).alias("within_one"), F.avg(F.abs(t - g).cast("double")).alias("mae"),
         F.sqrt(F.avg(F.pow((t - g).cast("double"), 2))).alias("rmse"), F.corr(t.cast("double"), g.cast("double")).alias("pearson"), F.count("*").alias("n"),
     )
-    ends = rows.select(*keys, F.inline(F.array(F.struct(t.alias("c"), F.lit(1).alias("is_t"), F.lit(0).alias("is_g"), (t == g).cast("int").alias("hit")), F.struct(g.alias("c"), F.lit(0), F.lit(1), F.lit(0)))))
+    ends = rows.select(*keys, F.inline(F.array(F.struct(t.alias("c"), F.lit(1).alias("is_t"), F.lit(0).alias("is_g"), (t == g).cast("int").alias("hit")), F.struct(g.alias("c"), F.lit(0).alias("is_t"), F.lit(1).alias("is_g"), F.lit(0).alias("hit")))))
     by = ends.groupBy(*keys, "c").agg(F.sum("is_t").alias("nt"), F.sum("is_g").alias("ng"), F.sum("hit").alias("hit"))
     macro = by.groupBy(*keys).agg(
         F.avg(F.when(F.col("ng") > 0, F.col("hit") / F.col("ng")).otherwise(0.0)).alias("macro_precision"), F.avg(F.when(F.col("nt") > 0, F.col("hit") / F.col("nt")).otherwise(0.0)).alias("macro_recall")

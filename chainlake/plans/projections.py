@@ -36,7 +36,7 @@ def prj_3(spark, d):
     "prj_4_symmetric_block",
     """WITH cell AS (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings),
     m AS (SELECT vec_id, k // 8 AS i, k % 8 AS j, e::DOUBLE AS e FROM cell)
-    SELECT x.vec_id, x.i, x.j - 3 AS j, round(least(x.e, y.e), 6) AS e FROM m x JOIN m y ON x.vec_id = y.vec_id AND x.i = y.j AND x.j = y.i WHERE x.i < 3 AND x.j >= 3""",
+    SELECT x.vec_id, x.i, x.j - 3 AS j, round(least(x.e, y.e), 8) AS e FROM m x JOIN m y ON x.vec_id = y.vec_id AND x.i = y.j AND x.j = y.i WHERE x.i < 3 AND x.j >= 3""",
 )
 def prj_4(spark, d):
     """Block of chains A (3 residues) and B (5) of an 8 x 8 matrix, symmetrised with the transposed block."""
@@ -44,7 +44,7 @@ def prj_4(spark, d):
     cells = square.select("vec_id", F.floor(F.col("k") / 8).cast("int").alias("i"), (F.col("k") % 8).alias("j"), F.col("e").cast("double").alias("e"))
     upper = cells.where("i < 3 AND j >= 3")
     lower = cells.where("j < 3 AND i >= 3").select("vec_id", F.col("j").alias("i"), F.col("i").alias("j"), F.col("e").alias("e2"))
-    return upper.join(lower, ["vec_id", "i", "j"]).select("vec_id", "i", (F.col("j") - 3).alias("j"), F.round(F.least("e", "e2"), 6).alias("e"))
+    return upper.join(lower, ["vec_id", "i", "j"]).select("vec_id", "i", (F.col("j") - 3).alias("j"), F.round(F.least("e", "e2"), 8).alias("e"))
 
 
 @query("prj_5_min_pae", "SELECT matrix_id, round(list_min(flatten(pae))::DOUBLE, 4) AS min_pae FROM pairwise_contact_matrices WHERE pae IS NOT NULL")
@@ -66,12 +66,12 @@ _PPV = "CASE WHEN s IS NULL THEN NULL " + " ".join(f"WHEN {a} >= s THEN {b}" for
     ends AS (SELECT file_id, c1, c2, 1 AS side, r1 AS r, b1 AS b FROM near UNION SELECT file_id, c1, c2, 2, r2, b2 FROM near),
     p AS (SELECT file_id, c1, c2, avg(b) AS plddt FROM ends GROUP BY ALL),
     s AS (SELECT file_id, c1 AS chain_1, c2 AS chain_2, n AS n_contacts, plddt, round(0.724 / (1 + exp(-0.052 * (plddt * log10(n) - 152.611))) + 0.018, 3) AS s FROM n JOIN p USING (file_id, c1, c2))
-    SELECT file_id, chain_1, chain_2, n_contacts, round(plddt, 6) AS plddt, s AS pdockq, {_PPV} AS ppv FROM s""",
+    SELECT file_id, chain_1, chain_2, n_contacts, round(plddt, 8) AS plddt, s AS pdockq, {_PPV} AS ppv FROM s""",
 )
 def prj_6(spark, d):
     points = v.atoms(spark, d).where("atom_name = 'CA'")
     scores = c.interface_scores(points, ["file_id"])
-    return scores.select("file_id", "chain_1", "chain_2", "n_contacts", F.round("plddt", 6).alias("plddt"), "pdockq", "ppv")
+    return scores.select("file_id", "chain_1", "chain_2", "n_contacts", F.round("plddt", 8).alias("plddt"), "pdockq", "ppv")
 
 
 @query("prj_7_ppv", f"WITH {v.PW2}, s AS (SELECT row_id, pdockq AS s FROM pw2) SELECT row_id, {_PPV} AS ppv FROM s")
@@ -82,11 +82,11 @@ def prj_7(spark, d):
 @query(
     "prj_8_edge_weight",
     f"""WITH {v.PW2}, e AS (SELECT least(p1, p2) AS a, greatest(p1, p2) AS b, min(min_pae) AS pae, count(*) AS n FROM pw2 GROUP BY 1, 2)
-    SELECT a, b, coalesce(greatest(round((1 - pae / 30.0) * least(n / 5.0, 1.0) * 5.0, 4), 0.5), 0.5) AS weight, round(0.5 + 4.5 / (1 + exp(-0.5 * (pae - 10.0))), 6) AS rescaled FROM e""",
+    SELECT a, b, coalesce(greatest(round((1 - pae / 30.0) * least(n / 5.0, 1.0) * 5.0, 4), 0.5), 0.5) AS weight, round(0.5 + 4.5 / (1 + exp(-0.5 * (pae - 10.0))), 8) AS rescaled FROM e""",
 )
 def prj_8(spark, d):
     e = v.pairwise2(spark, d).groupBy(F.least("p1", "p2").alias("a"), F.greatest("p1", "p2").alias("b")).agg(F.min("min_pae").alias("pae"), F.count("*").alias("n"))
-    return e.select("a", "b", m.edge_weight(F.col("pae"), F.col("n")).alias("weight"), F.round(m.sigmoid(F.col("pae"), 0.5, 5.0, 10.0, 0.5), 6).alias("rescaled"))
+    return e.select("a", "b", m.edge_weight(F.col("pae"), F.col("n")).alias("weight"), F.round(m.sigmoid(F.col("pae"), 0.5, 5.0, 10.0, 0.5), 8).alias("rescaled"))
 
 
 _INTERVALS = ("[0.0;0.5)", "[0.5;1.0)", "[1.0;1.0]", "(1.0;inf)")
@@ -152,25 +152,27 @@ def prj_14(spark, d):
 
 @query(
     "prj_15_ngrams",
-    f"""WITH w AS (SELECT doc_id, {_WORDS.format('text', _STOP)} AS w FROM documents WHERE text IS NOT NULL)
-    SELECT doc_id, {" + ".join(f"greatest(len(w) - {n - 1}, 0)" for n in range(1, 5))} AS n_grams,
-    greatest({", ".join(f"(SELECT max(array_to_string(w[i:i+{n - 1}], ' ')) FROM unnest(range(1, greatest(len(w) - {n - 2}, 1))) u(i))" for n in range(1, 5))}) AS last_gram FROM w""",
+    f"""WITH w AS (SELECT doc_id, {_WORDS.format('text', _STOP)} AS w FROM documents WHERE text IS NOT NULL),
+    one AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+    gram AS ({" UNION ALL ".join(f"SELECT doc_id, {n} AS n, " + " || ' ' || ".join(["x"] + [f"lead(x, {k}) OVER (PARTITION BY doc_id ORDER BY i)" for k in range(1, n)]) + " AS g FROM one" for n in range(1, 5))})
+    SELECT doc_id, n AS n_words, g AS gram, count(*) AS n_times FROM gram WHERE g IS NOT NULL GROUP BY ALL""",
 )
 def prj_15(spark, d):
-    grams = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", t.ngrams(t.normal_words(F.col("text"))).alias("g"))
-    return grams.select("doc_id", F.size("g").cast("bigint").alias("n_grams"), F.array_max("g").alias("last_gram"))
+    words = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", t.normal_words(F.col("text")).alias("w"))
+    grams = words.select("doc_id", F.explode(t.ngrams(F.col("w"))).alias("gram"))
+    return grams.groupBy("doc_id", (F.size(F.split("gram", " "))).alias("n_words"), "gram").agg(F.count("*").alias("n_times"))
 
 
 @query(
     "prj_16_string_helpers",
-    r"""SELECT doc_id, (SELECT count(*) FROM unnest(range(1, length(text) - 1)) u(i) WHERE text[i:i+2] = 'the') AS n_the, len(string_split(regexp_replace(text, '<[^>]+>', '', 'g'), chr(10))) AS n_lines,
+    r"""SELECT doc_id, (length(text) - length(replace(text, 'the', ''))) // 3 AS n_the, len(string_split(regexp_replace(text, '<[^>]+>', '', 'g'), chr(10))) AS n_lines,
     list_max(list_transform(string_split(regexp_replace(text, '<[^>]+>', '', 'g'), chr(10)), lambda x: length(x))) AS longest_line,
     repeat('-', (greatest(12 - length(lang), 0) // 2)::INT) || lang || repeat('-', (greatest(12 - length(lang), 0) - greatest(12 - length(lang), 0) // 2)::INT) AS flag FROM documents WHERE text IS NOT NULL""",
 )
 def prj_16(spark, d):
     lengths = t.line_lengths(F.col("text"))
     rows = table(spark, d, "documents").where("text IS NOT NULL")
-    return rows.select("doc_id", F.size(t.occurrences(F.col("text"), F.lit("the"))).cast("bigint").alias("n_the"), F.size(lengths).alias("n_lines"), F.array_max(lengths).alias("longest_line"), t.centred(F.col("lang"), 12).alias("flag"))
+    return rows.select("doc_id", F.size(t.occurrences(F.col("text"), "the")).cast("bigint").alias("n_the"), F.size(lengths).alias("n_lines"), F.array_max(lengths).alias("longest_line"), t.centred(F.col("lang"), 12).alias("flag"))
 
 
 @query(
@@ -198,25 +200,25 @@ def prj_18(spark, d):
 @query(
     "prj_19_centroids",
     f"""WITH {v.ATOMS}, c AS (SELECT file_id, chain, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM atom GROUP BY 1, 2)
-    SELECT file_id, chain, round(cx, 5) AS cx, round(cy, 5) AS cy, round(cz, 5) AS cz, round(max(sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz))), 5) AS radius FROM atom JOIN c USING (file_id, chain) GROUP BY ALL""",
+    SELECT file_id, chain, round(cx, 8) AS cx, round(cy, 8) AS cy, round(cz, 8) AS cz, round(max(sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz))), 8) AS radius FROM atom JOIN c USING (file_id, chain) GROUP BY ALL""",
 )
 def prj_19(spark, d):
     a = v.atoms(spark, d)
     centre = a.groupBy("file_id", "chain").agg(*(F.avg(x).alias(f"c{x}") for x in "xyz"))
     far = m.distance3([F.col(x) for x in "xyz"], [F.col(f"c{x}") for x in "xyz"])
     out = a.join(centre, ["file_id", "chain"]).groupBy("file_id", "chain", "cx", "cy", "cz").agg(F.max(far).alias("radius"))
-    return out.select("file_id", "chain", *(F.round(x, 5).alias(x) for x in ("cx", "cy", "cz", "radius")))
+    return out.select("file_id", "chain", *(F.round(x, 8).alias(x) for x in ("cx", "cy", "cz", "radius")))
 
 
 @query(
     "prj_20_rotation",
-    f"""WITH {v.ATOMS} SELECT file_id, line, round(x * {math.cos(0.5)} - y * {math.sin(0.5)}, 5) AS rx, round(x * {math.sin(0.5)} + y * {math.cos(0.5)}, 5) AS ry, round(z, 5) AS rz FROM atom""",
+    f"""WITH {v.ATOMS} SELECT file_id, line, round(x * {math.cos(0.5)} - y * {math.sin(0.5)}, 8) AS rx, round(x * {math.sin(0.5)} + y * {math.cos(0.5)}, 8) AS ry, round(z, 8) AS rz FROM atom""",
 )
 def prj_20(spark, d):
     from chainlake.functions.geometry import rotated
 
     point = rotated([F.col(x) for x in "xyz"], (0.0, 0.0, 1.0), 0.5)
-    return v.atoms(spark, d).select("file_id", "line", *(F.round(p, 5).alias(f"r{x}") for p, x in zip(point, "xyz", strict=True)))
+    return v.atoms(spark, d).select("file_id", "line", *(F.round(p, 8).alias(f"r{x}") for p, x in zip(point, "xyz", strict=True)))
 
 
 @query("prj_21_domain_atoms", f"WITH {v.ATOMS} SELECT file_id, chain, res_no, bfactor FROM atom WHERE atom_name = 'CA' AND res_no BETWEEN 2 AND 6")
@@ -264,10 +266,10 @@ def flt_6(spark, d):
     return c.contact_counts(v.contacts(spark, d)).select("matrix_id", "n_contacts")
 
 
-@query("flt_7_ordered_chains", f"WITH {v.ATOMS} SELECT file_id, chain, round(avg(bfactor), 5) AS mean_plddt, count(*) FILTER (WHERE bfactor >= 70) AS n_kept FROM atom GROUP BY 1, 2 HAVING avg(bfactor) >= 60")
+@query("flt_7_ordered_chains", f"WITH {v.ATOMS} SELECT file_id, chain, round(avg(bfactor), 8) AS mean_plddt, count(*) FILTER (WHERE bfactor >= 70) AS n_kept FROM atom GROUP BY 1, 2 HAVING avg(bfactor) >= 60")
 def flt_7(spark, d):
     a = v.atoms(spark, d).groupBy("file_id", "chain").agg(F.avg("bfactor").alias("p"), F.count_if(F.col("bfactor") >= 70).alias("n_kept")).where("p >= 60")
-    return a.select("file_id", "chain", F.round("p", 5).alias("mean_plddt"), "n_kept")
+    return a.select("file_id", "chain", F.round("p", 8).alias("mean_plddt"), "n_kept")
 
 
 @query("src_4_atoms", f"WITH {v.ATOMS} SELECT * FROM atom")
