@@ -90,15 +90,16 @@ def core_residues(median: np.ndarray, spread: np.ndarray, least: int = 5, steps:
     relative = spread / np.maximum(median, 1e-9)
     qs, ss = np.quantile(median, np.linspace(0, 1, steps)), np.quantile(relative, np.linspace(0, 1, steps))
     best, score = None, -np.inf
+    steady = relative[None, :] <= np.unique(ss)[:, None]
     for q in np.unique(qs):
-        confident = median >= q
-        for s in np.unique(ss):
-            core = confident & (relative <= s)
-            share = core.mean()
-            if core.sum() >= least and 0.2 <= share <= 0.7:
-                value = median[core].mean() / 100 - relative[core].mean() + 0.5 * (1 - abs(share - 0.45) / 0.45)
-                if value > score:
-                    best, score = core, value
+        cores = steady & (median >= q)[None, :]
+        n = cores.sum(axis=1)
+        share = n / len(median)
+        value = (cores @ median) / np.maximum(n, 1) / 100 - (cores @ relative) / np.maximum(n, 1) + 0.5 * (1 - np.abs(share - 0.45) / 0.45)
+        value[(n < least) | (share < 0.2) | (share > 0.7)] = -np.inf
+        k = int(value.argmax())
+        if value[k] > score:
+            best, score = cores[k], value[k]
     if best is None:
         best = median >= np.quantile(median, 0.6)
     return np.flatnonzero(best)

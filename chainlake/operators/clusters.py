@@ -171,22 +171,35 @@ def dbscan(distance: np.ndarray, eps: float, least: int = 2) -> np.ndarray:
     return labels
 
 
-def smacof(distance: np.ndarray, dims: int = 2, seed: int = 42, rounds: int = 300, eps: float = 1e-6) -> np.ndarray:
-    """CLU-9: multidimensional scaling by majorisation of the stress."""
+def smacof(distance: np.ndarray, dims: int = 2, seed: int = 42, rounds: int = 300, eps: float = 1e-6, starts: int = 4) -> np.ndarray:
+    """CLU-9: multidimensional scaling by majorisation of the stress.
+
+    Starts from classical scaling and from random points, and keeps the lowest stress, for a single start
+    may end in a local optimum.
+    """
     n = len(distance)
-    x = np.random.default_rng(seed).random((n, dims))
-    before = np.inf
-    for _ in range(rounds):
-        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
-        stress = float(((d - distance) ** 2).sum() / 2)
-        if before - stress < eps * max(before if np.isfinite(before) else 1.0, 1e-12):
-            break
-        before = stress
-        ratio = np.where(d > 1e-12, distance / np.maximum(d, 1e-12), 0)
-        b = -ratio
-        b[np.arange(n), np.arange(n)] = ratio.sum(axis=1)
-        x = b @ x / n
-    return x
+    centre = np.eye(n) - 1 / n
+    values, vectors = np.linalg.eigh(-0.5 * centre @ distance**2 @ centre)
+    top = np.argsort(-values)[:dims]
+    classical = np.zeros((n, dims))
+    classical[:, : len(top)] = vectors[:, top] * np.sqrt(np.maximum(values[top], 0))
+    rng = np.random.default_rng(seed)
+    best, least = classical, np.inf
+    for x in [classical, *(rng.random((n, dims)) for _ in range(starts))]:
+        before = np.inf
+        for _ in range(rounds):
+            d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+            stress = float(((d - distance) ** 2).sum() / 2)
+            if before - stress < eps * max(before if np.isfinite(before) else 1.0, 1e-12):
+                break
+            before = stress
+            ratio = np.where(d > 1e-12, distance / np.maximum(d, 1e-12), 0)
+            b = -ratio
+            b[np.arange(n), np.arange(n)] += ratio.sum(axis=1)
+            x = b @ x / n
+        if stress < least:
+            best, least = x, stress
+    return best
 
 
 def constant_potts(weights: np.ndarray, resolution: float, seed: int = 42, rounds: int = 50) -> np.ndarray:

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 
@@ -37,16 +38,22 @@ def phi(a: Column, b: Column) -> list[Column]:
     return [n11.alias("n11"), n10.alias("n10"), n01.alias("n01"), n00.alias("n00"), value.alias("phi")]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_sf(x: pd.Series) -> pd.Series:
     """Upper tail of the chi-squared distribution of one degree of freedom."""
     return x.map(lambda v: math.erfc(math.sqrt(v / 2)) if v is not None and v == v and v >= 0 else None)
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation of two values; null where one of them does not vary."""
+    both = x.isNotNull() & y.isNotNull()
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)))
+
+
 def point_biserial(value: Column, flag: Column) -> list[Column]:
     """STA-2: correlation of a value with a flag, and the two means; null where one side is empty."""
     x = flag.cast("double")
-    return [F.corr(value, x).alias("r"), F.avg(F.when(flag, value)).alias("mean_with"), F.avg(F.when(~flag, value)).alias("mean_without"), F.count("*").alias("n")]
+    return [pearson(value, x).alias("r"), F.avg(F.when(flag, value)).alias("mean_with"), F.avg(F.when(~flag, value)).alias("mean_without"), F.count("*").alias("n")]
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -114,7 +121,7 @@ def classification_scores(rows: DataFrame, keys: list[str], truth: str, guess: s
     t, g = F.col(truth), F.col(guess)
     whole = rows.groupBy(*keys).agg(
         F.avg((t == g).cast("double")).alias("accuracy"), F.avg((F.abs(t - g) <= 1).cast("double")).alias("within_one"), F.avg(F.abs(t - g).cast("double")).alias("mae"),
-        F.sqrt(F.avg(F.pow((t - g).cast("double"), 2))).alias("rmse"), F.corr(t.cast("double"), g.cast("double")).alias("pearson"), F.count("*").alias("n"),
+        F.sqrt(F.avg(F.pow((t - g).cast("double"), 2))).alias("rmse"), pearson(t.cast("double"), g.cast("double")).alias("pearson"), F.count("*").alias("n"),
     )
     ends = rows.select(*keys, F.inline(F.array(F.struct(t.alias("c"), F.lit(1).alias("is_t"), F.lit(0).alias("is_g"), (t == g).cast("int").alias("hit")), F.struct(g.alias("c"), F.lit(0).alias("is_t"), F.lit(1).alias("is_g"), F.lit(0).alias("hit")))))
     by = ends.groupBy(*keys, "c").agg(F.sum("is_t").alias("nt"), F.sum("is_g").alias("ng"), F.sum("hit").alias("hit"))

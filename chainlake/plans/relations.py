@@ -14,7 +14,9 @@ from chainlake.operators import statistics as st
 from chainlake.plans import views as v
 from chainlake.plans.catalog import query, table
 
-A, B = F.least("p1", "p2").alias("a"), F.greatest("p1", "p2").alias("b")
+def ab():
+    """The unordered pair of p1 and p2 as columns a and b."""
+    return F.least("p1", "p2").alias("a"), F.greatest("p1", "p2").alias("b")
 
 
 def _combo():
@@ -56,7 +58,7 @@ def agg_3(spark, d):
 @query(
     "agg_4_reference_occurrence",
     f"""WITH {v.ATOMS}, {v.CHAINS}, o AS (SELECT c.prot_id, a.file_id, a.chain, avg(bfactor) AS p FROM atom a JOIN chain c ON c.file_id = a.file_id AND c.chain_id = a.chain WHERE c.prot_id IS NOT NULL GROUP BY ALL)
-    SELECT prot_id, arg_min(file_id, (round(p, 6), file_id, chain)) AS lowest, arg_min(file_id, (-round(p, 6), file_id, chain)) AS highest, round(avg(round(p, 6)), 8) AS mean_value, count(*) AS n_occurrences FROM o GROUP BY 1""",
+    SELECT prot_id, arg_min(file_id, (round(p, 8), file_id, chain)) AS lowest, arg_min(file_id, (-round(p, 8), file_id, chain)) AS highest, round(avg(round(p, 8)), 8) AS mean_value, count(*) AS n_occurrences FROM o GROUP BY 1""",
 )
 def agg_4(spark, d):
     chains = v.chains(spark, d).where("prot_id IS NOT NULL").select("file_id", F.col("chain_id").alias("chain"), "prot_id")
@@ -85,7 +87,7 @@ def _models(spark, d):
         "matrix_id", protein_id("protein1").alias("p1"), protein_id("protein2").alias("p2"), F.array_sort(pim).alias("combo"), "rank",
         F.element_at("pair_chains_tuple", 1).alias("c1"), F.element_at("pair_chains_tuple", 2).alias("c2"), F.size("proteins_in_model").alias("n_chains"),
     )
-    return rows.where("p1 IS NOT NULL AND p2 IS NOT NULL AND combo IS NOT NULL").select("*", A, B)
+    return rows.where("p1 IS NOT NULL AND p2 IS NOT NULL AND combo IS NOT NULL").select("*", *ab())
 
 
 _MODELS = f"""model AS (SELECT matrix_id, {v.sql_id('protein1')} AS p1, {v.sql_id('protein2')} AS p2, least({v.sql_id('protein1')}, {v.sql_id('protein2')}) AS a, greatest({v.sql_id('protein1')}, {v.sql_id('protein2')}) AS b,
@@ -184,7 +186,7 @@ def agg_13(spark, d):
     SELECT a, b, rank, {_FIVE.format('mipae', 'mipae_')}, {_FIVE.format('aipae', 'aipae_')} FROM p GROUP BY 1, 2, 3""",
 )
 def agg_14(spark, d):
-    p = v.cells(spark, d).where("p1 IS NOT NULL AND p2 IS NOT NULL").groupBy("matrix_id", A, B, "rank").agg(F.round(F.min("pae"), 8).alias("mipae"), F.round(F.avg("pae"), 8).alias("aipae"))
+    p = v.cells(spark, d).where("p1 IS NOT NULL AND p2 IS NOT NULL").groupBy("matrix_id", *ab(), "rank").agg(F.round(F.min("pae"), 8).alias("mipae"), F.round(F.avg("pae"), 8).alias("aipae"))
     out = st.pae_stability(p, ["a", "b", "rank"])
     return out.select("a", "b", "rank", *(F.round(x, 8).alias(x) for x in out.columns[3:]))
 
@@ -203,17 +205,17 @@ def agg_15(spark, d):
 
 def _frequency(spark, d):
     cells = v.cells(spark, d)
-    models = cells.where("p1 IS NOT NULL AND p2 IS NOT NULL").select("matrix_id", A, B, "n_chains").distinct()
+    models = cells.where("p1 IS NOT NULL AND p2 IS NOT NULL").select("matrix_id", *ab(), "n_chains").distinct()
     return c.contact_frequency(c.contact_cells(cells), models)
 
 
 @query(
     "agg_16_rank_metrics",
-    f"""WITH {v.PWN}, r AS (SELECT combo, rank, round(avg(ptm), 8) AS ptm, round(avg(iptm), 8) AS iptm, round(avg(pdockq), 8) AS pdockq, min(min_pae) AS mipae, round(avg(min_pae), 8) AS aipae FROM pwn WHERE combo IS NOT NULL GROUP BY 1, 2)
+    f"""WITH {v.PWN}, r AS (SELECT combo, rank, round(avg(ptm), 8) AS ptm, round(avg(iptm), 8) AS iptm, max(pdockq) AS pdockq, min(min_pae) AS mipae, round(avg(min_pae), 8) AS aipae FROM pwn WHERE combo IS NOT NULL GROUP BY 1, 2)
     SELECT array_to_string(combo, '|') AS combo, count(*) AS n_ranks, {", ".join(f"string_agg(coalesce(format('{{:.4f}}', {x}), '-'), ',' ORDER BY rank) AS {x}s" for x in ("pdockq", "mipae"))}, max(ptm) AS best_ptm, max(iptm) AS best_iptm, min(aipae) AS best_aipae FROM r GROUP BY combo""",
 )
 def agg_16(spark, d):
-    r = v.pairwise_n(spark, d).where("combo IS NOT NULL").groupBy("combo", "rank").agg(*(F.round(F.avg(x), 8).alias(x) for x in ("ptm", "iptm", "pdockq")), F.min("min_pae").alias("mipae"), F.round(F.avg("min_pae"), 8).alias("aipae"))
+    r = v.pairwise_n(spark, d).where("combo IS NOT NULL").groupBy("combo", "rank").agg(*(F.round(F.avg(x), 8).alias(x) for x in ("ptm", "iptm")), F.max("pdockq").alias("pdockq"), F.min("min_pae").alias("mipae"), F.round(F.avg("min_pae"), 8).alias("aipae"))
     series_of = lambda x: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.coalesce(F.when(F.col(x).isNotNull(), F.format_string("%.4f", F.col(x))), F.lit("-")).alias("s")))), lambda y: y["s"]), ",")
     return r.groupBy("combo").agg(F.count("*").alias("n_ranks"), series_of("pdockq").alias("pdockqs"), series_of("mipae").alias("mipaes"), F.max("ptm").alias("best_ptm"), F.max("iptm").alias("best_iptm"), F.min("aipae").alias("best_aipae")).withColumn("combo", _combo())
 
@@ -346,8 +348,8 @@ def jn_3(spark, d):
 
 @query("jn_4_unordered_join", _AGG1 + " SELECT DISTINCT w.row_id FROM pw2 w JOIN f3 ON (w.p1 = f3.p1 AND w.p2 = f3.p2) OR (w.p1 = f3.p2 AND w.p2 = f3.p1)")
 def jn_4(spark, d):
-    keys = passing2(spark, d).select(A, B).distinct()
-    return v.pairwise2(spark, d).select("row_id", A, B).join(keys, ["a", "b"], "left_semi").select("row_id")
+    keys = passing2(spark, d).select(*ab()).distinct()
+    return v.pairwise2(spark, d).select("row_id", *ab()).join(keys, ["a", "b"], "left_semi").select("row_id")
 
 
 @query("jn_5_semi_join", _AGG2 + " SELECT row_id FROM pwn SEMI JOIN f3n USING (p1, p2, combo)")
@@ -396,8 +398,8 @@ def jn_9(spark, d):
 
 @query("jn_11_edges_with_rows", _AGG1 + ", e AS (SELECT DISTINCT least(p1, p2) AS a, greatest(p1, p2) AS b FROM f3) SELECT a, b, count(*) AS n_rows, max(w.ptm) AS best_ptm FROM e JOIN pw2 w ON least(w.p1, w.p2) = a AND greatest(w.p1, w.p2) = b GROUP BY 1, 2")
 def jn_11(spark, d):
-    e = passing2(spark, d).select(A, B).distinct()
-    return v.pairwise2(spark, d).select(A, B, "ptm").join(e, ["a", "b"]).groupBy("a", "b").agg(F.count("*").alias("n_rows"), F.max("ptm").alias("best_ptm"))
+    e = passing2(spark, d).select(*ab()).distinct()
+    return v.pairwise2(spark, d).select(*ab(), "ptm").join(e, ["a", "b"]).groupBy("a", "b").agg(F.count("*").alias("n_rows"), F.max("ptm").alias("best_ptm"))
 
 
 _REGIONS = f"""{v.PW2}, known AS (SELECT DISTINCT unnest([p1, p2]) AS p FROM pw2 WHERE length1 < 60 AND length2 < 60)"""
@@ -409,14 +411,14 @@ def _small(spark, d):
 
 @query("jn_12_untested_pairs", f"WITH {_REGIONS} SELECT x.p AS a, y.p AS b FROM known x JOIN known y ON x.p <= y.p EXCEPT SELECT least(p1, p2), greatest(p1, p2) FROM pw2")
 def jn_12(spark, d):
-    return la.combinations(_small(spark, d), 2).select(F.col("members")[0].alias("a"), F.col("members")[1].alias("b")).join(v.pairwise2(spark, d).select(A, B).distinct(), ["a", "b"], "left_anti")
+    return la.combinations(_small(spark, d), 2).select(F.col("members")[0].alias("a"), F.col("members")[1].alias("b")).join(v.pairwise2(spark, d).select(*ab()).distinct(), ["a", "b"], "left_anti")
 
 
 @query("jn_13_suggestions_left", f"WITH {_REGIONS} SELECT x.p AS a, y.p AS b FROM known x JOIN known y ON x.p <= y.p EXCEPT SELECT least(p1, p2), greatest(p1, p2) FROM pw2 EXCEPT SELECT {v.sql_id('protein1')}, {v.sql_id('protein2')} FROM pairwise_2mers_df_f3 EXCEPT SELECT {v.sql_id('protein2')}, {v.sql_id('protein1')} FROM pairwise_2mers_df_f3")
 def jn_13(spark, d):
     from chainlake.functions.ids import protein_id
 
-    f3 = table(spark, d, "pairwise_2mers_df_f3").select(protein_id("protein1").alias("p1"), protein_id("protein2").alias("p2")).where("p1 IS NOT NULL AND p2 IS NOT NULL").select(A, B).distinct()
+    f3 = table(spark, d, "pairwise_2mers_df_f3").select(protein_id("protein1").alias("p1"), protein_id("protein2").alias("p2")).where("p1 IS NOT NULL AND p2 IS NOT NULL").select(*ab()).distinct()
     return jn_12(spark, d).join(f3, ["a", "b"], "left_anti")
 
 
@@ -560,7 +562,7 @@ def srt_2(spark, d):
 
 @query("srt_3_best_index", f"WITH {v.PW2} SELECT least(p1, p2) AS a, greatest(p1, p2) AS b, arg_min(row_id, (min_pae, row_id)) FILTER (WHERE min_pae IS NOT NULL) AS best FROM pw2 GROUP BY 1, 2")
 def srt_3(spark, d):
-    return v.pairwise2(spark, d).groupBy(A, B).agg(F.min_by("row_id", F.when(F.col("min_pae").isNotNull(), F.struct("min_pae", "row_id"))).alias("best"))
+    return v.pairwise2(spark, d).groupBy(*ab()).agg(F.min_by("row_id", F.when(F.col("min_pae").isNotNull(), F.struct("min_pae", "row_id"))).alias("best"))
 
 
 @query("srt_4_relabel", f"WITH {v.CONTACTS}, t AS (SELECT a, b, rank, count(*) AS n FROM contact WHERE rank IS NOT NULL GROUP BY 1, 2, 3) SELECT a, b, rank AS old_label, dense_rank() OVER (PARTITION BY a, b ORDER BY n DESC, rank) - 1 AS new_label FROM t")
@@ -572,7 +574,7 @@ def srt_4(spark, d):
 
 @query("srt_5_largest_state", _AGG2 + " SELECT least(p1, p2) AS a, greatest(p1, p2) AS b, array_to_string(arg_max(combo, (len(combo), combo)), '|') AS state FROM f3n GROUP BY 1, 2")
 def srt_5(spark, d):
-    return passing_n(spark, d).groupBy(A, B).agg(F.array_join(F.max_by("combo", F.struct(F.size("combo"), "combo")), "|").alias("state"))
+    return passing_n(spark, d).groupBy(*ab()).agg(F.array_join(F.max_by("combo", F.struct(F.size("combo"), "combo")), "|").alias("state"))
 
 
 @query("srt_6_best_methods", f"WITH {v.PW2} SELECT row_id, iptm FROM pw2 WHERE iptm IS NOT NULL ORDER BY iptm DESC, row_id LIMIT 15")
@@ -585,7 +587,7 @@ def srt_6(spark, d):
 
 @query("set_1_edge_union", f"WITH {v.PW2}, {v.PWN} SELECT least(p1, p2) AS a, greatest(p1, p2) AS b FROM pw2 UNION SELECT least(p1, p2), greatest(p1, p2) FROM pwn")
 def set_1(spark, d):
-    return v.pairwise2(spark, d).select(A, B).unionByName(v.pairwise_n(spark, d).select(A, B)).distinct()
+    return v.pairwise2(spark, d).select(*ab()).unionByName(v.pairwise_n(spark, d).select(*ab())).distinct()
 
 
 @query("set_2_combinations", "SELECT a.r_name || '|' || b.r_name || '|' || c.r_name AS members FROM region a JOIN region b ON a.r_name <= b.r_name JOIN region c ON b.r_name <= c.r_name")
@@ -605,7 +607,7 @@ def set_3(spark, d):
 
 @query("set_4_difference", f"WITH {v.PW2}, {v.PWN} SELECT least(p1, p2) AS a, greatest(p1, p2) AS b FROM pwn EXCEPT SELECT least(p1, p2), greatest(p1, p2) FROM pw2")
 def set_4(spark, d):
-    return v.pairwise_n(spark, d).select(A, B).subtract(v.pairwise2(spark, d).select(A, B))
+    return v.pairwise_n(spark, d).select(*ab()).subtract(v.pairwise2(spark, d).select(*ab()))
 
 
 @query("set_5_iou", f"""WITH {v.CONTACTS}, s AS (SELECT a, b, matrix_id, list(i * 100000 + j) AS s, row_number() OVER (PARTITION BY a, b ORDER BY matrix_id) AS k FROM contact GROUP BY 1, 2, 3)

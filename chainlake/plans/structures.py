@@ -16,7 +16,7 @@ from chainlake.operators import lattice as la
 from chainlake.operators import statistics as st
 from chainlake.plans import views as v
 from chainlake.plans.catalog import query, table
-from chainlake.plans.relations import _AGG1, _AGG2, _MODELS, A, B, _combo, _frequency, _models, _sizes, _SIZES, passing2, passing_n
+from chainlake.plans.relations import _AGG1, _AGG2, _MODELS, _combo, _frequency, _models, _sizes, _SIZES, ab, passing2, passing_n
 
 # --- matrices ---
 
@@ -40,7 +40,7 @@ u AS (SELECT pr.m1, pr.m2, coalesce(k1.k, 0)::DOUBLE AS k1, coalesce(k2.k, 0)::D
 def _next_pairs(spark, d):
     """Each record with the next of its pair, and the records' numbers of cells."""
     cells = v.cells(spark, d).where("p1 IS NOT NULL AND p2 IS NOT NULL")
-    sized = cells.groupBy("matrix_id", A, B).agg(F.count("*").alias("n_cells"))
+    sized = cells.groupBy("matrix_id", *ab()).agg(F.count("*").alias("n_cells"))
     nxt = sized.select(F.col("matrix_id").alias("matrix_1"), F.lead("matrix_id").over(Window.partitionBy("a", "b").orderBy("matrix_id")).alias("matrix_2")).where("matrix_2 IS NOT NULL")
     return c.contact_cells(cells), nxt, sized
 
@@ -101,7 +101,7 @@ k AS (SELECT a, b, i, j, count(*) AS k, count(*) FILTER (WHERE n_chains = 2) AS
 )
 def mat_15(spark, d):
     cells = v.cells(spark, d).where("p1 IS NOT NULL AND p2 IS NOT NULL")
-    tested = cells.select(A, B, "n_chains").groupBy("a", "b").agg(F.bool_or(F.col("n_chains") == 2).alias("t2"), F.bool_or(F.col("n_chains") > 2).alias("tn"))
+    tested = cells.select(*ab(), "n_chains").groupBy("a", "b").agg(F.bool_or(F.col("n_chains") == 2).alias("t2"), F.bool_or(F.col("n_chains") > 2).alias("tn"))
     return _frequency(spark, d).join(tested, ["a", "b"]).select("a", "b", "i", "j", c.contact_class(F.col("freq2"), F.col("freqn"), F.col("t2"), F.col("tn")).alias("class"))
 
 
@@ -213,8 +213,8 @@ def agg_22(spark, d):
 
 @query(
     "clu_2_silhouette",
-    """WITH p AS (SELECT vec_id, label, embedding[1:3]::DOUBLE[3] AS e, label // 5 AS k FROM embeddings), by AS (SELECT x.k, x.vec_id, x.label AS lx, y.label AS ly, avg(array_distance(x.e, y.e)) AS d FROM p x JOIN p y ON x.k = y.k AND x.vec_id <> y.vec_id GROUP BY ALL),
-    ab AS (SELECT k, vec_id, max(d) FILTER (WHERE lx = ly) AS a, min(d) FILTER (WHERE lx <> ly) AS b FROM by GROUP BY 1, 2)
+    """WITH p AS (SELECT vec_id, label, embedding[1:3]::DOUBLE[3] AS e, label // 5 AS k FROM embeddings), dby AS (SELECT x.k, x.vec_id, x.label AS lx, y.label AS ly, avg(array_distance(x.e, y.e)) AS d FROM p x JOIN p y ON x.k = y.k AND x.vec_id <> y.vec_id GROUP BY ALL),
+    ab AS (SELECT k, vec_id, max(d) FILTER (WHERE lx = ly) AS a, min(d) FILTER (WHERE lx <> ly) AS b FROM dby GROUP BY 1, 2)
     SELECT k, round(avg(CASE WHEN a IS NULL THEN 0 WHEN b IS NULL THEN NULL ELSE (b - a) / greatest(a, b, 1e-12) END), 6) AS silhouette FROM ab GROUP BY 1""",
 )
 def clu_2(spark, d):
@@ -361,13 +361,13 @@ def _presence(spark, d):
     "WITH " + _FLAGS + " SELECT a, b, n11, n10, n01, n00, round(CASE WHEN (n11+n10)::DOUBLE*(n01+n00)*(n11+n01)*(n10+n00) > 0 THEN (n11::DOUBLE*n00 - n10::DOUBLE*n01) / sqrt((n11+n10)::DOUBLE*(n01+n00)*(n11+n01)*(n10+n00)) END, 8) AS phi FROM n",
 )
 def sta_1(spark, d):
-    return _presence(spark, d).groupBy(A, B).agg(*st.phi(F.col("big"), F.col("hit"))).withColumn("phi", F.round("phi", 8))
+    return _presence(spark, d).groupBy(*ab()).agg(*st.phi(F.col("big"), F.col("hit"))).withColumn("phi", F.round("phi", 8))
 
 
 @query("sta_1_chi_squared")
 def sta_1b(spark, d):
     """p of each phi: chi-squared of n · phi² with one degree of freedom."""
-    x = _presence(spark, d).groupBy(A, B).agg(*st.phi(F.col("big"), F.col("hit"))).where("phi IS NOT NULL")
+    x = _presence(spark, d).groupBy(*ab()).agg(*st.phi(F.col("big"), F.col("hit"))).where("phi IS NOT NULL")
     n = F.col("n11") + F.col("n10") + F.col("n01") + F.col("n00")
     return x.select("a", "b", F.round(st.chi2_sf(n * F.col("phi") * F.col("phi")), 6).alias("p"))
 
@@ -395,7 +395,7 @@ def sta_3(spark, d):
 def sta_4(spark, d):
     ok = F.coalesce(F.contains("cluster", F.lit("✔")), F.lit(False))
     p = v.pairwise_n(spark, d).groupBy("p1", "p2", "pred_id").agg(F.bool_or(ok).alias("ok"))
-    return p.groupBy(A, B).agg(F.round(F.avg(F.col("ok").cast("double")), 8).alias("variation"))
+    return p.groupBy(*ab()).agg(F.round(F.avg(F.col("ok").cast("double")), 8).alias("variation"))
 
 
 # --- graph, rules, lattice ---
@@ -421,7 +421,7 @@ def grf_2(spark, d):
 @query("grf_3_edges_with_modes", _AGG1 + f""", {v.CONTACTS.replace('cell AS', 'cell AS')}, m AS (SELECT a, b, rank, count(*) AS n FROM contact WHERE rank IS NOT NULL GROUP BY 1, 2, 3), e AS (SELECT DISTINCT least(p1, p2) AS a, greatest(p1, p2) AS b FROM f3)
     SELECT e.a, e.b, coalesce(m.rank, 0) AS mode, coalesce(m.n, 0) AS n_contacts, count(m.rank) OVER (PARTITION BY e.a, e.b) > 1 AS is_multivalent FROM e LEFT JOIN m ON e.a = m.a AND e.b = m.b""")
 def grf_3(spark, d):
-    e = passing2(spark, d).select(A, B).distinct()
+    e = passing2(spark, d).select(*ab()).distinct()
     modes = v.contacts(spark, d).where("rank IS NOT NULL").groupBy("a", "b", F.col("rank").alias("mode")).agg(F.count("*").alias("n"))
     x = e.join(modes, ["a", "b"], "left")
     return x.select("a", "b", F.coalesce("mode", F.lit(0)).alias("mode"), F.coalesce("n", F.lit(0)).alias("n_contacts"), (F.count("mode").over(Window.partitionBy("a", "b")) > 1).alias("is_multivalent"))
@@ -439,8 +439,8 @@ def _sized_models(spark, d):
 
 _REACH = f"""WITH RECURSIVE {v.PWN}, md AS (SELECT pred_id, rank, max(len(combo)) AS n FROM pwn WHERE combo IS NOT NULL AND pred_id IS NOT NULL GROUP BY 1, 2),
 l AS (SELECT DISTINCT pred_id, rank, ascii(upper(c1)) - 65 AS a, ascii(upper(c2)) - 65 AS b FROM pwn WHERE min_pae <= 7.5 AND c1 IS NOT NULL AND c2 IS NOT NULL AND pred_id IS NOT NULL),
-e AS (SELECT * FROM l UNION SELECT pred_id, rank, b, a FROM l), reach(pred_id, rank, at) AS (SELECT pred_id, rank, 0::INT FROM md UNION SELECT r.pred_id, r.rank, e.b FROM reach r JOIN e ON e.pred_id = r.pred_id AND e.rank = r.rank AND e.a = r.at),
-k AS (SELECT pred_id, rank, count(DISTINCT at) AS k FROM reach GROUP BY 1, 2), con AS (SELECT md.pred_id, md.rank, k >= n AS connected FROM md JOIN k ON md.pred_id = k.pred_id AND md.rank = k.rank)"""
+e AS (SELECT * FROM l UNION SELECT pred_id, rank, b, a FROM l), reach(pred_id, rank, pos) AS (SELECT pred_id, rank, 0::INT FROM md UNION SELECT r.pred_id, r.rank, e.b FROM reach r JOIN e ON e.pred_id = r.pred_id AND e.rank = r.rank AND e.a = r.pos),
+k AS (SELECT pred_id, rank, count(DISTINCT pos) AS k FROM reach GROUP BY 1, 2), con AS (SELECT md.pred_id, md.rank, k >= n AS connected FROM md JOIN k ON md.pred_id = k.pred_id AND md.rank = k.rank)"""
 
 
 @query("grf_4_connected_models", _REACH + " SELECT pred_id, rank, connected FROM con")
@@ -489,7 +489,7 @@ def grf_7(spark, d):
 def grf_8(spark, d):
     own = F.array_sort(F.array_distinct("combo")) == F.array_sort(F.array_distinct(F.array("p1", "p2")))
     x = v.pairwise_n(spark, d).where(F.col("combo").isNotNull() & own)
-    return x.groupBy(A, B, "combo").agg((F.count_distinct(F.when(F.col("min_pae") <= 7.5, F.col("rank"))) >= 4).alias("is_stable")).withColumn("combo", _combo())
+    return x.groupBy(*ab(), "combo").agg((F.count_distinct(F.when(F.col("min_pae") <= 7.5, F.col("rank"))) >= 4).alias("is_stable")).withColumn("combo", _combo())
 
 
 @query("grf_9_layout_weights", _FREQ + " SELECT a, b, round(sum((CASE WHEN n2 > 0 THEN k2 / n2 ELSE 0 END) / 50 + (CASE WHEN nn > 0 THEN kn / nn ELSE 0 END) * 49 / 50), 6) AS weight FROM k JOIN n USING (a, b) GROUP BY 1, 2")
@@ -514,9 +514,9 @@ WHEN NOT i_n THEN 'Indirect' WHEN k <= 5 THEN 'Indirect' WHEN v = 1 THEN 'Strong
 
 def _edge_features(spark, d):
     hits = F.col("min_pae") <= 7.5
-    e2 = v.pairwise2(spark, d).groupBy(A, B).agg((F.count_if(hits) >= 4).alias("h2"))
+    e2 = v.pairwise2(spark, d).groupBy(*ab()).agg((F.count_if(hits) >= 4).alias("h2"))
     ok = F.coalesce(F.contains("cluster", F.lit("✔")), F.lit(False)).cast("double")
-    en = v.pairwise_n(spark, d).groupBy(A, B).agg((F.count_distinct(F.when(hits, F.col("rank"))) >= 4).alias("hn"), F.avg(ok).alias("variation"), F.count_if(hits).alias("n_contacts"))
+    en = v.pairwise_n(spark, d).groupBy(*ab()).agg((F.count_distinct(F.when(hits, F.col("rank"))) >= 4).alias("hn"), F.avg(ok).alias("variation"), F.count_if(hits).alias("n_contacts"))
     x = e2.join(en, ["a", "b"], "full_outer")
     no = F.lit(False)
     return x.select("a", "b", F.col("h2").isNotNull().alias("tested2"), F.col("hn").isNotNull().alias("tested_n"), F.coalesce("h2", no).alias("in2"), F.coalesce("hn", no).alias("in_n"), F.coalesce("variation", F.lit(0.0)).alias("variation"), F.coalesce("n_contacts", F.lit(0)).alias("n_contacts"))
@@ -637,7 +637,7 @@ def lat_7(spark, d):
 
 @query("rep_2_stability_profiles", f"WITH {v.PWN} SELECT least(p1, p2) AS a, greatest(p1, p2) AS b, rank, round(avg(min_pae), 8) AS mean, round(stddev_samp(min_pae), 8) AS sd, count(*) AS n FROM pwn GROUP BY 1, 2, 3")
 def rep_2(spark, d):
-    return v.pairwise_n(spark, d).groupBy(A, B, "rank").agg(F.round(F.avg("min_pae"), 8).alias("mean"), F.round(F.stddev_samp("min_pae"), 8).alias("sd"), F.count("*").alias("n"))
+    return v.pairwise_n(spark, d).groupBy(*ab(), "rank").agg(F.round(F.avg("min_pae"), 8).alias("mean"), F.round(F.stddev_samp("min_pae"), 8).alias("sd"), F.count("*").alias("n"))
 
 
 @query("rep_3_bars", "WITH " + _SIZES + " SELECT protein, n, repeat('#', least(k, 40)::INT) || ' ' || k AS bar FROM r")
@@ -647,6 +647,6 @@ def rep_3(spark, d):
 
 @query("rep_5_edge_summary", _FREQ + " SELECT a, b, count(*) AS n_cells, round(avg(k / n), 8) AS mean_freq, any_value(n) AS n_models FROM k JOIN n USING (a, b) GROUP BY 1, 2")
 def rep_5(spark, d):
-    n = v.cells(spark, d).where("p1 IS NOT NULL AND p2 IS NOT NULL").groupBy(A, B).agg(F.count_distinct("matrix_id").alias("n_models"))
+    n = v.cells(spark, d).where("p1 IS NOT NULL AND p2 IS NOT NULL").groupBy(*ab()).agg(F.count_distinct("matrix_id").alias("n_models"))
     f = _frequency(spark, d).groupBy("a", "b").agg(F.count("*").alias("n_cells"), F.round(F.avg("freq"), 8).alias("mean_freq"))
     return f.join(n, ["a", "b"])
