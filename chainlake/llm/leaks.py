@@ -97,7 +97,7 @@ def document_passages(documents: DataFrame, items: Items, key: str = "doc_id", t
                     if known[e] - known[s] >= need:
                         out_key.append(k)
                         out_terms.append(terms[s:e])
-            yield pd.DataFrame({"key": pd.Series(out_key, dtype="int64"), "terms": out_terms})
+            yield pd.DataFrame({"key": pd.Series(out_key, dtype="int64"), "terms": pd.Series(out_terms, dtype=object)})
 
     rows = documents.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).where("key IS NOT NULL AND text IS NOT NULL AND text <> ''")
     return rows.mapInPandas(cut, "key bigint, terms array<int>")
@@ -282,7 +282,7 @@ def leaking_documents(
         for p in block.passages:
             frequency[np.unique(p)] += 1
         total = passages.count() + len(block.passages)
-        idf = np.log((1 + total) / (1 + frequency)) + 0.1
+        idf = np.log1p(total / (1 + frequency))
         basis = latent_space(passages, block, idf, rank)
         part = passages.mapInArrow(_search(block, idf, basis, near, paraphrase), "key bigint, item_id bigint, cosine double, verbatim boolean, share double, answer boolean")
         found = part if found is None else found.unionByName(part)

@@ -26,7 +26,7 @@ _FIELDS = "|".join(
         rf"\[\[\s*{_NAME}\s*\]\](?!\()",
         rf"<<\s*{_NAME}\s*>>",
         rf"@@\s*{_NAME}\s*@@",
-        r"(?<!\w)__[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)*__(?!\w)",
+        r"(?<!\w)__[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*__(?!\w)",
         r"(?<![\w$])\$[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*\$(?!\w)",
         r"(?<![\w%])%[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*%(?!\w)",
         r"«\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+){0,3}»(?!\s*\()",
@@ -58,7 +58,7 @@ _SCRIPT = r"""
 |\bjavascript\b.{0,60}\b(?:reload|refresh)|browser\ (?:has\ it|does\ not\ run)|switched\ off|enable\ it\ and\ reload
 """
 _FILLER = r"""
-\blorem\b|\bipsum\b|\bblindtext\b|\btexte\ factice\b|\btexto\ de\ relleno\b|\b(?:dummy|sample|placeholder|filler|example)\ (?:text|copy|paragraph|content)\b|\bblah\ blah\b|\basdf\b|\bqwer|\bx{3,}\b.*\bx{2,}\b|\bto\ be\ supplied\b|\b(?:type|write|enter)\ your\ \w+\ (?:in\ this|here)|\bclick\ to\ (?:add|edit)\b|\btext\ goes\ (?:in|here)|only\ to\ show\ where|\breplace\ this\b.{0,30}\btext\b|en\ attendant\ la\ version|hasta\ que\ llegue|\bthe\ quick\ brown\ fox\b
+\blorem\b|\bipsum\b|\bblindtext\b|\btexte\ factice\b|\btexto\ de\ relleno\b|\b(?:dummy|sample|placeholder|filler|example)\ (?:text|copy|paragraph|content)\b|\bblah\ blah\b|\basdf\b|\bqwer|\bx{3,}\b.*\bx{2,}\b|\bto\ be\ supplied\b|\b(?:type|write|enter)\ your\ \w+\ (?:in\ this|here)|\bclick\ to\ (?:add|edit)\b|\btext\ goes\ (?:in|here)|only\ to\ show\ where|\breplace\ this\b.{0,30}\btext\b|en\ attendant\ la\ version|hasta\ que\ llegue|\bfoo\ bar\b|\bhello\ world\b|\bthe\ quick\ brown\ fox\b
 """
 SIGNALS = {k: regex.compile(p, regex.I | regex.X) for k, p in (("error", _ERROR), ("script", _SCRIPT), ("filler", _FILLER))}
 
@@ -82,12 +82,12 @@ def _names(sentence: str) -> bool:
     return any(not _HEX.fullmatch(m) for m in _CODE_NAME.findall(sentence) if len(m) >= 5)
 
 
-def page_profile(text: str, slug: str | None = None) -> dict:
+def page_profile(text: str, slug: str | None = None, longest: int = 20) -> dict:
     """Title, body and signal words of one text.
 
     Lines of furniture are dropped; a first line that ends without a stop is the title. The remaining
     sentences are signals when they fit an error, script or filler pattern and name nothing that title or
-    address name, nor any coded name; the rest is content.
+    address name, nor any coded name, and (errors and scripts) have at most `longest` words; the rest is content.
     """
     lines = [x.strip() for x in text.splitlines() if x.strip()]
     lines = [x for x in lines if not FURNITURE.fullmatch(x)]
@@ -96,7 +96,7 @@ def page_profile(text: str, slug: str | None = None) -> dict:
         head = lines.pop(0)
         title = {w.lower() for w in _TOKEN.findall(head) if any(c.isdigit() for c in w)}
     address = {w.lower() for w in _TOKEN.findall(slug or "") if len(w) > 3 and any(c.isdigit() for c in w)}
-    counts = {"error": 0, "script": 0, "filler": 0, "content": 0}
+    counts = {"error": 0, "script": 0, "filler": 0, "content": 0, "mentions": 0}
     body: list[str] = []
     met = False
     for line in lines:
@@ -111,10 +111,13 @@ def page_profile(text: str, slug: str | None = None) -> dict:
             met |= named
             kind = "content"
             if not named:
-                if sum(t in LATIN for t in low) > 0.6 * len(low):
-                    kind = "filler"
+                if sum(t in LATIN for t in low) > 0.6 * len(low) or (len(low) >= 4 and len(set(low)) <= len(low) // 3):
+                    kind = "filler"  # dummy Latin, or a word or two again and again
                 else:
                     kind = next((k for k, p in SIGNALS.items() if p.search(plain) or p.search(sentence)), "content")
+                    if kind in ("error", "script") and len(low) > longest:  # notices are short; a long sentence says more
+                        kind = "content"
+                        counts["mentions"] += 1
             counts[kind] += len(tokens)
     return counts | {"names_met": met, "skeleton": " / ".join(body)}
 
@@ -145,7 +148,7 @@ def page_evidence(documents: DataFrame) -> DataFrame:
                 n = signal + profile["content"]
                 weak = bool(n and not profile["names_met"])
                 digest = xxhash.xxh3_64_intdigest(profile["skeleton"]) - (1 << 63)
-                rows.append((doc, host, has_open_field(text), low_information(profile), weak and signal > 0, digest, n))
+                rows.append((doc, host, has_open_field(text), low_information(profile), weak and signal + profile["mentions"] > 0, digest, n))
             yield pd.DataFrame(rows, columns=["doc_id", "host", "placeholder", "kind", "weak", "skeleton", "n_words"])
 
     rows = documents.select("doc_id", "text", F.concat_ws(" ", F.lower("source"), "system_id").alias("host")).where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
