@@ -24,8 +24,8 @@ def detect_nmers(rows: DataFrame, cut: Cutoffs = DEFAULT) -> DataFrame:
     """AGG-2: ordered pairs and combinations with enough passing ranks.
 
     rows: (p1, p2, combo, rank, min_pae, pdockq). Chain pairs of a rank collapse to the lowest min_pae and the
-    highest pdockq, which may come from different ones. Both levels group by a subset of
-    the same keys after one shuffle.
+    highest pdockq, which may come from different ones. The first level combines on the map side, so
+    the second shuffles one row per rank.
     """
     ranks = rows.groupBy("p1", "p2", "combo", "rank").agg(F.min("min_pae").alias("min_pae"), F.max("pdockq").alias("pdockq"))
     ok = (F.col("min_pae") <= cut.min_pae) & (F.col("pdockq") >= cut.pdockq)

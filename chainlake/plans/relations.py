@@ -402,19 +402,19 @@ def jn_11(spark, d):
     return v.pairwise2(spark, d).select(*ab(), "ptm").join(e, ["a", "b"]).groupBy("a", "b").agg(F.count("*").alias("n_rows"), F.max("ptm").alias("best_ptm"))
 
 
-_REGIONS = f"""{v.PW2}, known AS (SELECT DISTINCT unnest([p1, p2]) AS p FROM pw2 WHERE length1 < 60 AND length2 < 60)"""
+_KNOWN = f"""{v.PW2}, known AS (SELECT DISTINCT unnest([p1, p2]) AS p FROM pw2)"""
 
 
-def _small(spark, d):
-    return v.pairwise2(spark, d).where("length1 < 60 AND length2 < 60").select(F.explode(F.array("p1", "p2")).alias("p")).distinct()
+def _known(spark, d):
+    return v.pairwise2(spark, d).select(F.explode(F.array("p1", "p2")).alias("p")).distinct()
 
 
-@query("jn_12_untested_pairs", f"WITH {_REGIONS} SELECT x.p AS a, y.p AS b FROM known x JOIN known y ON x.p <= y.p EXCEPT SELECT least(p1, p2), greatest(p1, p2) FROM pw2")
+@query("jn_12_untested_pairs", f"WITH {_KNOWN} SELECT x.p AS a, y.p AS b FROM known x JOIN known y ON x.p <= y.p EXCEPT SELECT least(p1, p2), greatest(p1, p2) FROM pw2")
 def jn_12(spark, d):
-    return la.combinations(_small(spark, d), 2).select(F.col("members")[0].alias("a"), F.col("members")[1].alias("b")).join(v.pairwise2(spark, d).select(*ab()).distinct(), ["a", "b"], "left_anti")
+    return la.combinations(_known(spark, d), 2).select(F.col("members")[0].alias("a"), F.col("members")[1].alias("b")).join(v.pairwise2(spark, d).select(*ab()).distinct(), ["a", "b"], "left_anti")
 
 
-@query("jn_13_suggestions_left", f"WITH {_REGIONS} SELECT x.p AS a, y.p AS b FROM known x JOIN known y ON x.p <= y.p EXCEPT SELECT least(p1, p2), greatest(p1, p2) FROM pw2 EXCEPT SELECT {v.sql_id('protein1')}, {v.sql_id('protein2')} FROM pairwise_2mers_df_f3 EXCEPT SELECT {v.sql_id('protein2')}, {v.sql_id('protein1')} FROM pairwise_2mers_df_f3")
+@query("jn_13_suggestions_left", f"WITH {_KNOWN} SELECT x.p AS a, y.p AS b FROM known x JOIN known y ON x.p <= y.p EXCEPT SELECT least(p1, p2), greatest(p1, p2) FROM pw2 EXCEPT SELECT {v.sql_id('protein1')}, {v.sql_id('protein2')} FROM pairwise_2mers_df_f3 EXCEPT SELECT {v.sql_id('protein2')}, {v.sql_id('protein1')} FROM pairwise_2mers_df_f3")
 def jn_13(spark, d):
     from chainlake.functions.ids import protein_id
 

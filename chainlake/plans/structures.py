@@ -587,49 +587,57 @@ def lat_4(spark, d):
     return la.transitions(la.containment_edges(s), s).groupBy("category").agg(F.count("*").alias("n_edges"))
 
 
-_FEW = "few AS (SELECT prot_id AS x FROM proteins WHERE ord < 20)"
-_LAT1 = "WITH " + _STATES + f""", {_FEW}, grown AS (SELECT list_sort(list_append(combo, x)) AS combo, combo AS origin FROM states CROSS JOIN few WHERE is_stable AND (NOT list_contains(combo, x) OR len(combo) + 1 < 5)),
+_ALL = "every_one AS (SELECT prot_id AS x FROM proteins)"
+_LAT1 = "WITH " + _STATES + f""", {_ALL}, grown AS (SELECT list_sort(list_append(combo, x)) AS combo, combo AS origin FROM states CROSS JOIN every_one WHERE is_stable AND (NOT list_contains(combo, x) OR len(combo) + 1 < 5)),
 cand AS (SELECT combo, count(DISTINCT origin) AS n_stable_parents FROM grown WHERE combo NOT IN (SELECT combo FROM states) GROUP BY 1)"""
 
 
-def _few(spark, d):
-    """The proteins under study: a parameter of the exploration."""
-    return table(spark, d, "proteins").where("ord < 20").select("prot_id")
+def _proteins(spark, d):
+    return table(spark, d, "proteins").select("prot_id")
 
 
 @query("lat_1_candidates", _LAT1 + " SELECT array_to_string(combo, '|') AS combo, n_stable_parents FROM cand")
 def lat_1(spark, d):
-    return la.candidates(_states(spark, d), _few(spark, d)).select(*_text("combo"), "n_stable_parents")
+    return la.candidates(_states(spark, d), _proteins(spark, d)).select(*_text("combo"), "n_stable_parents")
 
 
 @query("lat_2_decomposable")
 def lat_2(spark, d):
-    """Whether each stable combination of more than three is a sum of stable 3-mers (the ten first in order)."""
+    """Whether each stable combination of more than three is a sum of stable 3-mers, taken in order.
+
+    Only the 3-mers within a combination can be parts of it: they come from its own members by an equi join.
+    """
     s = _states(spark, d).where("is_stable")
-    kmers = [tuple(r[0]) for r in s.where(F.size("combo") == 3).select("combo").orderBy("combo").limit(10).collect()]
+    big = s.where(F.size("combo") > 3).select("combo")
+    i = big.select("combo", F.posexplode("combo").alias("i", "x"))
+    j = i.select("combo", "i", "x", F.posexplode("combo").alias("j", "y")).where("i < j")
+    three = j.select("combo", "x", "y", "j", F.posexplode("combo").alias("k", "z")).where("j < k").select("combo", F.array("x", "y", "z").alias("kmer")).distinct()
+    stable = s.where(F.size("combo") == 3).select(F.col("combo").alias("kmer"))
+    known = three.join(stable, "kmer", "left_semi").groupBy("combo").agg(F.array_sort(F.collect_list("kmer")).alias("kmers"))
 
     @F.pandas_udf("boolean")
-    def fits(combos: pd.Series) -> pd.Series:
-        return combos.map(lambda x: la.decomposable({p: list(x).count(p) for p in x}, kmers)).astype(bool)
+    def fits(combos: pd.Series, kmers: pd.Series) -> pd.Series:
+        parts = [[tuple(k) for k in ks] if ks is not None else [] for ks in kmers]
+        return pd.Series([la.decomposable({p: list(x).count(p) for p in x}, k) for x, k in zip(combos, parts, strict=True)], dtype=bool)
 
-    return s.where(F.size("combo") > 3).select(*_text("combo"), fits("combo").alias("decomposable"))
+    return big.join(known, "combo", "left").select(*_text("combo"), fits("combo", "kmers").alias("decomposable"))
 
 
 @query(
     "lat_6_suggestions",
-    _LAT1 + """, two AS (SELECT [a.x, b.x] AS combo FROM few a JOIN few b ON a.x <= b.x), homo AS (SELECT list_append(combo, combo[1]) AS combo FROM states WHERE is_stable AND len(list_distinct(combo)) = 1),
+    _LAT1 + """, two AS (SELECT [a.x, b.x] AS combo FROM every_one a JOIN every_one b ON a.x <= b.x), homo AS (SELECT list_append(combo, combo[1]) AS combo FROM states WHERE is_stable AND len(list_distinct(combo)) = 1),
     near AS (SELECT combo FROM cand WHERE len(combo) <= 3 OR list_max(list_transform(list_distinct(combo), lambda p: len(list_filter(combo, lambda q: q = p)))) <= 2),
     a AS (SELECT combo, 'untested 2-mer' AS reason FROM two UNION ALL SELECT combo, 'homo N+1' FROM homo UNION ALL SELECT combo, 'neighbour' FROM near)
     SELECT array_to_string(combo, '|') AS combo, min(reason) AS reason FROM a WHERE combo NOT IN (SELECT combo FROM states) GROUP BY combo""",
 )
 def lat_6(spark, d):
     s = _states(spark, d)
-    return la.suggestions(_few(spark, d), s, s).select(*_text("combo"), "reason")
+    return la.suggestions(_proteins(spark, d), s, s).select(*_text("combo"), "reason")
 
 
-@query("lat_7_bootstrap", f"WITH {_FEW} SELECT a.x AS p1, b.x AS p2 FROM few a JOIN few b ON a.x <= b.x")
+@query("lat_7_bootstrap", f"WITH {_ALL} SELECT a.x AS p1, b.x AS p2 FROM every_one a JOIN every_one b ON a.x <= b.x")
 def lat_7(spark, d):
-    return la.combinations(_few(spark, d), 2).select(F.col("members")[0].alias("p1"), F.col("members")[1].alias("p2"))
+    return la.combinations(_proteins(spark, d), 2).select(F.col("members")[0].alias("p1"), F.col("members")[1].alias("p2"))
 
 
 # --- reports ---

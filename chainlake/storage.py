@@ -48,11 +48,8 @@ class Scratch:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
-    def save(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-        writer = df.write.mode("overwrite").option("compression", "zstd")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(self.path(name))
+    def save(self, df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
+        df.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
