@@ -73,9 +73,33 @@ class Items:
             backwards[k] = x
         self.answer = np.array([any(c.isdigit() for c in x) for x in backwards], dtype=bool)  # figures and names of subunits
 
+        # runs as sums of their words times fixed odd numbers: a quick test of many stretches at once
+        self.factors = np.random.default_rng(7).integers(1, 1 << 63, run, dtype=np.uint64) | np.uint64(1)
+        self.sums = {n: np.unique((np.stack([np.frombuffer(r, dtype=np.int64) for r in t]).astype(np.uint64) + np.uint64(1)) @ self.factors[:n]) for n, t in self.runs.items() if t}
+
     def __len__(self) -> int:
         return len(self.ids)
 
+    def shared_runs(self, passages: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
+        """Passage, place and length of stretches that may be a run of an item: none is missed, equal sums are to be looked up."""
+        if not passages:
+            return
+        wide = np.full((len(passages), max(map(len, passages))), -1, dtype=np.int64)
+        for r, t in enumerate(passages):
+            wide[r, : len(t)] = t
+        known = np.concatenate([np.zeros((len(wide), 1), dtype=np.int64), np.cumsum(wide >= 0, axis=1)], axis=1)
+        plus = (wide + 1).astype(np.uint64)
+        for size, sums in sorted(self.sums.items()):
+            n = wide.shape[1] - size + 1
+            if n < 1:
+                continue
+            total = np.zeros((len(wide), n), dtype=np.uint64)
+            for j in range(size):
+                total += plus[:, j : j + n] * self.factors[j]
+            whole = known[:, size:] - known[:, :-size] == size
+            for r, k in zip(*(x.tolist() for x in np.nonzero(whole & np.isin(total, sums))), strict=True):
+                yield r, k, size
+
 
 def document_passages(documents: DataFrame, items: Items, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, terms): passages of the documents' whole texts as numbers of item words (-1: no word of any item).
@@ -103,28 +127,29 @@ def document_passages(documents: DataFrame, items: Items, key: str = "doc_id", t
     return rows.mapInPandas(cut, "key bigint, terms array<int>")
 
 
-def _dense(terms: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
-    """TF-IDF rows of passages, each of length 1, over the items' words."""
+def _dense(terms: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of passages over the items' words, and one over each row's length (0 for rows without a word)."""
     out = np.zeros((len(terms), len(idf)), dtype=np.float32)
     row = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
     column = np.concatenate(terms) if len(terms) else np.empty(0, dtype=np.int64)
     known = column >= 0
     np.add.at(out, (row[known], column[known]), idf[column[known]].astype(np.float32))
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+    length = np.sqrt(np.einsum("ij,ij->i", out, out))
+    return out, np.where(length > 0, 1 / np.maximum(length, 1e-12), 0).astype(np.float32)[:, None]
 
 
-def _blocks(terms: list[np.ndarray], idf: np.ndarray, cells: int = 1 << 22) -> Iterator[tuple[int, np.ndarray]]:
-    """Start and TF-IDF rows of stretches of passages, of at most so many cells."""
+def _blocks(terms: list[np.ndarray], idf: np.ndarray, cells: int = 1 << 22) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Start, weights and scales of stretches of passages, of at most so many cells; weights times scale are the TF-IDF rows."""
     step = max(1, cells // len(idf))
     for s in range(0, len(terms), step):
-        yield s, _dense(terms[s : s + step], idf)
+        yield s, *_dense(terms[s : s + step], idf)
 
 
 def _gram_part(terms: list[np.ndarray], idf: np.ndarray, right: np.ndarray, onto: np.ndarray) -> None:
     """Adds Aᵀ(A right) of the rows A of these passages to onto."""
     right = right.astype(np.float32)
-    for _, rows in _blocks(terms, idf):
-        onto += rows.T @ (rows @ right)
+    for _, rows, scale in _blocks(terms, idf):
+        onto += rows.T @ ((rows @ right) * scale**2)
 
 
 def _lists(col: pa.Array) -> list[np.ndarray]:
@@ -176,8 +201,8 @@ def latent_space(passages: DataFrame, items: Items, idf: np.ndarray, rank: int =
     q = np.linalg.qr(block)[0]
 
     def small(terms: list[np.ndarray], onto: np.ndarray) -> None:
-        for _, rows in _blocks(terms, idf):
-            y = rows @ q.astype(np.float32)
+        for _, rows, scale in _blocks(terms, idf):
+            y = (rows @ q.astype(np.float32)) * scale
             onto += y.T @ y
 
     gram = _summed(passages, (width, width), small)
@@ -205,9 +230,8 @@ def _search(items: Items, idf: np.ndarray, basis: np.ndarray, near: float, parap
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         onto = basis.astype(np.float32)
-        targets = unit(np.concatenate([rows @ onto for _, rows in _blocks(items.passages, idf)])).T.copy()
+        targets = unit(np.concatenate([rows @ onto for _, rows, _ in _blocks(items.passages, idf)])).T.copy()
         firsts = np.flatnonzero(np.concatenate([[True], items.owner[1:] != items.owner[:-1]]))  # an item's passages are neighbours
-        sizes = sorted(items.runs)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -218,17 +242,15 @@ def _search(items: Items, idf: np.ndarray, basis: np.ndarray, near: float, parap
                 old = found.setdefault((key, item), [cosine, verbatim, share, answer])  # noqa: B023
                 old[:] = max(old[0], cosine), old[1] or verbatim, *max((old[2] * old[3], old[2], old[3]), (share * answer, share, answer))[1:]
 
-            for s, rows in _blocks(terms, idf):
+            for s, rows, _ in _blocks(terms, idf):
                 cosine = unit(rows @ onto) @ targets
                 best = np.maximum.reduceat(cosine, firsts, axis=1)  # of each item's passages
-                for r in np.flatnonzero((best >= near).any(axis=1)).tolist():
-                    t = terms[s + r].astype(np.int64)
-                    known = np.concatenate([[0], np.cumsum(t >= 0)])
-                    for size in sizes:
-                        for k in np.flatnonzero(known[size:] - known[:-size] == size).tolist():
-                            for o in items.runs[size].get(t[k : k + size].tobytes(), ()):
-                                if best[r, o] >= near:
-                                    note(int(keys[s + r]), o, float(best[r, o]), True, 1.0, True)
+                candidates = np.flatnonzero((best >= near).any(axis=1))
+                for r, k, size in items.shared_runs([terms[s + r] for r in candidates]):
+                    t, r = terms[s + candidates[r]].astype(np.int64), int(candidates[r])
+                    for o in items.runs[size].get(t[k : k + size].tobytes(), ()):
+                        if best[r, o] >= near:
+                            note(int(keys[s + r]), o, float(best[r, o]), True, 1.0, True)
                 for r, c in zip(*(x.tolist() for x in np.nonzero(cosine >= paraphrase)), strict=True):
                     p, o = items.passages[c], int(items.owner[c])
                     wanted = np.unique(p[items.answer[p]])
@@ -274,7 +296,7 @@ def leaking_documents(
         block = Items([(r[0], r[1]) for r in rows], run)
         if not len(block):
             continue
-        passages = scratch.save(document_passages(documents, block), f"passages{start}")
+        passages = scratch.save(document_passages(documents, block), f"passages{start}", rows_per_file=50_000)  # much work a row: small files spread it
         counts = passages.select(F.explode(F.array_distinct("terms")).alias("t")).where("t >= 0").groupBy("t").agg(F.count("*").alias("n")).collect()  # at most one row a word of the items
         frequency = np.zeros(len(block.vocabulary))
         for t, n in counts:
