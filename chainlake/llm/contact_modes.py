@@ -113,8 +113,8 @@ def bisect(sizes: np.ndarray, common: np.ndarray, weights: np.ndarray, alike: fl
     limit are joined again, for a split may part what belongs together.
     """
     n = len(sizes)
-    union = sizes[:, None] + sizes[None, :] - common
-    share = common / np.maximum(union, 1)
+    small = sizes.astype(np.float32)
+    share = common / np.maximum(small[:, None] + small[None, :] - common, 1)  # single precision: half the memory, exact enough for shares of whole numbers
 
     def to_centre(members: np.ndarray, points: np.ndarray) -> np.ndarray:
         w = weights[members] / weights[members].sum()
