@@ -179,7 +179,7 @@ def _summed(passages: DataFrame, shape: tuple[int, int], add) -> np.ndarray:
     if n > 16:
         parts = parts.repartition(max(1, math.isqrt(n))).mapInArrow(merge, "m binary")
     total = np.zeros(shape)
-    for m in parts.coalesce(1).mapInArrow(merge, "m binary").collect():
+    for m in parts.repartition(1).mapInArrow(merge, "m binary").collect():  # coalesce(1) would pull the sums themselves into one task
         total += np.frombuffer(m["m"]).reshape(shape)
     return total
 
