@@ -19,6 +19,7 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chainlake.llm.spread import spread
 from chainlake.storage import Scratch
 
 _INVISIBLE = r"[\p{Cf}\p{Default_Ignorable_Code_Point}]"
@@ -124,7 +125,7 @@ def document_passages(documents: DataFrame, items: Items, key: str = "doc_id", t
             yield pd.DataFrame({"key": pd.Series(out_key, dtype="int64"), "terms": pd.Series(out_terms, dtype=object)})
 
     rows = documents.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).where("key IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    return rows.mapInPandas(cut, "key bigint, terms array<int>")
+    return spread(rows).mapInPandas(cut, "key bigint, terms array<int>")
 
 
 def _dense(terms: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

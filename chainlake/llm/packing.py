@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chainlake.llm.spread import spread
 from chainlake.storage import Scratch
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -32,7 +33,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER, key: str = "d
             yield pd.Series(sizes, dtype="int64")
 
     udf = F.pandas_udf(count, "bigint")
-    return documents.select(F.col(key), udf(F.col(text)).alias("n_tokens"))
+    return spread(documents.select(F.col(key), F.col(text))).select(F.col(key), udf(F.col(text)).alias("n_tokens"))
 
 
 def vector_best_fit(sizes: np.ndarray, capacity: int, max_documents: int, max_attention: float, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.1, 0.1)) -> np.ndarray:

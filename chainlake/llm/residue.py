@@ -9,6 +9,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chainlake.llm.spread import spread
 from chainlake.storage import Scratch
 
 _NAME = r"[A-Za-z](?:[\w.]|[ -](?=\w)){0,40}"
@@ -152,7 +153,7 @@ def page_evidence(documents: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "host", "placeholder", "kind", "weak", "skeleton", "n_words"])
 
     rows = documents.select("doc_id", "text", F.concat_ws(" ", F.lower("source"), "system_id").alias("host")).where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    return rows.mapInPandas(inspect, _EVIDENCE)
+    return spread(rows).mapInPandas(inspect, _EVIDENCE)
 
 
 def residue(documents: DataFrame, repeats: int = 4, hosts: int = 3, short: int = 40, scratch: Scratch | None = None) -> DataFrame:
