@@ -14,10 +14,16 @@ def is_contact(pae: Column, plddt: Column, dist: Column, cut: Cutoffs = DEFAULT)
     return (pae < cut.min_pae) & (plddt > cut.plddt) & (dist < cut.distance)
 
 
+def told_contact(cells: DataFrame, cut: Cutoffs = DEFAULT) -> Column:
+    """FLT-3 where matrices may be missing: by pae and distance where they tell, else by the column given, if there is one; an unknown pLDDT is no objection."""
+    given = [F.col("given")] if "given" in cells.columns else []
+    return F.coalesce((F.col("pae") < cut.min_pae) & (F.col("dist") < cut.distance), *given, F.lit(False)) & F.coalesce(F.col("plddt") > cut.plddt, F.lit(True))
+
+
 def contact_cells(cells: DataFrame, cut: Cutoffs = DEFAULT) -> DataFrame:
-    """MAT-1/MAT-2: contact cells under the sorted pair, turned by ID (never by shape)."""
+    """MAT-1/MAT-2: contact cells under the sorted pair, turned by ID (never by shape); scores are null where unknown."""
     turn = F.col("p1") > F.col("p2")
-    kept = cells.where("p1 IS NOT NULL AND p2 IS NOT NULL").where(is_contact(F.col("pae"), F.col("plddt"), F.col("dist"), cut))
+    kept = cells.where("p1 IS NOT NULL AND p2 IS NOT NULL").where(told_contact(cells, cut))
     return kept.select(
         "matrix_id", F.least("p1", "p2").alias("a"), F.greatest("p1", "p2").alias("b"), "rank", "n_chains", F.when(turn, F.col("j")).otherwise(F.col("i")).alias("i"), F.when(turn, F.col("i")).otherwise(F.col("j")).alias("j"), "pae", "plddt", "dist"
     )
@@ -102,8 +108,9 @@ def residue_groups(contacts: DataFrame, modes: DataFrame | None = None) -> DataF
 
 
 def matrix_quality(cells: DataFrame, cut: Cutoffs = DEFAULT) -> DataFrame:
-    """MAT-4: density · max(0, 1 - mean PAE / 30) · mean pLDDT / 100 over the contact cells; 0 without contacts."""
-    on = is_contact(F.col("pae"), F.col("plddt"), F.col("dist"), cut)
+    """MAT-4: density · max(0, 1 - mean PAE / 30) · mean pLDDT / 100 over the contact cells; 0 without contacts. Only of records with pae and pLDDT."""
+    cells = cells.where("pae IS NOT NULL AND plddt IS NOT NULL")
+    on = told_contact(cells, cut)
     agg = cells.groupBy("matrix_id").agg(F.count("*").alias("n"), F.count_if(on).alias("k"), F.avg(F.when(on, F.col("pae"))).alias("pae"), F.avg(F.when(on, F.col("plddt"))).alias("plddt"))
     quality = F.col("k") / F.col("n") * F.greatest(F.lit(0.0), 1 - F.col("pae") / 30) * F.col("plddt") / 100
     return agg.select("matrix_id", F.col("k").alias("n_contacts"), F.coalesce(quality, F.lit(0.0)).alias("quality"))

@@ -186,7 +186,7 @@ def agg_13(spark, d):
     SELECT a, b, rank, {_FIVE.format('mipae', 'mipae_')}, {_FIVE.format('aipae', 'aipae_')} FROM p GROUP BY 1, 2, 3""",
 )
 def agg_14(spark, d):
-    p = v.cells(spark, d).where("p1 IS NOT NULL AND p2 IS NOT NULL").groupBy("matrix_id", *ab(), "rank").agg(F.round(F.min("pae"), 8).alias("mipae"), F.round(F.avg("pae"), 8).alias("aipae"))
+    p = v.cells(spark, d).where("p1 IS NOT NULL AND p2 IS NOT NULL AND pae IS NOT NULL").groupBy("matrix_id", *ab(), "rank").agg(F.round(F.min("pae"), 8).alias("mipae"), F.round(F.avg("pae"), 8).alias("aipae"))
     out = st.pae_stability(p, ["a", "b", "rank"])
     return out.select("a", "b", "rank", *(F.round(x, 8).alias(x) for x in out.columns[3:]))
 

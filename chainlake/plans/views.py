@@ -72,15 +72,20 @@ FROM (SELECT file_id, unnest(string_split_regex(content, '\r?\n|\r')) AS r, gene
 
 
 def cells(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per cell of every contact record that has all its matrices, rows belonging to protein1."""
+    """One row per cell of every contact record whose matrices tell its contacts, rows belonging to protein1.
+
+    That is is_contact, or pae and distance; pae, plddt, dist and given (is_contact) are null where their matrix is.
+    """
     m = table(spark, folder, "pairwise_contact_matrices")
-    whole = m.where("pae IS NOT NULL AND distance IS NOT NULL AND min_plddt IS NOT NULL")
-    rows = whole.select(
-        "matrix_id", protein_id("protein1").alias("p1"), protein_id("protein2").alias("p2"), "rank", F.size("proteins_in_model").alias("n_chains"), "is_contact",
-        F.posexplode(F.arrays_zip("pae", "min_plddt", "distance")).alias("i", "r"),
+    told = m.where("is_contact IS NOT NULL OR (pae IS NOT NULL AND distance IS NOT NULL)")
+    zipped = F.arrays_zip(*(F.coalesce(x, F.array()).alias(x) for x in ("is_contact", "pae", "min_plddt", "distance")))
+    rows = told.select(
+        "matrix_id", protein_id("protein1").alias("p1"), protein_id("protein2").alias("p2"), "rank", F.size("proteins_in_model").alias("n_chains"), F.posexplode(zipped).alias("i", "r"),
     )
-    each = rows.select("matrix_id", "p1", "p2", "rank", "n_chains", "i", F.posexplode(F.arrays_zip(F.col("r.pae").alias("pae"), F.col("r.min_plddt").alias("plddt"), F.col("r.distance").alias("dist"))).alias("j", "c"))
-    return each.select("matrix_id", "p1", "p2", "rank", "n_chains", "i", "j", F.col("c.pae").cast("double").alias("pae"), F.col("c.plddt").cast("double").alias("plddt"), F.col("c.dist").cast("double").alias("dist"))
+    cols = {"given": "is_contact", "pae": "pae", "plddt": "min_plddt", "dist": "distance"}
+    row = F.arrays_zip(*(F.coalesce(F.col(f"r.{x}"), F.array()).alias(n) for n, x in cols.items()))
+    each = rows.select("matrix_id", "p1", "p2", "rank", "n_chains", "i", F.posexplode(row).alias("j", "c"))
+    return each.select("matrix_id", "p1", "p2", "rank", "n_chains", "i", "j", *(F.col(f"c.{n}").cast("double").alias(n) for n in ("pae", "plddt", "dist")), "c.given")
 
 
 CELLS = f"""crow AS (SELECT matrix_id, {sql_id('protein1')} AS p1, {sql_id('protein2')} AS p2, rank, len(proteins_in_model) AS n_chains,
