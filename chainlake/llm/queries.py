@@ -24,17 +24,17 @@ def p1_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return contact_modes.describe_clusters(contact_modes.contact_modes(_table(spark, folder, "pairwise_contact_matrices")))
 
 
-def _pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return cooccurrence.supported_pairs(_table(spark, folder, "pairwise_nmers_df"), min_count=8)
+def _pairs(spark: SparkSession, folder: str, min_count: int) -> DataFrame:
+    return cooccurrence.supported_pairs(_table(spark, folder, "pairwise_nmers_df"), min_count=min_count)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return cooccurrence.above_chance(_pairs(spark, folder)).select(F.col("item_a").alias("protein_a"), F.col("item_b").alias("protein_b"))
+    return cooccurrence.above_chance(_pairs(spark, folder, 8)).select(F.col("item_a").alias("protein_a"), F.col("item_b").alias("protein_b"))
 
 
 def p2_pairs(spark: SparkSession, folder: str) -> DataFrame:
     measures = [F.round("lift", 6).alias("lift"), F.round("conviction", 6).alias("conviction")]
-    return _pairs(spark, folder).select(F.col("item_a").alias("protein_a"), F.col("item_b").alias("protein_b"), "n_ab", "n_a", "n_b", "n", *measures)
+    return _pairs(spark, folder, 1).select(F.col("item_a").alias("protein_a"), F.col("item_b").alias("protein_b"), "n_ab", "n_a", "n_b", "n", *measures)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
