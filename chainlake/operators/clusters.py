@@ -42,14 +42,14 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, axes: list[str], bloc
     return best.groupBy(key).agg(F.min_by("nearest", F.struct("d", "nearest")).alias("nearest"))
 
 
-def agglomerate(distance: np.ndarray, k: int, linkage: str = "average") -> np.ndarray:
-    """CLU-1: labels of k clusters by Lance-Williams updates of a distance matrix; ties: the smallest pair of positions."""
+def agglomerate(distance: np.ndarray, k: int, linkage: str = "average", weights: np.ndarray | None = None) -> np.ndarray:
+    """CLU-1: labels of k clusters by Lance-Williams updates of a distance matrix; ties: the smallest pair of positions. A weight says how many equal points a row stands for."""
     n = len(distance)
     d = distance.astype(float).copy()
     if linkage == "ward":
         d = d**2
     np.fill_diagonal(d, np.inf)
-    size, members = np.ones(n), [[i] for i in range(n)]
+    size, members = np.ones(n) if weights is None else weights.astype(float), [[i] for i in range(n)]
     alive = np.ones(n, dtype=bool)
     for _ in range(n - max(1, k)):
         i, j = divmod(int(d.argmin()), n)
@@ -79,13 +79,14 @@ def agglomerate(distance: np.ndarray, k: int, linkage: str = "average") -> np.nd
     return labels
 
 
-def silhouette(distance: np.ndarray, labels: np.ndarray) -> float:
-    """CLU-2: mean silhouette; single points count 0; -1 where it isn't defined."""
+def silhouette(distance: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None) -> float:
+    """CLU-2: mean silhouette of all points, a row standing for weight equal ones; single points count 0; -1 where it isn't defined."""
+    w = np.ones(len(labels)) if weights is None else weights.astype(float)
     ks = np.unique(labels)
-    if len(ks) < 2 or len(ks) >= len(labels) or not np.isfinite(distance).all():
+    if len(ks) < 2 or len(ks) >= w.sum() or not np.isfinite(distance).all():
         return -1.0
-    means = np.stack([distance[:, labels == k].sum(axis=1) for k in ks], axis=1)
-    sizes = np.array([(labels == k).sum() for k in ks])
+    means = np.stack([distance[:, labels == k] @ w[labels == k] for k in ks], axis=1)
+    sizes = np.array([w[labels == k].sum() for k in ks])
     own = np.searchsorted(ks, labels)
     at = np.arange(len(labels))
     a = means[at, own] / np.maximum(sizes[own] - 1, 1)
@@ -93,19 +94,21 @@ def silhouette(distance: np.ndarray, labels: np.ndarray) -> float:
     others[at, own] = np.inf
     b = others.min(axis=1)
     s = np.where(sizes[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0)
-    return float(s.mean())
+    return float(w @ s / w.sum())
 
 
-def best_count(distance: np.ndarray, valency: int, linkage: str = "average", extra: int = 3, fewer: int = 2, improvement: float = 0.0) -> np.ndarray:
-    """CLU-2: labels with the number of clusters that the silhouette favours around the valency; the valency unless one is better."""
+def best_count(
+    distance: np.ndarray, valency: int, linkage: str = "average", extra: int = 3, fewer: int = 2, improvement: float = 0.0, weights: np.ndarray | None = None
+) -> np.ndarray:
+    """CLU-2: labels with the number of clusters that the silhouette favours around the valency; the valency unless one is better. Equal points (weights) stay together."""
     n = len(distance)
     base = max(1, min(valency, n))
     low, high = (max(2, base - fewer) if base > 2 else base), min(base + extra, n)
-    best = agglomerate(distance, base, linkage)
-    score = silhouette(distance, best)
+    best = agglomerate(distance, base, linkage, weights)
+    score = silhouette(distance, best, weights)
     for k in range(max(2, low), high + 1):
-        labels = agglomerate(distance, k, linkage)
-        s = silhouette(distance, labels)
+        labels = agglomerate(distance, k, linkage, weights)
+        s = silhouette(distance, labels, weights)
         if s > score * (1 + improvement) and s > score:
             best, score = labels, s
     return best
@@ -150,10 +153,19 @@ def curve_clusters(points: np.ndarray, most: int = 10, seed: int = 42) -> np.nda
     return np.array([order[c] for c in best])
 
 
-def dbscan(distance: np.ndarray, eps: float, least: int = 2) -> np.ndarray:
-    """CLU-1: density clusters of a distance matrix; -1 is noise."""
+def distance_quantile(distance: np.ndarray, q: float, weights: np.ndarray) -> float:
+    """np.quantile of the distances of all points to all points, row i standing for weights[i] equal points."""
+    order = np.argsort(distance, axis=None)
+    upto = np.cumsum(np.outer(weights, weights).ravel()[order])
+    at = q * (int(upto[-1]) - 1)
+    low, high = (float(distance.flat[order[np.searchsorted(upto, k, side="right")]]) for k in (np.floor(at), np.ceil(at)))
+    return low + (high - low) * (at - np.floor(at))
+
+
+def dbscan(distance: np.ndarray, eps: float, least: int = 2, weights: np.ndarray | None = None) -> np.ndarray:
+    """CLU-1: density clusters of a distance matrix; -1 is noise. A row counts weight times as a neighbour."""
     near = distance <= eps
-    core = near.sum(axis=1) >= least
+    core = (near.sum(axis=1) if weights is None else near @ weights) >= least
     labels = np.full(len(distance), -1)
     label = 0
     for i in np.flatnonzero(core):
@@ -171,15 +183,18 @@ def dbscan(distance: np.ndarray, eps: float, least: int = 2) -> np.ndarray:
     return labels
 
 
-def smacof(distance: np.ndarray, dims: int = 2, seed: int = 42, rounds: int = 300, eps: float = 1e-6, starts: int = 4) -> np.ndarray:
+def smacof(distance: np.ndarray, dims: int = 2, seed: int = 42, rounds: int = 300, eps: float = 1e-6, starts: int = 4, weights: np.ndarray | None = None) -> np.ndarray:
     """CLU-9: multidimensional scaling by majorisation of the stress.
 
     Starts from classical scaling and from random points, and keeps the lowest stress, for a single start
-    may end in a local optimum.
+    may end in a local optimum. A row stands for weight equal points, which share one place.
     """
     n = len(distance)
-    centre = np.eye(n) - 1 / n
-    values, vectors = np.linalg.eigh(-0.5 * centre @ distance**2 @ centre)
+    w = np.ones(n) if weights is None else weights.astype(float)
+    both, root = np.outer(w, w), np.sqrt(w)
+    centre = np.eye(n) - w / w.sum()
+    values, vectors = np.linalg.eigh(-0.5 * root[:, None] * (centre @ distance**2 @ centre.T) * root)
+    vectors = vectors / root[:, None]
     top = np.argsort(-values)[:dims]
     classical = np.zeros((n, dims))
     classical[:, : len(top)] = vectors[:, top] * np.sqrt(np.maximum(values[top], 0))
@@ -189,14 +204,15 @@ def smacof(distance: np.ndarray, dims: int = 2, seed: int = 42, rounds: int = 30
         before = np.inf
         for _ in range(rounds):
             d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
-            stress = float(((d - distance) ** 2).sum() / 2)
+            stress = float((both * (d - distance) ** 2).sum() / 2)
             if before - stress < eps * max(before if np.isfinite(before) else 1.0, 1e-12):
                 break
             before = stress
             ratio = np.where(d > 1e-12, distance / np.maximum(d, 1e-12), 0)
+            ratio *= both
             b = -ratio
             b[np.arange(n), np.arange(n)] += ratio.sum(axis=1)
-            x = b @ x / n
+            x = b @ x / (w[:, None] * w.sum())
         if stress < least:
             best, least = x, stress
     return best

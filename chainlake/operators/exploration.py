@@ -10,17 +10,21 @@ from pyspark.sql import functions as F
 from chainlake.functions import geometry as geo
 
 
-def principal_features(mask: np.ndarray, variance: float = 0.95) -> np.ndarray:
-    """MAT-6: standardised features (columns that vary) reduced to the components that hold the variance."""
+def principal_features(mask: np.ndarray, variance: float = 0.95, weights: np.ndarray | None = None) -> np.ndarray:
+    """MAT-6: standardised features (columns that vary) reduced to the components that hold the variance. A row stands for weight equal ones."""
     x = mask.astype(float)
-    sd = x.std(axis=0)
-    x = (x[:, sd > 0] - x[:, sd > 0].mean(axis=0)) / sd[sd > 0]
+    w = np.ones(len(x)) if weights is None else weights.astype(float)
+    mean = w @ x / w.sum()
+    varies = x.min(axis=0) < x.max(axis=0)
+    x = (x - mean)[:, varies]
+    x = x / np.sqrt(w @ x**2 / w.sum())
     if not x.size:
         return np.zeros((len(mask), 1))
-    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    root = np.sqrt(w)[:, None]
+    u, s, _ = np.linalg.svd(root * x, full_matrices=False)
     share = np.cumsum(s**2) / max((s**2).sum(), 1e-12)
     k = int(np.searchsorted(share, variance) + 1)
-    return u[:, :k] * s[:k]
+    return u[:, :k] * s[:k] / root
 
 
 def absorb_small(labels: np.ndarray, distance: np.ndarray, share: float = 0.2) -> np.ndarray:

@@ -226,11 +226,11 @@ def clu_2(spark, d):
     return out.select("k", F.round("silhouette", 6).alias("silhouette"))
 
 
-def _per_pair(spark, d, label, schema="a string, b string, matrix_id bigint, label int"):
-    """Contact sets by pair, for a grouped function; a pair's records are first reduced to its different sets."""
+def _per_pair(spark, d, label, kind="int"):
+    """Labels of all records (a, b, matrix_id, label) from a grouped function of a pair's different contact sets: label(distances, mask, numbers of records)."""
     cells = v.contacts(spark, d).groupBy("a", "b", "matrix_id").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("cells")).where(F.size("cells") >= 3)
     codes = cells.select("a", "b", "matrix_id", F.transform("cells", lambda x: x["i"].cast("bigint") * 100000 + x["j"]).alias("cells"))
-    first = codes.groupBy("a", "b", "cells").agg(F.min("matrix_id").alias("matrix_id"))
+    different = codes.groupBy("a", "b", "cells").agg(F.min("matrix_id").alias("matrix_id"), F.collect_list("matrix_id").alias("records"))
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("matrix_id")
@@ -241,25 +241,26 @@ def _per_pair(spark, d, label, schema="a string, b string, matrix_id bigint, lab
         size = mask.sum(axis=1)
         distance = 1 - common / np.maximum(size[:, None] + size[None] - common, 1)
         np.fill_diagonal(distance, 0)
-        return rows[["a", "b", "matrix_id"]].assign(label=label(distance, mask))
+        return rows[["a", "b", "records"]].assign(label=list(label(distance, mask, rows["records"].map(len).to_numpy())))
 
-    return first.groupBy("a", "b").applyInPandas(solve, schema)
+    labels = different.groupBy("a", "b").applyInPandas(solve, f"a string, b string, records array<bigint>, label {kind}")
+    return labels.select("a", "b", F.explode("records").alias("matrix_id"), "label")
 
 
 @query("clu_1_agglomerative")
 def clu_1(spark, d):
-    return _per_pair(spark, d, lambda dist, mask: cl.agglomerate(dist, min(2, len(dist))))
+    return _per_pair(spark, d, lambda dist, mask, w: cl.agglomerate(dist, min(2, len(dist)), weights=w))
 
 
 @query("clu_1_dbscan")
 def clu_1b(spark, d):
-    return _per_pair(spark, d, lambda dist, mask: cl.dbscan(dist, float(np.quantile(dist, 0.2))))
+    return _per_pair(spark, d, lambda dist, mask, w: cl.dbscan(dist, cl.distance_quantile(dist, 0.2, w), weights=w))
 
 
 @query("clu_3_contact_clusters")
 def clu_3(spark, d):
     """The number of clusters starts from one and follows the silhouette."""
-    return _per_pair(spark, d, lambda dist, mask: cl.best_count(dist, 1))
+    return _per_pair(spark, d, lambda dist, mask, w: cl.best_count(dist, 1, weights=w))
 
 
 @query("clu_4_cluster_table")
@@ -281,9 +282,9 @@ def clu_4(spark, d):
 def clu_5(spark, d):
     """Number of clusters left per pair when similar ones are merged (intersection over union of mean matrices)."""
 
-    def label(dist, mask):
-        parts = cl.agglomerate(dist, min(4, len(dist)))
-        means = [mask[parts == k].mean(axis=0) for k in np.unique(parts)]
+    def label(dist, mask, w):
+        parts = cl.agglomerate(dist, min(4, len(dist)), weights=w)
+        means = [np.average(mask[parts == k], axis=0, weights=w[parts == k]) for k in np.unique(parts)]
         return np.full(len(dist), len(cl.merge_similar(cl.set_jaccard, means, 0.3)))
 
     return _per_pair(spark, d, label).groupBy("a", "b").agg(F.max("label").alias("n_clusters"))
@@ -294,14 +295,14 @@ def clu_6(spark, d):
     """Clusters per merge threshold, and the threshold's mean squared error against the number of modes found by the silhouette."""
     steps = [0.1, 0.3, 0.5, 0.7]
 
-    def label(dist, mask):
-        parts = cl.agglomerate(dist, min(4, len(dist)))
-        means = [mask[parts == k].mean(axis=0) for k in np.unique(parts)]
-        true = len(np.unique(cl.best_count(dist, 1)))
+    def label(dist, mask, w):
+        parts = cl.agglomerate(dist, min(4, len(dist)), weights=w)
+        means = [np.average(mask[parts == k], axis=0, weights=w[parts == k]) for k in np.unique(parts)]
+        true = len(np.unique(cl.best_count(dist, 1, weights=w)))
         counts = [len(cl.merge_similar(cl.set_jaccard, means, t)) - true for t in steps]
         return [counts] * len(dist)
 
-    errors = _per_pair(spark, d, label, "a string, b string, matrix_id bigint, label array<int>").groupBy("a", "b").agg(F.first("label").alias("e")).select("a", "b", F.posexplode("e").alias("k", "e"))
+    errors = _per_pair(spark, d, label, "array<int>").groupBy("a", "b").agg(F.first("label").alias("e")).select("a", "b", F.posexplode("e").alias("k", "e"))
     return errors.groupBy(F.array(*map(F.lit, steps))[F.col("k")].alias("threshold")).agg(F.avg(F.col("e") * F.col("e")).alias("mse"), F.count("*").alias("n_pairs"))
 
 
@@ -339,12 +340,13 @@ def clu_8(spark, d):
 def clu_9(spark, d):
     """Stress of a plane embedding of each pair's contact sets."""
 
-    def label(dist, mask):
-        x = cl.smacof(dist)
+    def label(dist, mask, w):
+        x = cl.smacof(dist, weights=w)
+        both = np.outer(w, w)
         e = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
-        return np.full(len(dist), round(float(((e - dist) ** 2).sum() / max((dist**2).sum(), 1e-12)), 4))
+        return np.full(len(dist), round(float((both * (e - dist) ** 2).sum() / max((both * dist**2).sum(), 1e-12)), 4))
 
-    return _per_pair(spark, d, label, "a string, b string, matrix_id bigint, label double").groupBy("a", "b").agg(F.max("label").alias("stress"))
+    return _per_pair(spark, d, label, "double").groupBy("a", "b").agg(F.max("label").alias("stress"))
 
 
 _FLAGS = v.PWN + """, pres AS (SELECT p1, p2, pred_id, rank, bool_or(min_pae <= 7.5) AS hit, bool_or(len(pim) > 3) AS big FROM pwn WHERE pim IS NOT NULL AND min_pae IS NOT NULL GROUP BY 1, 2, 3, 4),
