@@ -103,7 +103,7 @@ class Items:
 
 
 def document_passages(documents: DataFrame, items: Items, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, terms): passages of the documents' whole texts as numbers of item words (-1: no word of any item).
+    """(key, terms, around): passages of the documents' whole texts as numbers of item words (-1: no word of any item), alone and with `run` words on either side.
 
     A passage with fewer item words than the shortest run that can give an item away cannot hold a
     leak, and is left out. Null and empty texts have no passage.
@@ -112,7 +112,7 @@ def document_passages(documents: DataFrame, items: Items, key: str = "doc_id", t
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out_key, out_terms = [], []
+            out_key, out_terms, out_around = [], [], []
             for k, t in zip(batch["key"], batch["text"], strict=True):
                 terms = np.array([vocabulary.get(w, -1) for w in words(t)], dtype=np.int32)
                 if not len(terms):
@@ -122,10 +122,11 @@ def document_passages(documents: DataFrame, items: Items, key: str = "doc_id", t
                     if known[e] - known[s] >= need:
                         out_key.append(k)
                         out_terms.append(terms[s:e])
-            yield pd.DataFrame({"key": pd.Series(out_key, dtype="int64"), "terms": pd.Series(out_terms, dtype=object)})
+                        out_around.append(terms[max(0, s - run) : e + run])
+            yield pd.DataFrame({"key": pd.Series(out_key, dtype="int64"), "terms": pd.Series(out_terms, dtype=object), "around": pd.Series(out_around, dtype=object)})
 
     rows = documents.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).where("key IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    return spread(rows).mapInPandas(cut, "key bigint, terms array<int>")
+    return spread(rows).mapInPandas(cut, "key bigint, terms array<int>, around array<int>")
 
 
 def _dense(terms: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,8 +224,16 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return int(before[-1])
 
 
-def _search(items: Items, idf: np.ndarray, basis: np.ndarray, near: float, paraphrase: float):
-    """mapInArrow: documents' passages to (key, item, cosine, verbatim, subsequence share, answer)."""
+def _search(items: Items, idf: np.ndarray, basis: np.ndarray, near: float, paraphrase: float, least: float):
+    """mapInArrow: documents' passages to (key, item, cosine, verbatim, subsequence share, answer).
+
+    Passages of document and item can be out of step by half a run, so a paraphrase is tested on the words around the passage.
+    """
+    lengths = np.array([len(p) for p in items.passages])
+    wide = np.full((len(lengths), lengths.max()), len(items.vocabulary))
+    for c, p in enumerate(items.passages):
+        wide[c, : len(p)] = p
+    asked = np.append(items.answer, False)[wide]
 
     def unit(x: np.ndarray) -> np.ndarray:
         return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).astype(np.float32)
@@ -236,7 +245,7 @@ def _search(items: Items, idf: np.ndarray, basis: np.ndarray, near: float, parap
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys, terms = batch.column(0).to_numpy(zero_copy_only=False), _lists(batch.column(1))
+            keys, terms, around = batch.column(0).to_numpy(zero_copy_only=False), _lists(batch.column(1)), _lists(batch.column(2))
             found: dict[tuple[int, int], list] = {}
 
             def note(key: int, item: int, cosine: float, verbatim: bool, share: float, answer: bool) -> None:
@@ -252,11 +261,14 @@ def _search(items: Items, idf: np.ndarray, basis: np.ndarray, near: float, parap
                     for o in items.runs[size].get(t[k : k + size].tobytes(), ()):
                         if best[r, o] >= near:
                             note(int(keys[s + r]), o, float(best[r, o]), True, 1.0, True)
-                for r, c in zip(*(x.tolist() for x in np.nonzero(cosine >= paraphrase)), strict=True):
-                    p, o = items.passages[c], int(items.owner[c])
-                    wanted = np.unique(p[items.answer[p]])
-                    if np.isin(wanted, terms[s + r]).all():
-                        note(int(keys[s + r]), o, float(cosine[r, c]), False, common_subsequence(terms[s + r], p) / len(p), True)
+                for r in candidates.tolist():
+                    here = np.flatnonzero(cosine[r] >= paraphrase)
+                    there = np.zeros(len(items.vocabulary) + 1, dtype=bool)
+                    there[around[s + r][around[s + r] >= 0]] = True
+                    held = there[wide[here]]  # a common subsequence has no more words than are there at all
+                    for c in here[(held.sum(axis=1) >= least * lengths[here]) & (held | ~asked[here]).all(axis=1)].tolist():
+                        p = items.passages[c]
+                        note(int(keys[s + r]), int(items.owner[c]), float(cosine[r, c]), False, common_subsequence(around[s + r], p) / len(p), True)
             if found:
                 ks, vs = list(found), list(found.values())
                 yield pa.RecordBatch.from_arrays(
@@ -273,7 +285,7 @@ def leaking_documents(
     run: int = 13,
     rank: int = 256,
     near: float = 0.3,
-    paraphrase: float = 0.8,
+    paraphrase: float = 0.3,
     share: float = 0.7,
     block_items: int = 2000,
     scratch: Scratch | None = None,
@@ -281,8 +293,8 @@ def leaking_documents(
     """(doc_id, item_id, cosine, kind, subsequence_share): every document with every item that it leaks.
 
     kind is "verbatim" where document and item have `run` consecutive words in common (all words of a
-    shorter item), else "paraphrase" where a passage is near by cosine, shares `share` of the item
-    passage's words as a common subsequence, and holds all its figures and names. Word frequencies and the latent
+    shorter item), else "paraphrase" where a passage is near by cosine (paraphrase; `near` at least) and it
+    with its neighbours shares `share` of the item passage's words as a common subsequence and holds all its figures and names. Word frequencies and the latent
     space come from all passages of all documents. Items are a stated query set, taken in blocks of
     block_items, so what is sent to the tasks is bounded. Null, empty and wordless texts leak nothing;
     equal documents are reported each; no rows give no rows.
@@ -307,7 +319,7 @@ def leaking_documents(
         total = passages.count() + len(block.passages)
         idf = np.log1p(total / (1 + frequency))
         basis = latent_space(passages, block, idf, rank)
-        part = passages.mapInArrow(_search(block, idf, basis, near, paraphrase), "key bigint, item_id bigint, cosine double, verbatim boolean, share double, answer boolean")
+        part = passages.mapInArrow(_search(block, idf, basis, near, max(near, paraphrase), share), "key bigint, item_id bigint, cosine double, verbatim boolean, share double, answer boolean")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "doc_id bigint, item_id bigint, cosine double, kind string, subsequence_share double")
