@@ -11,6 +11,7 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -19,7 +20,6 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from chainlake.functions.ids import pair_high, pair_low, protein_id
-from chainlake.llm.components import connected_groups
 from chainlake.storage import Scratch
 
 _SET_SCHEMA = "record bigint, a string, b string, cells array<bigint>"
@@ -266,8 +266,8 @@ def similarity_clusters(sets: DataFrame, alike: float = 0.5, node_limit: int = 4
     sets: (record, a, b, cells), cells sorted and without repeats. Equal sets of a pair enter once, with
     their number as weight. A node of more than node_limit different sets is split across the cluster, all
     such nodes at once; smaller ones are finished in one task each, whose memory node_limit bounds. Leaves
-    of a pair whose nodes were parted that way are joined when their representatives are alike; candidates
-    come from the cells that two alike sets cannot both lack (the rarest ones), so none is missed.
+    of a pair whose nodes were parted that way are joined when all sets of the union are alike, and the
+    distances to the centre are taken anew; candidates, leaves whose representatives are alike, come from the cells that two alike sets cannot both lack (the rarest ones), so none is missed.
 
     Returns (record, a, b, cluster_id, centre_distance): every record of sets once; cluster_id is the
     smallest record of the cluster. Empty input gives no rows; repeated rows are members of one cluster.
@@ -321,9 +321,62 @@ def _join_parted(leaves: DataFrame, nodes: DataFrame, alike: float, scratch: Scr
     cells = heads.select("a", "b", "leaf", "cells")
     both = near.join(cells, ["a", "b", "leaf"]).join(cells.withColumnsRenamed({"leaf": "leaf2", "cells": "cells2"}), ["a", "b", "leaf2"])
     n = F.size(F.array_intersect("cells", "cells2"))
-    links = both.where(n >= F.lit(alike) * (F.size("cells") + F.size("cells2") - n)).select("leaf", "leaf2")
-    groups = connected_groups(links, "leaf", "leaf2", scratch=Scratch(leaves.sparkSession, "joined"))
-    return leaves.join(groups.withColumnRenamed("vertex", "leaf"), "leaf", "left").select("a", "b", "rep", F.coalesce("group_id", "leaf").alias("cluster_id"), "centre_distance")
+    share = n / (F.size("cells") + F.size("cells2") - n)
+    links = scratch.save(both.withColumn("share", share).where(F.col("share") >= alike).select("a", "b", "leaf", "leaf2", "share"), "links")
+    members = scratch.save(parted.select("a", "b", "leaf", "rep").join(nodes.select("a", "b", "rep", "cells"), ["a", "b", "rep"]).select("leaf", "cells"), "members")
+    one = links.select("leaf", "leaf2").join(members, "leaf").select("leaf", "leaf2", F.lit(1).alias("side"), "cells")
+    two = links.select("leaf", "leaf2").join(members.withColumnRenamed("leaf", "leaf2"), "leaf2").select("leaf", "leaf2", F.lit(2).alias("side"), "cells")
+    compact = one.unionByName(two).groupBy("leaf", "leaf2").applyInPandas(_compact(alike), "leaf bigint, leaf2 bigint")
+    groups = links.join(compact, ["leaf", "leaf2"]).groupBy("a", "b").applyInPandas(_join_leaves, "leaf bigint, group_id bigint")
+    named = leaves.join(groups, "leaf", "left").select("a", "b", "rep", "group_id", F.coalesce("group_id", "leaf").alias("cluster_id"), "centre_distance")
+    named = scratch.save(named, "named")
+    far = _centre_distances(named.where("group_id IS NOT NULL").select("rep", "cluster_id").join(nodes.select("rep", "weight", "cells"), "rep"))
+    return named.join(far, "rep", "left").select("a", "b", "rep", "cluster_id", F.coalesce("far", "centre_distance").alias("centre_distance"))
+
+
+def _compact(alike: float, block: int = 4096):
+    """For applyInPandas over two leaves: their row if each set of one is alike to each of the other. A leaf is within a node, so node_limit bounds the sizes."""
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        sets = [rows.loc[rows["side"] == s, "cells"].to_list() for s in (1, 2)]
+        sizes = [np.array([len(x) for x in part]) for part in sets]
+        cells = np.unique(np.concatenate(sets[0] + sets[1]))
+        common = np.zeros((len(sets[0]), len(sets[1])), dtype=np.float32)
+        for start in range(0, len(cells), block):
+            dense = []
+            for part, size in zip(sets, sizes, strict=True):
+                column = np.searchsorted(cells, np.concatenate(part)) - start
+                inside = (column >= 0) & (column < block)
+                d = np.zeros((len(part), min(block, len(cells) - start)), dtype=np.float32)
+                d[np.repeat(np.arange(len(part)), size)[inside], column[inside]] = 1
+                dense.append(d)
+            common += dense[0] @ dense[1].T
+        share = common / (sizes[0][:, None] + sizes[1][None, :] - common)
+        return rows[["leaf", "leaf2"]].iloc[: int(share.min() >= alike)]
+
+    return solve
+
+
+def _join_leaves(rows: pd.DataFrame) -> pd.DataFrame:
+    """For applyInPandas over a pair's compact links: groups in which every two leaves are linked, the most alike joined first."""
+    group: dict[int, set[int]] = {x: {x} for x in {*rows["leaf"], *rows["leaf2"]}}
+    linked = set(zip(rows["leaf"], rows["leaf2"], strict=True))
+    for r in rows.sort_values(["share", "leaf", "leaf2"], ascending=[False, True, True]).itertuples():
+        x, y = group[r.leaf], group[r.leaf2]
+        if x is not y and all((min(p, q), max(p, q)) in linked for p in x for q in y):
+            x |= y
+            group.update(dict.fromkeys(y, x))
+    return pd.DataFrame([(leaf, min(g)) for leaf, g in group.items() if len(g) > 1], columns=["leaf", "group_id"])
+
+
+def _centre_distances(sets: DataFrame) -> DataFrame:
+    """(rep, far): squared distance of each set to its cluster's centre, the cell frequencies; sets: (rep, weight, cells, cluster_id)."""
+    each = sets.select("cluster_id", "rep", "weight", F.explode("cells").alias("cell"))
+    total = sets.groupBy("cluster_id").agg(F.sum("weight").alias("total"))
+    centre = each.groupBy("cluster_id", "cell").agg(F.sum("weight").alias("w")).join(total, "cluster_id").select("cluster_id", "cell", (F.col("w") / F.col("total")).alias("f"))
+    norm = centre.groupBy("cluster_id").agg(F.sum(F.col("f") * F.col("f")).alias("norm"))
+    dots = each.join(centre, ["cluster_id", "cell"]).groupBy("cluster_id", "rep").agg(F.count("*").alias("size"), F.sum("f").alias("dot"))
+    return dots.join(norm, "cluster_id").select("rep", F.greatest(F.col("size") - 2 * F.col("dot") + F.col("norm"), F.lit(0.0)).alias("far"))
 
 
 def describe_clusters(members: DataFrame, typical: int = 3) -> DataFrame:
