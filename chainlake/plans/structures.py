@@ -16,7 +16,7 @@ from chainlake.operators import lattice as la
 from chainlake.operators import statistics as st
 from chainlake.plans import views as v
 from chainlake.plans.catalog import query, table
-from chainlake.plans.relations import _AGG1, _AGG2, _MODELS, _combo, _frequency, _models, _sizes, _SIZES, ab, passing2, passing_n
+from chainlake.plans.relations import _AGG1, _AGG2, _MODELS, _combo, _frequency, _interactions, _models, _sizes, _SIZES, ab, agg_11, passing2, passing_n
 
 # --- matrices ---
 
@@ -226,11 +226,20 @@ def clu_2(spark, d):
     return out.select("k", F.round("silhouette", 6).alias("silhouette"))
 
 
-def _per_pair(spark, d, label, kind="int"):
-    """Labels of all records (a, b, matrix_id, label) from a grouped function of a pair's different contact sets: label(distances, mask, numbers of records)."""
+def _valency(spark, d):
+    """The most chains of a partner that a chain touches, of multivalent pairs: (a, b, valency)."""
+    return c.max_valency(_interactions(spark, d)).join(agg_11(spark, d), ["a", "b"]).select("a", "b", F.col("max_valency").alias("valency"))
+
+
+def _per_pair(spark, d, label, kind="int", valency=None):
+    """Labels of all records (a, b, matrix_id, label) from a grouped function of a pair's different contact sets: label(distances, mask, numbers of records), and the pair's valency (1 if not listed) where such a table is given."""
     cells = v.contacts(spark, d).groupBy("a", "b", "matrix_id").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("cells")).where(F.size("cells") >= 3)
     codes = cells.select("a", "b", "matrix_id", F.transform("cells", lambda x: x["i"].cast("bigint") * 100000 + x["j"]).alias("cells"))
     different = codes.groupBy("a", "b", "cells").agg(F.min("matrix_id").alias("matrix_id"), F.collect_list("matrix_id").alias("records"))
+    if valency is not None:
+        different = different.join(valency, ["a", "b"], "left").fillna(1, ["valency"])
+
+    has_valency = valency is not None
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("matrix_id")
@@ -241,7 +250,7 @@ def _per_pair(spark, d, label, kind="int"):
         size = mask.sum(axis=1)
         distance = 1 - common / np.maximum(size[:, None] + size[None] - common, 1)
         np.fill_diagonal(distance, 0)
-        return rows[["a", "b", "records"]].assign(label=list(label(distance, mask, rows["records"].map(len).to_numpy())))
+        return rows[["a", "b", "records"]].assign(label=list(label(distance, mask, rows["records"].map(len).to_numpy(), *((int(rows["valency"].iloc[0]),) if has_valency else ()))))
 
     labels = different.groupBy("a", "b").applyInPandas(solve, f"a string, b string, records array<bigint>, label {kind}")
     return labels.select("a", "b", F.explode("records").alias("matrix_id"), "label")
@@ -259,8 +268,8 @@ def clu_1b(spark, d):
 
 @query("clu_3_contact_clusters")
 def clu_3(spark, d):
-    """The number of clusters starts from one and follows the silhouette."""
-    return _per_pair(spark, d, lambda dist, mask, w: cl.best_count(dist, 1, weights=w))
+    """The number of clusters starts from the valency of a multivalent pair, else from one, and follows the silhouette."""
+    return _per_pair(spark, d, lambda dist, mask, w, valency: cl.best_count(dist, valency, weights=w), valency=_valency(spark, d))
 
 
 @query("clu_4_cluster_table")
@@ -295,14 +304,14 @@ def clu_6(spark, d):
     """Clusters per merge threshold, and the threshold's mean squared error against the number of modes found by the silhouette."""
     steps = [0.1, 0.3, 0.5, 0.7]
 
-    def label(dist, mask, w):
+    def label(dist, mask, w, valency):
         parts = cl.agglomerate(dist, min(4, len(dist)), weights=w)
         means = [np.average(mask[parts == k], axis=0, weights=w[parts == k]) for k in np.unique(parts)]
-        true = len(np.unique(cl.best_count(dist, 1, weights=w)))
+        true = len(np.unique(cl.best_count(dist, valency, weights=w)))
         counts = [len(cl.merge_similar(cl.set_jaccard, means, t)) - true for t in steps]
         return [counts] * len(dist)
 
-    errors = _per_pair(spark, d, label, "array<int>").groupBy("a", "b").agg(F.first("label").alias("e")).select("a", "b", F.posexplode("e").alias("k", "e"))
+    errors = _per_pair(spark, d, label, "array<int>", _valency(spark, d)).groupBy("a", "b").agg(F.first("label").alias("e")).select("a", "b", F.posexplode("e").alias("k", "e"))
     return errors.groupBy(F.array(*map(F.lit, steps))[F.col("k")].alias("threshold")).agg(F.avg(F.col("e") * F.col("e")).alias("mse"), F.count("*").alias("n_pairs"))
 
 
@@ -313,7 +322,7 @@ def clu_7(spark, d):
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["file_id", "chain"])
-        return rows[["file_id", "chain", "prot_id"]].assign(cluster=cl.curve_clusters(np.stack(rows["plddt"]), most=4))
+        return rows[["file_id", "chain", "prot_id"]].assign(cluster=cl.curve_clusters(np.stack(rows["plddt"])))
 
     return curves.groupBy("prot_id", "n").applyInPandas(solve, "file_id bigint, chain string, prot_id string, cluster int")
 

@@ -7,7 +7,7 @@ from chainlake.operators import clusters as cl
 from chainlake.operators import exploration as ex
 from chainlake.plans import catalog
 
-SCHEMA = "matrix_id bigint, protein1 string, protein2 string, proteins_in_model array<string>, rank int, is_contact array<array<boolean>>, pae array<array<float>>, min_plddt array<array<float>>, distance array<array<float>>"
+SCHEMA = "matrix_id bigint, protein1 string, protein2 string, proteins_in_model array<string>, pair_chains_tuple array<string>, rank int, is_contact array<array<boolean>>, pae array<array<float>>, min_plddt array<array<float>>, distance array<array<float>>"
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -37,7 +37,7 @@ def test_every_record_has_a_label_and_counts(spark, tmp_path):
     rows = []
     for k, name in enumerate(["one"] * 5 + ["near"] * 2 + ["far"] * 3, 1):
         on = [[(i, j) in cells[name] for j in range(4)] for i in range(4)]
-        rows.append((k, "P", "Q", ["P", "Q"], 1, on, [[1.0 if c else 20.0 for c in r] for r in on], [[90.0] * 4] * 4, [[4.0 if c else 20.0 for c in r] for r in on]))
+        rows.append((k, "P", "Q", ["P", "Q"], ["A", "B"], 1, on, [[1.0 if c else 20.0 for c in r] for r in on], [[90.0] * 4] * 4, [[4.0 if c else 20.0 for c in r] for r in on]))
     spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/pairwise_contact_matrices.parquet")
     for name in ("clu_1_agglomerative", "clu_1_dbscan", "clu_3_contact_clusters"):
         got = catalog.queries()[name](spark, str(tmp_path)).collect()
