@@ -266,8 +266,8 @@ def agg_20(spark, d):
 )
 def agg_21(spark, d):
     """The most telling pattern of the descriptions of each group."""
-    parts = table(spark, d, "part").select("p_brand", "p_partkey", t.normal_words(F.concat_ws(" ", "p_type", "p_name"), stop=("",)).alias("w"))
-    grams = parts.select("p_brand", "p_partkey", F.explode(F.array_distinct(t.ngrams(F.col("w"), 1, 2))).alias("g"))
+    parts = table(spark, d, "part").select("p_brand", "p_partkey", t.normal_words(F.concat_ws(" ", "p_type", "p_name")).alias("w"))
+    grams = parts.select("p_brand", "p_partkey", F.explode(F.array_distinct(t.ngrams(F.col("w")))).alias("g"))
     total = parts.groupBy("p_brand").agg(F.count("*").alias("n"))
     f = grams.groupBy("p_brand", "g").agg(F.count("*").alias("c")).join(total, "p_brand").withColumn("freq", F.col("c") / F.col("n"))
     score = F.round(F.col("freq") + 0.15 * F.size(F.split("g", " ")) + F.when(F.col("freq").between(0.1, 0.7), 0.1).otherwise(0.0), 6)
