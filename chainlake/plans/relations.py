@@ -182,7 +182,7 @@ def agg_13(spark, d):
 
 @query(
     "agg_14_pae_stability",
-    f"""WITH {v.CELLS}, p AS (SELECT matrix_id, least(p1, p2) AS a, greatest(p1, p2) AS b, rank, round(min(pae), 8) AS mipae, round(avg(pae), 8) AS aipae FROM cell WHERE p1 IS NOT NULL AND p2 IS NOT NULL GROUP BY ALL)
+    f"""WITH {v.CELLS}, p AS (SELECT matrix_id, least(p1, p2) AS a, greatest(p1, p2) AS b, rank, round(min(pae), 8) AS mipae, round(avg(pae), 8) AS aipae FROM cell WHERE p1 IS NOT NULL AND p2 IS NOT NULL AND pae IS NOT NULL GROUP BY ALL)
     SELECT a, b, rank, {_FIVE.format('mipae', 'mipae_')}, {_FIVE.format('aipae', 'aipae_')} FROM p GROUP BY 1, 2, 3""",
 )
 def agg_14(spark, d):
@@ -258,11 +258,12 @@ def agg_20(spark, d):
 
 @query(
     "agg_21_ngram_scores",
-    r"""WITH w AS (SELECT p_brand, p_partkey, list_filter(string_split(trim(regexp_replace(lower(p_type || ' ' || p_name), '[_\-/\s]+', ' ', 'g')), ' '), lambda w: length(w) > 1 AND regexp_matches(w, '^[a-z]+$')) AS w FROM part),
+    r"""WITH w AS (SELECT p_brand, p_partkey, list_filter(string_split(trim(regexp_replace(lower(p_type || ' ' || p_name), '[_\-/\s]+', ' ', 'g')), ' '), lambda w: length(w) > 1 AND regexp_matches(w, '^[a-z]+$') AND NOT list_contains(STOP, w)) AS w FROM part),
     one AS (SELECT p_brand, p_partkey, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
-    g AS (SELECT DISTINCT p_brand, p_partkey, 1 AS k, x AS g FROM one UNION SELECT DISTINCT p_brand, p_partkey, 2, x || ' ' || lead(x) OVER (PARTITION BY p_partkey ORDER BY i) FROM one),
-    n AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1), f AS (SELECT p_brand, g, k, count(*) / any_value(n) AS freq FROM g JOIN n USING (p_brand) WHERE g IS NOT NULL GROUP BY 1, 2, 3)
-    SELECT p_brand, g AS pattern, round(freq + 0.15 * k + CASE WHEN freq BETWEEN 0.1 AND 0.7 THEN 0.1 ELSE 0 END, 8) AS score FROM f QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY round(freq + 0.15 * k + CASE WHEN freq BETWEEN 0.1 AND 0.7 THEN 0.1 ELSE 0 END, 6) DESC, g) = 1""",
+    g AS (GRAMS), n AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1), f AS (SELECT p_brand, g, k, count(*) / any_value(n) AS freq FROM g JOIN n USING (p_brand) WHERE g IS NOT NULL GROUP BY 1, 2, 3)
+    SELECT p_brand, g AS pattern, round(freq + 0.15 * k + CASE WHEN freq BETWEEN 0.1 AND 0.7 THEN 0.1 ELSE 0 END, 6) AS score FROM f QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY round(freq + 0.15 * k + CASE WHEN freq BETWEEN 0.1 AND 0.7 THEN 0.1 ELSE 0 END, 6) DESC, g) = 1"""
+    .replace("STOP", str(list(t.STOP_WORDS)))
+    .replace("GRAMS", " UNION ".join(f"SELECT DISTINCT p_brand, p_partkey, {n} AS k, " + " || ' ' || ".join(["x"] + [f"lead(x, {k}) OVER (PARTITION BY p_partkey ORDER BY i)" for k in range(1, n)]) + " AS g FROM one" for n in range(1, 5))),
 )
 def agg_21(spark, d):
     """The most telling pattern of the descriptions of each group."""

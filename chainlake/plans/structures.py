@@ -83,7 +83,7 @@ def mat_5(spark, d):
 
 @query(
     "mat_4_quality",
-    f"""WITH {v.CELLS}, q AS (SELECT matrix_id, count(*) AS n, count(*) FILTER (WHERE pae < 7.5 AND plddt > 0 AND dist < 8) AS k, avg(pae) FILTER (WHERE pae < 7.5 AND plddt > 0 AND dist < 8) AS p, avg(plddt) FILTER (WHERE pae < 7.5 AND plddt > 0 AND dist < 8) AS l FROM cell GROUP BY 1)
+    f"""WITH {v.CELLS}, q AS (SELECT matrix_id, count(*) AS n, count(*) FILTER (WHERE {v.TOLD}) AS k, avg(pae) FILTER (WHERE {v.TOLD}) AS p, avg(plddt) FILTER (WHERE {v.TOLD}) AS l FROM cell WHERE pae IS NOT NULL AND plddt IS NOT NULL GROUP BY 1)
     SELECT matrix_id, k AS n_contacts, round(coalesce(k / n * greatest(0, 1 - p / 30) * l / 100, 0), 8) AS quality FROM q""",
 )
 def mat_4(spark, d):

@@ -88,10 +88,15 @@ def cells(spark: SparkSession, folder: str) -> DataFrame:
     return each.select("matrix_id", "p1", "p2", "rank", "n_chains", "i", "j", *(F.col(f"c.{n}").cast("double").alias(n) for n in ("pae", "plddt", "dist")), "c.given")
 
 
-CELLS = f"""crow AS (SELECT matrix_id, {sql_id('protein1')} AS p1, {sql_id('protein2')} AS p2, rank, len(proteins_in_model) AS n_chains,
-unnest(pae) AS pr, unnest(min_plddt) AS lr, unnest(distance) AS dr, generate_subscripts(pae, 1) - 1 AS i FROM pairwise_contact_matrices
-WHERE pae IS NOT NULL AND distance IS NOT NULL AND min_plddt IS NOT NULL),
-cell AS (SELECT matrix_id, p1, p2, rank, n_chains, i, unnest(range(len(pr))) AS j, unnest(pr)::DOUBLE AS pae, unnest(lr)::DOUBLE AS plddt, unnest(dr)::DOUBLE AS dist FROM crow)"""
+CELLS = f"""crec AS (SELECT matrix_id, {sql_id('protein1')} AS p1, {sql_id('protein2')} AS p2, rank, len(proteins_in_model) AS n_chains, is_contact, pae, min_plddt, distance,
+unnest(range(greatest(coalesce(len(is_contact), 0), coalesce(len(pae), 0), coalesce(len(min_plddt), 0), coalesce(len(distance), 0)))) AS i FROM pairwise_contact_matrices
+WHERE is_contact IS NOT NULL OR (pae IS NOT NULL AND distance IS NOT NULL)),
+crow AS (SELECT matrix_id, p1, p2, rank, n_chains, i, is_contact[i + 1] AS gr, pae[i + 1] AS pr, min_plddt[i + 1] AS lr, distance[i + 1] AS dr FROM crec),
+cell AS (SELECT matrix_id, p1, p2, rank, n_chains, i, j, gr[j + 1] AS given, pr[j + 1]::DOUBLE AS pae, lr[j + 1]::DOUBLE AS plddt, dr[j + 1]::DOUBLE AS dist
+FROM (SELECT *, unnest(range(greatest(coalesce(len(gr), 0), coalesce(len(pr), 0), coalesce(len(lr), 0), coalesce(len(dr), 0)))) AS j FROM crow))"""
+
+#: Whether a cell is a contact: by pae and distance where they tell, else by is_contact; an unknown pLDDT is no objection.
+TOLD = "coalesce(pae < 7.5 AND dist < 8, given, false) AND coalesce(plddt > 0, true)"
 
 
 def contacts(spark: SparkSession, folder: str) -> DataFrame:
@@ -101,9 +106,9 @@ def contacts(spark: SparkSession, folder: str) -> DataFrame:
     return contact_cells(cells(spark, folder))
 
 
-CONTACTS = CELLS + """,
+CONTACTS = f"""{CELLS},
 contact AS (SELECT matrix_id, least(p1, p2) AS a, greatest(p1, p2) AS b, rank, n_chains, CASE WHEN p1 > p2 THEN j ELSE i END AS i, CASE WHEN p1 > p2 THEN i ELSE j END AS j, pae, plddt, dist
-FROM cell WHERE p1 IS NOT NULL AND p2 IS NOT NULL AND pae < 7.5 AND plddt > 0 AND dist < 8)"""
+FROM cell WHERE p1 IS NOT NULL AND p2 IS NOT NULL AND {TOLD})"""
 
 
 def trajectory(spark: SparkSession, folder: str) -> DataFrame:
