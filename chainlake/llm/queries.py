@@ -98,7 +98,7 @@ WITH counted AS (SELECT pred_id FROM pairwise_nmers_df WHERE pred_id IS NOT NULL
 raw AS (SELECT pred_id, unnest(proteins_in_model) AS x FROM pairwise_nmers_df WHERE pred_id IN (SELECT pred_id FROM counted)),
 member AS (SELECT DISTINCT pred_id, {_id('x')} AS p FROM raw WHERE {_id('x')} IS NOT NULL),
 alone AS (SELECT p, count(*) AS n FROM member GROUP BY p),
-pair AS (SELECT a.p AS protein_a, b.p AS protein_b, count(*) AS n_ab FROM member a JOIN member b ON a.pred_id = b.pred_id AND a.p < b.p GROUP BY 1, 2 HAVING count(*) >= 8),
+pair AS (SELECT a.p AS protein_a, b.p AS protein_b, count(*) AS n_ab FROM member a JOIN member b ON a.pred_id = b.pred_id AND a.p < b.p GROUP BY 1, 2),
 scored AS (SELECT protein_a, protein_b, n_ab, a.n AS n_a, b.n AS n_b, (SELECT count(*) FROM counted) AS n FROM pair JOIN alone a ON a.p = protein_a JOIN alone b ON b.p = protein_b)
 """
 
@@ -118,7 +118,7 @@ placed AS (SELECT least(p, q) AS protein_a, greatest(p, q) AS protein_b, row_id,
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p2_found": _P2 + "SELECT protein_a, protein_b FROM scored WHERE n_ab * n >= 4 * n_a * n_b",
+        "p2_found": _P2 + "SELECT protein_a, protein_b FROM scored WHERE n_ab >= 8 AND n_ab * n >= 4 * n_a * n_b",
         "p2_pairs": _P2
         + """SELECT *, round(n_ab * n / (n_a * n_b)::DOUBLE, 6) AS lift,
         CASE WHEN n_ab < n_a THEN round((1 - n_b / n::DOUBLE) / (1 - n_ab / n_a::DOUBLE), 6) ELSE 'infinity'::DOUBLE END AS conviction FROM scored""",
