@@ -1,178 +1,154 @@
-"""Problem 8: template residue, filler, error pages and script notices in place of content."""
+"""Problem 8: template residue, filler, error pages and script notices in place of content, by evidence.
+
+A page that stands in place of content fits neither its address nor its title, names nothing that other
+pages speak of, and uses words that pages with content don't use; often its body stands at many addresses.
+All of this is counted over the corpus; no phrase of an error page or notice is listed anywhere. Only
+unfilled fields are told by their syntax.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import pandas as pd
-import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainlake.llm.spread import spread
 from chainlake.storage import Scratch
 
 _NAME = r"[A-Za-z](?:[\w.]|[ -](?=\w)){0,40}"
 _HTML = "a abbr b blockquote body br center code div em footer font form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input label li link main meta nav noscript ol option p pre q s script section small span strike strong style sub sup svg table tbody td th thead title tr tt u ul var video"
 
 #: Fields of common template languages and mail-merge forms, and instructions to the author, outside of code.
-_FIELDS = "|".join(
-    (
-        rf"\{{\{{[-#/^&!>]?\s*{_NAME}\s*-?\}}\}}",
-        rf"\{{%-?\s*{_NAME}\s*-?%\}}",
-        rf"<%[=-]?\s*{_NAME}\s*-?%>",
-        rf"[$#]\{{\s*{_NAME}\s*\}}",
-        rf"(?<![\w$#{{\\])\{{{_NAME}\}}(?!\}})",
-        r"%\([A-Za-z_]\w*\)[sdifr]",
-        rf"\[\[\s*{_NAME}\s*\]\](?!\()",
-        rf"<<\s*{_NAME}\s*>>",
-        rf"@@\s*{_NAME}\s*@@",
-        r"(?<!\w)__[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*__(?!\w)",
-        r"(?<![\w$])\$[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*\$(?!\w)",
-        r"(?<![\w%])%[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*%(?!\w)",
-        r"«\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+){0,3}»(?!\s*\()",
-        rf"&lt;\s*{_NAME}\s*&gt;",
-        rf"<(?!/?(?i:{_HTML.replace(' ', '|')})\b){_NAME}>(?!_|\w)",
-        r"\[[A-Z][A-Z0-9]*(?:[ _-][A-Z0-9]+)*\](?![(\w])",
-        r"[\[<(](?i:insert|enter|add|fill in|type|choose|select|your) [^\]>)\n]{1,60}[\]>)]",
-        r"\((?i:[\w -]{1,50} goes here)\)",
-        r"\bYOUR(?: [A-Z0-9]+){1,5} HERE\b",
-        r"\b(?:REPLACE|CHANGE|FILL|INSERT|EDIT)_(?:ME|THIS|IN|[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*)\b",
-    )
+_FIELDS = (
+    rf"\{{\{{[-#/^&!>]?\s*{_NAME}\s*-?\}}\}}",
+    rf"\{{%-?\s*{_NAME}\s*-?%\}}",
+    rf"<%[=-]?\s*{_NAME}\s*-?%>",
+    rf"[$#]\{{\s*{_NAME}\s*\}}",
+    rf"(?<![\w$#{{\\])\{{{_NAME}\}}(?!\}})",
+    r"%\([A-Za-z_]\w*\)[sdifr]",
+    rf"\[\[\s*{_NAME}\s*\]\](?!\()",
+    rf"<<\s*{_NAME}\s*>>",
+    rf"@@\s*{_NAME}\s*@@",
+    r"(?<!\w)__[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*__(?!\w)",
+    r"(?<![\w$])\$[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*\$(?!\w)",
+    r"(?<![\w%])%[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*%(?!\w)",
+    r"«\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+){0,3}»(?!\s*\()",
+    rf"&lt;\s*{_NAME}\s*&gt;",
+    rf"<(?!/?(?i:{_HTML.replace(' ', '|')})\b){_NAME}>(?!_|\w)",
+    r"\[[A-Z][A-Z0-9]*(?:[ _-][A-Z0-9]+)*\](?![(\w])",
+    r"[\[<(](?i:insert|enter|add|fill in|type|choose|select|your) [^\]>)\n]{1,60}[\]>)]",
+    r"\((?i:[\w -]{1,50} goes here)\)",
+    r"\bYOUR(?: [A-Z0-9]+){1,5} HERE\b",
+    r"\b(?:REPLACE|CHANGE|FILL|INSERT|EDIT)_(?:ME|THIS|IN|[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*)\b",
 )
-FIELD = regex.compile(_FIELDS)
-CODE = regex.compile(r"```.*?(?:```|\Z)|``[^\n]*?``|`[^`\n]*`|<(code|pre)\b.*?</\1>", regex.S | regex.I)
+_FIELD = "(?U)" + "|".join(_FIELDS)
+#: What every text with a field holds; few others do, and only those pay for the patterns above.
+_SIGN = r"[{<\[%$«@]|__|&lt;|goes here| HERE|_|\((?i:insert|enter|add|fill in|type|choose|select|your) "
+_CODE = r"(?s)```.*?(?:```|\z)|``[^\n]*?``|`[^`\n]*`|(?i:<(code|pre)\b.*?</\1>)"
 
-#: What stands around a page and says nothing: menus, breadcrumbs, imprint lines.
-FURNITURE = regex.compile(
-    r"(?i)(?:skip to (?:main )?content|menu|log ?in|log ?out|sign (?:in|up)|contact(?: us)?|home|search|help|about(?: us)?|impressum|datenschutz|privacy(?: policy)?|terms(?: of (?:use|service))?|cookie (?:policy|settings)|all rights reserved|back to top|share|print|©.*|\(c\) .*|[^|>.\n]{1,30}(?: [|>»›·] [^|>.\n]{1,30})+)"
-)
-_ERROR = r"""
-(?:page|seite|página|document|dokument|documento|resource|ressource|recurso|record|file|site|structure)\b.{0,60}?\b(?:not\ found|nicht\ gefunden|no\ encontrad[ao]|introuvable|could\ not\ be\ (?:located|found)|cannot\ be\ found|ya\ no\ existe|existiert\ nicht|n.existe\ pas|n.existe\ plus|never\ existed|wandered\ off|no\ longer\ exists?|does\ not\ exist|withdrawn)
-|^(?:http|error|fehler|erreur|status|code)?\W{0,3}[45]\d\d\b(?!\W*(?:residues|models|runs|pairs|entries|contacts))
-|\b(?:not\ found|bad\ gateway|gateway\ time-?out|service\ unavailable|temporarily\ unavailable|too\ many\ requests|forbidden|access\ denied|zugriff\ verweigert|accès\ refusé|acceso\ denegado|unauthorized|internal\ server\ error|interner\ (?:server-?)?fehler|erreur\ interne|error\ interno|internal\ error|database\ connection|connection\ (?:failed|refused|timed\ out|reset)|request\ (?:could\ not\ be\ completed|timed\ out|failed)|rate\ limit|server\ (?:sent|returned|needed|took|is\ not)|backend\ (?:needed|did|is))\b
-|contact\ the\ (?:site\ )?administrator|permission\ to\ (?:view|access|see)|session\ (?:has\ )?expired|sitzung\ ist\ abgelaufen|sign\ in\ (?:again\ )?to\ continue|log\ in\ (?:again\ )?to\ continue|checking\ your\ (?:connection|browser)|verify(?:ing)?\ (?:that\ )?you\ are\ (?:a\ )?human|captcha|down\ for\ maintenance|under\ maintenance|wartungsarbeiten|back\ soon|something\ went\ wrong|an\ error\ (?:has\ )?occurred|ein\ fehler\ ist\ aufgetreten|try\ again|retry\ after|réessayez|versuchen\ sie\ es|inténtelo|vuelva\ a\ intentar|go\ back\ to\ the\ (?:start|home)|^oops\b|traceback\ \(most\ recent|^\s*file\ "[^"]+",\ line|^\w*(?:error|exception)\b\s*[:(]|\bray\ [0-9a-f]{6,}
-"""
-_SCRIPT = r"""
-(?:javascript|\bscripts?\b|\bscripting\b|\bskripte?\b|\bcookies\b).{0,80}?\b(?:enabled?|enabling|disabled|turn(?:ed)?\ on|turned\ off|switched\ off|is\ off|off\b|must\ be|required?|needed|allow(?:ed)?|activ\w+|aktivieren|geladen|blocked)
-|\b(?:enable|enabling|turn\ on|activate|allow|activez?|activer|active|aktivieren|requires?|needs?|without|ohne|sans|sin|run)\b.{0,40}?(?:javascript|\bscripts?\b|\bscripting\b|\bskripte?\b)
-|\bjavascript\b.{0,60}\b(?:reload|refresh)|browser\ (?:has\ it|does\ not\ run)|switched\ off|enable\ it\ and\ reload
-"""
-_FILLER = r"""
-\blorem\b|\bipsum\b|\bblindtext\b|\btexte\ factice\b|\btexto\ de\ relleno\b|\b(?:dummy|sample|placeholder|filler|example)\ (?:text|copy|paragraph|content)\b|\bblah\ blah\b|\basdf\b|\bqwer|\bx{3,}\b.*\bx{2,}\b|\bto\ be\ supplied\b|\b(?:type|write|enter)\ your\ \w+\ (?:in\ this|here)|\bclick\ to\ (?:add|edit)\b|\btext\ goes\ (?:in|here)|only\ to\ show\ where|\breplace\ this\b.{0,30}\btext\b|en\ attendant\ la\ version|hasta\ que\ llegue|\bfoo\ bar\b|\bhello\ world\b|\bthe\ quick\ brown\ fox\b
-"""
-SIGNALS = {k: regex.compile(p, regex.I | regex.X) for k, p in (("error", _ERROR), ("script", _SCRIPT), ("filler", _FILLER))}
+#: Coded names (of proteins, systems, runs): a token with letters and digits. Words: tokens of letters only.
+_CODED = r"(?<![a-z0-9])(?=[a-z]*[0-9])(?=[0-9]*[a-z])[a-z0-9]{5,}"
+_PLAIN = r"(?<![\p{L}\p{N}])\p{L}++(?!\p{N})"
+_STOPS = (".", "!", "?", "…")
 
-#: Words of the usual dummy Latin.
-LATIN = frozenset("ad adipiscing aliqua aliquip amet anim aute cillum commodo consectetur consequat culpa cupidatat deserunt do dolor dolore duis ea eiusmod elit enim esse est et eu ex excepteur exercitation fugiat id in incididunt ipsum irure labore laboris laborum lorem magna minim mollit nisi non nostrud nulla occaecat officia pariatur proident qui quis reprehenderit sed sint sit sunt tempor ullamco ut velit veniam voluptate".split())
 
-_SENTENCE = regex.compile(r"(?<=[.!?…])\s+|\n+")
-_TOKEN = regex.compile(r"[^\W_]+")
-#: Names of proteins, systems and runs: codes of letters and digits. A sentence that names one speaks of something.
-_CODE_NAME = regex.compile(r"\b(?=[\w.-]*\d)(?=[\w.-]*[A-Za-z])[A-Za-z]+[A-Za-z0-9_]*\d[\w.-]*\b")
-_HEX = regex.compile(r"\b[0-9a-f]{6,}\b", regex.I)
-_MARKUP = regex.compile(r"</?[A-Za-z][^>\n]*>")
+def open_field(text: Column) -> Column:
+    """Whether a template field was left unfilled, outside of code spans."""
+    return F.when(text.rlike(_SIGN), F.regexp_replace(text, _CODE, " ").rlike(_FIELD)).otherwise(F.lit(False))
 
 
-def has_open_field(text: str) -> bool:
-    """Whether a template field was left unfilled, outside of code spans."""
-    return FIELD.search(CODE.sub(" ", text)) is not None
+def _all(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def _names(sentence: str) -> bool:
-    return any(not _HEX.fullmatch(m) for m in _CODE_NAME.findall(sentence) if len(m) >= 5)
+def _lines(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\r\f "))), lambda x: x != "")
 
 
-def page_profile(text: str, slug: str | None = None, longest: int = 20) -> dict:
-    """Title, body and signal words of one text.
+def _title_lines(lines: Column) -> Column:
+    """How many of the first lines are the title: those up to the first that holds a coded name, if none of them ends like a sentence and something follows."""
+    ends = lambda x: F.right(x, F.lit(1)).isin(*_STOPS)
+    first = F.array_position(F.transform(lines, lambda x: ends(x) | x.rlike("[a-z][0-9]|[0-9][a-z]")), True)
+    heads = (first > 0) & (first < F.size(lines)) & ~ends(F.element_at(lines, F.when(first > 0, first.cast("int")).otherwise(F.lit(1))))
+    return F.when(F.size(lines) == 0, 0).when(heads, first.cast("int")).otherwise(0)
 
-    Lines of furniture are dropped; a first line that ends without a stop is the title. The remaining
-    sentences are signals when they fit an error, script or filler pattern and name nothing that title or
-    address name, nor any coded name, and (errors and scripts) have at most `longest` words; the rest is content.
-    """
-    lines = [x.strip() for x in text.splitlines() if x.strip()]
-    lines = [x for x in lines if not FURNITURE.fullmatch(x)]
-    title: set[str] = set()
-    if len(lines) > 1 and lines[0][-1] not in ".!?…" and not any(p.search(lines[0]) for p in SIGNALS.values()):
-        head = lines.pop(0)
-        title = {w.lower() for w in _TOKEN.findall(head) if any(c.isdigit() for c in w)}
-    address = {w.lower() for w in _TOKEN.findall(slug or "") if len(w) > 3 and any(c.isdigit() for c in w)}
-    counts = {"error": 0, "script": 0, "filler": 0, "content": 0, "mentions": 0}
-    body: list[str] = []
-    met = False
-    for line in lines:
-        for sentence in _SENTENCE.split(line):
-            plain = _MARKUP.sub(" ", sentence).strip()
-            tokens = _TOKEN.findall(plain)
-            if not tokens:
-                continue
-            low = [t.lower() for t in tokens]
-            body.append("#" if _names(plain) else " ".join("#" if any(c.isdigit() for c in t) else t for t in low))
-            named = _names(plain) or not (title | address).isdisjoint(low)
-            met |= named
-            kind = "content"
-            if not named:
-                if sum(t in LATIN for t in low) > 0.6 * len(low) or (len(low) >= 4 and len(set(low)) <= len(low) // 3):
-                    kind = "filler"  # dummy Latin, or a word or two again and again
-                else:
-                    kind = next((k for k, p in SIGNALS.items() if p.search(plain) or p.search(sentence)), "content")
-                    if kind in ("error", "script") and len(low) > longest:  # notices are short; a long sentence says more
-                        kind = "content"
-                        counts["mentions"] += 1
-            counts[kind] += len(tokens)
-    return counts | {"names_met": met, "skeleton": " / ".join(body)}
-
-
-def low_information(profile: dict, most_content: int = 16) -> str | None:
-    """The kind of a page that stands in place of content, or None."""
-    signal = {k: profile[k] for k in ("error", "script", "filler")}
-    total = sum(signal.values())
-    if total and not profile["names_met"] and profile["content"] <= min(most_content, max(8, 1.5 * total)):
-        return max(signal, key=signal.get)
-    return None
-
-
-_EVIDENCE = "doc_id bigint, host string, placeholder boolean, kind string, weak boolean, skeleton bigint, n_words int"
-
-
-def page_evidence(documents: DataFrame) -> DataFrame:
-    """One row per document with a text: open fields, kind of low-information page, and the body's skeleton."""
-
-    def inspect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
-        for batch in batches:
-            rows = []
-            for doc, text, host in zip(batch["doc_id"], batch["text"], batch["host"], strict=True):
-                profile = page_profile(text, host)
-                signal = profile["error"] + profile["script"] + profile["filler"]
-                n = signal + profile["content"]
-                weak = bool(n and not profile["names_met"])
-                digest = xxhash.xxh3_64_intdigest(profile["skeleton"]) - (1 << 63)
-                rows.append((doc, host, has_open_field(text), low_information(profile), weak and signal + profile["mentions"] > 0, digest, n))
-            yield pd.DataFrame(rows, columns=["doc_id", "host", "placeholder", "kind", "weak", "skeleton", "n_words"])
-
-    rows = documents.select("doc_id", "text", F.concat_ws(" ", F.lower("source"), "system_id").alias("host")).where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    return spread(rows).mapInPandas(inspect, _EVIDENCE)
-
-
-def residue(documents: DataFrame, repeats: int = 4, hosts: int = 3, short: int = 40, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, reason, n_alike, n_hosts): documents to exclude, and why.
-
-    Three kinds of evidence. "field": a template field stands unfilled outside of code, even in a good
-    text. "error", "script" and "filler": after furniture and title are taken away, hardly anything is left
-    but sentences of that kind, and none of them names what the title or the address (source and
-    system_id, the nearest thing to an address here) name. "duplicate": a short body with such
-    sentences, naming nothing of its title or address, whose skeleton (codes and figures masked) stands at
-    least `repeats` times at `hosts` different addresses. Skeletons are counted over all documents.
-
-    Null, empty and blank texts are no case. Equal documents are reported each.
+
+def page_terms(documents: DataFrame) -> DataFrame:
+    """One row per document with a text: address, open field, coded names of title and body, and the body's words, all in lower case."""
+    rows = documents.where("doc_id IS NOT NULL AND text IS NOT NULL AND trim(text) <> ''")
+    rows = rows.select(
+        "doc_id", F.lower("source").alias("site"), F.concat_ws(" ", F.lower("source"), F.lower("system_id")).alias("host"), F.xxhash64("text").alias("text_hash"), open_field(F.col("text")).alias("field"), _lines(F.lower("text")).alias("lines")
+    )
+    rows = rows.withColumn("k", _title_lines(F.col("lines")))
+    body = F.array_join(F.slice("lines", F.col("k") + 1, F.greatest(F.size("lines") - F.col("k"), F.lit(0))), "\n")
+    rows = rows.select("doc_id", "site", "host", "text_hash", "field", F.array_join(F.slice("lines", F.lit(1), F.col("k")), "\n").alias("title"), body.alias("body"))
+    title = F.array_union(_all(F.col("title"), _CODED), F.filter(_all(F.col("host"), "[a-z0-9]{4,}"), lambda x: x.rlike("[0-9]")))
+    return rows.select("doc_id", "site", "host", "text_hash", "field", title.alias("title_codes"), F.array_distinct(_all(F.col("body"), _CODED)).alias("codes"), _all(F.col("body"), _PLAIN).alias("words"))
+
+
+def _naming(pages: DataFrame) -> DataFrame:
+    """doc_id of the pages whose body names something: what its title or address names, or what another, different text names as well."""
+    own = pages.where(F.arrays_overlap("codes", "title_codes")).select("doc_id")
+    each = pages.select("doc_id", "text_hash", F.explode("codes").alias("code"))
+    titles = pages.select("text_hash", F.explode("title_codes").alias("code"))
+    spoken = each.select("code", "text_hash").unionByName(titles.select("code", "text_hash")).groupBy("code").agg((F.min("text_hash") < F.max("text_hash")).alias("elsewhere")).where("elsewhere")
+    return own.unionByName(each.join(spoken, "code", "left_semi").select("doc_id")).distinct()
+
+
+def residue(documents: DataFrame, hosts: int = 2, rounds: int = 3, monotone: float = 3.0, scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, reason, n_alike, n_hosts, evidence): documents to exclude, and why.
+
+    "field": a template field stands unfilled outside of code, even in a good text.
+
+    All other reasons concern pages whose body names nothing: no coded name of its title or address, and none
+    that a different text names too (a request number stands in one text only). The words of such a page, the
+    number of addresses at which a body of the same words stands, and its site are weighed: for each, how
+    often it occurs on pages in place of content against pages with content. Which of the nameless pages are
+    in place of content isn't known beforehand, so the classes are estimated in `rounds` rounds of
+    expectation and maximisation, starting with all of them; a page's own part in the counts is taken out
+    before it is weighed. Where the evidence (log odds) is above 0 the page is reported: as "duplicate" if
+    its body's words stand at `hosts` addresses or more, else as "mismatch". A body of at least four words whose effective
+    number of words (one over the chance that two of them are the same) is at most `monotone` is "repetition".
+    Address is source and system_id, the nearest thing to a URL here; site is the source.
+
+    n_alike and n_hosts are counted over all documents: bodies of the same words, and their addresses. Null, empty and blank
+    texts, and bodies without a word, are no case. Equal documents are reported each. No length limits anything.
     """
-    scratch = scratch or Scratch(documents.sparkSession, "residue")
-    seen = scratch.save(page_evidence(documents), "evidence")
-    low = seen.where(F.col("weak") & (F.col("n_words") <= short))
-    alike = low.groupBy("skeleton", "host").agg(F.count("*").alias("n")).groupBy("skeleton").agg(F.sum("n").alias("n_alike"), F.count("*").alias("n_hosts"))
-    judged = seen.join(alike, "skeleton", "left")
-    again = F.col("weak") & (F.col("n_words") <= short) & (F.col("n_alike") >= repeats) & (F.col("n_hosts") >= hosts)
-    reason = F.when(F.col("placeholder"), "field").when(F.col("kind").isNotNull(), F.col("kind")).when(again, "duplicate")
-    return judged.select("doc_id", reason.alias("reason"), F.coalesce("n_alike", F.lit(0)).alias("n_alike"), F.coalesce("n_hosts", F.lit(0)).alias("n_hosts")).where("reason IS NOT NULL")
+    spark = documents.sparkSession
+    scratch = scratch or Scratch(spark, "residue")
+    pages = scratch.save(page_terms(documents).withColumn("skeleton", F.xxhash64(F.array_sort(F.array_distinct("words")))), "pages")
+    naming = scratch.save(_naming(pages), "naming")
+    alike = pages.where(F.size("words") > 0).groupBy("skeleton", "host").agg(F.count("*").alias("n")).groupBy("skeleton").agg(F.sum("n").alias("n_alike"), F.count("*").alias("n_hosts"))
+
+    mute = pages.where(F.size("words") > 0).join(naming, "doc_id", "left_anti")
+    mute = scratch.save(mute.join(alike, "skeleton").select("doc_id", "site", "words", "n_alike", "n_hosts", "field"), "mute")
+    spread = F.when(F.col("n_hosts") >= hosts, F.array(F.lit("=hosts"))).otherwise(F.array().cast("array<string>"))
+    site = F.array(F.concat(F.lit("@"), F.coalesce("site", F.lit(""))))
+    terms = scratch.save(mute.select("doc_id", F.explode(F.concat(F.array_distinct("words"), spread, site)).alias("term")), "terms")
+
+    wanted = terms.select("term").distinct()
+    good = pages.where(F.size("words") > 0).join(naming, "doc_id", "left_semi").join(alike.where(F.col("n_hosts") >= hosts).select("skeleton", F.lit(True).alias("often")), "skeleton", "left")
+    good = good.select(F.explode(F.concat(F.array_distinct("words"), F.when(F.col("often"), F.array(F.lit("=hosts"))).otherwise(F.array().cast("array<string>")), site)).alias("term"))
+    counted = good.groupBy("term").agg(F.count("*").alias("n_good")).join(wanted, "term", "left_semi")
+    known = scratch.save(terms.groupBy("term").agg(F.count("*").alias("n_mute")).join(counted, "term", "left").fillna(0, ["n_good"]), "known")
+    n_good, n_mute = naming.count(), mute.count()
+
+    odds = mute.select("doc_id", F.lit(1.0).alias("p"), F.lit(0.0).alias("evidence"))
+    for k in range(rounds):
+        bad = float(odds.agg(F.sum("p")).first()[0] or 0.0)
+        weighed = terms.join(odds.select("doc_id", "p"), "doc_id")
+        share = weighed.groupBy("term").agg(F.sum("p").alias("t"))
+        rates = known.join(share, "term").select("term", "t", (F.col("n_good") + F.col("n_mute") - F.col("t")).alias("c"))
+        against = F.log((F.col("t") - F.col("p") + 0.5) / (F.lit(bad + 1) - F.col("p"))) - F.log((F.col("c") - 1 + F.col("p") + 0.5) / (F.lit(n_good + n_mute - bad) + F.col("p")))
+        total = weighed.join(rates, "term").groupBy("doc_id").agg(F.sum(against).alias("s"))
+        prior = math.log((bad + 1) / (n_mute - bad + 1))
+        evidence = F.col("s") + F.lit(prior)
+        odds = scratch.save(total.select("doc_id", (1 / (1 + F.exp(-evidence))).alias("p"), evidence.alias("evidence")), f"odds{k}")
+
+    each = mute.select("doc_id", F.explode("words").alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("square"))
+    same = each.where((F.col("n") >= 4) & (F.col("n") * F.col("n") <= F.lit(monotone) * F.col("square"))).select("doc_id", F.lit(True).alias("same"))
+    judged = mute.join(odds, "doc_id", "left").join(same, "doc_id", "left")
+    reason = F.when(F.col("same"), "repetition").when(F.col("evidence") > 0, F.when(F.col("n_hosts") >= hosts, "duplicate").otherwise("mismatch"))
+    pages_out = judged.where("NOT field").select("doc_id", reason.alias("reason"), "n_alike", "n_hosts", F.round("evidence", 3).alias("evidence")).where("reason IS NOT NULL")
+    open_fields = pages.where("field").select("doc_id", F.lit("field").alias("reason"), F.lit(1).cast("bigint").alias("n_alike"), F.lit(1).cast("bigint").alias("n_hosts"), F.lit(None).cast("double").alias("evidence"))
+    return pages_out.unionByName(open_fields)

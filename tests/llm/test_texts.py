@@ -140,61 +140,82 @@ HARMLESS = [
 ]
 
 
-@pytest.mark.parametrize("text", OPEN)
-def test_open_fields(text):
-    assert residue.has_open_field(text)
 
 
-@pytest.mark.parametrize("text", HARMLESS)
-def test_harmless_syntax(text):
-    assert not residue.has_open_field(text)
-
-
-BAD = {
-    "Start > Archive > Results\n404 Not Found\nThe page you asked for could not be located on this server.": "error",
-    "Seite nicht gefunden\nDie angeforderte Seite existiert nicht mehr.\nMenu\nLogin": "error",
-    "PAGE INTROUVABLE\nLE DOCUMENT DEMANDÉ N'EXISTE PAS OU A ÉTÉ DÉPLACÉ.": "error",
-    "Traceback (most recent call last):\n  File \"app.py\", line 4, in render\nKeyError: 'pair'": "error",
-    "Database connection failed. Contact the administrator and quote 1dcaa590.": "error",
-    "This viewer requires JavaScript. Your browser has it switched off.\n© the archive": "script",
-    "Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.": "script",
-    "<noscript>Your browser does not run scripts, so nothing can be shown here.</noscript>": "script",
-    "# Results for HUX1IFS64\nLorem ipsum dolor sit amet, tempor magna velit. Ipsum culpa irure.": "filler",
-    "Draft: TRQ_1\nBlindtext steht hier, bis der richtige Text geliefert wird.\nasdf asdf jkl qwer": "filler",
-}
-GOOD = [
-    "An internal server error stopped run 375; its 175 models of TRQ_416761.96 were recovered from the cache.",
-    "The interactive plot of AXHUB7 uses JavaScript; the static figure does not.",
-    "The curator saw a 502 bad gateway while fetching models of HUX00ABC1 and simply retried.",
-    "# Notes on TRQ_1\nThe predicted aligned error stays near 6.66 across the terminal arm if the partner is left out.",
-    "", " \n ",
-]
+def _documents(spark, rows):
+    return spark.createDataFrame([(*r, "clash") for r in rows], "doc_id bigint, text string, source string, system_id string, reason string")
+
 
+@pytest.fixture(scope="module")
+def open_fields(spark):
+    df = _documents(spark, [(k, t, "wiki", "SYS-1") for k, t in enumerate([*OPEN, *HARMLESS])])
+    return {r.text for r in df.where(residue.open_field(df["text"])).collect()}
 
-@pytest.mark.parametrize("text", BAD)
-def test_pages_in_place_of_content(text):
-    assert residue.low_information(residue.page_profile(text)) == BAD[text]
+
+@pytest.mark.parametrize("text", OPEN)
+def test_open_fields(open_fields, text):
+    assert text in open_fields
 
 
-@pytest.mark.parametrize("text", GOOD)
-def test_content_that_mentions(text):
-    assert residue.low_information(residue.page_profile(text)) is None
+@pytest.mark.parametrize("text", HARMLESS)
+def test_harmless_syntax(open_fields, text):
+    assert text not in open_fields
+
+
+NOTICES = [
+    "Start > Archive > Results\n404 Not Found\nThe page you asked for could not be located on this server.",
+    "Seite nicht gefunden\nDie angeforderte Seite existiert nicht mehr.\nMenu\nLogin",
+    "Zorbel frintap quindle.\nVosk emmeral tib, hapsort wembly.",  # no language at all: only the counts tell
+    "Database connection failed. Contact the administrator and quote 1dcaa59{k}.",
+    "This viewer requires JavaScript. Your browser has it switched off.\n© the archive",
+    "# Results for HUX1IFS{k}\nLorem ipsum dolor sit amet, tempor magna velit. Ipsum culpa irure.",
+]
+MENTIONS = [
+    "An internal server error stopped run 375; its 175 models of HUX00010 were recovered from the cache.",
+    "The interactive plot of HUX00011 uses JavaScript; the static figure does not.",
+    "# Notes on TRQ77X\nThe page says lorem ipsum, yet TRQ77X binds.",
+]
+
+
+def _content(n, seed=3):
+    """Pages that name what others name too, and a few that name nothing in the same words."""
+    rng = random.Random(seed)
+    verbs, things = ["binds", "touches", "leaves", "keeps", "moves", "loses"], ["the loop", "the groove", "a tight lid", "the second helix", "its linker", "the cap domain"]
+    ends = ["in the trimer", "after the upgrade", "when two copies are modelled", "in every batch", "as the plot shows"]
+    out = []
+    for k in range(n):
+        lines = [f"{'HUX%05d' % rng.randrange(40) if k % 11 and rng.random() < 0.8 else 'The partner'} {rng.choice(verbs)} {rng.choice(things)} {rng.choice(ends)}." for _ in range(rng.randrange(1, 6))]
+        out.append((" ".join(lines), rng.choice(["wiki", "forum", "Review"]), f"SYS-{rng.randrange(9):03d}"))
+    return out
 
 
 def test_residue_over_a_table(spark):
-    texts = [*BAD, *OPEN, *HARMLESS, *GOOD, None, "Good words. " * 20_000 + OPEN[0], list(BAD)[0]]
-    rows = [(k, t, "WIKI", f"SYS-{k % 5}", "clash") for k, t in enumerate(texts)]
-    got = {r.doc_id for r in residue.residue(spark.createDataFrame(rows, "doc_id bigint, text string, source string, system_id string, reason string")).collect()}
-    bad = {k for k, t in enumerate(texts) if t and (t in BAD or any(o in t for o in OPEN) and t not in HARMLESS)}
-    assert got == bad
-
-
-def test_duplicated_notices(spark):
-    """An unknown notice is caught when it stands at several addresses, a single one is not."""
-    notice = "The archive is moving to another building until the end of the season and this is all that can be said about it for the time being, sorry. Please try again."
-    rows = [(k, f"Results for HUX0000{k}\n{notice}", "wiki", f"SYS-00{k}") for k in range(6)] + [(9, "Please try again later with the other mask when the weather has become better and all of the boats are back in the small harbour.", "wiki", None)]
-    got = {r.doc_id: r.reason for r in residue.residue(spark.createDataFrame(rows, "doc_id bigint, text string, source string, system_id string")).collect()}
-    assert got == {k: "duplicate" for k in range(6)}
+    content = _content(400)
+    notices = [(t.replace("{k}", str(k)), "forum" if k % 2 else "WIKI", None if k == 3 else f"SYS-{k:03d}") for t in NOTICES for k in range(5)]
+    other = [(t, "wiki", "SYS-001") for t in MENTIONS] + [("", "wiki", None), (" \n ", "wiki", "x"), (None, None, None), ("12 34\n--", "wiki", "x"), ("The second helix leaves the loop in the trimer. " * 8_000, "wiki", "x")]
+    more = [("The second helix leaves the loop in the trimer. " * 8_000 + OPEN[0], "wiki", "x"), ("test test test test 123 test", None, None), (notices[0][0], "forum", "SYS-001")]
+    rows = [(k, *r) for k, r in enumerate(content + notices + other + more)]
+    got = {r.doc_id: r for r in residue.residue(_documents(spark, rows)).collect()}
+    n, m = len(content), len(content) + len(notices)
+    bad = {*range(n, m), *range(m + len(other), len(rows))}
+    assert set(got) == bad
+    assert got[m + len(other)].reason == "field" and got[m + len(other) + 1].reason == "repetition"
+    assert got[n].reason == "duplicate" and got[n].n_alike == 6 and got[n].n_hosts >= 5
+
+
+def test_evidence_decides(spark):
+    """A notice in no known words is found by its counts; where pages with content use the same words and it stands at one address, or the page names what others name, it is none."""
+    content, notice = _content(300), NOTICES[2]
+    rows = [*content, *((notice, "wiki", f"SYS-{k:03d}") for k in range(4)), (notice.split("\n")[0], "forum", "SYS-008")]
+    found = {r.doc_id: r.reason for r in residue.residue(_documents(spark, [(k, *r) for k, r in enumerate(rows)])).collect()}
+    assert found == {300: "duplicate", 301: "duplicate", 302: "duplicate", 303: "duplicate", 304: "mismatch"}
+    mixed = [(f"{t} {notice}", s, y) for t, s, y in content]
+    apart = residue.residue(_documents(spark, [(k, *r) for k, r in enumerate(mixed + rows[300:304])]))
+    assert {r.doc_id: r.reason for r in apart.collect()} == {k: "duplicate" for k in range(300, 304)}  # still one body at four addresses
+    together = [(notice, "wiki", "SYS-000")] * 4
+    assert residue.residue(_documents(spark, [(k, *r) for k, r in enumerate(mixed + together)])).count() == 0
+    named = [*content, *((f"{notice} HUX00007.", "wiki", f"SYS-{k:03d}") for k in range(4))]
+    assert residue.residue(_documents(spark, [(k, *r) for k, r in enumerate(named)])).count() == 0
 
 
 def test_empty_table(spark):
