@@ -43,7 +43,8 @@ _FIELDS = (
 )
 _FIELD = "(?U)" + "|".join(_FIELDS)
 #: What every text with a field holds; few others do, and only those pay for the patterns above.
-_SIGN = r"[{<\[%$«@]|__|&lt;|goes here| HERE|_|\((?i:insert|enter|add|fill in|type|choose|select|your) "
+_SIGNS = ("{", "<", "[", "%", "$", "«", "@@", "__", "&lt;", " HERE", "REPLACE_", "CHANGE_", "FILL_", "INSERT_", "EDIT_")
+_BRACKET = r"(?i)\((?:insert|enter|add|fill in|type|choose|select|your|[^()]{1,60} goes here)"
 _CODE = r"(?s)```.*?(?:```|\z)|``[^\n]*?``|`[^`\n]*`|(?i:<(code|pre)\b.*?</\1>)"
 
 #: Coded names (of proteins, systems, runs): a token with letters and digits. Words: tokens of letters only.
@@ -54,7 +55,10 @@ _STOPS = (".", "!", "?", "…")
 
 def open_field(text: Column) -> Column:
     """Whether a template field was left unfilled, outside of code spans."""
-    return F.when(text.rlike(_SIGN), F.regexp_replace(text, _CODE, " ").rlike(_FIELD)).otherwise(F.lit(False))
+    signs = text.contains("(") & text.rlike(_BRACKET)
+    for sign in _SIGNS:
+        signs = text.contains(sign) | signs
+    return F.when(signs, F.regexp_replace(text, _CODE, " ").rlike(_FIELD)).otherwise(F.lit(False))
 
 
 def _all(text: Column, pattern: str) -> Column:
