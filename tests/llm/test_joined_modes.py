@@ -27,3 +27,32 @@ def test_joined_leaves_keep_the_limit(spark):
         clusters.setdefault(r.cluster_id, []).append(set(chain[r.record - 1]))
     assert sum(map(len, clusters.values())) == len(chain)
     assert all(2 * len(x & y) >= len(x | y) for c in clusters.values() for x in c for y in c)
+
+
+def _overlapping(n, seed=8):
+    """Sets of one pair that are not separated: windows on a ring with cells dropped, and a compact lot of many different sets."""
+    rng = np.random.default_rng(seed)
+    ring = [sorted({int((at + k) % 90) for k in range(14) if rng.random() < 0.8} | {int(at)}) for at in rng.integers(0, 90, n)]
+    core = list(range(200, 240))
+    lot = [core[:k] + core[k + 1 :] for k in range(30)]
+    return ring + lot
+
+
+def test_clusters_do_not_depend_on_the_node_limit(spark, monkeypatch):
+    """Data without gaps: the same clusters and distances whether nodes are split in memory or across the cluster, with blocks of any size."""
+    sets = _overlapping(150)
+    df = spark.createDataFrame([(i, "A", "B", s) for i, s in enumerate([*sets, *sets[:20]], 1)], SETS)
+    got = {}
+    for limit, block in ((4000, 2000), (60, 2000), (12, 7)):
+        monkeypatch.setattr(cm, "BLOCK", block)
+        got[limit] = {r.record: (r.cluster_id, round(r.centre_distance, 6)) for r in cm.similarity_clusters(df, node_limit=limit).collect()}
+    assert len(got[4000]) == 200
+    assert got[60] == got[4000]
+    assert got[12] == got[4000]
+    assert len({c for c, _ in got[4000].values()}) > 5
+    lot = {got[4000][k][0] for k in range(151, 181)}
+    assert len(lot) == 1  # compact: not split although it has more sets than the limit
+    members = {}
+    for k, (c, _) in got[4000].items():
+        members.setdefault(c, []).append(set((sets + sets[:20])[k - 1]))
+    assert all(2 * len(x & y) >= len(x | y) for m in members.values() for x in m for y in m)
