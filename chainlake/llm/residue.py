@@ -124,18 +124,20 @@ def residue(documents: DataFrame, hosts: int = 2, rounds: int = 3, monotone: flo
     naming = scratch.save(_naming(pages), "naming")
     alike = pages.where(F.size("words") > 0).groupBy("skeleton", "host").agg(F.count("*").alias("n")).groupBy("skeleton").agg(F.sum("n").alias("n_alike"), F.count("*").alias("n_hosts"))
 
-    mute = pages.where(F.size("words") > 0).join(naming, "doc_id", "left_anti")
-    mute = scratch.save(mute.join(alike, "skeleton").select("doc_id", "site", "words", "n_alike", "n_hosts", "field"), "mute")
-    spread = F.when(F.col("n_hosts") >= hosts, F.array(F.lit("=hosts"))).otherwise(F.array().cast("array<string>"))
+    worded = pages.where(F.size("words") > 0)
+    nameless = scratch.save(worded.select("doc_id").join(naming, "doc_id", "left_anti"), "nameless")  # written, so that the planner knows its size before it moves words
+    mute = worded.join(nameless, "doc_id", "left_semi").join(alike, "skeleton").select("doc_id", "site", "words", "n_alike", "n_hosts", "field")
+    mute = scratch.save(mute, "mute")
     site = F.array(F.concat(F.lit("@"), F.coalesce("site", F.lit(""))))
+    spread = F.when(F.col("n_hosts") >= hosts, F.array(F.lit("=hosts"))).otherwise(F.array().cast("array<string>"))
     terms = scratch.save(mute.select("doc_id", F.explode(F.concat(F.array_distinct("words"), spread, site)).alias("term")), "terms")
 
-    wanted = terms.select("term").distinct()
-    good = pages.where(F.size("words") > 0).join(naming, "doc_id", "left_semi").join(alike.where(F.col("n_hosts") >= hosts).select("skeleton", F.lit(True).alias("often")), "skeleton", "left")
-    good = good.select(F.explode(F.concat(F.array_distinct("words"), F.when(F.col("often"), F.array(F.lit("=hosts"))).otherwise(F.array().cast("array<string>")), site)).alias("term"))
-    counted = good.groupBy("term").agg(F.count("*").alias("n_good")).join(wanted, "term", "left_semi")
-    known = scratch.save(terms.groupBy("term").agg(F.count("*").alias("n_mute")).join(counted, "term", "left").fillna(0, ["n_good"]), "known")
-    n_good, n_mute = naming.count(), mute.count()
+    every = worded.select(F.explode(F.concat(F.array_distinct("words"), site)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    many = alike.where(F.col("n_hosts") >= hosts).agg(F.coalesce(F.sum("n_alike"), F.lit(0)).alias("n")).select(F.lit("=hosts").alias("term"), "n")
+    here = terms.groupBy("term").agg(F.count("*").alias("n_mute"))
+    known = scratch.save(here.join(every.unionByName(many), "term").select("term", "n_mute", (F.col("n") - F.col("n_mute")).alias("n_good")), "known")
+    n_mute = mute.count()
+    n_good = worded.count() - n_mute
 
     odds = mute.select("doc_id", F.lit(1.0).alias("p"), F.lit(0.0).alias("evidence"))
     for k in range(rounds):
