@@ -43,6 +43,45 @@ def test_packing_is_tight_and_whole(spark):
     assert sum(fill.values()) / 2048 / len(fill) > 0.97
 
 
+def test_every_limit_binds(spark):
+    """The production limits are kept, and lifting any of them changes the containers."""
+    rng = random.Random(9)
+    rows = [(k, int(rng.lognormvariate(4.5, 1.4)) + 1) for k in range(4000)] + [(5000 + k, n) for k, n in enumerate(range(1900, 2049, 4))]
+    df = spark.createDataFrame(rows, "doc_id bigint, n_tokens int").cache()
+
+    def bins(**limits):
+        by = {}
+        for r in packing.pack(df, **limits).collect():
+            by.setdefault(r.context_id, []).append((r.doc_id, r.n_tokens))
+        return by
+
+    made = bins()
+    for held in made.values():
+        sizes = [n for _, n in held]
+        assert sum(sizes) <= 2048 and len(sizes) <= 32
+        assert sum(n * n for n in sizes) <= 0.875 * 2048**2 or len(sizes) == 1
+    whole = {frozenset(x) for x in made.values()}
+    no_attention, no_documents = bins(attention=1.0), bins(max_documents=10**6)
+    assert any(len(x) > 1 and sum(n * n for _, n in x) > 0.875 * 2048**2 for x in no_attention.values())
+    assert any(len(x) > 32 for x in no_documents.values())
+    assert whole != {frozenset(x) for x in no_attention.values()} and whole != {frozenset(x) for x in no_documents.values()}
+    bound = -(-sum(n for _, n in rows) // 2048)
+    assert len(made) <= 1.06 * bound  # of tokens alone; the large items stand alone for their attention cost
+
+
+@pytest.mark.skipif(not os.path.exists(packing.TOKENIZER), reason="no tokenizer files")
+def test_pieces_count_like_whole_texts():
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(packing.TOKENIZER)
+    model.encode_special_tokens = True
+    rng = random.Random(3)
+    alphabet = "abcXYZ 019 \t\n\r\x0b\x1c\x1f'’s.,<|>-_éß漢字\u00a0\u2009\u0301\u200b🙂"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 80))) for _ in range(3000)] + ["it's we'll I'M 'tis", "<|endoftext|>", " " * 5000, "a" * 5000, ""]
+    for held in (1 << 20, 50):
+        assert packing.text_lengths(packing.TOKENIZER, held)(texts) == [len(e.ids) for e in model.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_nothing_to_pack(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id bigint, n_tokens int")).count() == 0
 
