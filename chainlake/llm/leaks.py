@@ -12,7 +12,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 import unicodedata
@@ -42,9 +41,10 @@ def windows(n: int, run: int) -> list[tuple[int, int]]:
 
 
 class Items:
-    """A block of test items: their words as numbers, passages, and the runs that give each away.
+    """The test items: their words as numbers, passages, and the runs that give each away.
 
-    Sent to every task, so its size is bounded: leaking_documents() takes the items in blocks.
+    The items are a stated query set. All share one vocabulary, one table of word weights and one latent space;
+    block() gives the part whose passages and runs one search holds in memory.
     """
 
     def __init__(self, rows: list[tuple[int, str]], run: int):
@@ -54,42 +54,52 @@ class Items:
         self.vocabulary: dict[str, int] = {}
         self.ids = np.array([i for i, _ in texts], dtype=np.int64)
         self.words = [np.array([self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w], dtype=np.int64) for _, w in texts]
-        self.runs: dict[int, dict[bytes, list[int]]] = {}
         self.passages: list[np.ndarray] = []
         owner = []
         for k, w in enumerate(self.words):
-            size = min(run, len(w))
-            table = self.runs.setdefault(size, {})
-            for s in range(len(w) - size + 1):
-                held = table.setdefault(w[s : s + size].tobytes(), [])
-                if not held or held[-1] != k:
-                    held.append(k)
             for s, e in windows(len(w), run):
                 self.passages.append(w[s:e])
                 owner.append(k)
         self.owner = np.array(owner, dtype=np.int64)
         self.shortest = min((len(w) for w in self.words), default=run)
-        backwards = [None] * len(self.vocabulary)
+        self.answer = np.zeros(len(self.vocabulary), dtype=bool)  # figures and coded names: words with a digit
         for x, k in self.vocabulary.items():
-            backwards[k] = x
-        self.answer = np.array([any(c.isdigit() for c in x) for x in backwards], dtype=bool)  # figures and names of subunits
-
-        # runs as sums of their words times fixed odd numbers: a quick test of many stretches at once
-        self.factors = np.random.default_rng(7).integers(1, 1 << 63, run, dtype=np.uint64) | np.uint64(1)
-        self.sums = {n: np.unique((np.stack([np.frombuffer(r, dtype=np.int64) for r in t]).astype(np.uint64) + np.uint64(1)) @ self.factors[:n]) for n, t in self.runs.items() if t}
+            self.answer[k] = any(c.isdigit() for c in x)
+        self.runs: dict[int, dict[bytes, list[int]]] = {}
+        self.sums: dict[int, np.ndarray] = {}
 
     def __len__(self) -> int:
         return len(self.ids)
 
-    def shared_runs(self, passages: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
+    def least_words(self, share: float) -> int:
+        """A stretch of fewer item words than this holds neither a run nor the subsequence of a paraphrase of any item."""
+        return min([self.run, self.shortest, *(math.ceil(share * len(p)) for p in self.passages)])
+
+    def block(self, start: int, stop: int) -> Items:
+        """Items start..stop with their runs; vocabulary and numbers stay the same."""
+        part = object.__new__(Items)
+        part.run, part.vocabulary, part.answer, part.ids, part.words = self.run, self.vocabulary, self.answer, self.ids[start:stop], self.words[start:stop]
+        mine = np.flatnonzero((self.owner >= start) & (self.owner < stop))
+        part.passages, part.owner = [self.passages[k] for k in mine], self.owner[mine] - start
+        part.runs = {}
+        for k, w in enumerate(part.words):
+            size = min(self.run, len(w))
+            table = part.runs.setdefault(size, {})
+            for s in range(len(w) - size + 1):
+                held = table.setdefault(w[s : s + size].tobytes(), [])
+                if not held or held[-1] != k:
+                    held.append(k)
+        # runs as sums of their words times fixed odd numbers: a quick test of many stretches at once
+        part.factors = np.random.default_rng(7).integers(1, 1 << 63, self.run, dtype=np.uint64) | np.uint64(1)
+        part.sums = {n: np.unique((np.stack([np.frombuffer(r, dtype=np.int64) for r in t]).astype(np.uint64) + np.uint64(1)) @ part.factors[:n]) for n, t in part.runs.items() if t}
+        return part
+
+    def shared_runs(self, wide: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """Passage, place and length of stretches that may be a run of an item: none is missed, equal sums are to be looked up."""
-        if not passages:
+        if not len(wide):
             return
-        wide = np.full((len(passages), max(map(len, passages))), -1, dtype=np.int64)
-        for r, t in enumerate(passages):
-            wide[r, : len(t)] = t
         known = np.concatenate([np.zeros((len(wide), 1), dtype=np.int64), np.cumsum(wide >= 0, axis=1)], axis=1)
-        plus = (wide + 1).astype(np.uint64)
+        plus = (wide.astype(np.int64) + 1).astype(np.uint64)
         for size, sums in sorted(self.sums.items()):
             n = wide.shape[1] - size + 1
             if n < 1:
@@ -102,56 +112,101 @@ class Items:
                 yield r, k, size
 
 
-def document_passages(documents: DataFrame, items: Items, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, terms, around): passages of the documents' whole texts as numbers of item words (-1: no word of any item), alone and with `run` words on either side.
-
-    A passage with fewer item words than the shortest run that can give an item away cannot hold a
-    leak, and is left out. Null and empty texts have no passage.
-    """
-    vocabulary, run, need = items.vocabulary, items.run, min(items.run, items.shortest)
+def document_terms(documents: DataFrame, items: Items, least: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, terms): the documents' whole texts as numbers of item words (-1: no word of any item). Documents with fewer than `least` item words are left out; null and empty texts have no row."""
+    vocabulary = items.vocabulary
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = vocabulary.get
         for batch in batches:
-            out_key, out_terms, out_around = [], [], []
-            for k, t in zip(batch["key"], batch["text"], strict=True):
-                terms = np.array([vocabulary.get(w, -1) for w in words(t)], dtype=np.int32)
-                if not len(terms):
-                    continue
-                known = np.concatenate([[0], np.cumsum(terms >= 0)])
-                for s, e in windows(len(terms), run):
-                    if known[e] - known[s] >= need:
-                        out_key.append(k)
-                        out_terms.append(terms[s:e])
-                        out_around.append(terms[max(0, s - run) : e + run])
-            yield pd.DataFrame({"key": pd.Series(out_key, dtype="int64"), "terms": pd.Series(out_terms, dtype=object), "around": pd.Series(out_around, dtype=object)})
+            keys, parts = [], []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                terms = np.array([get(w, -1) for w in words(t)], dtype=np.int32)
+                if np.count_nonzero(terms >= 0) >= least:
+                    keys.append(k)
+                    parts.append(terms)
+            if keys:
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in parts])]), pa.int32()), pa.array(np.concatenate(parts)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), lists], names=["key", "terms"])
 
     rows = documents.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).where("key IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    return spread(rows).mapInPandas(cut, "key bigint, terms array<int>, around array<int>")
+    return spread(rows).mapInArrow(number, "key bigint, terms array<int>")
 
 
-def _dense(terms: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of passages over the items' words, and one over each row's length (0 for rows without a word)."""
-    out = np.zeros((len(terms), len(idf)), dtype=np.float32)
-    row = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-    column = np.concatenate(terms) if len(terms) else np.empty(0, dtype=np.int64)
-    known = column >= 0
-    np.add.at(out, (row[known], column[known]), idf[column[known]].astype(np.float32))
-    length = np.sqrt(np.einsum("ij,ij->i", out, out))
-    return out, np.where(length > 0, 1 / np.maximum(length, 1e-12), 0).astype(np.float32)[:, None]
+class Passages:
+    """The passages of a batch of documents: 2 * run words every run words, as chunks of run words of which each is in two passages.
 
+    A passage with fewer than `least` item words in itself and the run words on either side cannot hold a leak, and is left out.
+    """
 
-def _blocks(terms: list[np.ndarray], idf: np.ndarray, cells: int = 1 << 22) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Start, weights and scales of stretches of passages, of at most so many cells; weights times scale are the TF-IDF rows."""
-    step = max(1, cells // len(idf))
-    for s in range(0, len(terms), step):
-        yield s, *_dense(terms[s : s + step], idf)
-
+    def __init__(self, terms: list[np.ndarray], run: int, least: int):
+        sizes = np.array([len(t) for t in terms])
+        n_chunks = -(-sizes // run)
+        n_passages = np.maximum(1, -(-(sizes - run) // run))
+        first = np.concatenate([[0], np.cumsum(n_chunks + 3)]) + 1  # an empty chunk before and two after each document
+        self.chunks = np.full((int(first[-1]) + 2, run), -1, dtype=np.int32)
+        flat = self.chunks.reshape(-1)
+        for k, t in enumerate(terms):
+            flat[first[k] * run : first[k] * run + len(t)] = t
+        self.row = np.repeat(np.arange(len(terms)), n_passages)
+        self.at = first[self.row] + np.arange(len(self.row)) - np.repeat(np.cumsum(n_passages) - n_passages, n_passages)
+        known = (self.chunks >= 0).sum(axis=1)
+        keep = known[self.at - 1] + known[self.at] + known[self.at + 1] + known[self.at + 2] >= least
+        self.row, self.at = self.row[keep], self.at[keep]
 
-def _gram_part(terms: list[np.ndarray], idf: np.ndarray, right: np.ndarray, onto: np.ndarray) -> None:
-    """Adds Aᵀ(A right) of the rows A of these passages to onto."""
-    right = right.astype(np.float32)
-    for _, rows, scale in _blocks(terms, idf):
-        onto += rows.T @ ((rows @ right) * scale**2)
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def words(self, which: np.ndarray | slice = slice(None), around: bool = False) -> np.ndarray:
+        """Term matrix of passages, or of the passages and their surroundings."""
+        at = self.at[which]
+        return np.concatenate([self.chunks[at + d] for d in ((-1, 0, 1, 2) if around else (0, 1))], axis=1)
+
+
+def _sum_rows(table: np.ndarray, chunks: np.ndarray, step: int = 512) -> np.ndarray:
+    """Sum of the table's rows that each chunk names; the table's last row is of zeros, for -1."""
+    out = np.zeros((len(chunks), table.shape[1]), dtype=np.float32)
+    held = np.empty((step, table.shape[1]), dtype=np.float32)
+    for s in range(0, len(chunks), step):
+        part = chunks[s : s + step]
+        onto = out[s : s + step]
+        for j in range(chunks.shape[1]):
+            onto += np.take(table, part[:, j], axis=0, out=held[: len(part)], mode="wrap")
+    return out
+
+
+def _lengths(wide: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """One over the length of each passage's TF-IDF row (0 for rows without a word)."""
+    order = np.sort(wide, axis=1)
+    weight = np.append(idf, 0.0).astype(np.float64)[order] ** 2
+    # equal words lie side by side: n of them weigh n² in the square of the length
+    square = np.zeros(len(wide))
+    same = np.ones(len(wide))
+    for j in range(order.shape[1]):
+        if j:
+            same = np.where(order[:, j] == order[:, j - 1], same + 1, 1)
+        square += weight[:, j] * (2 * same - 1) * (order[:, j] >= 0)
+    return np.where(square > 0, 1 / np.sqrt(np.maximum(square, 1e-24)), 0)
+
+
+def _gram_part(parts: Passages, idf: np.ndarray, table: np.ndarray, onto: np.ndarray) -> None:
+    """Adds Aᵀ(A right) of the TF-IDF rows A of these passages to onto; table holds the rows of right times idf, and zeros."""
+    scale = _lengths(parts.words(), idf)
+    sums = _sum_rows(table, parts.chunks)
+    y = (sums[parts.at] + sums[parts.at + 1]) * (scale**2)[:, None].astype(np.float32)
+    z = np.zeros_like(sums)
+    z[parts.at] += y  # no passage starts at the same chunk as another
+    z[parts.at + 1] += y
+    for s in range(0, len(z), 2048):
+        words_here = parts.chunks[s : s + 2048]
+        row, column = np.nonzero(words_here >= 0)
+        if not len(row):
+            continue
+        term = words_here[row, column]
+        order = np.argsort(term, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(term[order]) > 0]))
+        which = term[order][starts]
+        onto[which] += np.add.reduceat(z[s + row[order]], starts, axis=0) * idf[which][:, None]
 
 
 def _lists(col: pa.Array) -> list[np.ndarray]:
@@ -159,58 +214,68 @@ def _lists(col: pa.Array) -> list[np.ndarray]:
     return [flat[ends[k] : ends[k + 1]] for k in range(len(col))]
 
 
-def _summed(passages: DataFrame, shape: tuple[int, int], add) -> np.ndarray:
-    """The sum over all passages of what add(terms, onto) adds; partial sums meet in a tree, one matrix reaches the driver."""
+def _portions(terms: list[np.ndarray], most: int = 100_000) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Start and documents of stretches of about so many words, which bounds what a task holds."""
+    start, n = 0, 0
+    for k, t in enumerate(terms):
+        if n and n + len(t) > most:
+            yield start, terms[start:k]
+            start, n = k, 0
+        n += len(t)
+    if len(terms) > start:
+        yield start, terms[start:]
+
+
+def _summed(documents: DataFrame, shape: tuple[int, ...], add) -> np.ndarray:
+    """The sum over all documents of what add(terms, onto) adds. Each task's part is cut into stripes, which are summed by number, so no task gets all parts; one matrix reaches the driver."""
+    stripes = 16
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
         for batch in batches:
-            if batch.num_rows:
-                add(_lists(batch.column(0)), total)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
+            for _, terms in _portions(_lists(batch.column(0))):
+                add(terms, total)
+        for k, x in enumerate(np.array_split(total.reshape(-1), stripes)):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["k", "m"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape)
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for m in batch.column(0):
-                total += np.frombuffer(m.as_py()).reshape(shape)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
+            for k, m in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(m.as_buffer())
+                total[k] = total[k] + x if k in total else x.copy()
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["k", "m"])
+
+    merged = documents.select("terms").mapInArrow(part, "k int, m binary").repartition(stripes, "k").mapInArrow(merge, "k int, m binary")
+    held = {r["k"]: np.frombuffer(r["m"]) for r in merged.collect()}  # one row a stripe
+    return np.concatenate([held[k] for k in range(stripes)]).reshape(shape) if held else np.zeros(shape)
 
-    parts = passages.select("terms").mapInArrow(part, "m binary")
-    n = passages.rdd.getNumPartitions()
-    if n > 16:
-        parts = parts.repartition(max(1, math.isqrt(n))).mapInArrow(merge, "m binary")
-    total = np.zeros(shape)
-    for m in parts.repartition(1).mapInArrow(merge, "m binary").collect():  # coalesce(1) would pull the sums themselves into one task
-        total += np.frombuffer(m["m"]).reshape(shape)
-    return total
 
+def _table(idf: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return np.concatenate([idf[:, None] * right, np.zeros((1, right.shape[1]))]).astype(np.float32)
 
-def latent_space(passages: DataFrame, items: Items, idf: np.ndarray, rank: int = 256, over: int = 32, powers: int = 1, seed: int = 17) -> np.ndarray:
-    """Right singular vectors (vocabulary x rank) of the TF-IDF matrix of all passages, by randomised SVD.
 
-    Each power pass multiplies a random block by AᵀA over the distributed rows; the last pass takes the
-    small matrix (AQ)ᵀ(AQ), whose eigenvectors turn Q into the singular vectors.
+def latent_space(documents: DataFrame, items: Items, idf: np.ndarray, least: int, rank: int, over: int = 16, passes: int = 2, seed: int = 17) -> np.ndarray:
+    """Right singular vectors (vocabulary x rank) of the TF-IDF matrix A of all passages of documents and items, by randomised SVD.
+
+    Each pass multiplies an orthogonal block Q by AᵀA over the distributed rows. The last product Y = AᵀA Q gives the
+    vectors without another pass, by the published Nyström form AᵀA ≈ Y (QᵀY)⁻¹ Yᵀ with a small shift.
     """
-    v = len(items.vocabulary)
+    v, run = len(items.vocabulary), items.run
     width = min(v, rank + over)
     block = np.random.default_rng(seed).standard_normal((v, width))
-    for _ in range(powers + 1):
-        right = np.linalg.qr(block)[0]
-        total = _summed(passages, (v, width), lambda terms, onto, right=right: _gram_part(terms, idf, right, onto))
-        _gram_part(items.passages, idf, right, total)
-        block = total
-    q = np.linalg.qr(block)[0]
-
-    def small(terms: list[np.ndarray], onto: np.ndarray) -> None:
-        for _, rows, scale in _blocks(terms, idf):
-            y = (rows @ q.astype(np.float32)) * scale
-            onto += y.T @ y
-
-    gram = _summed(passages, (width, width), small)
-    small(items.passages, gram)
-    values, vectors = np.linalg.eigh(gram)
-    return q @ vectors[:, np.argsort(-values)[:rank]]
+    for _ in range(passes):
+        q = np.linalg.qr(block)[0]
+        table = _table(idf, q)
+        block = _summed(documents, (v, width), lambda terms, onto, table=table: _gram_part(Passages(terms, run, least), idf, table, onto))
+        _gram_part(Passages(items.words, run, 0), idf, table, block)
+    shift = 1e-7 * np.linalg.norm(block)
+    moved = block + shift * q
+    inner = q.T @ moved
+    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+    half = moved @ (vectors / np.sqrt(np.maximum(values, shift * 1e-3)))
+    return np.linalg.svd(half, full_matrices=False)[0][:, :rank]
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -224,8 +289,8 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return int(before[-1])
 
 
-def _search(items: Items, idf: np.ndarray, basis: np.ndarray, near: float, paraphrase: float, least: float):
-    """mapInArrow: documents' passages to (key, item, cosine, verbatim, subsequence share, answer).
+def _search(items: Items, idf: np.ndarray, basis: np.ndarray, near: float, paraphrase: float, share: float, least: int):
+    """mapInArrow: documents' terms to (key, item, cosine, verbatim, subsequence share).
 
     Passages of document and item can be out of step by half a run, so a paraphrase is tested on the words around the passage.
     """
@@ -234,46 +299,52 @@ def _search(items: Items, idf: np.ndarray, basis: np.ndarray, near: float, parap
     for c, p in enumerate(items.passages):
         wide[c, : len(p)] = p
     asked = np.append(items.answer, False)[wide]
+    table = _table(idf, basis)
 
     def unit(x: np.ndarray) -> np.ndarray:
-        return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        onto = basis.astype(np.float32)
-        targets = unit(np.concatenate([rows @ onto for _, rows, _ in _blocks(items.passages, idf)])).T.copy()
+        targets = unit(np.stack([table[p].sum(axis=0) for p in items.passages])).T.copy()
         firsts = np.flatnonzero(np.concatenate([[True], items.owner[1:] != items.owner[:-1]]))  # an item's passages are neighbours
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys, terms, around = batch.column(0).to_numpy(zero_copy_only=False), _lists(batch.column(1)), _lists(batch.column(2))
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
             found: dict[tuple[int, int], list] = {}
 
-            def note(key: int, item: int, cosine: float, verbatim: bool, share: float, answer: bool) -> None:
-                old = found.setdefault((key, item), [cosine, verbatim, share, answer])  # noqa: B023
-                old[:] = max(old[0], cosine), old[1] or verbatim, *max((old[2] * old[3], old[2], old[3]), (share * answer, share, answer))[1:]
-
-            for s, rows, _ in _blocks(terms, idf):
-                cosine = unit(rows @ onto) @ targets
-                best = np.maximum.reduceat(cosine, firsts, axis=1)  # of each item's passages
-                candidates = np.flatnonzero((best >= near).any(axis=1))
-                for r, k, size in items.shared_runs([terms[s + r] for r in candidates]):
-                    t, r = terms[s + candidates[r]].astype(np.int64), int(candidates[r])
-                    for o in items.runs[size].get(t[k : k + size].tobytes(), ()):
-                        if best[r, o] >= near:
-                            note(int(keys[s + r]), o, float(best[r, o]), True, 1.0, True)
-                for r in candidates.tolist():
-                    here = np.flatnonzero(cosine[r] >= paraphrase)
-                    there = np.zeros(len(items.vocabulary) + 1, dtype=bool)
-                    there[around[s + r][around[s + r] >= 0]] = True
-                    held = there[wide[here]]  # a common subsequence has no more words than are there at all
-                    for c in here[(held.sum(axis=1) >= least * lengths[here]) & (held | ~asked[here]).all(axis=1)].tolist():
-                        p = items.passages[c]
-                        note(int(keys[s + r]), int(items.owner[c]), float(cosine[r, c]), False, common_subsequence(around[s + r], p) / len(p), True)
+            def note(key: int, item: int, cosine: float, verbatim: bool, part: float) -> None:
+                old = found.setdefault((key, item), [cosine, verbatim, part])  # noqa: B023
+                old[:] = max(old[0], cosine), old[1] or verbatim, max(old[2], part)
+
+            for start, terms in _portions(_lists(batch.column(1))):
+                parts = Passages(terms, items.run, least)
+                sums = _sum_rows(table, parts.chunks)
+                for s in range(0, len(parts), 4096):
+                    at = parts.at[s : s + 4096]
+                    cosine = unit(sums[at] + sums[at + 1]) @ targets
+                    near_ones = np.flatnonzero(cosine.max(axis=1) >= near)
+                    cosine = cosine[near_ones]
+                    best = np.maximum.reduceat(cosine, firsts, axis=1)  # of each item's passages
+                    owners = keys[start + parts.row[s + near_ones]]
+                    mine = parts.words(s + near_ones)
+                    for r, k, size in items.shared_runs(mine):
+                        for o in items.runs[size].get(mine[r, k : k + size].astype(np.int64).tobytes(), ()):
+                            if best[r, o] >= near:
+                                note(int(owners[r]), o, float(best[r, o]), True, 1.0)
+                    alike = cosine >= paraphrase
+                    around = parts.words(s + near_ones, around=True)
+                    for r in np.flatnonzero(alike.any(axis=1)).tolist():
+                        here = np.flatnonzero(alike[r])
+                        there = np.zeros(len(items.vocabulary) + 1, dtype=bool)
+                        there[around[r][around[r] >= 0]] = True
+                        held = there[wide[here]]  # a common subsequence has no more words than are there at all
+                        for c in here[(held.sum(axis=1) >= share * lengths[here]) & (held | ~asked[here]).all(axis=1)].tolist():
+                            p = items.passages[c]
+                            note(int(owners[r]), int(items.owner[c]), float(cosine[r, c]), False, common_subsequence(around[r], p) / len(p))
             if found:
                 ks, vs = list(found), list(found.values())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for k, _ in ks], pa.int64()), pa.array([int(items.ids[o]) for _, o in ks], pa.int64()), *(pa.array([v[i] for v in vs]) for i in range(4))],
-                    names=["key", "item_id", "cosine", "verbatim", "share", "answer"],
+                    [pa.array([k for k, _ in ks], pa.int64()), pa.array([int(items.ids[o]) for _, o in ks], pa.int64()), *(pa.array([v[i] for v in vs]) for i in range(3))],
+                    names=["key", "item_id", "cosine", "verbatim", "share"],
                 )
 
     return run
@@ -283,7 +354,7 @@ def leaking_documents(
     documents: DataFrame,
     items: DataFrame,
     run: int = 13,
-    rank: int = 256,
+    rank: int = 128,
     near: float = 0.3,
     paraphrase: float = 0.3,
     share: float = 0.7,
@@ -294,35 +365,41 @@ def leaking_documents(
 
     kind is "verbatim" where document and item have `run` consecutive words in common (all words of a
     shorter item), else "paraphrase" where a passage is near by cosine (paraphrase; `near` at least) and it
-    with its neighbours shares `share` of the item passage's words as a common subsequence and holds all its figures and names. Word frequencies and the latent
-    space come from all passages of all documents. Items are a stated query set, taken in blocks of
-    block_items, so what is sent to the tasks is bounded. Null, empty and wordless texts leak nothing;
-    equal documents are reported each; no rows give no rows.
+    with its neighbours shares `share` of the item passage's words as a common subsequence and holds all its
+    answers (words with a digit: figures and coded names). Word frequencies and the latent
+    space come from all passages of all documents and of all items, so they do not depend on block_items, the number
+    of items whose passages a task holds at a time. The items are a stated query set whose words the driver holds.
+    Null, empty and wordless texts leak nothing; equal documents are reported each; no rows give no rows.
     """
     spark = documents.sparkSession
     scratch = scratch or Scratch(spark, "leaks")
+    rows = items.where("item_id IS NOT NULL").select("item_id", "text").orderBy("item_id", "text").collect()
+    every = Items([(r[0], r[1]) for r in rows], run)
+    if not len(every):
+        return spark.createDataFrame([], "doc_id bigint, item_id bigint, cosine double, kind string, subsequence_share double")
+    least = every.least_words(share)
+    terms = scratch.save(document_terms(documents, every, least), "terms", rows_per_file=5_000)  # much work a row: small files spread it
+    v = len(every.vocabulary)
+
+    def count(lists: list[np.ndarray], onto: np.ndarray) -> None:
+        parts = Passages(lists, run, least)
+        for s in range(0, len(parts), 4096):
+            order = np.sort(parts.words(slice(s, s + 4096)), axis=1)
+            new = np.concatenate([order[:, :1] >= 0, (order[:, 1:] != order[:, :-1]) & (order[:, 1:] >= 0)], axis=1)
+            onto[:v] += np.bincount(order[new], minlength=v)
+        onto[v] += len(parts)
+
+    frequency = _summed(terms, (v + 1,), count)
+    for p in every.passages:
+        frequency[np.unique(p)] += 1
+    total = frequency[v] + len(every.passages)
+    idf = np.log1p(total / (1 + frequency[:v]))
+    basis = latent_space(terms, every, idf, least, rank)
     found = None
-    ids = [r[0] for r in items.select("item_id").where("item_id IS NOT NULL").orderBy("item_id").collect()]
-    for start in range(0, len(ids), block_items):
-        chosen = ids[start : start + block_items]
-        rows = items.where(F.col("item_id").between(chosen[0], chosen[-1])).select("item_id", "text").orderBy("item_id", "text").collect()
-        block = Items([(r[0], r[1]) for r in rows], run)
-        if not len(block):
-            continue
-        passages = scratch.save(document_passages(documents, block), f"passages{start}", rows_per_file=50_000)  # much work a row: small files spread it
-        counts = passages.select(F.explode(F.array_distinct("terms")).alias("t")).where("t >= 0").groupBy("t").agg(F.count("*").alias("n")).collect()  # at most one row a word of the items
-        frequency = np.zeros(len(block.vocabulary))
-        for t, n in counts:
-            frequency[t] = n
-        for p in block.passages:
-            frequency[np.unique(p)] += 1
-        total = passages.count() + len(block.passages)
-        idf = np.log1p(total / (1 + frequency))
-        basis = latent_space(passages, block, idf, rank)
-        part = passages.mapInArrow(_search(block, idf, basis, near, max(near, paraphrase), share), "key bigint, item_id bigint, cosine double, verbatim boolean, share double, answer boolean")
+    for start in range(0, len(every), block_items):
+        search = _search(every.block(start, start + block_items), idf, basis, near, max(near, paraphrase), share, least)
+        part = terms.mapInArrow(search, "key bigint, item_id bigint, cosine double, verbatim boolean, share double")
         found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "doc_id bigint, item_id bigint, cosine double, kind string, subsequence_share double")
-    each = found.where(F.col("verbatim") | ((F.col("share") >= share) & F.col("answer")))
+    each = found.where(F.col("verbatim") | (F.col("share") >= share))
     each = each.groupBy("key", "item_id").agg(F.max("cosine").alias("cosine"), F.max("verbatim").alias("verbatim"), F.max("share").alias("subsequence_share"))
     return each.select(F.col("key").alias("doc_id"), "item_id", F.round("cosine", 4).alias("cosine"), F.when(F.col("verbatim"), "verbatim").otherwise("paraphrase").alias("kind"), "subsequence_share")
