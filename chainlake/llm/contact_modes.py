@@ -265,7 +265,7 @@ def _farness(cells: DataFrame, key: list[str]) -> DataFrame:
     centre = cells.groupBy(*key, "cell").agg(F.sum("weight").alias("s"))
     whole = cells.select(*key, "rep", "weight").distinct().groupBy(*key).agg(F.sum("weight").cast("double").alias("w"))
     norm = centre.groupBy(*key).agg(F.sum(F.col("s") * F.col("s")).cast("double").alias("norm")).join(whole, key)
-    dots = cells.join(centre, [*key, "cell"]).groupBy(*key, "rep").agg(F.count("*").cast("double").alias("size"), F.sum("s").cast("double").alias("dot"))
+    dots = cells.join(centre.hint("shuffle_hash"), [*key, "cell"]).groupBy(*key, "rep").agg(F.count("*").cast("double").alias("size"), F.sum("s").cast("double").alias("dot"))
     return dots.join(norm, key).select(*key, "rep", (F.col("size") - 2 * F.col("dot") / F.col("w") + F.col("norm") / (F.col("w") * F.col("w"))).alias("far"))
 
 
@@ -352,16 +352,16 @@ def _split_large(mine: DataFrame, alike: float, scratch: Scratch, tag: str, lloy
     for k in range(lloyd):
         half = [F.when(F.col("side") == x, F.col("weight")) for x in (0, 1)]
         total = side.groupBy("node").agg(*(F.sum(h).cast("double").alias(f"w{x}") for x, h in enumerate(half)))
-        sums = cells.select("node", "rep", "cell").join(side, ["node", "rep"]).groupBy("node", "cell").agg(*(F.coalesce(F.sum(h), F.lit(0)).alias(f"s{x}") for x, h in enumerate(half)))
+        sums = cells.select("node", "rep", "cell").join(side.hint("shuffle_hash"), ["node", "rep"]).groupBy("node", "cell").agg(*(F.coalesce(F.sum(h), F.lit(0)).alias(f"s{x}") for x, h in enumerate(half)))
         sums = scratch.save(sums, f"{tag}-sums{k}")
         norm = sums.groupBy("node").agg(*(F.sum(F.col(f"s{x}") * F.col(f"s{x}")).cast("double").alias(f"q{x}") for x in (0, 1))).join(total, "node")
-        dots = cells.join(sums, ["node", "cell"]).groupBy("node", "rep").agg(F.count("*").cast("double").alias("size"), *(F.sum(f"s{x}").cast("double").alias(f"d{x}") for x in (0, 1)))
+        dots = cells.join(sums.hint("shuffle_hash"), ["node", "cell"]).groupBy("node", "rep").agg(F.count("*").cast("double").alias("size"), *(F.sum(f"s{x}").cast("double").alias(f"d{x}") for x in (0, 1)))
         far0, far1 = (F.col("size") - 2 * F.col(f"d{x}") / F.col(f"w{x}") + F.col(f"q{x}") / (F.col(f"w{x}") * F.col(f"w{x}")) for x in (0, 1))
         moved = scratch.save(dots.join(norm, "node").select("node", "rep", (far1 < far0).cast("int").alias("moved")), f"{tag}-moved{k}")
         real = moved.groupBy("node").agg((F.min("moved") < F.max("moved")).alias("real"))  # a round that would empty a half changes nothing
-        new = side.join(moved, ["node", "rep"]).join(real, "node")
+        new = side.join(moved.hint("shuffle_hash"), ["node", "rep"]).join(real, "node")
         side = scratch.save(new.select("node", "rep", "weight", F.when(F.col("real"), F.col("moved")).otherwise(F.col("side")).alias("side")), f"{tag}-side{k + 1}")
-    return mine.select("node", "rep").join(side.select("node", "rep", "side"), ["node", "rep"], "left")
+    return mine.select("node", "rep").join(side.select("node", "rep", "side").hint("shuffle_hash"), ["node", "rep"], "left")
 
 
 def similarity_clusters(sets: DataFrame, alike: float = 0.5, node_limit: int = 4000, scratch: Scratch | None = None) -> DataFrame:
@@ -394,7 +394,7 @@ def similarity_clusters(sets: DataFrame, alike: float = 0.5, node_limit: int = 4
             break
         mine = scratch.save(nodes.join(large, key).select(*key, "node", "n", "rep", "weight", "cells"), f"mine{k}")
         side = scratch.save(_split_large(mine.drop(*key), alike, scratch, f"split{k}"), f"split{k}")
-        parted = mine.join(side, ["node", "rep"])
+        parted = mine.join(side.hint("shuffle_hash"), ["node", "rep"])
         finished.append(scratch.save(parted.where("side IS NULL").select("a", "b", F.concat("path", F.lit("=")).alias("path"), "rep", "weight", "cells", F.col("node").alias("leaf")), f"finished{k}"))
         halves = parted.where("side IS NOT NULL").select("a", "b", F.concat("path", F.col("side").cast("string")).alias("path"), "rep", "weight", "cells")
         rest = nodes.select(*key, "rep", "weight", "cells").join(large, key, "left_anti")
@@ -418,7 +418,7 @@ def similarity_clusters(sets: DataFrame, alike: float = 0.5, node_limit: int = 4
 def _join_parted(leaves: DataFrame, nodes: DataFrame, finished: list[DataFrame], alike: float, scratch: Scratch) -> DataFrame:
     """(rep, cluster_id, centre_distance): joins the leaves of pairs whose nodes were parted, as _joined() does in memory."""
     parted = leaves.where("path <> ''").select("a", "b", "rep", "leaf", "centre_distance")
-    member = leaves.where("path <> ''").select("a", "b", "rep", "leaf").join(nodes.select("rep", "weight", "cells"), "rep").select("a", "b", "leaf", "rep", "weight", "cells")
+    member = leaves.where("path <> ''").select("a", "b", "rep", "leaf").join(nodes.select("rep", "weight", "cells").hint("shuffle_hash"), "rep").select("a", "b", "leaf", "rep", "weight", "cells")
     for f in finished:
         cells = f.select("leaf", "rep", "weight", F.explode("cells").alias("cell"))
         far = _farness(cells, ["leaf"])
@@ -426,17 +426,17 @@ def _join_parted(leaves: DataFrame, nodes: DataFrame, finished: list[DataFrame],
         member = member.unionByName(f.select("a", "b", "leaf", "rep", "weight", "cells"))
     parted, member = scratch.save(parted, "parted"), scratch.save(member, "members")
     heads = parted.groupBy("a", "b", "leaf").agg(F.min_by("rep", F.struct("centre_distance", "rep")).alias("rep"))
-    heads = scratch.save(heads.join(member.select("rep", "cells"), "rep"), "heads")
+    heads = scratch.save(heads.join(member.select("rep", "cells").hint("shuffle_hash"), "rep"), "heads")
     each = heads.select("a", "b", "leaf", F.size("cells").alias("size"), F.explode("cells").alias("cell"))
     often = each.groupBy("a", "b", "cell").agg(F.count("*").alias("f"))
-    ordered = each.join(often, ["a", "b", "cell"]).withColumn("k", F.row_number().over(Window.partitionBy("a", "b", "leaf").orderBy("f", "cell")))
+    ordered = each.join(often.hint("shuffle_hash"), ["a", "b", "cell"]).withColumn("k", F.row_number().over(Window.partitionBy("a", "b", "leaf").orderBy("f", "cell")))
     # sets that share at least alike of their union share one of their size - ceil(alike * size) + 1 rarest cells
     rare = ordered.where(F.col("k") <= F.col("size") - F.ceil(F.lit(alike) * F.col("size")) + 1).select("a", "b", "leaf", "size", "cell")
     other = rare.withColumnsRenamed({"leaf": "leaf2", "size": "size2"})
-    near = rare.join(other, ["a", "b", "cell"]).where((F.col("leaf") < F.col("leaf2")) & (F.col("size") >= F.lit(alike) * F.col("size2")) & (F.col("size2") >= F.lit(alike) * F.col("size")))
+    near = rare.join(other.hint("shuffle_hash"), ["a", "b", "cell"]).where((F.col("leaf") < F.col("leaf2")) & (F.col("size") >= F.lit(alike) * F.col("size2")) & (F.col("size2") >= F.lit(alike) * F.col("size")))
     near = near.select("a", "b", "leaf", "leaf2").distinct()
     cells = heads.select("leaf", "cells")
-    both = near.join(cells, "leaf").join(cells.withColumnsRenamed({"leaf": "leaf2", "cells": "cells2"}), "leaf2")
+    both = near.join(cells.hint("shuffle_hash"), "leaf").join(cells.withColumnsRenamed({"leaf": "leaf2", "cells": "cells2"}).hint("shuffle_hash"), "leaf2")
     links = scratch.save(both.withColumn("share", _share("cells", "cells2")).where(F.col("share") >= alike).select("a", "b", "leaf", "leaf2", "share"), "links")
     sized = member.join(member.groupBy("leaf").agg(F.count("*").alias("n")), "leaf").select(F.col("leaf").alias("grp"), "n", "rep", "cells")
     apart = _blocks_apart(sized, links.select("leaf", "leaf2", F.col("leaf").alias("one"), F.col("leaf2").alias("two")), ["leaf", "leaf2"])
@@ -447,10 +447,10 @@ def _join_parted(leaves: DataFrame, nodes: DataFrame, finished: list[DataFrame],
         return pd.DataFrame([(leaf, min(g)) for g in groups for leaf in g], columns=["leaf", "group_id"])
 
     groups = links.join(compact, ["leaf", "leaf2"]).groupBy("a", "b").applyInPandas(join, "leaf bigint, group_id bigint")
-    named = scratch.save(parted.join(groups, "leaf", "left").select("rep", "group_id", F.coalesce("group_id", "leaf").alias("cluster_id"), "centre_distance"), "named")
-    changed = named.where("group_id IS NOT NULL").select("rep", "cluster_id").join(member.select("rep", "weight", "cells"), "rep")
+    named = scratch.save(parted.join(groups.hint("shuffle_hash"), "leaf", "left").select("rep", "group_id", F.coalesce("group_id", "leaf").alias("cluster_id"), "centre_distance"), "named")
+    changed = named.where("group_id IS NOT NULL").select("rep", "cluster_id").join(member.select("rep", "weight", "cells").hint("shuffle_hash"), "rep")
     far = _farness(changed.select("cluster_id", "rep", "weight", F.explode("cells").alias("cell")), ["cluster_id"])
-    named = named.join(far.select("rep", "far"), "rep", "left").select("rep", "cluster_id", F.greatest(F.coalesce("far", "centre_distance"), F.lit(0.0)).alias("centre_distance"))
+    named = named.join(far.select("rep", "far").hint("shuffle_hash"), "rep", "left").select("rep", "cluster_id", F.greatest(F.coalesce("far", "centre_distance"), F.lit(0.0)).alias("centre_distance"))
     return leaves.where("path = ''").select("rep", F.col("leaf").alias("cluster_id"), "centre_distance").unionByName(named)
 
 
