@@ -355,7 +355,7 @@ def leaking_documents(
     items: DataFrame,
     run: int = 13,
     rank: int = 128,
-    near: float = 0.3,
+    near: float = 0.15,
     paraphrase: float = 0.3,
     share: float = 0.7,
     block_items: int = 2000,
