@@ -9,6 +9,7 @@ paraphrases.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +30,10 @@ def words(text: str | None) -> list[str]:
     """Maximal runs of letters and digits, after NFKC, without invisible characters, case folded."""
     if not text:
         return []
-    if not text.isascii():
-        text = regex.sub(_INVISIBLE, "", unicodedata.normalize("NFKC", text))
-        text = unicodedata.normalize("NFKC", text.casefold())
+    if text.isascii():
+        return re.findall("[a-z0-9]+", text.lower())
+    text = regex.sub(_INVISIBLE, "", unicodedata.normalize("NFKC", text))
+    text = unicodedata.normalize("NFKC", text.casefold())
     return regex.findall(_WORD, text.lower())
 
 
@@ -117,11 +119,15 @@ def document_terms(documents: DataFrame, items: Items, least: int, key: str = "d
     vocabulary = items.vocabulary
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = vocabulary.get
+        class Numbers(dict):
+            def __missing__(self, word: str) -> int:
+                return -1
+
+        get = Numbers(vocabulary).__getitem__
         for batch in batches:
             keys, parts = [], []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                terms = np.array([get(w, -1) for w in words(t)], dtype=np.int32)
+                terms = np.fromiter(map(get, words(t)), dtype=np.int32)
                 if np.count_nonzero(terms >= 0) >= least:
                     keys.append(k)
                     parts.append(terms)
@@ -289,24 +295,52 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return int(before[-1])
 
 
+def _unbroken(known: np.ndarray) -> np.ndarray:
+    """Length of the longest stretch of true values of each row."""
+    best = now = np.zeros(len(known), dtype=np.int64)
+    for j in range(known.shape[1]):
+        now = (now + 1) * known[:, j]
+        best = np.maximum(best, now)
+    return best
+
+
 def _search(items: Items, idf: np.ndarray, basis: np.ndarray, near: float, paraphrase: float, share: float, least: int):
     """mapInArrow: documents' terms to (key, item, cosine, verbatim, subsequence share).
 
     Passages of document and item can be out of step by half a run, so a paraphrase is tested on the words around the passage.
     """
     lengths = np.array([len(p) for p in items.passages])
-    wide = np.full((len(lengths), lengths.max()), len(items.vocabulary))
+    wide = np.full((len(lengths), lengths.max()), len(items.vocabulary), dtype=np.int32)
+    shortest = min(items.runs)
     for c, p in enumerate(items.passages):
         wide[c, : len(p)] = p
     asked = np.append(items.answer, False)[wide]
     table = _table(idf, basis)
+    # each item passage under its rarest answer, without which nothing is a paraphrase of it; those without answers under no word
+    rare = np.array([p[items.answer[p]][idf[p[items.answer[p]]].argmax()] if items.answer[p].any() else len(idf) for p in items.passages])
+    by_word = np.argsort(rare, kind="stable")
+    n_under = np.append(np.bincount(rare, minlength=len(idf) + 1), 0)  # the last two: no answer, and -1
+    first_under = np.cumsum(n_under) - n_under
+    always = by_word[first_under[len(idf)] : first_under[len(idf)] + n_under[len(idf)]]
+    n_under[len(idf)] = 0
+
+    def asking(around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of passages of documents and items of which the first, or its surroundings, holds the other's rarest answer."""
+        row, column = np.nonzero(n_under[around] > 0)
+        word = around[row, column]
+        n = n_under[word]
+        at = np.repeat(first_under[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        left, right = np.repeat(row, n), by_word[at]
+        if len(always):
+            left, right = np.concatenate([left, np.repeat(np.arange(len(around)), len(always))]), np.concatenate([right, np.tile(always, len(around))])
+        return left, right
 
     def unit(x: np.ndarray) -> np.ndarray:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         targets = unit(np.stack([table[p].sum(axis=0) for p in items.passages])).T.copy()
-        firsts = np.flatnonzero(np.concatenate([[True], items.owner[1:] != items.owner[:-1]]))  # an item's passages are neighbours
+        firsts = np.searchsorted(items.owner, np.arange(len(items) + 1))  # an item's passages are neighbours
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             found: dict[tuple[int, int], list] = {}
@@ -322,22 +356,26 @@ def _search(items: Items, idf: np.ndarray, basis: np.ndarray, near: float, parap
                     at = parts.at[s : s + 4096]
                     cosine = unit(sums[at] + sums[at + 1]) @ targets
                     near_ones = np.flatnonzero(cosine.max(axis=1) >= near)
-                    cosine = cosine[near_ones]
-                    best = np.maximum.reduceat(cosine, firsts, axis=1)  # of each item's passages
+                    if len(near_ones) < len(cosine):
+                        cosine = cosine[near_ones]
                     owners = keys[start + parts.row[s + near_ones]]
                     mine = parts.words(s + near_ones)
-                    for r, k, size in items.shared_runs(mine):
+                    whole = np.flatnonzero(_unbroken(mine >= 0) >= shortest)
+                    for r, k, size in items.shared_runs(mine[whole]):
+                        r = whole[r]
                         for o in items.runs[size].get(mine[r, k : k + size].astype(np.int64).tobytes(), ()):
-                            if best[r, o] >= near:
-                                note(int(owners[r]), o, float(best[r, o]), True, 1.0)
-                    alike = cosine >= paraphrase
+                            best = cosine[r, firsts[o] : firsts[o + 1]].max()
+                            if best >= near:
+                                note(int(owners[r]), o, float(best), True, 1.0)
                     around = parts.words(s + near_ones, around=True)
-                    for r in np.flatnonzero(alike.any(axis=1)).tolist():
-                        here = np.flatnonzero(alike[r])
-                        there = np.zeros(len(items.vocabulary) + 1, dtype=bool)
-                        there[around[r][around[r] >= 0]] = True
-                        held = there[wide[here]]  # a common subsequence has no more words than are there at all
-                        for c in here[(held.sum(axis=1) >= share * lengths[here]) & (held | ~asked[here]).all(axis=1)].tolist():
+                    left, right = asking(around)
+                    alike = cosine[left, right] >= paraphrase
+                    left, right = left[alike], right[alike]
+                    for t in range(0, len(left), 2048):
+                        r, c = left[t : t + 2048], right[t : t + 2048]
+                        held = (wide[c][:, :, None] == around[r][:, None, :]).any(axis=2)  # a common subsequence has no more words than are there at all
+                        ok = (held.sum(axis=1) >= share * lengths[c]) & (held | ~asked[c]).all(axis=1)
+                        for r, c in zip(r[ok].tolist(), c[ok].tolist(), strict=True):
                             p = items.passages[c]
                             note(int(owners[r]), int(items.owner[c]), float(cosine[r, c]), False, common_subsequence(around[r], p) / len(p))
             if found:
