@@ -7,38 +7,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def nearest(queries: DataFrame, rows: DataFrame, key: str, axes: list[str], block: int = 5000) -> DataFrame:
-    """JN-18: for each query point the nearest other row: (key, nearest); ties: the smaller key.
+def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, block: int = 2048) -> DataFrame:
+    """JN-18: for each query vector the nearest other row: (key, nearest); distances to 9 digits, ties: the smaller key.
 
-    The queries are a stated set and go to the rows' tasks in blocks of a bounded size; each task keeps one best row per query.
+    The queries are a stated set. Both sides are packed into blocks of bounded size; each block of queries meets each
+    block of rows in one matrix product, and the best of every pair of blocks is combined. Nothing is collected. Rows with a null key
+    or vector are left out; a query without another row has no nearest.
     """
     import pandas as pd
 
-    q = queries.select(key, *axes).dropna().orderBy(key)
-    points = [tuple(r) for r in q.collect()]
-    best = None
-    for s in range(0, len(points), block):
-        part = points[s : s + block]
-        ids, xs = np.array([p[0] for p in part]), np.array([p[1:] for p in part], dtype=float)
-
-        def scan(batches, ids=ids, xs=xs):
-            low, who = np.full(len(ids), np.inf), np.full(len(ids), -1, dtype=np.int64)
-            for b in batches:
-                for t in range(0, len(b), 2000):
-                    k, y = b[key].to_numpy()[t : t + 2000], b[axes].to_numpy(dtype=float)[t : t + 2000]
-                    d = np.sqrt(((xs[:, None, :] - y[None, :, :]) ** 2).sum(axis=2)).round(9)
-                    d[ids[:, None] == k[None, :]] = np.inf
-                    order = np.lexsort((np.broadcast_to(k, d.shape), d), axis=1)[:, 0]
-                    v, w = d[np.arange(len(ids)), order], k[order]
-                    better = (v < low) | ((v == low) & (w < who))
-                    low[better], who[better] = v[better], w[better]
-            ok = np.isfinite(low)
-            yield pd.DataFrame({key: ids[ok], "nearest": who[ok], "d": low[ok]})
-
-        found = rows.select(key, *axes).dropna().mapInPandas(scan, f"{key} bigint, nearest bigint, d double")
-        best = found if best is None else best.unionByName(found)
-    if best is None:
-        return queries.select(F.col(key).cast("bigint"), F.lit(None).cast("bigint").alias("nearest")).where("false")
+    def packed(df: DataFrame, name: str) -> DataFrame:
+        x = df.select(F.col(key).cast("bigint").alias("k"), F.col(vector).cast("array<double>").alias("v")).where("k IS NOT NULL AND v IS NOT NULL")
+        n = F.lit(max(1, -(-x.count() // block)))
+        return x.groupBy(F.pmod(F.xxhash64("k"), n).alias("b")).agg(F.collect_list("k").alias(f"{name}_keys"), F.flatten(F.collect_list("v")).alias(f"{name}_values")).drop("b")
+
+    schema = f"{key} bigint, nearest bigint, d double"
+
+    def scan(batches):
+        for batch in batches:
+            for qk, qv, rk, rv in zip(batch["q_keys"], batch["q_values"], batch["r_keys"], batch["r_values"], strict=True):
+                x, y = np.asarray(qv).reshape(len(qk), -1), np.asarray(rv).reshape(len(rk), -1)
+                d = np.empty((len(qk), len(rk)))
+                for s in range(0, len(rk), 64):  # differences, not products: equal points are at distance 0
+                    d[:, s : s + 64] = np.sqrt(((x[:, None, :] - y[None, s : s + 64, :]) ** 2).sum(axis=2)).round(9)
+                d[np.asarray(qk)[:, None] == np.asarray(rk)[None, :]] = np.inf
+                order = np.argsort(rk, kind="stable")
+                at = order[d[:, order].argmin(axis=1)]
+                best = d[np.arange(len(qk)), at]
+                ok = np.isfinite(best)
+                yield pd.DataFrame({key: np.asarray(qk)[ok], "nearest": np.asarray(rk)[at][ok], "d": best[ok]})
+
+    pairs = packed(rows, "r").join(packed(queries, "q"))  # blocks, not rows: a stated query set against all rows
+    best = pairs.mapInPandas(scan, schema)
     return best.groupBy(key).agg(F.min_by("nearest", F.struct("d", "nearest")).alias("nearest"))
 
 
@@ -303,11 +303,68 @@ def set_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.logical_and(a > 0, b > 0).sum() / union) if union else 1.0
 
 
-def silhouettes(distances: DataFrame, labels: DataFrame, keys: list[str], point: str) -> DataFrame:
-    """CLU-2 in relations: mean silhouette per key from listed distances (keys, x, y, d; both directions) and labels (keys, point, label)."""
-    at = labels.select(*keys, F.col(point).alias("x"), F.col("label").alias("lx"))
-    to = labels.select(*keys, F.col(point).alias("y"), F.col("label").alias("ly"))
-    by = distances.where("x <> y").join(at, [*keys, "x"]).join(to, [*keys, "y"]).groupBy(*keys, "x", "lx", "ly").agg(F.avg("d").alias("d"))
-    ab = by.groupBy(*keys, "x").agg(F.max(F.when(F.col("lx") == F.col("ly"), F.col("d"))).alias("a"), F.min(F.when(F.col("lx") != F.col("ly"), F.col("d"))).alias("b"))
-    s = F.when(F.col("a").isNull(), 0.0).when(F.col("b").isNull(), None).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-12)))
+def silhouettes(points: DataFrame, keys: list[str], vector: str, size: int) -> DataFrame:
+    """CLU-2 in relations: mean silhouette per key with squared Euclidean distances, from the sums of each cluster.
+
+    points: (keys, label, vector of `size` numbers). The mean squared distance of x to a cluster is |x|² - 2 x·mean + mean |y|², so a
+    point meets the clusters of its key, never its points. Single points count 0; a key of one cluster has no silhouette (null).
+    """
+    square = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
+    p = points.select(*keys, "label", F.col(vector).cast("array<double>").alias("v")).withColumn("q", square(F.col("v")))
+    means = p.groupBy(*keys, "label").agg(F.count("*").alias("n"), F.avg("q").alias("mq"), F.array(*(F.avg(F.col("v")[k]) for k in range(size))).alias("m"))
+    to = means.withColumnRenamed("label", "other")
+    dot = F.aggregate(F.zip_with("v", "m", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    each = p.withColumn("_id", F.monotonically_increasing_id()).join(to, keys).select(*keys, "_id", "label", "other", "n", (F.col("q") - 2 * dot + F.col("mq")).alias("d"))
+    own = F.col("label") == F.col("other")
+    ab = each.groupBy(*keys, "_id").agg(F.max(F.when(own, F.col("d") * F.col("n") / F.nullif(F.col("n") - 1, F.lit(0)))).alias("a"), F.min(F.when(~own, F.col("d"))).alias("b"))
+    s = F.when(F.col("b").isNull(), None).when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-12)))
     return ab.groupBy(*keys).agg(F.avg(s).alias("silhouette"))
+
+
+def scatter(distance_free: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None) -> tuple[float, float]:
+    """Weighted scatter between clusters and within them of points (rows)."""
+    w = np.ones(len(labels)) if weights is None else weights.astype(float)
+    centre = w @ distance_free / w.sum()
+    between = within = 0.0
+    for k in np.unique(labels):
+        mine = labels == k
+        mean = w[mine] @ distance_free[mine] / w[mine].sum()
+        between += w[mine].sum() * ((mean - centre) ** 2).sum()
+        within += float(w[mine] @ ((distance_free[mine] - mean) ** 2).sum(axis=1))
+    return between, within
+
+
+def calinski_harabasz(points: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None) -> float:
+    """CLU-2: scatter between clusters against scatter within, each by its degrees of freedom; -1 where it isn't defined."""
+    n, k = (len(labels) if weights is None else weights.sum()), len(np.unique(labels))
+    if k < 2 or k >= n:
+        return -1.0
+    between, within = scatter(points, labels, weights)
+    return 1.0 if within == 0 else float(between / within * (n - k) / (k - 1))
+
+
+def davies_bouldin(points: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None) -> float:
+    """CLU-2: mean over clusters of the worst ratio of spreads to distance of centres (smaller is better); infinite where it isn't defined."""
+    ks = np.unique(labels)
+    w = np.ones(len(labels)) if weights is None else weights.astype(float)
+    if len(ks) < 2:
+        return float("inf")
+    means = np.stack([w[labels == k] @ points[labels == k] / w[labels == k].sum() for k in ks])
+    spread = np.array([w[labels == k] @ np.linalg.norm(points[labels == k] - m, axis=1) / w[labels == k].sum() for k, m in zip(ks, means, strict=True)])
+    apart = np.linalg.norm(means[:, None] - means[None], axis=2)
+    np.fill_diagonal(apart, np.inf)
+    ratio = np.where(apart > 0, (spread[:, None] + spread[None]) / np.maximum(apart, 1e-300), 0.0)
+    np.fill_diagonal(ratio, 0)
+    return float(ratio.max(axis=1).mean())
+
+
+def gap_statistic(points: np.ndarray, labels: np.ndarray, cluster, draws: int = 10, seed: int = 42) -> float:
+    """CLU-2: mean log scatter of uniform points clustered alike (cluster(points, k) gives labels), less the log scatter of these."""
+    k = len(np.unique(labels))
+    rng = np.random.default_rng(seed)
+    low, high = points.min(axis=0), points.max(axis=0)
+    logs = []
+    for _ in range(draws):
+        made = low + rng.random(points.shape) * (high - low)
+        logs.append(np.log(max(scatter(made, cluster(made, k))[1], 1e-12)))
+    return float(np.mean(logs) - np.log(max(scatter(points, labels)[1], 1e-12)))

@@ -159,12 +159,12 @@ def closeness(contacts: DataFrame, pairs: DataFrame, how: str = "mean") -> DataF
 def chain_interactions(contacts: DataFrame, rows: DataFrame, least: int = 5) -> DataFrame:
     """AGG-8: per protein, combination, rank and chain, how many chains of each partner it touches.
 
-    rows: one row per chain pair (matrix_id, p1, p2, c1, c2, combo, pred, rank). Long form; pivot() gives the wide one.
+    rows: one row per chain pair (matrix_id, p1, p2, c1, c2, combo, rank); a model is a combination and a rank. Long form; pivot() gives the wide one.
     """
     ok = contacts.groupBy("matrix_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("matrix_id")
     touching = rows.join(ok, "matrix_id", "left_semi")
-    ends = touching.select("combo", "pred", "rank", F.inline(F.array(*(F.struct(F.col(f"p{s}").alias("protein"), F.col(f"c{s}").alias("chain"), F.col(f"p{t}").alias("partner")) for s, t in ((1, 2), (2, 1))))))
-    return ends.groupBy("protein", "combo", "pred", "rank", "chain", "partner").agg(F.count("*").alias("n_contacts_with"))
+    ends = touching.select("combo", "rank", F.inline(F.array(*(F.struct(F.col(f"p{s}").alias("protein"), F.col(f"c{s}").alias("chain"), F.col(f"p{t}").alias("partner")) for s, t in ((1, 2), (2, 1))))))
+    return ends.groupBy("protein", "combo", "rank", "chain", "partner").agg(F.count("*").alias("n_contacts_with"))
 
 
 def max_valency(interactions: DataFrame) -> DataFrame:

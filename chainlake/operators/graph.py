@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,7 +54,8 @@ def connected_models(links: DataFrame, models: DataFrame, keys: list[str]) -> Da
     models: (keys, n chains); links: (keys, a, b chain positions). A model's graph has at most as many links as
     chain pairs, so each is decided in one row; models without links are not connected (unless of one chain).
     """
-    each = links.distinct().groupBy(*keys).agg(F.collect_list(F.array("a", "b")).alias("links"))
+    inside = links.distinct().join(models, keys).where("a < n AND b < n AND a >= 0 AND b >= 0")
+    each = inside.groupBy(*keys).agg(F.collect_list(F.array("a", "b")).alias("links"))
     rows = models.join(each, keys, "left").withColumn("links", F.coalesce("links", F.array().cast("array<array<int>>")))
 
     @F.pandas_udf("boolean")
@@ -81,6 +83,42 @@ def dynamic_stability(rows: DataFrame, keys: list[str], cutoffs: list[tuple[floa
     return agg.select(*keys, first.alias("triggering_n"), first.isNotNull().alias("is_stable"))
 
 
+def _bottlenecks(n: pd.Series, links: pd.Series) -> np.ndarray:
+    """Least value at which the first n nodes are connected by links of at most that value; infinite where they never are."""
+    out = np.full(len(n), np.inf)
+    sizes = n.to_numpy()
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        far = np.full((len(at), size, size), np.inf)
+        far[:, np.arange(size), np.arange(size)] = -np.inf
+        for row, k in enumerate(at):
+            for x in links.iloc[k]:
+                a, b = x["a"], x["b"]
+                far[row, a, b] = far[row, b, a] = min(far[row, a, b], x["pae"])
+        for m in range(size):  # all models of one size at once: the least largest step over paths through m
+            far = np.minimum(far, np.maximum(far[:, :, m, None], far[:, None, m, :]))
+        out[at] = far[:, 0, :].max(axis=1) if size else np.inf
+    return out
+
+
+def connecting_pae(links: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
+    """GRF-5 (dynamic): the least PAE cutoff at which the chains of each model are one graph; null where no cutoff connects them.
+
+    models: (keys, n chains); links: (keys, a, b chain positions, pae). It is the largest step of the best
+    spanning tree, not the largest PAE of the model. A model of one chain is connected at any cutoff (minus infinity).
+    """
+    each = links.where("a <> b").groupBy(*keys, "a", "b").agg(F.min("pae").alias("pae")).where("pae IS NOT NULL")
+    inside = each.join(models, keys).where("a < n AND b < n AND a >= 0 AND b >= 0").groupBy(*keys).agg(F.collect_list(F.struct("a", "b", "pae")).alias("links"))
+    rows = models.join(inside, keys, "left").withColumn("links", F.coalesce("links", F.array().cast("array<struct<a:int,b:int,pae:double>>")))
+
+    @F.pandas_udf("double")
+    def least(n: pd.Series, lists: pd.Series) -> pd.Series:
+        return pd.Series(_bottlenecks(n, lists))
+
+    value = least("n", "links")
+    return rows.select(*keys, value.alias("pae")).withColumn("pae", F.when(F.col("pae") < float("inf"), F.col("pae")))
+
+
 def all_chains_supported(rows: DataFrame, keys: list[str], n_models: int = 4, pae: float = 7.5) -> DataFrame:
     """GRF-6: stable when every chain has a passing partner in enough ranks. rows: (keys, rank, c1, c2, min_pae)."""
     ends = rows.select(*keys, "rank", F.explode(F.array("c1", "c2")).alias("chain"), (F.col("min_pae") <= pae).alias("ok")).where("chain IS NOT NULL")
@@ -110,20 +148,37 @@ def default_rules(spark: SparkSession) -> DataFrame:
 
 
 def classify_edges(edges: DataFrame, rules: DataFrame, contact_cutoff: int = 5) -> DataFrame:
-    """CLS-1/JN-10: dynamics class and style of each edge.
-
-    edges: (a, b, tested2, tested_n, in2, in_n, variation, n_contacts). Null columns of a rule match anything. The
-    rules are few by nature, so they are broadcast. An edge without a rule is Indirect; one with several takes ERROR.
+    """CLS-1/JN-10: dynamics class and style of each edge, in five stages.
+
+    edges: (a, b, tested2, tested_n, in2, in_n, variation, n_contacts). Stage 1 takes the rules whose 2-mer test flag
+    is the edge's: one gives the class, none makes it Indirect. Stage 2 narrows to those that agree on being seen in 2-mers,
+    in N-mers, and on the N-mer test; stage 3 to those whose interval holds the variation, stage 4 to those
+    whose contact flag says whether there are more than contact_cutoff contact cells. The first stage that leaves one
+    rule decides; one that leaves none makes the edge Indirect; several after stage 4 are an ERROR (stage 5). Null columns of a rule match anything.
+    The rules are few by nature, so they are broadcast.
     """
     any_or = lambda rule, value: F.col(rule).isNull() | (F.col(rule) == value)
     r = rules.select(*(F.col(c).alias(f"r_{c}") for c in rules.columns))
     enough = F.col("n_contacts") > contact_cutoff
-    match = any_or("r_tested2", F.col("tested2")) & any_or("r_tested_n", F.col("tested_n")) & any_or("r_in2", F.col("in2")) & any_or("r_in_n", F.col("in_n")) & any_or("r_contacts", enough)
     in_range = F.col("r_variation_range").isNull() | F.coalesce(in_interval(F.col("variation"), parse_interval(F.col("r_variation_range"))), F.lit(False))
-    joined = edges.join(F.broadcast(r), match & in_range, "left")
-    agg = joined.groupBy(*edges.columns).agg(F.count("r_dynamics").alias("n_rules"), F.first("r_dynamics").alias("d"), F.first("r_colour").alias("c"), F.first("r_line").alias("l"))
-    one = lambda value, other: F.when(F.col("n_rules") == 0, other).when(F.col("n_rules") > 1, F.lit("ERROR")).otherwise(F.col(value))
-    return agg.select(*edges.columns, one("d", "Indirect").alias("dynamics"), one("c", "#d3d3d3").alias("colour"), one("l", "dot").alias("line"))
+    first = any_or("r_tested2", F.col("tested2"))
+    second = any_or("r_in2", F.col("in2")) & any_or("r_in_n", F.col("in_n")) & any_or("r_tested_n", F.col("tested_n"))
+    joined = edges.join(F.broadcast(r), first, "left")
+    held = F.col("r_dynamics").isNotNull()
+    stages = [held, held & second, held & second & in_range, held & second & in_range & any_or("r_contacts", enough)]
+    style = F.struct("r_dynamics", "r_colour", "r_line")
+    agg = joined.groupBy(*edges.columns).agg(*(f for k, c in enumerate(stages) for f in (F.count_if(c).alias(f"n{k}"), F.first(F.when(c, style), ignorenulls=True).alias(f"s{k}"))))
+
+    def decided(name: str, none: str) -> Column:
+        out = F.lit("ERROR")
+        for k in range(3, -1, -1):
+            out = F.when(F.col(f"n{k}") == 0, F.lit(none)).when(F.col(f"n{k}") == 1, F.col(f"s{k}.r_{name}")).otherwise(out)
+        return out
+
+    stage = F.lit(5)
+    for k in range(3, -1, -1):
+        stage = F.when(F.col(f"n{k}") <= 1, k + 1).otherwise(stage)
+    return agg.select(*edges.columns, decided("dynamics", "Indirect").alias("dynamics"), decided("colour", "#d3d3d3").alias("colour"), decided("line", "dot").alias("line"), stage.alias("stage"))
 
 
 def layout_weights(freq2: Column, freqn: Column) -> Column:

@@ -54,7 +54,7 @@ def prj_5(spark, d):
 
 
 _NEAR = f"""WITH {v.ATOMS}, near AS (SELECT a.file_id, a.chain AS c1, b.chain AS c2, a.res_no AS r1, b.res_no AS r2, a.bfactor AS b1, b.bfactor AS b2,
-sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS dist FROM atom a JOIN atom b ON a.file_id = b.file_id AND a.chain < b.chain AND a.atom_name = 'CA' AND b.atom_name = 'CA'
+sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS dist FROM atom a JOIN atom b ON a.file_id = b.file_id AND a.chain < b.chain AND (a.atom_name = 'CB' OR (a.atom_name = 'CA' AND a.res_name = 'GLY')) AND (b.atom_name = 'CB' OR (b.atom_name = 'CA' AND b.res_name = 'GLY'))
 WHERE sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) <= 8)"""
 _PPV = "CASE WHEN s IS NULL THEN NULL " + " ".join(f"WHEN {a} >= s THEN {b}" for a, b in reversed(m.PPV_STEPS)) + f" ELSE {m.PPV_STEPS[0][1]} END"
 
@@ -69,7 +69,7 @@ _PPV = "CASE WHEN s IS NULL THEN NULL " + " ".join(f"WHEN {a} >= s THEN {b}" for
     SELECT file_id, chain_1, chain_2, n_contacts, round(plddt, 8) AS plddt, s AS pdockq, {_PPV} AS ppv FROM s""",
 )
 def prj_6(spark, d):
-    points = v.atoms(spark, d).where("atom_name = 'CA'")
+    points = pdb.side_chain_points(v.atoms(spark, d))
     scores = c.interface_scores(points, ["file_id"])
     return scores.select("file_id", "chain_1", "chain_2", "n_contacts", F.round("plddt", 8).alias("plddt"), "pdockq", "ppv")
 

@@ -69,13 +69,17 @@ def agg_4(spark, d):
 
 @query(
     "agg_5_first_predictions",
-    f"""WITH {v.PWN}, k AS (SELECT pred_id, min(combo) AS key, min(row_id) AS first FROM pwn WHERE combo IS NOT NULL AND pred_id IS NOT NULL GROUP BY 1)
-    SELECT array_to_string(key, '|') AS combo, arg_min(pred_id, (first, pred_id)) AS pred_id, count(*) AS n_predictions FROM k GROUP BY key""",
+    f"""WITH {v.PWN}, k AS (SELECT pred_id, min(combo) AS members, min(row_id) AS first FROM pwn WHERE combo IS NOT NULL AND pred_id IS NOT NULL GROUP BY 1),
+    e AS (SELECT pred_id, first, unnest(members) AS p FROM k), q AS (SELECT pred_id, first, list_sort(list(coalesce(seq, '?' || e.p))) AS key FROM e LEFT JOIN proteins ON prot_id = e.p GROUP BY 1, 2)
+    SELECT md5(array_to_string(key, '|')) AS key, len(key) AS n_chains, arg_min(pred_id, (first, pred_id)) AS pred_id, count(*) AS n_predictions FROM q GROUP BY q.key""",
 )
 def agg_5(spark, d):
+    """The first prediction of each multiset of chain sequences; a chain of an unknown protein stands for itself."""
     k = v.pairwise_n(spark, d).where("combo IS NOT NULL AND pred_id IS NOT NULL").groupBy("pred_id").agg(F.min("combo").alias("combo"), F.min("row_id").alias("first"))
-    out = ppi.first_predictions(k.select("pred_id", F.explode_outer("combo").alias("seq"), "first"), F.col("first"))
-    return out.select(F.array_join("key", "|").alias("combo"), "pred_id", "n_predictions")
+    seqs = table(spark, d, "proteins").select(F.col("prot_id").alias("p"), "seq")
+    chains = k.select("pred_id", F.explode("combo").alias("p"), "first").join(seqs, "p", "left")
+    out = ppi.first_predictions(chains.select("pred_id", F.coalesce("seq", F.concat(F.lit("?"), "p")).alias("seq"), "first"), F.col("first"))
+    return out.select(F.md5(F.array_join("key", "|")).alias("key"), F.size("key").alias("n_chains"), "pred_id", "n_predictions")
 
 
 def _models(spark, d):
@@ -114,16 +118,15 @@ def agg_7(spark, d):
 
 
 _AGG8 = f"""WITH {v.CONTACTS}, {_MODELS}, ok AS (SELECT matrix_id FROM contact GROUP BY 1 HAVING count(*) >= 5), hit AS (SELECT * FROM model WHERE matrix_id IN (SELECT matrix_id FROM ok)),
-side AS (SELECT p1 AS protein, c1 AS chain, p2 AS partner, combo, matrix_id // 5 AS pred, rank FROM hit UNION ALL SELECT p2, c2, p1, combo, matrix_id // 5, rank FROM hit),
-inter AS (SELECT protein, combo, pred, rank, chain, partner, count(*) AS n FROM side GROUP BY ALL)"""
+side AS (SELECT p1 AS protein, c1 AS chain, p2 AS partner, combo, rank FROM hit UNION ALL SELECT p2, c2, p1, combo, rank FROM hit),
+inter AS (SELECT protein, combo, rank, chain, partner, count(*) AS n FROM side GROUP BY ALL)"""
 
 
 def _interactions(spark, d):
-    rows = _models(spark, d).withColumn("pred", F.floor(F.col("matrix_id") / 5))
-    return c.chain_interactions(v.contacts(spark, d), rows)
+    return c.chain_interactions(v.contacts(spark, d), _models(spark, d))
 
 
-@query("agg_8_chain_interactions", _AGG8 + " SELECT protein, array_to_string(combo, '|') AS combo, pred, rank, chain, partner, n AS n_contacts_with FROM inter")
+@query("agg_8_chain_interactions", _AGG8 + " SELECT protein, array_to_string(combo, '|') AS combo, rank, chain, partner, n AS n_contacts_with FROM inter")
 def agg_8(spark, d):
     return _interactions(spark, d).withColumn("combo", _combo())
 
@@ -151,10 +154,11 @@ def agg_11(spark, d):
 @query(
     "agg_12_multivalency_metrics",
     _AGG8
-    + """ SELECT least(protein, partner) AS a, greatest(protein, partner) AS b, max(n) AS max_value, round(avg((n > 1)::INT), 8) AS fraction, round(sum((n > 1)::INT / len(combo)::DOUBLE) / sum(1 / len(combo)::DOUBLE), 8) AS weighted_fraction,
+    + """, am AS (SELECT least(protein, partner) AS a, greatest(protein, partner) AS b, combo, rank, bool_or(n > 1) AS x FROM inter WHERE len(combo) > 0 GROUP BY 1, 2, combo, rank), cs AS (SELECT a, b, round(avg(x::INT), 8) AS model_consistency, count(*) AS n_models FROM am GROUP BY 1, 2)
+    SELECT least(protein, partner) AS a, greatest(protein, partner) AS b, max(n) AS max_value, round(avg((n > 1)::INT), 8) AS fraction, round(sum((n > 1)::INT / len(combo)::DOUBLE) / sum(1 / len(combo)::DOUBLE), 8) AS weighted_fraction,
     round(avg(n), 8) AS mean_value, round(var_samp(n), 8) AS var_value, round(quantile_cont(n, 0.25), 8) AS q1, round(median(n), 8) AS q2, round(quantile_cont(n, 0.75), 8) AS q3,
     round(avg(n / greatest(len(list_filter(combo, lambda q: q = partner)), 1)::DOUBLE), 8) AS normalised_mean, round(avg((n / greatest(len(list_filter(combo, lambda q: q = partner)), 1)::DOUBLE > 0.5)::INT), 8) AS normalised_fraction,
-    count(*) AS n_chains, count(*) FILTER (WHERE n > 1) AS n_multivalent, count(DISTINCT pred) AS n_models FROM inter WHERE len(combo) > 0 GROUP BY 1, 2""",
+    count(*) AS n_chains, count(*) FILTER (WHERE n > 1) AS n_multivalent, any_value(cs.model_consistency) AS model_consistency, any_value(cs.n_models) AS n_models FROM inter JOIN cs ON cs.a = least(protein, partner) AND cs.b = greatest(protein, partner) WHERE len(combo) > 0 GROUP BY 1, 2""",
 )
 def agg_12(spark, d):
     x = _interactions(spark, d).where(F.size("combo") > 0)
@@ -165,30 +169,47 @@ def agg_12(spark, d):
         "fraction": F.avg(many), "weighted_fraction": F.sum(many / size) / F.sum(1 / size), "mean_value": F.avg(n), "var_value": F.var_samp(n), "q1": F.percentile(n, F.lit(0.25)), "q2": F.median(n),
         "q3": F.percentile(n, F.lit(0.75)), "normalised_mean": F.avg(share), "normalised_fraction": F.avg((share > 0.5).cast("double")),
     }
-    return x.groupBy(F.least("protein", "partner").alias("a"), F.greatest("protein", "partner").alias("b")).agg(
-        F.max(n).alias("max_value"), *(F.round(e, 8).alias(k) for k, e in values.items()), F.count("*").alias("n_chains"), F.count_if(n > 1).alias("n_multivalent"), F.count_distinct("pred").alias("n_models")
-    )
+    pair = F.least("protein", "partner").alias("a"), F.greatest("protein", "partner").alias("b")
+    steady = x.groupBy(*pair, "combo", "rank").agg(F.bool_or(n > 1).alias("any")).groupBy("a", "b").agg(F.round(F.avg(F.col("any").cast("double")), 8).alias("model_consistency"), F.count("*").alias("n_models"))
+    return steady.join(x.groupBy(*pair).agg(
+        F.max(n).alias("max_value"), *(F.round(e, 8).alias(k) for k, e in values.items()), F.count("*").alias("n_chains"), F.count_if(n > 1).alias("n_multivalent")
+    ), ["a", "b"])
 
 
 _FIVE = "round(avg({0}), 8) AS {1}mean, round(stddev_samp({0}), 8) AS {1}sd, round(median({0}), 8) AS {1}median, round(quantile_cont({0}, 0.25), 8) AS {1}q1, round(quantile_cont({0}, 0.75), 8) AS {1}q3"
 
 
-@query("agg_13_plddt_stability", f"WITH {v.ATOMS}, {v.CHAINS} SELECT prot_id, rank, {_FIVE.format('bfactor', '')} FROM atom a JOIN chain c ON c.file_id = a.file_id AND c.chain_id = a.chain WHERE prot_id IS NOT NULL GROUP BY 1, 2")
+_FILE_PAIRS = """fp AS (SELECT file_id, rank, list_sort(list(prot_id)) AS combo, min(prot_id) AS a, max(prot_id) AS b FROM chain WHERE prot_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1 AND count(DISTINCT prot_id) <= 2)"""
+
+
+@query(
+    "agg_13_plddt_stability",
+    f"""WITH {v.ATOMS}, {v.CHAINS}, {_FILE_PAIRS}, r AS (SELECT fp.*, c.prot_id, bfactor FROM fp JOIN chain c ON c.file_id = fp.file_id JOIN atom t ON t.file_id = c.file_id AND t.chain = c.chain_id WHERE atom_name = 'CA'),
+    s AS (SELECT *, 'general' AS side FROM r UNION ALL SELECT *, 'prot1' FROM r WHERE prot_id = a UNION ALL SELECT *, 'prot2' FROM r WHERE prot_id = b)
+    SELECT a, b, array_to_string(combo, '|') AS combo, rank, side, {_FIVE.format('bfactor', '')} FROM s GROUP BY a, b, s.combo, rank, side""",
+)
 def agg_13(spark, d):
-    chains = v.chains(spark, d).where("prot_id IS NOT NULL").select("file_id", F.col("chain_id").alias("chain"), "prot_id", "rank")
-    rows = v.atoms(spark, d).join(chains, ["file_id", "chain"]).groupBy("prot_id", "rank").agg(*st.five_numbers(F.col("bfactor")))
-    return rows.select("prot_id", "rank", *(F.round(x, 8).alias(x) for x in ("mean", "sd", "median", "q1", "q3")))
+    """Per pair, combination and rank the residues of the first, the second and all proteins, pooled over chains and files of one or two proteins."""
+    ch = v.chains(spark, d).where("prot_id IS NOT NULL")
+    ids = F.collect_list("prot_id")
+    files = ch.groupBy("file_id", "rank").agg(F.array_sort(ids).alias("combo")).select("file_id", "rank", "combo", F.col("combo")[0].alias("a"), F.element_at("combo", -1).alias("b"))
+    files = files.where((F.size("combo") > 1) & F.forall("combo", lambda p: (p == F.col("a")) | (p == F.col("b"))))
+    rows = v.atoms(spark, d).where("atom_name = 'CA'").join(ch.select("file_id", F.col("chain_id").alias("chain"), "prot_id"), ["file_id", "chain"]).join(files, "file_id")
+    sides = F.filter(F.array(F.lit("general"), F.when(F.col("prot_id") == F.col("a"), "prot1"), F.when(F.col("prot_id") == F.col("b"), "prot2")), lambda x: x.isNotNull())
+    out = rows.select("a", "b", "combo", "rank", F.explode(sides).alias("side"), "bfactor").groupBy("a", "b", "combo", "rank", "side").agg(*st.five_numbers(F.col("bfactor")))
+    return out.select("a", "b", _combo(), "rank", "side", *(F.round(x, 8).alias(x) for x in ("mean", "sd", "median", "q1", "q3")))
 
 
 @query(
     "agg_14_pae_stability",
-    f"""WITH {v.CELLS}, p AS (SELECT matrix_id, least(p1, p2) AS a, greatest(p1, p2) AS b, rank, round(min(pae), 8) AS mipae, round(avg(pae), 8) AS aipae FROM cell WHERE p1 IS NOT NULL AND p2 IS NOT NULL AND pae IS NOT NULL GROUP BY ALL)
-    SELECT a, b, rank, {_FIVE.format('mipae', 'mipae_')}, {_FIVE.format('aipae', 'aipae_')} FROM p GROUP BY 1, 2, 3""",
+    f"""WITH {v.CELLS}, {_MODELS}, p AS (SELECT matrix_id, round(min(pae), 8) AS mipae, round(avg(pae), 8) AS aipae FROM cell WHERE pae IS NOT NULL GROUP BY 1)
+    SELECT a, b, array_to_string(combo, '|') AS combo, rank, {_FIVE.format('mipae', 'mipae_')}, {_FIVE.format('aipae', 'aipae_')} FROM p JOIN model USING (matrix_id) GROUP BY a, b, model.combo, rank""",
 )
 def agg_14(spark, d):
-    p = v.cells(spark, d).where("p1 IS NOT NULL AND p2 IS NOT NULL AND pae IS NOT NULL").groupBy("matrix_id", *ab(), "rank").agg(F.round(F.min("pae"), 8).alias("mipae"), F.round(F.avg("pae"), 8).alias("aipae"))
-    out = st.pae_stability(p, ["a", "b", "rank"])
-    return out.select("a", "b", "rank", *(F.round(x, 8).alias(x) for x in out.columns[3:]))
+    """Per pair, combination and rank over its chain pairs."""
+    p = v.cells(spark, d).where("pae IS NOT NULL").groupBy("matrix_id").agg(F.round(F.min("pae"), 8).alias("mipae"), F.round(F.avg("pae"), 8).alias("aipae"))
+    out = st.pae_stability(_models(spark, d).select("matrix_id", "a", "b", "combo", "rank").join(p, "matrix_id"), ["a", "b", "combo", "rank"])
+    return out.select("a", "b", _combo(), "rank", *(F.round(x, 8).alias(x) for x in out.columns[4:]))
 
 
 @query(
@@ -222,8 +243,10 @@ def agg_16(spark, d):
 
 @query("agg_17_metadata_stats", f"WITH {v.PWN} SELECT len(combo) AS size, min(min_pae) AS lo, max(min_pae) AS hi, round(avg(min_pae), 8) AS mean, round(median(min_pae), 8) AS median FROM pwn WHERE combo IS NOT NULL GROUP BY 1")
 def agg_17(spark, d):
-    x = v.pairwise_n(spark, d).where("combo IS NOT NULL")
-    return x.groupBy(F.size("combo").alias("size")).agg(F.min("min_pae").alias("lo"), F.max("min_pae").alias("hi"), F.round(F.avg("min_pae"), 8).alias("mean"), F.round(F.median("min_pae"), 8).alias("median"))
+    """The sizes are few and each holds a share of all rows: the median comes from running counts of the values, not from one task."""
+    x = v.pairwise_n(spark, d).where("combo IS NOT NULL").select(F.size("combo").alias("size"), "min_pae")
+    whole = x.groupBy("size").agg(F.min("min_pae").alias("lo"), F.max("min_pae").alias("hi"), F.round(F.avg("min_pae"), 8).alias("mean"))
+    return whole.join(st.quantile(x, ["size"], "min_pae", 0.5, "median"), "size", "left").withColumn("median", F.round("median", 8))
 
 
 @query("agg_18_domain_table", f"WITH {v.ATOMS} SELECT file_id, chain, (res_no - 1) // 4 AS domain, min(res_no) AS start, max(res_no) AS stop, round(avg(bfactor), 8) AS mean_plddt FROM atom WHERE res_no >= 1 GROUP BY 1, 2, 3")
@@ -286,42 +309,93 @@ def agg_23(spark, d):
     return v.atoms(spark, d).groupBy("file_id").agg(F.round(rog, 8).alias("rog"), F.round(sum(axes) / 3, 8).alias("rmsf"))
 
 
-_EVAL = f"""WITH {v.PW2}, e AS (SELECT rank AS k, CASE WHEN pdockq >= 0.5 THEN 2 WHEN pdockq >= 0.23 THEN 1 ELSE 0 END AS t, CASE WHEN iptm >= 0.8 THEN 2 WHEN iptm >= 0.5 THEN 1 ELSE 0 END AS g FROM pw2 WHERE iptm IS NOT NULL AND pdockq IS NOT NULL)"""
+_EVAL = f"""WITH {v.PW2}, e0 AS (SELECT rank AS k, CASE WHEN pdockq >= 0.5 THEN 2 WHEN pdockq >= 0.23 THEN 1 WHEN pdockq IS NOT NULL THEN 0 END AS t, CASE WHEN iptm >= 0.8 THEN 2 WHEN iptm >= 0.5 THEN 1 WHEN iptm IS NOT NULL THEN 0 END AS g FROM pw2 WHERE rank IS NOT NULL),
+e AS (SELECT * FROM e0 WHERE t IS NOT NULL AND g IS NOT NULL)"""
+
+
+def _grades(spark, d):
+    grade = lambda s, a, b: F.when(F.col(s) >= a, 2).when(F.col(s) >= b, 1).when(F.col(s).isNotNull(), 0)
+    return v.pairwise2(spark, d).where("rank IS NOT NULL").select(F.col("rank").alias("k"), grade("pdockq", 0.5, 0.23).alias("t"), grade("iptm", 0.8, 0.5).alias("g"))
 
 
 @query(
     "agg_24_classification_scores",
     _EVAL
-    + """, w AS (SELECT k, avg((t = g)::INT) AS accuracy, avg((abs(t - g) <= 1)::INT) AS within_one, avg(abs(t - g)) AS mae, sqrt(avg((t - g) * (t - g))) AS rmse, corr(t, g) AS pearson, count(*) AS n FROM e GROUP BY 1),
+    + """, w AS (SELECT k, avg((t = g)::INT) AS accuracy, avg((abs(t - g) <= 1)::INT) AS within_one, avg(abs(t - g)) AS mae, avg((t - g) * (t - g)) AS mse, sqrt(avg((t - g) * (t - g))) AS rmse, corr(t, g) AS pearson, count(*) AS n FROM e GROUP BY 1),
     c AS (SELECT k, c, (SELECT count(*) FROM e x WHERE x.k = y.k AND x.t = c) AS nt, (SELECT count(*) FROM e x WHERE x.k = y.k AND x.g = c) AS ng, (SELECT count(*) FROM e x WHERE x.k = y.k AND x.t = c AND x.g = c) AS hit FROM (SELECT k, t AS c FROM e UNION SELECT k, g FROM e) y),
-    m AS (SELECT k, avg(CASE WHEN ng > 0 THEN hit / ng ELSE 0 END) AS p, avg(CASE WHEN nt > 0 THEN hit / nt ELSE 0 END) AS r FROM c GROUP BY 1)
-    SELECT k, round(accuracy, 8) AS accuracy, round(within_one, 8) AS within_one, round(mae, 8) AS mae, round(rmse, 8) AS rmse, round(pearson, 8) AS pearson, n, round(p, 8) AS macro_precision, round(r, 8) AS macro_recall FROM w JOIN m USING (k)""",
+    pr AS (SELECT *, CASE WHEN ng > 0 THEN hit / ng ELSE 0 END AS p, CASE WHEN nt > 0 THEN hit / nt ELSE 0 END AS r FROM c), f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM pr),
+    m AS (SELECT k, avg(p) AS macro_precision, avg(r) AS macro_recall, avg(f1) AS macro_f1, sum(p * nt) / sum(nt) AS weighted_precision, sum(r * nt) / sum(nt) AS weighted_recall, sum(f1 * nt) / sum(nt) AS weighted_f1 FROM f GROUP BY 1),
+    rk AS (SELECT k, rank() OVER (PARTITION BY k ORDER BY t) + (count(*) OVER (PARTITION BY k, t) - 1) / 2 AS rt, rank() OVER (PARTITION BY k ORDER BY g) + (count(*) OVER (PARTITION BY k, g) - 1) / 2 AS rg FROM e), sp AS (SELECT k, corr(rt, rg) AS spearman FROM rk GROUP BY 1),
+    cov AS (SELECT k, avg((t IS NOT NULL AND g IS NOT NULL)::INT) AS coverage FROM e0 GROUP BY 1)
+    SELECT k, n, round(coverage, 8) AS coverage, round(accuracy, 8) AS accuracy, round(within_one, 8) AS within_one, round(mae, 8) AS mae, round(mse, 8) AS mse, round(rmse, 8) AS rmse, round(pearson, 8) AS pearson, round(spearman, 8) AS spearman, round(macro_precision, 8) AS macro_precision,
+    round(macro_recall, 8) AS macro_recall, round(macro_f1, 8) AS macro_f1, round(weighted_precision, 8) AS weighted_precision, round(weighted_recall, 8) AS weighted_recall, round(weighted_f1, 8) AS weighted_f1 FROM w JOIN m USING (k) JOIN sp USING (k) JOIN cov USING (k)""",
 )
 def agg_24(spark, d):
-    x = v.pairwise2(spark, d).where("iptm IS NOT NULL AND pdockq IS NOT NULL")
-    grade = lambda s, a, b: F.when(F.col(s) >= a, 2).when(F.col(s) >= b, 1).otherwise(0)
-    out = st.classification_scores(x.select(F.col("rank").alias("k"), grade("pdockq", 0.5, 0.23).alias("t"), grade("iptm", 0.8, 0.5).alias("g")), ["k"], "t", "g")
-    return out.select("k", "n", *(F.round(y, 8).alias(y) for y in ("accuracy", "within_one", "mae", "rmse", "pearson", "macro_precision", "macro_recall")))
+    out = st.classification_scores(_grades(spark, d), ["k"], "t", "g")
+    return out.select("k", "n", *(F.round(y, 8).alias(y) for y in out.columns if y not in ("k", "n")))
 
 
-@query(
-    "agg_25_roc",
-    f"""WITH {v.PW2}, e AS (SELECT rank AS k, iptm AS s, pdockq >= 0.23 AS l FROM pw2 WHERE iptm IS NOT NULL AND pdockq IS NOT NULL),
+_ROC = f"""WITH {v.PW2}, e AS (SELECT rank AS k, iptm AS s, pdockq >= 0.23 AS l FROM pw2 WHERE iptm IS NOT NULL AND pdockq IS NOT NULL AND rank IS NOT NULL),
     a AS (SELECT k, s, count(*) FILTER (WHERE l) AS p, count(*) FILTER (WHERE NOT l) AS n FROM e GROUP BY 1, 2),
     r AS (SELECT k, s, sum(p) OVER w / nullif(sum(p) OVER (PARTITION BY k), 0) AS tpr, sum(n) OVER w / nullif(sum(n) OVER (PARTITION BY k), 0) AS fpr FROM a WINDOW w AS (PARTITION BY k ORDER BY s DESC)),
-    z AS (SELECT *, (fpr - coalesce(lag(fpr) OVER w, 0)) * (tpr + coalesce(lag(tpr) OVER w, 0)) / 2 AS area FROM r WINDOW w AS (PARTITION BY k ORDER BY s DESC))
-    SELECT k, round(sum(area), 8) AS auc, arg_max(s, (round(tpr - fpr, 9), s)) AS best_threshold FROM z GROUP BY 1""",
-)
+    z AS (SELECT *, (fpr - coalesce(lag(fpr) OVER w, 0)) * (tpr + coalesce(lag(tpr) OVER w, 0)) / 2 AS area FROM r WINDOW w AS (PARTITION BY k ORDER BY s DESC)),
+    best AS (SELECT k, round(sum(area), 8) AS auc, arg_max(s, (round(tpr - fpr, 9), s)) AS best_threshold FROM z GROUP BY 1)"""
+
+
+def _scored(spark, d):
+    return v.pairwise2(spark, d).where("iptm IS NOT NULL AND pdockq IS NOT NULL AND rank IS NOT NULL").select(F.col("rank").alias("k"), F.col("iptm").alias("s"), (F.col("pdockq") >= 0.23).alias("l"))
+
+
+@query("agg_25_roc", _ROC + " SELECT k, auc, best_threshold FROM best")
 def agg_25(spark, d):
-    x = v.pairwise2(spark, d).where("iptm IS NOT NULL AND pdockq IS NOT NULL").select(F.col("rank").alias("k"), F.col("iptm").alias("s"), (F.col("pdockq") >= 0.23).alias("l"))
-    out = st.auc(st.roc(x, ["k"], "s", "l"), ["k"], "s")
+    out = st.auc(st.roc(_scored(spark, d), ["k"], "s", "l"), ["k"], "s")
     return out.select("k", F.round("auc", 8).alias("auc"), "best_threshold")
 
 
-@query("agg_26_convergent_sizes", f"""WITH {v.PWN} SELECT p1 AS protein, coalesce(min(len(combo)) FILTER (WHERE min_pae <= 7.5), 1) AS size FROM pwn WHERE combo IS NOT NULL GROUP BY 1""")
+@query(
+    "agg_25_confusion",
+    _ROC + " SELECT k, count(*) FILTER (WHERE l AND s >= best_threshold) AS tp, count(*) FILTER (WHERE NOT l AND s >= best_threshold) AS fp, count(*) FILTER (WHERE l AND s < best_threshold) AS fn, count(*) FILTER (WHERE NOT l AND s < best_threshold) AS tn FROM e JOIN best USING (k) GROUP BY 1",
+)
+def agg_25b(spark, d):
+    """Confusion matrix of each key at its best threshold."""
+    x = _scored(spark, d).join(agg_25(spark, d), "k")
+    hit = F.col("s") >= F.col("best_threshold")
+    return x.groupBy("k").agg(F.count_if(F.col("l") & hit).alias("tp"), F.count_if(~F.col("l") & hit).alias("fp"), F.count_if(F.col("l") & ~hit).alias("fn"), F.count_if(~F.col("l") & ~hit).alias("tn"))
+
+
+@query(
+    "agg_25_comparison",
+    " UNION ALL ".join(
+        f"""SELECT '{metric}' AS metric, * FROM (WITH {v.PW2}, e AS (SELECT {sign}{metric} AS s, pdockq >= 0.23 AS l FROM pw2 WHERE {metric} IS NOT NULL AND pdockq IS NOT NULL), a AS (SELECT s, count(*) FILTER (WHERE l) AS p, count(*) FILTER (WHERE NOT l) AS n FROM e GROUP BY 1),
+        r AS (SELECT s, sum(p) OVER w / nullif(sum(p) OVER (), 0) AS tpr, sum(n) OVER w / nullif(sum(n) OVER (), 0) AS fpr FROM a WINDOW w AS (ORDER BY s DESC)), z AS (SELECT *, (fpr - coalesce(lag(fpr) OVER (ORDER BY s DESC), 0)) * (tpr + coalesce(lag(tpr) OVER (ORDER BY s DESC), 0)) / 2 AS area FROM r)
+        SELECT round(sum(area), 8) AS auc, arg_max(s, (round(tpr - fpr, 9), s)) AS best_threshold FROM z)"""
+        for metric, sign in (("iptm", ""), ("ptm", ""), ("min_pae", "-"))
+    ),
+)
+def agg_25c(spark, d):
+    """Comparison of methods: the same curve for every metric (a smaller PAE is better)."""
+    metrics = F.inline(F.array(*(F.struct(F.lit(n).alias("metric"), s.alias("s")) for n, s in (("iptm", F.col("iptm")), ("ptm", F.col("ptm")), ("min_pae", -F.col("min_pae"))))))
+    x = v.pairwise2(spark, d).where("pdockq IS NOT NULL").select((F.col("pdockq") >= 0.23).alias("l"), metrics).where("s IS NOT NULL")
+    out = st.auc(st.roc(x, ["metric"], "s", "l"), ["metric"], "s")
+    return out.select("metric", F.round("auc", 8).alias("auc"), "best_threshold")
+
+
+_CONVERGENT = f"""{v.PWN}, states AS (SELECT combo, count(DISTINCT rank) FILTER (WHERE min_pae <= 7.5) >= 4 AS is_stable FROM pwn WHERE combo IS NOT NULL AND len(combo) > 0 GROUP BY 1),
+    del AS (SELECT DISTINCT combo AS child, list_filter(combo, lambda x, i: i <> k) AS parent FROM (SELECT combo, unnest(range(1, len(combo) + 1)) AS k FROM states)), le AS (SELECT parent, child FROM del WHERE parent IN (SELECT combo FROM states)),
+    kid AS (SELECT parent AS combo, bool_or(s.is_stable) AS any_stable FROM le JOIN states s ON s.combo = le.child GROUP BY 1), conv AS (SELECT states.combo FROM states JOIN kid ON kid.combo = states.combo WHERE is_stable AND NOT any_stable)"""
+
+
+@query(
+    "agg_26_convergent_sizes",
+    f"""WITH {_CONVERGENT}, m AS (SELECT unnest(list_distinct(combo)) AS protein, len(combo) AS n FROM conv), p AS (SELECT DISTINCT unnest(combo) AS protein FROM states)
+    SELECT p.protein, coalesce(min(m.n), 1) AS size FROM p LEFT JOIN m USING (protein) GROUP BY 1""",
+)
 def agg_26(spark, d):
-    x = v.pairwise_n(spark, d).where("combo IS NOT NULL")
-    return x.groupBy(F.col("p1").alias("protein")).agg(F.coalesce(F.min(F.when(F.col("min_pae") <= 7.5, F.size("combo"))), F.lit(1)).alias("size"))
+    """Smallest convergent combination of each protein (LAT-3), 1 where there is none."""
+    x = v.pairwise_n(spark, d).where("combo IS NOT NULL AND size(combo) > 0")
+    states = x.groupBy("combo").agg((F.count_distinct(F.when(F.col("min_pae") <= 7.5, F.col("rank"))) >= 4).alias("is_stable"))
+    each = la.convergence(states, la.containment_edges(states)).select(F.explode(F.array_distinct("combo")).alias("protein"), F.size("combo").alias("n"), "is_convergent")
+    return each.groupBy("protein").agg(F.coalesce(F.min(F.when(F.col("is_convergent"), F.col("n"))), F.lit(1)).alias("size"))
 
 
 # --- joins ---
@@ -435,14 +509,14 @@ def jn_15(spark, d):
     return files.join(v.pairwise2(spark, d).select("pred_id", "rank", "iptm"), ["pred_id", "rank"]).groupBy("file_id").agg(F.count("*").alias("n_rows"), F.max("iptm").alias("iptm"))
 
 
-@query("jn_18_nearest", """WITH q AS (SELECT vec_id, label, embedding[1:3]::DOUBLE[3] AS e FROM embeddings WHERE vec_id % 50 = 0), x AS (SELECT vec_id, embedding[1:3]::DOUBLE[3] AS e FROM embeddings)
+@query("jn_18_nearest", """WITH q AS (SELECT vec_id, embedding::DOUBLE[64] AS e FROM embeddings WHERE vec_id % 50 = 0), x AS (SELECT vec_id, embedding::DOUBLE[64] AS e FROM embeddings)
     SELECT q.vec_id, arg_min(x.vec_id, (round(array_distance(q.e, x.e), 9), x.vec_id)) AS nearest FROM q JOIN x ON q.vec_id <> x.vec_id GROUP BY 1""")
 def jn_18(spark, d):
-    """Nearest other point of every query point (id divisible by 50); the query set goes to the rows, in one block."""
+    """Nearest other vector of every query vector (id divisible by 50), over all 64 numbers."""
     from chainlake.operators.clusters import nearest
 
-    x = table(spark, d, "embeddings").select("vec_id", *(F.col("embedding")[k].cast("double").alias(a) for k, a in enumerate("xyz")))
-    return nearest(x.where("vec_id % 50 = 0"), x, "vec_id", ["x", "y", "z"])
+    x = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return nearest(x.where("vec_id % 50 = 0"), x, "vec_id", "embedding")
 
 
 @query("jn_19_radius_neighbours", f"""WITH {v.ATOMS} SELECT a.file_id, a.chain AS chain_1, b.chain AS chain_2, count(*) AS n_close FROM atom a JOIN atom b ON a.file_id = b.file_id AND a.chain < b.chain
@@ -485,6 +559,25 @@ def _bias(spark, d):
     return series.rolling_bias(x, ["protein"], ["min_pae", "row_id"], "present", 5)
 
 
+_WIN1B = v.TRAJECTORY + """, t AS (SELECT protein, row_number() OVER (PARTITION BY protein ORDER BY min_pae, row_id) AS ord, combo, count(*) OVER (PARTITION BY protein) AS n FROM traj),
+pt AS (SELECT DISTINCT protein, partner FROM (SELECT protein, unnest(list_distinct(combo)) AS partner, combo FROM t) WHERE len(list_filter(combo, lambda q: q = partner)) > (protein = partner)::INT),
+x AS (SELECT t.protein, partner, ord, n, (len(list_filter(combo, lambda q: q = partner)) > (t.protein = partner)::INT)::INT AS present FROM t JOIN pt ON pt.protein = t.protein),
+f AS (SELECT *, avg(present) OVER (PARTITION BY protein, partner) AS f FROM x), s AS (SELECT *, unnest([5, 10, 15, 20]) AS w FROM f),
+c AS (SELECT *, (SELECT sum(y.present) FROM f y WHERE y.protein = s.protein AND y.partner = s.partner AND y.ord BETWEEN s.ord - w // 2 AND s.ord + w - 1 - w // 2) / w AS r FROM s WHERE ord > w // 2 AND ord <= n - (w - 1 - w // 2)),
+b AS (SELECT protein, partner, w, ord, f, CASE WHEN f IN (0, 1) THEN 0 WHEN r >= f THEN (r - f) / (1 - f) ELSE (r - f) / f END AS bias FROM c)"""
+
+
+@query(
+    "win_1_bias_summary",
+    "WITH " + _WIN1B + """ SELECT protein, partner, w AS width, round(any_value(f), 8) AS share, count(*) AS n_places, round(max(bias), 8) AS max_bias, round(min(bias), 8) AS min_bias, round(avg(bias), 8) AS mean_bias, arg_min(ord, (-round(bias, 9), ord)) AS peak FROM b GROUP BY 1, 2, 3""",
+)
+def win_1b(spark, d):
+    """Bias of every partner of every protein, for all four windows."""
+    placed = series.numbered(v.trajectory(spark, d), ["protein"], ["min_pae", "row_id"])
+    out = series.partner_bias(placed, "protein", "ord", "combo")
+    return out.select("protein", "partner", "width", "n_places", "peak", *(F.round(x, 8).alias(x) for x in ("share", "max_bias", "min_bias", "mean_bias")))
+
+
 @query("win_1_rolling_bias", "WITH " + _WIN1 + " SELECT protein, ord, round(bias, 8) AS bias FROM b")
 def win_1(spark, d):
     return _bias(spark, d).select("protein", "ord", F.round("bias", 8).alias("bias"))
@@ -493,18 +586,19 @@ def win_1(spark, d):
 @query("win_2_padded_bias", "WITH " + _WIN1 + """ SELECT protein, ord, round(coalesce(bias, last_value(bias IGNORE NULLS) OVER (PARTITION BY protein ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
     first_value(bias IGNORE NULLS) OVER (PARTITION BY protein ORDER BY ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 8) AS bias FROM b""")
 def win_2(spark, d):
-    return _bias(spark, d).select("protein", "ord", F.round(series.padded(None, ["protein"], "ord", "bias"), 8).alias("bias"))
+    return series.padded(_bias(spark, d), ["protein"], "ord", "bias").select("protein", "ord", F.round("bias", 8).alias("bias"))
 
 
 @query("win_3_stoichiometry", "WITH " + v.TRAJECTORY + " SELECT protein, row_number() OVER (PARTITION BY protein ORDER BY min_pae, row_id) AS ord, len(list_filter(combo, lambda q: q = protein)) AS n_copies FROM traj")
 def win_3(spark, d):
-    w = Window.partitionBy("protein").orderBy("min_pae", "row_id")
-    return v.trajectory(spark, d).select("protein", F.row_number().over(w).alias("ord"), m.copies(F.col("combo"), F.col("protein")).alias("n_copies"))
+    placed = series.numbered(v.trajectory(spark, d), ["protein"], ["min_pae", "row_id"])
+    return placed.select("protein", "ord", m.copies(F.col("combo"), F.col("protein")).alias("n_copies"))
 
 
 @query("win_4_moving_average", "SELECT event_id, round(CASE WHEN count(*) OVER w = 5 THEN avg(value) OVER w END, 8) AS mean_value FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
 def win_4(spark, d):
-    return table(spark, d, "events").select("event_id", F.round(series.moving_average("value", ["event_type"], ["ts", "event_id"], 5), 8).alias("mean_value"))
+    rows = table(spark, d, "events").select("event_id", "event_type", "ts", "value")
+    return series.moving_average(rows, "value", ["event_type"], ["ts", "event_id"], 5).select("event_id", F.round("mean_value", 8).alias("mean_value"))
 
 
 _SIZES = v.PWN + ", r AS (SELECT p1 AS protein, len(combo) AS n, round(avg(min_pae), 8) AS mean, round(stddev_samp(min_pae), 8) AS sd, count(*) AS k FROM pwn WHERE combo IS NOT NULL AND min_pae IS NOT NULL GROUP BY 1, 2)"
@@ -548,7 +642,7 @@ def win_8b(spark, d):
 
 @query("win_9_min_max", "SELECT event_id, round(CASE WHEN max(value) OVER w > min(value) OVER w THEN (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) ELSE 0 END, 8) AS scaled FROM events WINDOW w AS (PARTITION BY event_type)")
 def win_9(spark, d):
-    return table(spark, d, "events").select("event_id", F.round(series.min_max("value", ["event_type"]), 8).alias("scaled"))
+    return series.min_max(table(spark, d, "events").select("event_id", "event_type", "value"), "value", ["event_type"]).select("event_id", F.round("scaled", 8).alias("scaled"))
 
 
 @query("srt_1_sorted_rows", f"WITH {v.PWN} SELECT row_id, row_number() OVER (PARTITION BY pred_id ORDER BY combo NULLS FIRST, c1 NULLS FIRST, c2 NULLS FIRST, rank NULLS FIRST, row_id) AS place FROM pwn")
@@ -558,7 +652,7 @@ def srt_1(spark, d):
 
 @query("srt_2_trajectory_order", "WITH " + v.TRAJECTORY + " SELECT protein, row_id, row_number() OVER (PARTITION BY protein ORDER BY min_pae, row_id) AS traj_n FROM traj")
 def srt_2(spark, d):
-    return v.trajectory(spark, d).select("protein", "row_id", F.row_number().over(Window.partitionBy("protein").orderBy("min_pae", "row_id")).alias("traj_n"))
+    return series.numbered(v.trajectory(spark, d), ["protein"], ["min_pae", "row_id"], name="traj_n").select("protein", "row_id", "traj_n")
 
 
 @query("srt_3_best_index", f"WITH {v.PW2} SELECT least(p1, p2) AS a, greatest(p1, p2) AS b, arg_min(row_id, (min_pae, row_id)) FILTER (WHERE min_pae IS NOT NULL) AS best FROM pw2 GROUP BY 1, 2")

@@ -49,12 +49,13 @@ def _next_pairs(spark, d):
     "mat_3_matrix_distances",
     _PAIRED
     + """ SELECT m1, m2, round(CASE WHEN k1 = 0 AND k2 = 0 THEN 0 ELSE 1 - c / (k1 + k2 - c) END, 8) AS jaccard, round(CASE WHEN k1 = 0 AND k2 = 0 THEN 0 WHEN k1 = 0 OR k2 = 0 THEN 1 ELSE 1 - c / sqrt(k1 * k2) END, 8) AS cosine,
-    round((k1 + k2 - 2 * c) / n, 8) AS hamming, round(1 - abs(CASE WHEN (n * k1 - k1 * k1) * (n * k2 - k2 * k2) > 0 THEN (n * c - k1 * k2) / sqrt((n * k1 - k1 * k1) * (n * k2 - k2 * k2)) ELSE 0 END), 8) AS correlation FROM u""",
+    round((k1 + k2 - 2 * c) / n, 8) AS hamming, round(1 - abs(CASE WHEN (n * k1 - k1 * k1) * (n * k2 - k2 * k2) > 0 THEN (n * c - k1 * k2) / sqrt((n * k1 - k1 * k1) * (n * k2 - k2 * k2)) ELSE 0 END), 8) AS correlation, correlation AS spearman FROM u""",
 )
 def mat_3(spark, d):
+    """Spearman's coefficient of 0/1 matrices is Pearson's: mean ranks of two values are a straight function of the values."""
     contacts, pairs, sized = _next_pairs(spark, d)
     out = c.pair_measures(contacts, pairs, sized.select("matrix_id", "n_cells"))
-    return out.select(F.col("matrix_1").alias("m1"), F.col("matrix_2").alias("m2"), *(F.round(x, 8).alias(x) for x in ("jaccard", "cosine", "hamming", "correlation")))
+    return out.select(F.col("matrix_1").alias("m1"), F.col("matrix_2").alias("m2"), *(F.round(x, 8).alias(x) for x in ("jaccard", "cosine", "hamming", "correlation")), F.round("correlation", 8).alias("spearman"))
 
 
 @query(
@@ -213,17 +214,14 @@ def agg_22(spark, d):
 
 @query(
     "clu_2_silhouette",
-    """WITH p AS (SELECT vec_id, label, embedding[1:3]::DOUBLE[3] AS e, label // 5 AS k FROM embeddings), dby AS (SELECT x.k, x.vec_id, x.label AS lx, y.label AS ly, avg(array_distance(x.e, y.e)) AS d FROM p x JOIN p y ON x.k = y.k AND x.vec_id <> y.vec_id GROUP BY ALL),
+    """WITH p AS (SELECT vec_id, label, embedding::DOUBLE[64] AS e, label // 5 AS k FROM embeddings), dby AS (SELECT x.k, x.vec_id, x.label AS lx, y.label AS ly, avg(array_distance(x.e, y.e) ** 2) AS d FROM p x JOIN p y ON x.k = y.k AND x.vec_id <> y.vec_id GROUP BY ALL),
     ab AS (SELECT k, vec_id, max(d) FILTER (WHERE lx = ly) AS a, min(d) FILTER (WHERE lx <> ly) AS b FROM dby GROUP BY 1, 2)
-    SELECT k, round(avg(CASE WHEN a IS NULL THEN 0 WHEN b IS NULL THEN NULL ELSE (b - a) / greatest(a, b, 1e-12) END), 6) AS silhouette FROM ab GROUP BY 1""",
+    SELECT k, round(avg(CASE WHEN b IS NULL THEN NULL WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b, 1e-12) END), 6) AS silhouette FROM ab GROUP BY 1""",
 )
 def clu_2(spark, d):
-    """Silhouette of given labels within fixed groups of labels; the distances listed are those within a group."""
-    p = table(spark, d, "embeddings").select("vec_id", "label", F.expr("label DIV 5").cast("int").alias("k"), *(F.col("embedding")[i].cast("double").alias(x) for i, x in enumerate("xyz")))
-    x, y = (p.select("k", F.col("vec_id").alias(n), *(F.col(a).alias(f"{a}{n}") for a in "xyz")) for n in ("x", "y"))
-    dist = x.join(y, "k").where("x <> y").select("k", "x", "y", m.distance3([F.col(f"{a}x") for a in "xyz"], [F.col(f"{a}y") for a in "xyz"]).alias("d"))
-    out = cl.silhouettes(dist, p.select("k", "vec_id", "label"), ["k"], "vec_id")
-    return out.select("k", F.round("silhouette", 6).alias("silhouette"))
+    """Silhouette of given labels within fixed groups of labels, by squared distances over all numbers of the vectors."""
+    p = table(spark, d, "embeddings").select(F.expr("label DIV 5").cast("int").alias("k"), "label", "embedding")
+    return cl.silhouettes(p, ["k"], "embedding", 64).select("k", F.round("silhouette", 6).alias("silhouette"))
 
 
 def _valency(spark, d):
@@ -329,10 +327,11 @@ def clu_7(spark, d):
 
 @query("clu_8_domains")
 def clu_8(spark, d):
-    """Domains of the record of each homo pair from its PAE matrix."""
+    """Domains of each record of a protein with itself, from its PAE matrix; records of two proteins have no domains of their own."""
     from chainlake.functions.ids import protein_id
 
-    square = table(spark, d, "pairwise_contact_matrices").where("pae IS NOT NULL AND length1 = length2").select("matrix_id", protein_id("protein1").alias("protein"), "pae")
+    one = protein_id("protein1") == protein_id("protein2")
+    square = table(spark, d, "pairwise_contact_matrices").where(one & F.expr("pae IS NOT NULL AND length1 = length2")).select("matrix_id", protein_id("protein1").alias("protein"), "pae")
 
     def solve(batches):
         for b in batches:
@@ -358,40 +357,81 @@ def clu_9(spark, d):
     return _per_pair(spark, d, label, "double").groupBy("a", "b").agg(F.max("label").alias("stress"))
 
 
-_FLAGS = v.PWN + """, pres AS (SELECT p1, p2, pred_id, rank, bool_or(min_pae <= 7.5) AS hit, bool_or(len(pim) > 3) AS big FROM pwn WHERE pim IS NOT NULL AND min_pae IS NOT NULL GROUP BY 1, 2, 3, 4),
-n AS (SELECT least(p1, p2) AS a, greatest(p1, p2) AS b, count(*) FILTER (WHERE big AND hit) AS n11, count(*) FILTER (WHERE big AND NOT hit) AS n10, count(*) FILTER (WHERE NOT big AND hit) AS n01, count(*) FILTER (WHERE NOT big AND NOT hit) AS n00 FROM pres GROUP BY 1, 2)"""
+_PRESENT = v.PWN + """, md AS (SELECT least(p1, p2) AS a, greatest(p1, p2) AS b, pred_id, bool_or(coalesce(min_pae <= 7.5, false)) AS hit, max(combo) AS combo FROM pwn WHERE combo IS NOT NULL AND pred_id IS NOT NULL GROUP BY 1, 2, 3),
+w AS (SELECT a, b, count(*) AS n, count(*) FILTER (WHERE hit) AS h FROM md GROUP BY 1, 2), e AS (SELECT a, b, hit, combo, unnest(list_distinct(combo)) AS partner FROM md),
+pr AS (SELECT a, b, partner, count(*) AS m, count(*) FILTER (WHERE hit) AS n11 FROM e WHERE len(list_filter(combo, lambda q: q = partner)) >= 1 + (partner = a)::INT + (partner = b)::INT GROUP BY 1, 2, 3),
+n AS (SELECT a, b, partner, n11, m - n11 AS n10, h - n11 AS n01, n - m - h + n11 AS n00 FROM pr JOIN w USING (a, b))"""
 
 
 def _presence(spark, d):
-    x = v.pairwise_n(spark, d).where("pim IS NOT NULL AND min_pae IS NOT NULL")
-    return x.groupBy("p1", "p2", "pred_id", "rank").agg(F.bool_or(F.col("min_pae") <= 7.5).alias("hit"), F.bool_or(F.size("pim") > 3).alias("big"))
+    x = v.pairwise_n(spark, d).where("combo IS NOT NULL AND pred_id IS NOT NULL")
+    models = x.groupBy(*ab(), "pred_id").agg(F.bool_or(F.coalesce(F.col("min_pae") <= 7.5, F.lit(False))).alias("hit"), F.max("combo").alias("combo"))
+    return st.partner_phi(models)
 
 
 @query(
     "sta_1_phi",
-    "WITH " + _FLAGS + " SELECT a, b, n11, n10, n01, n00, round(CASE WHEN (n11+n10)::DOUBLE*(n01+n00)*(n11+n01)*(n10+n00) > 0 THEN (n11::DOUBLE*n00 - n10::DOUBLE*n01) / sqrt((n11+n10)::DOUBLE*(n01+n00)*(n11+n01)*(n10+n00)) END, 8) AS phi FROM n",
+    "WITH " + _PRESENT + " SELECT a, b, partner, n11, n10, n01, n00, round(CASE WHEN (n11+n10)::DOUBLE*(n01+n00)*(n11+n01)*(n10+n00) > 0 THEN (n11::DOUBLE*n00 - n10::DOUBLE*n01) / sqrt((n11+n10)::DOUBLE*(n01+n00)*(n11+n01)*(n10+n00)) END, 8) AS phi FROM n",
 )
 def sta_1(spark, d):
-    return _presence(spark, d).groupBy(*ab()).agg(*st.phi(F.col("big"), F.col("hit"))).withColumn("phi", F.round("phi", 8))
+    """Presence of each partner in the N-mers of an edge, from one copy on besides the edge's own, against the edge's detection."""
+    return _presence(spark, d).withColumn("phi", F.round("phi", 8))
 
 
 @query("sta_1_chi_squared")
 def sta_1b(spark, d):
-    """p of each phi: chi-squared of n · phi² with one degree of freedom."""
-    x = _presence(spark, d).groupBy(*ab()).agg(*st.phi(F.col("big"), F.col("hit"))).where("phi IS NOT NULL")
+    """phi and its p (chi-squared of n · phi² with one degree of freedom) by class of the edge: Static edges have phi 0 and p 1, Strong Positive and Strong Negative ones phi 1 and -1 and p 0."""
     n = F.col("n11") + F.col("n10") + F.col("n01") + F.col("n00")
-    return x.select("a", "b", F.round(st.chi2_sf(n * F.col("phi") * F.col("phi")), 6).alias("p"))
+    x = _presence(spark, d).join(cls_1(spark, d), ["a", "b"], "left").withColumn("p", F.round(st.chi2_sf(n * F.col("phi") * F.col("phi")), 6))
+    fixed = {"Static": (0.0, 1.0), "Strong Positive": (1.0, 0.0), "Strong Negative": (-1.0, 0.0)}
+    phi, p = F.col("phi"), F.col("p")
+    for name, (a, b) in fixed.items():
+        phi, p = F.when(F.col("dynamics") == name, a).otherwise(phi), F.when(F.col("dynamics") == name, b).otherwise(p)
+    return x.select("a", "b", "partner", "dynamics", F.round(phi, 8).alias("phi"), p.alias("p")).where("phi IS NOT NULL")
 
 
 @query(
     "sta_2_point_biserial",
-    f"WITH {v.PWN} SELECT p1 AS protein, round(corr(min_pae, (len(pim) > 3)::INT::DOUBLE), 8) AS r, round(avg(min_pae) FILTER (WHERE len(pim) > 3), 8) AS mean_with, round(avg(min_pae) FILTER (WHERE len(pim) <= 3), 8) AS mean_without, count(*) AS n FROM pwn WHERE pim IS NOT NULL AND min_pae IS NOT NULL GROUP BY 1 HAVING count(DISTINCT len(pim) > 3) = 2 AND count(DISTINCT min_pae) > 1",
+    f"""WITH {v.PWN}, r AS (SELECT p1 AS protein, min_pae AS y, combo FROM pwn WHERE combo IS NOT NULL AND min_pae IS NOT NULL), w AS (SELECT protein, count(*) AS n, sum(y) AS s, min(y) AS lo, max(y) AS hi FROM r GROUP BY 1),
+    pt AS (SELECT DISTINCT protein, unnest(list_distinct(combo)) AS partner FROM r), x AS (SELECT r.protein, partner, y, len(list_filter(combo, lambda q: q = partner)) >= 1 + (r.protein = partner)::INT AS f FROM r JOIN pt ON pt.protein = r.protein),
+    z AS (SELECT protein, partner, count(*) AS n, count(*) FILTER (WHERE f) AS n_with, corr(y, f::INT) AS r, avg(y) FILTER (WHERE f) AS mean_with, avg(y) FILTER (WHERE NOT f) AS mean_without, min(y) AS lo, max(y) AS hi FROM x GROUP BY 1, 2)
+    SELECT protein, partner, n, n_with, round(CASE WHEN n_with < n AND lo < hi THEN r END, 5) AS r, round(mean_with, 6) AS mean_with, round(mean_without, 6) AS mean_without FROM z WHERE n_with > 0""",
 )
 def sta_2(spark, d):
-    x = v.pairwise_n(spark, d).where("pim IS NOT NULL AND min_pae IS NOT NULL")
-    big = F.size("pim") > 3
-    out = x.groupBy(F.col("p1").alias("protein")).agg(*st.point_biserial(F.col("min_pae"), big), F.count_distinct(big).alias("k"), F.count_distinct("min_pae").alias("kv")).where("k = 2 AND kv > 1")
-    return out.select("protein", *(F.round(y, 8).alias(y) for y in ("r", "mean_with", "mean_without")), "n")
+    """PAE of a protein's models against the presence of each partner."""
+    x = v.pairwise_n(spark, d).select(F.col("p1").alias("protein"), F.col("min_pae").alias("value"), "combo")
+    out = st.partner_correlation(x)
+    return out.select("protein", "partner", "n", "n_with", F.round("r", 5).alias("r"), F.round("mean_with", 6).alias("mean_with"), F.round("mean_without", 6).alias("mean_without"))
+
+
+def _rmsd_models(spark, d):
+    """(protein, value, combo, file_id, chain): RMSD of each modelled chain to its protein's reference, with the proteins of its file."""
+    combos = v.chains(spark, d).where("prot_id IS NOT NULL").groupBy("file_id").agg(F.array_sort(F.collect_list("prot_id")).alias("combo"))
+    return mat_7(spark, d).join(combos, "file_id").select(F.col("prot_id").alias("protein"), F.col("rmsd").alias("value"), "combo", "file_id", "chain")
+
+
+@query("sta_2_rmsd_point_biserial")
+def sta_2b(spark, d):
+    """RMSD of a protein's models against the presence of each partner, with the two-sided p of the correlation."""
+    out = st.partner_correlation(_rmsd_models(spark, d))
+    return out.select("protein", "partner", "n", "n_with", F.round("r", 6).alias("r"), F.round(st.correlation_p("r", "n"), 6).alias("p"))
+
+
+@query("srt_2_rmsd_order")
+def srt_2b(spark, d):
+    """Models of each protein in order of RMSD."""
+    from chainlake.operators import series
+
+    return series.numbered(_rmsd_models(spark, d).select("protein", "value", "file_id", "chain"), ["protein"], ["value", "file_id", "chain"], name="traj_n")
+
+
+@query("win_1_rmsd_bias")
+def win_1c(spark, d):
+    """Bias of every partner over the models of a protein in order of RMSD, for all four windows."""
+    from chainlake.operators import series
+
+    placed = series.numbered(_rmsd_models(spark, d), ["protein"], ["value", "file_id", "chain"])
+    return series.partner_bias(placed, "protein", "ord", "combo")
 
 
 @query("sta_3_fallback_targets")
@@ -459,19 +499,59 @@ def grf_4(spark, d):
     return g.connected_models(_links(spark, d), _sized_models(spark, d), ["pred_id", "rank"])
 
 
-@query("grf_5_stability", _REACH + " SELECT pred_id, count(DISTINCT rank) FILTER (WHERE connected) AS n_ranks, count(DISTINCT rank) FILTER (WHERE connected) >= 4 AS is_stable FROM con GROUP BY 1")
+_CON5 = f"""WITH RECURSIVE {v.CONTACTS}, {_MODELS}, md AS (SELECT DISTINCT combo, rank, len(combo) AS n FROM model WHERE rank IS NOT NULL AND len(combo) > 0), ok AS (SELECT matrix_id FROM contact GROUP BY 1 HAVING count(*) >= 5),
+l AS (SELECT DISTINCT combo, rank, ascii(upper(c1)) - 65 AS a, ascii(upper(c2)) - 65 AS b FROM model WHERE matrix_id IN (FROM ok) AND c1 IS NOT NULL AND c2 IS NOT NULL AND rank IS NOT NULL),
+e AS (SELECT * FROM l WHERE a < len(combo) AND b < len(combo) UNION SELECT combo, rank, b, a FROM l WHERE a < len(combo) AND b < len(combo)), reach(combo, rank, pos) AS (SELECT combo, rank, 0::INT FROM md UNION SELECT r.combo, r.rank, e.b FROM reach r JOIN e ON e.combo = r.combo AND e.rank = r.rank AND e.a = r.pos),
+k AS (SELECT combo, rank, count(DISTINCT pos) AS k FROM reach GROUP BY 1, 2), con AS (SELECT md.combo, md.rank, k >= n AS connected FROM md JOIN k ON md.combo = k.combo AND md.rank = k.rank),
+st AS (SELECT combo, count(DISTINCT rank) FILTER (WHERE connected) AS n_ranks FROM con GROUP BY 1)"""
+
+
+def _contact_models(spark, d):
+    """Whether the chains of each model (combination and rank) are one graph, chains being linked by at least five contacts."""
+    models = _models(spark, d).where("rank IS NOT NULL AND size(combo) > 0")
+    ok = c.contact_counts(v.contacts(spark, d), 5).select("matrix_id")
+    links = models.where("c1 IS NOT NULL AND c2 IS NOT NULL").join(ok, "matrix_id", "left_semi").select("combo", "rank", m.chain_index(F.col("c1")).alias("a"), m.chain_index(F.col("c2")).alias("b"))
+    return g.connected_models(links, models.select("combo", "rank", F.size("combo").alias("n")).distinct(), ["combo", "rank"])
+
+
+@query("grf_5_stability", _CON5 + " SELECT array_to_string(combo, '|') AS combo, n_ranks, n_ranks >= 4 AS is_stable FROM st")
 def grf_5(spark, d):
+    return g.stability(_contact_models(spark, d), ["combo"]).withColumn("combo", _combo())
+
+
+@query("grf_5_valid_stability")
+def grf_5v(spark, d):
+    """Stability where a rank counts only if its chains are connected and no delivered structure of the combination and rank has a clash (MAT-14); ranks without structures count."""
+    files = v.chains(spark, d).where("prot_id IS NOT NULL AND rank IS NOT NULL").groupBy("file_id", "rank").agg(F.array_sort(F.collect_list("prot_id")).alias("combo"))
+    bad = mat_14(spark, d).where("clash").select("file_id").distinct()
+    clashing = files.join(bad, "file_id", "left_semi").select("combo", "rank", F.lit(False).alias("free")).distinct()
+    ranks = _contact_models(spark, d).join(clashing, ["combo", "rank"], "left").withColumn("valid", F.coalesce("free", F.lit(True)))
+    return g.stability(ranks, ["combo"]).withColumn("combo", _combo())
+
+
+@query("grf_5_n_mer_stability", _REACH + " SELECT pred_id, count(DISTINCT rank) FILTER (WHERE connected) AS n_ranks, count(DISTINCT rank) FILTER (WHERE connected) >= 4 AS is_stable FROM con GROUP BY 1")
+def grf_5n(spark, d):
+    """The same by the PAE of chain pairs, per N-mer prediction."""
     return g.stability(grf_4(spark, d), ["pred_id"])
 
 
 @query(
     "grf_5_dynamic_stability",
-    f"""WITH {v.PWN}, r AS (SELECT combo, pred_id * 10 + rank AS rank, max(min_pae) AS pae FROM pwn WHERE combo IS NOT NULL GROUP BY 1, 2), k AS (SELECT combo, count(DISTINCT rank) FILTER (WHERE pae <= 12.96) AS k5, count(DISTINCT rank) FILTER (WHERE pae <= 10.53) AS k4, count(DISTINCT rank) FILTER (WHERE pae <= 7.21) AS k3 FROM r GROUP BY 1)
+    f"""WITH RECURSIVE {v.PWN}, md AS (SELECT combo, pred_id, rank, len(combo) AS n FROM pwn WHERE len(combo) > 0 AND pred_id IS NOT NULL AND rank IS NOT NULL GROUP BY 1, 2, 3),
+    l AS (SELECT combo, pred_id, rank, ascii(upper(c1)) - 65 AS a, ascii(upper(c2)) - 65 AS b, min(min_pae) AS pae FROM pwn WHERE len(combo) > 0 AND pred_id IS NOT NULL AND rank IS NOT NULL AND c1 IS NOT NULL AND c2 IS NOT NULL AND min_pae IS NOT NULL GROUP BY ALL),
+    e AS (SELECT combo, pred_id, rank, a, b, pae FROM l WHERE a < len(combo) AND b < len(combo) UNION ALL SELECT combo, pred_id, rank, b, a, pae FROM l WHERE a < len(combo) AND b < len(combo)),
+    t AS (SELECT DISTINCT combo, pred_id, rank, pae AS t FROM e), reach(combo, pred_id, rank, t, pos) AS (SELECT combo, pred_id, rank, t, 0::INT FROM t UNION SELECT r.combo, r.pred_id, r.rank, r.t, e.b FROM reach r JOIN e ON e.combo = r.combo AND e.pred_id = r.pred_id AND e.rank = r.rank AND e.a = r.pos AND e.pae <= r.t),
+    c AS (SELECT combo, pred_id, rank, t FROM reach GROUP BY ALL HAVING count(DISTINCT pos) >= len(combo)), p AS (SELECT md.combo, md.pred_id, md.rank, CASE WHEN any_value(n) = 1 THEN '-infinity'::DOUBLE ELSE min(c.t) END AS pae FROM md LEFT JOIN c ON c.combo = md.combo AND c.pred_id = md.pred_id AND c.rank = md.rank GROUP BY 1, 2, 3),
+    k AS (SELECT combo, count(DISTINCT (pred_id, rank)) FILTER (WHERE pae <= 12.96) AS k5, count(DISTINCT (pred_id, rank)) FILTER (WHERE pae <= 10.53) AS k4, count(DISTINCT (pred_id, rank)) FILTER (WHERE pae <= 7.21) AS k3 FROM p GROUP BY 1)
     SELECT array_to_string(combo, '|') AS combo, CASE WHEN k5 >= 5 THEN 5 WHEN k4 >= 4 THEN 4 WHEN k3 >= 3 THEN 3 END AS triggering_n, k5 >= 5 OR k4 >= 4 OR k3 >= 3 AS is_stable FROM k""",
 )
 def grf_5b(spark, d):
-    x = v.pairwise_n(spark, d).where("combo IS NOT NULL").groupBy("combo", (F.col("pred_id") * 10 + F.col("rank")).alias("rank")).agg(F.max("min_pae").alias("pae"))
-    return g.dynamic_stability(x, ["combo"], [(12.96, 5), (10.53, 4), (7.21, 3)]).withColumn("combo", _combo())
+    """A model counts at a cutoff from which on its chains are one graph: the largest step of its best spanning tree."""
+    x = v.pairwise_n(spark, d).where("size(combo) > 0 AND pred_id IS NOT NULL AND rank IS NOT NULL")
+    models = x.select("combo", "pred_id", "rank", F.size("combo").alias("n")).distinct()
+    links = x.where("c1 IS NOT NULL AND c2 IS NOT NULL").select("combo", "pred_id", "rank", m.chain_index(F.col("c1")).alias("a"), m.chain_index(F.col("c2")).alias("b"), F.col("min_pae").alias("pae"))
+    ranks = g.connecting_pae(links, models, ["combo", "pred_id", "rank"]).select("combo", F.struct("pred_id", "rank").alias("rank"), "pae")
+    return g.dynamic_stability(ranks, ["combo"], [(12.96, 5), (10.53, 4), (7.21, 3)]).withColumn("combo", _combo())
 
 
 @query(
@@ -494,13 +574,14 @@ def grf_7(spark, d):
 
 @query(
     "grf_8_multivalency_states",
-    f"""WITH {v.PWN} SELECT least(p1, p2) AS a, greatest(p1, p2) AS b, array_to_string(combo, '|') AS combo, count(DISTINCT rank) FILTER (WHERE min_pae <= 7.5) >= 4 AS is_stable FROM pwn
-    WHERE combo IS NOT NULL AND list_sort(list_distinct(combo)) = list_sort(list_distinct([p1, p2])) GROUP BY 1, 2, combo""",
+    _CON5 + """, pr AS (SELECT DISTINCT a, b, combo FROM model WHERE list_sort(list_distinct(combo)) = list_sort(list_distinct([p1, p2])))
+    SELECT a, b, array_to_string(pr.combo, '|') AS combo, n_ranks >= 4 AS is_stable FROM pr JOIN st ON st.combo = pr.combo""",
 )
 def grf_8(spark, d):
+    """Stability (GRF-5) of the combinations that hold nothing but the two proteins of a pair."""
     own = F.array_sort(F.array_distinct("combo")) == F.array_sort(F.array_distinct(F.array("p1", "p2")))
-    x = v.pairwise_n(spark, d).where(F.col("combo").isNotNull() & own)
-    return x.groupBy(*ab(), "combo").agg((F.count_distinct(F.when(F.col("min_pae") <= 7.5, F.col("rank"))) >= 4).alias("is_stable")).withColumn("combo", _combo())
+    pairs = _models(spark, d).where(own).select("a", "b", _combo()).distinct()
+    return pairs.join(grf_5(spark, d).select("combo", "is_stable"), "combo").select("a", "b", "combo", "is_stable")
 
 
 @query("grf_9_layout_weights", _FREQ + " SELECT a, b, round(sum((CASE WHEN n2 > 0 THEN k2 / n2 ELSE 0 END) / 50 + (CASE WHEN nn > 0 THEN kn / nn ELSE 0 END) * 49 / 50), 6) AS weight FROM k JOIN n USING (a, b) GROUP BY 1, 2")
@@ -516,9 +597,9 @@ def grf_10(spark, d):
     return hit.distinct()
 
 
-_EDGES = f"""WITH {v.PW2}, {v.PWN}, e2 AS (SELECT least(p1, p2) AS a, greatest(p1, p2) AS b, count(*) FILTER (WHERE min_pae <= 7.5) >= 4 AS hit FROM pw2 GROUP BY 1, 2),
-en AS (SELECT least(p1, p2) AS a, greatest(p1, p2) AS b, count(DISTINCT rank) FILTER (WHERE min_pae <= 7.5) >= 4 AS hit, avg(coalesce(contains(cluster, '✔'), false)::INT) AS variation, count(*) FILTER (WHERE min_pae <= 7.5) AS n_contacts FROM pwn GROUP BY 1, 2),
-e AS (SELECT coalesce(e2.a, en.a) AS a, coalesce(e2.b, en.b) AS b, e2.hit IS NOT NULL AS t2, en.hit IS NOT NULL AS tn, coalesce(e2.hit, false) AS i2, coalesce(en.hit, false) AS i_n, coalesce(variation, 0) AS v, coalesce(n_contacts, 0) AS k FROM e2 FULL JOIN en ON e2.a = en.a AND e2.b = en.b)"""
+_EDGES = _FREQ + f""", kc AS (SELECT a, b, count(*) FILTER (WHERE kn > 0) AS n_cells FROM k GROUP BY 1, 2), {v.PW2}, {v.PWN}, e2 AS (SELECT least(p1, p2) AS a, greatest(p1, p2) AS b, count(*) FILTER (WHERE min_pae <= 7.5) >= 4 AS hit FROM pw2 GROUP BY 1, 2),
+en AS (SELECT least(p1, p2) AS a, greatest(p1, p2) AS b, count(DISTINCT rank) FILTER (WHERE min_pae <= 7.5) >= 4 AS hit, avg(coalesce(contains(cluster, '✔'), false)::INT) AS variation FROM pwn GROUP BY 1, 2),
+e AS (SELECT coalesce(e2.a, en.a) AS a, coalesce(e2.b, en.b) AS b, e2.hit IS NOT NULL AS t2, en.hit IS NOT NULL AS tn, coalesce(e2.hit, false) AS i2, coalesce(en.hit, false) AS i_n, coalesce(variation, 0) AS v, coalesce(kc.n_cells, 0) AS k FROM e2 FULL JOIN en ON e2.a = en.a AND e2.b = en.b LEFT JOIN kc ON kc.a = coalesce(e2.a, en.a) AND kc.b = coalesce(e2.b, en.b))"""
 _CLASS = """CASE WHEN NOT t2 THEN 'No 2-mers Data' WHEN NOT tn AND i2 THEN 'No N-mers Data' WHEN NOT tn THEN 'Indirect' WHEN i2 AND NOT i_n THEN 'Strong Negative' WHEN i2 THEN CASE WHEN v = 1 THEN 'Static' WHEN v >= 0.5 THEN 'Weak Negative' ELSE 'Negative' END
 WHEN NOT i_n THEN 'Indirect' WHEN k <= 5 THEN 'Indirect' WHEN v = 1 THEN 'Strong Positive' WHEN v >= 0.5 THEN 'Positive' ELSE 'Weak Positive' END"""
 
@@ -527,8 +608,9 @@ def _edge_features(spark, d):
     hits = F.col("min_pae") <= 7.5
     e2 = v.pairwise2(spark, d).groupBy(*ab()).agg((F.count_if(hits) >= 4).alias("h2"))
     ok = F.coalesce(F.contains("cluster", F.lit("✔")), F.lit(False)).cast("double")
-    en = v.pairwise_n(spark, d).groupBy(*ab()).agg((F.count_distinct(F.when(hits, F.col("rank"))) >= 4).alias("hn"), F.avg(ok).alias("variation"), F.count_if(hits).alias("n_contacts"))
-    x = e2.join(en, ["a", "b"], "full_outer")
+    en = v.pairwise_n(spark, d).groupBy(*ab()).agg((F.count_distinct(F.when(hits, F.col("rank"))) >= 4).alias("hn"), F.avg(ok).alias("variation"))
+    cells = _frequency(spark, d).groupBy("a", "b").agg(F.count_if(F.col("freqn") > 0).alias("n_contacts"))
+    x = e2.join(en, ["a", "b"], "full_outer").join(cells, ["a", "b"], "left")
     no = F.lit(False)
     return x.select("a", "b", F.col("h2").isNotNull().alias("tested2"), F.col("hn").isNotNull().alias("tested_n"), F.coalesce("h2", no).alias("in2"), F.coalesce("hn", no).alias("in_n"), F.coalesce("variation", F.lit(0.0)).alias("variation"), F.coalesce("n_contacts", F.lit(0)).alias("n_contacts"))
 
