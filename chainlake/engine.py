@@ -44,7 +44,8 @@ class Engine:
         states = ok.groupBy("combo").agg((F.count_distinct(F.when(F.col("min_pae") <= cut.min_pae, F.col("rank"))) >= cut.n_models).alias("is_stable"))
         edges = lattice.containment_edges(states)
         t = Tables({"ppi_2mers": f2, "ppi_nmers": fn, "states": states, "convergence": lattice.convergence(states, edges), "lattice": lattice.transitions(edges, states), "edges": graph.edge_weights(f2, "iptm")})
-        t.named["suggestions"] = lattice.suggestions(proteins.select("prot_id"), states, states)
+        t.named["suggestions"] = lattice.suggestions(f2.select("p1", "p2").unionByName(fn.select("p1", "p2")), states, states, lattice.homo_states(ok, cut.n_models, cut.min_pae))
+        t.named["open_pairs"] = lattice.open_pairs(proteins.select("prot_id"), pairs2.select("p1", "p2"))
         names = lambda x: x.select(F.explode(F.array("p1", "p2")).alias("p")).distinct()
         t.named["vertices"] = graph.vertex_status(proteins.select("prot_id"), names(pairs2), names(pairs_n), names(f2), names(fn))
         t.named["homo_states"] = lattice.homo_states(ok)

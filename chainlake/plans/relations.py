@@ -484,17 +484,23 @@ def _known(spark, d):
     return v.pairwise2(spark, d).select(F.explode(F.array("p1", "p2")).alias("p")).distinct()
 
 
-@query("jn_12_untested_pairs", f"WITH {_KNOWN} SELECT x.p AS a, y.p AS b FROM known x JOIN known y ON x.p <= y.p EXCEPT SELECT least(p1, p2), greatest(p1, p2) FROM pw2")
+_LEFT = """, o AS (SELECT p, count(*) OVER () - row_number() OVER (ORDER BY p) + 1 AS n_partners FROM known), c AS (SELECT a, count(*) AS n_done FROM done WHERE a IN (FROM known) AND b IN (FROM known) GROUP BY 1)
+    SELECT p AS item, n_partners, coalesce(n_done, 0) AS n_done, n_partners - coalesce(n_done, 0) AS n_left FROM o LEFT JOIN c ON c.a = o.p"""
+
+
+@query("jn_12_untested_pairs", f"WITH {_KNOWN}, done AS (SELECT DISTINCT least(p1, p2) AS a, greatest(p1, p2) AS b FROM pw2)" + _LEFT)
 def jn_12(spark, d):
-    return la.combinations(_known(spark, d), 2).select(F.col("members")[0].alias("a"), F.col("members")[1].alias("b")).join(v.pairwise2(spark, d).select(*ab()).distinct(), ["a", "b"], "left_anti")
+    """How many pairs of modelled proteins are untested, by the first protein of the pair."""
+    return la.open_pairs(_known(spark, d), v.pairwise2(spark, d).select("p1", "p2"))
 
 
-@query("jn_13_suggestions_left", f"WITH {_KNOWN} SELECT x.p AS a, y.p AS b FROM known x JOIN known y ON x.p <= y.p EXCEPT SELECT least(p1, p2), greatest(p1, p2) FROM pw2 EXCEPT SELECT {v.sql_id('protein1')}, {v.sql_id('protein2')} FROM pairwise_2mers_df_f3 EXCEPT SELECT {v.sql_id('protein2')}, {v.sql_id('protein1')} FROM pairwise_2mers_df_f3")
+@query("jn_13_suggestions_left", f"WITH {_KNOWN}, f3 AS (SELECT {v.sql_id('protein1')} AS p1, {v.sql_id('protein2')} AS p2 FROM pairwise_2mers_df_f3), done AS (SELECT least(p1, p2) AS a, greatest(p1, p2) AS b FROM pw2 UNION SELECT least(p1, p2), greatest(p1, p2) FROM f3 WHERE p1 IS NOT NULL AND p2 IS NOT NULL)" + _LEFT)
 def jn_13(spark, d):
+    """The same less the pairs of the filtered table."""
     from chainlake.functions.ids import protein_id
 
-    f3 = table(spark, d, "pairwise_2mers_df_f3").select(protein_id("protein1").alias("p1"), protein_id("protein2").alias("p2")).where("p1 IS NOT NULL AND p2 IS NOT NULL").select(*ab()).distinct()
-    return jn_12(spark, d).join(f3, ["a", "b"], "left_anti")
+    f3 = table(spark, d, "pairwise_2mers_df_f3").select(protein_id("protein1").alias("p1"), protein_id("protein2").alias("p2")).where("p1 IS NOT NULL AND p2 IS NOT NULL")
+    return la.open_pairs(_known(spark, d), v.pairwise2(spark, d).select("p1", "p2").unionByName(f3))
 
 
 @query("jn_14_parent_models", f"WITH {v.PWN}, {_MODELS} SELECT DISTINCT m.matrix_id, w.pred_id FROM model m JOIN pwn w ON m.combo = w.combo AND m.rank = w.rank")

@@ -16,7 +16,7 @@ from chainlake.operators import lattice as la
 from chainlake.operators import statistics as st
 from chainlake.plans import views as v
 from chainlake.plans.catalog import query, table
-from chainlake.plans.relations import _AGG1, _AGG2, _MODELS, _combo, _frequency, _interactions, _models, _sizes, _SIZES, ab, agg_11, passing2, passing_n
+from chainlake.plans.relations import _AGG1, _AGG2, _AGG10, _MODELS, _combo, _frequency, _interactions, _models, _sizes, _SIZES, ab, agg_11, passing2, passing_n
 
 # --- matrices ---
 
@@ -563,13 +563,24 @@ def grf_6(spark, d):
     return g.all_chains_supported(v.pairwise_n(spark, d).where("pred_id IS NOT NULL"), ["pred_id"])
 
 
+_HOMO = f"""{v.PW2}, {v.PWN}, h0 AS (SELECT combo[1] AS protein, len(combo) AS n, count(DISTINCT rank) FILTER (WHERE min_pae <= 7.5) >= 4 AS stable FROM pwn WHERE combo IS NOT NULL AND len(list_distinct(combo)) = 1 AND len(combo) > 1 GROUP BY 1, 2),
+    d2 AS (SELECT p1 AS protein, 2 AS n, count(DISTINCT rank) FILTER (WHERE min_pae <= 7.5) >= 4 AS stable FROM pw2 WHERE p1 = p2 GROUP BY 1), h AS (SELECT coalesce(d2.protein, h0.protein) AS protein, coalesce(d2.n, h0.n) AS n, coalesce(d2.stable, h0.stable) AS stable FROM h0 FULL JOIN d2 ON d2.protein = h0.protein AND d2.n = h0.n),
+    s AS (SELECT protein, unnest(range(2, max(n) + 2))::INT AS n FROM h GROUP BY 1), homo AS (SELECT s.protein, s.n, h.stable IS NOT NULL AS tested, h.stable FROM s LEFT JOIN h ON s.protein = h.protein AND s.n = h.n)"""
+
+
+@query("grf_7_homo_states", f"WITH {_HOMO} SELECT protein, n, tested, stable FROM homo")
+def grf_7(spark, d):
+    """Size 2 by the 2-mers of a protein with itself, where there are any."""
+    dimers = v.pairwise2(spark, d).where("p1 = p2").groupBy(F.col("p1").alias("protein")).agg((F.count_distinct(F.when(F.col("min_pae") <= 7.5, F.col("rank"))) >= 4).alias("stable"))
+    return la.homo_states(v.pairwise_n(spark, d).where("combo IS NOT NULL"), dimers=dimers)
+
+
 @query(
-    "grf_7_homo_states",
-    f"""WITH {v.PWN}, h AS (SELECT combo[1] AS protein, len(combo) AS n, count(DISTINCT rank) FILTER (WHERE min_pae <= 7.5) >= 4 AS stable FROM pwn WHERE combo IS NOT NULL AND len(list_distinct(combo)) = 1 AND len(combo) > 1 GROUP BY 1, 2),
-    s AS (SELECT protein, unnest(range(2, max(n) + 2))::INT AS n FROM h GROUP BY 1) SELECT s.protein, s.n, h.stable IS NOT NULL AS tested, h.stable FROM s LEFT JOIN h ON s.protein = h.protein AND s.n = h.n""",
+    "grf_7_breaks",
+    f"WITH {_HOMO}, b AS (SELECT *, NOT coalesce(stable, true) AND coalesce(lag(stable) OVER (PARTITION BY protein ORDER BY n), true) AS broken FROM homo) SELECT protein, min(n) FILTER (WHERE broken) AS first_break, min(n) FILTER (WHERE NOT tested) AS first_untested FROM b GROUP BY 1",
 )
-def grf_7(spark, d):
-    return la.homo_states(v.pairwise_n(spark, d).where("combo IS NOT NULL"))
+def grf_7b(spark, d):
+    return la.homo_breaks(grf_7(spark, d))
 
 
 @query(
@@ -671,27 +682,56 @@ def lat_3(spark, d):
     return la.convergence(s, la.containment_edges(s)).select(*_text("combo"), "n_stable", "n_unstable", "is_convergent")
 
 
+_PPI = """, pe AS (SELECT p1, p2 FROM pw2 WHERE min_pae <= 7.5 AND iptm >= 0 GROUP BY 1, 2 HAVING count(*) >= 4 UNION SELECT p1, p2 FROM (SELECT p1, p2, combo, rank, min(min_pae) AS mp, max(pdockq) AS pq FROM pwn WHERE combo IS NOT NULL GROUP BY ALL) WHERE mp <= 7.5 AND pq >= 0 GROUP BY p1, p2, combo HAVING count(*) >= 4),
+ed AS (SELECT p1 AS m, p2 AS x FROM pe UNION SELECT p2, p1 FROM pe)"""
+_GROWN = f"{v.PW2}, " + _STATES + _PPI + """, sm AS (SELECT combo, unnest(list_distinct(combo)) AS m FROM states WHERE is_stable), grown AS (SELECT DISTINCT list_sort(list_append(combo, x)) AS combo, combo AS origin FROM sm JOIN ed USING (m) WHERE NOT list_contains(combo, x) OR len(combo) + 1 < 5),
+cand AS (SELECT combo, count(DISTINCT origin) AS n_stable_parents FROM grown WHERE combo NOT IN (SELECT combo FROM states) GROUP BY 1)"""
+
+
+def _ppi(spark, d):
+    """Interacting pairs of 2-mers and N-mers."""
+    return passing2(spark, d).select("p1", "p2").unionByName(passing_n(spark, d).select("p1", "p2")).distinct()
+
+
+@query("lat_1_candidates", "WITH " + _GROWN + " SELECT array_to_string(combo, '|') AS combo, n_stable_parents FROM cand")
+def lat_1(spark, d):
+    return la.candidates(_states(spark, d), _ppi(spark, d)).select(*_text("combo"), "n_stable_parents")
+
+
+_NODES = "WITH " + _GROWN + """, del0 AS (SELECT DISTINCT list_filter(combo, lambda x, i: i <> k) AS combo FROM (SELECT combo, unnest(range(1, len(combo) + 1)) AS k FROM states WHERE len(combo) > 2)),
+node AS (SELECT combo, any_value(is_stable) AS is_stable FROM (SELECT combo, is_stable FROM states UNION ALL SELECT combo, NULL FROM del0 WHERE combo NOT IN (SELECT combo FROM states) UNION ALL SELECT combo, NULL FROM cand) GROUP BY 1),
+del1 AS (SELECT DISTINCT combo AS child, list_filter(combo, lambda x, i: i <> k) AS parent FROM (SELECT combo, unnest(range(1, len(combo) + 1)) AS k FROM node)), ln AS (SELECT parent, child FROM del1 WHERE parent IN (SELECT combo FROM node))"""
+
+
+def _nodes(spark, d):
+    """Tested combinations, and untested ones next to them: those with a member less, and the candidates."""
+    s = _states(spark, d)
+    less = la.parents(s.where(F.size("combo") > 2)).select(F.col("parent").alias("combo"))
+    more = la.candidates(s, _ppi(spark, d)).select("combo")
+    open_ = less.unionByName(more).distinct().join(s.select("combo"), "combo", "left_anti")
+    return s.unionByName(open_.withColumn("is_stable", F.lit(None).cast("boolean")))
+
+
 @query(
     "lat_4_transitions",
-    "WITH " + _STATES + _EDGE1 + """ SELECT CASE WHEN p.is_stable THEN 'Stable' ELSE 'Unstable' END || '->' || CASE WHEN c.is_stable THEN 'Stable' ELSE 'Unstable' END AS category, count(*) AS n_edges FROM le JOIN states p ON p.combo = le.parent JOIN states c ON c.combo = le.child GROUP BY 1""",
+    _NODES + """ SELECT CASE WHEN p.is_stable THEN 'Stable' WHEN p.is_stable IS NULL THEN 'Untested' ELSE 'Unstable' END || '->' || CASE WHEN c.is_stable THEN 'Stable' WHEN c.is_stable IS NULL THEN 'Untested' ELSE 'Unstable' END AS category, count(*) AS n_edges FROM ln JOIN node p ON p.combo = ln.parent JOIN node c ON c.combo = ln.child GROUP BY 1""",
 )
 def lat_4(spark, d):
-    s = _states(spark, d)
+    """Edges between tested combinations and untested ones next to them, in up to nine categories."""
+    s = _nodes(spark, d)
     return la.transitions(la.containment_edges(s), s).groupBy("category").agg(F.count("*").alias("n_edges"))
 
 
-_ALL = "every_one AS (SELECT prot_id AS x FROM proteins)"
-_LAT1 = "WITH " + _STATES + f""", {_ALL}, grown AS (SELECT list_sort(list_append(combo, x)) AS combo, combo AS origin FROM states CROSS JOIN every_one WHERE is_stable AND (NOT list_contains(combo, x) OR len(combo) + 1 < 5)),
-cand AS (SELECT combo, count(DISTINCT origin) AS n_stable_parents FROM grown WHERE combo NOT IN (SELECT combo FROM states) GROUP BY 1)"""
-
-
-def _proteins(spark, d):
-    return table(spark, d, "proteins").select("prot_id")
-
-
-@query("lat_1_candidates", _LAT1 + " SELECT array_to_string(combo, '|') AS combo, n_stable_parents FROM cand")
-def lat_1(spark, d):
-    return la.candidates(_states(spark, d), _proteins(spark, d)).select(*_text("combo"), "n_stable_parents")
+@query(
+    "lat_4_connections",
+    "WITH " + _STATES + _EDGE2 + """, u AS (SELECT parent, child, 1 AS j FROM le UNION ALL SELECT parent, child, 2 FROM le2), k AS (SELECT parent, child, j, unnest(list_distinct(child)) AS p FROM u),
+    ad AS (SELECT parent, child, j, list_sort(flatten(list(list_transform(range(len(list_filter(child, lambda q: q = p)) - len(list_filter(parent, lambda q: q = p))), lambda z: p)))) AS added FROM k GROUP BY ALL)
+    SELECT j AS order_jump, CASE WHEN len(added) = 1 THEN 'monomer_addition' WHEN s.is_stable THEN 'stable_2mer_addition' WHEN NOT s.is_stable THEN 'unstable_2mer_addition' ELSE 'complex_addition' END AS connection, count(*) AS n_edges FROM ad LEFT JOIN states s ON s.combo = ad.added GROUP BY 1, 2""",
+)
+def lat_4b(spark, d):
+    s = _states(spark, d)
+    edges = la.transitions(la.containment_edges(s, 2), s)
+    return la.connection_types(edges, s).groupBy("order_jump", "connection").agg(F.count("*").alias("n_edges"))
 
 
 @query("lat_2_decomposable")
@@ -718,19 +758,24 @@ def lat_2(spark, d):
 
 @query(
     "lat_6_suggestions",
-    _LAT1 + """, two AS (SELECT [a.x, b.x] AS combo FROM every_one a JOIN every_one b ON a.x <= b.x), homo AS (SELECT list_append(combo, combo[1]) AS combo FROM states WHERE is_stable AND len(list_distinct(combo)) = 1),
-    near AS (SELECT combo FROM cand WHERE len(combo) <= 3 OR list_max(list_transform(list_distinct(combo), lambda p: len(list_filter(combo, lambda q: q = p)))) <= 2),
-    a AS (SELECT combo, 'untested 2-mer' AS reason FROM two UNION ALL SELECT combo, 'homo N+1' FROM homo UNION ALL SELECT combo, 'neighbour' FROM near)
-    SELECT array_to_string(combo, '|') AS combo, min(reason) AS reason FROM a WHERE combo NOT IN (SELECT combo FROM states) GROUP BY combo""",
+    _AGG10 + ", mv AS (SELECT a, b FROM f WHERE greatest(fraction_3, fn) >= 0.2), " + _GROWN + ", " + _HOMO[_HOMO.index("h0 AS"):] + """, tp AS (SELECT protein, max(n) AS top FROM homo WHERE tested GROUP BY 1), pp AS (SELECT DISTINCT least(p1, p2) AS a, greatest(p1, p2) AS b FROM pe WHERE p1 <> p2),
+    own AS (SELECT combo, combo[1] AS a, combo[len(combo)] AS b FROM states WHERE is_stable AND len(combo) > 1 AND len(list_filter(combo, lambda p: p <> combo[1] AND p <> combo[len(combo)])) = 0), lg AS (SELECT a, b, arg_max(combo, (len(combo), combo)) AS combo FROM own SEMI JOIN mv USING (a, b) GROUP BY 1, 2),
+    sg AS (SELECT list_append(combo, combo[1]) AS combo, 'homo N+1' AS reason FROM states WHERE is_stable AND len(list_distinct(combo)) = 1
+    UNION ALL SELECT combo, 'neighbour' FROM cand WHERE len(combo) <= 3 OR list_max(list_transform(list_distinct(combo), lambda p: len(list_filter(combo, lambda q: q = p)))) <= 2
+    UNION ALL SELECT list_transform(range(n), lambda z: homo.protein), 'missing homo' FROM homo JOIN tp USING (protein) WHERE NOT tested AND n < top
+    UNION ALL SELECT unnest([[a, a, b], [a, b, b]]), 'expanded 3-mer' FROM pp ANTI JOIN mv USING (a, b) UNION ALL SELECT unnest([list_sort(list_append(combo, a)), list_sort(list_append(combo, b))]), 'multivalent child' FROM lg)
+    SELECT array_to_string(combo, '|') AS combo, min(reason) AS reason FROM sg WHERE combo NOT IN (SELECT combo FROM states) GROUP BY combo""",
 )
 def lat_6(spark, d):
     s = _states(spark, d)
-    return la.suggestions(_proteins(spark, d), s, s).select(*_text("combo"), "reason")
+    return la.suggestions(_ppi(spark, d), s, s, grf_7(spark, d), agg_11(spark, d)).select(*_text("combo"), "reason")
 
 
-@query("lat_7_bootstrap", f"WITH {_ALL} SELECT a.x AS p1, b.x AS p2 FROM every_one a JOIN every_one b ON a.x <= b.x")
+@query("lat_7_bootstrap", "SELECT prot_id AS item, count(*) OVER () - row_number() OVER (ORDER BY prot_id) + 1 AS n_partners, 0 AS n_done, count(*) OVER () - row_number() OVER (ORDER BY prot_id) + 1 AS n_left FROM proteins")
 def lat_7(spark, d):
-    return la.combinations(_proteins(spark, d), 2).select(F.col("members")[0].alias("p1"), F.col("members")[1].alias("p2"))
+    """All 2-mers of the proteins, as the number of pairs that each protein comes first in."""
+    p = table(spark, d, "proteins").select("prot_id")
+    return la.open_pairs(p, spark.createDataFrame([], "p1 string, p2 string"))
 
 
 # --- reports ---
