@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chainlake.operators.series import running_total
 from chainlake.storage import Scratch
 
 
@@ -79,40 +80,63 @@ def _scaled(value: Column, least: float | None, most: float | None, bits: int) -
     return F.coalesce(F.floor(share * F.lit((1 << bits) - 1)), F.lit(0)).cast("bigint")
 
 
+_MARKS = ("n_atoms", "n_bytes", "low", "high", "xor")
+ROW_BYTES = 16  #: what a record weighs besides its text
+
+
+def _source_marks(content: Column) -> Column:
+    """Number, bytes and digest (sums of both halves and exclusive or of the hashes of line number and text) of the ATOM lines of one text."""
+    hashed = F.filter(
+        F.transform(F.split(content, "\r?\n|\r"), lambda x, i: F.when(x.startswith("ATOM "), F.struct(F.xxhash64(i, x).alias("h"), (F.octet_length(x) + ROW_BYTES).cast("bigint").alias("w")))),
+        lambda x: x.isNotNull(),
+    )
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(*(zero.alias(n) for n in _MARKS))
+
+    def add(a: Column, x: Column) -> Column:
+        h = x["h"]
+        return F.struct((a["n_atoms"] + 1).alias("n_atoms"), (a["n_bytes"] + x["w"]).alias("n_bytes"), (a["low"] + h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), (a["high"] + F.shiftright(h, 32)).alias("high"), a["xor"].bitwiseXOR(h).alias("xor"))
+
+    return F.aggregate(hashed, start, add)
+
+
 def distinct_files(deliveries: DataFrame) -> DataFrame:
-    """One row per file: smallest file_id of its deliveries, and the text of the first delivery that has one.
+    """One row per file: smallest file_id of its deliveries, and the text of the first delivery that has one, with its marks.
 
-    Deliveries are of one file when their canonical paths agree; a delivery without a path is a file of its own.
+    Deliveries are of one file when their canonical paths agree; a delivery without a path is a file of its own. The marks
+    (number, bytes and digest of the ATOM lines) are taken from the source rows, before anything is moved.
     """
     path = canonical_path(F.col("pdb_file"))
     location = F.when(F.coalesce(path, F.lit("")).isin("", "/"), F.concat(F.lit("?"), F.col("file_id").cast("string"))).otherwise(path)
-    kept = F.when(F.col("content").isNotNull(), F.struct("file_id", "pred_id", "rank", "landed_at", "content"))
+    kept = F.when(F.col("content").isNotNull(), F.struct("file_id", "pred_id", "rank", "landed_at", "content", _source_marks(F.col("content")).alias("marks")))
     one = deliveries.where("file_id IS NOT NULL").select(location.alias("path"), "file_id", kept.alias("kept"))
     grouped = one.groupBy("path").agg(F.min("file_id").alias("file_id"), F.min_by("kept", F.col("kept.file_id")).alias("kept"))
-    return grouped.select("path", "file_id", "kept.pred_id", "kept.rank", "kept.landed_at", "kept.content")
+    return grouped.select("path", "file_id", "kept.pred_id", "kept.rank", "kept.landed_at", "kept.content", *(F.coalesce(F.col(f"kept.marks.{n}"), F.lit(0).cast("bigint")).alias(n) for n in _MARKS))
 
 
 def atom_records(files: DataFrame) -> DataFrame:
-    """One row per ATOM line of each file, with its line number."""
-    lines = files.where("content IS NOT NULL").select("file_id", "code", F.posexplode(F.split("content", "\r?\n|\r")).alias("line", "record"))
+    """One row per ATOM line of each file, with its line number and the file's place."""
+    lines = files.where("content IS NOT NULL").select("file_id", "code", "start", F.posexplode(F.split("content", "\r?\n|\r")).alias("line", "record"))
     return lines.where(F.col("record").startswith("ATOM "))
 
 
-def digest(records: DataFrame) -> tuple[int, int, int]:
-    """Number, sum and exclusive or of the records' hashes: the same for the same rows in any order."""
-    h = F.xxhash64("file_id", "line", "record")
-    row = records.agg(F.count("*"), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h)).first()
-    return int(row[0]), int(row[1] or 0), int(row[2] or 0)
+def file_marks(records: DataFrame) -> DataFrame:
+    """The marks of each file of a written table: (file_id, n_atoms, n_bytes, low, high, xor)."""
+    h = F.xxhash64("line", "record")
+    return records.groupBy("file_id").agg(
+        F.count("*").alias("n_atoms"), F.sum(F.octet_length("record") + ROW_BYTES).alias("n_bytes"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.sum(F.shiftright(h, 32)).alias("high"), F.bit_xor(h).alias("xor")
+    )
 
 
-def compact(deliveries: DataFrame, target_bytes: int = 128 << 20, bits: int = 5, scratch: Scratch | None = None) -> DataFrame:
+def compact(deliveries: DataFrame, target_bytes: int = 128 << 20, scratch: Scratch | None = None) -> DataFrame:
     """Consolidates tiny PDB files: every ATOM line of every file exactly once, in few files of about target_bytes.
 
-    Files get a Hilbert code of prediction, rank and time of arrival (2^(3 * bits) cells, so the exact
-    histogram of bytes by code has a bounded size). The running total of the histogram places each cell in
-    the output; within a cell records are spread by hash, so a cell, or a single file, that holds a
-    third of all bytes fills several output files. Digests of the rows before the shuffle and of
-    the written table must agree, else an error is raised.
+    Files get a Hilbert code of prediction, rank and time of arrival, with as many bits an axis as make some 64 cells an output
+    file (at most 7, two million cells), so the exact histogram of bytes by code has a bounded size. Within a cell files follow each other by number; the
+    running total of bytes gives every file its place, and a file that is longer than what is left of an output file goes on in
+    the next, so a cell, or a single file, that holds a third of all bytes fills several output files. Texts are cut twice:
+    where they are read, for the marks, and where the records are written. Every file's number, bytes and
+    digest, taken from the source, must be those of the written table, else an error is raised.
 
     Returns the written table (file_id, code, line, record). Repeated deliveries, other writings of a path
     and null texts add nothing; an empty input gives an empty table.
@@ -121,23 +145,31 @@ def compact(deliveries: DataFrame, target_bytes: int = 128 << 20, bits: int = 5,
     scratch = scratch or Scratch(spark, "compaction")
     files = scratch.save(distinct_files(deliveries), "files")
     axes = [F.col("pred_id"), F.col("rank"), F.unix_micros(F.col("landed_at").cast("timestamp"))]
-    r = files.agg(*(f(c.cast("double")) for c in axes for f in (F.min, F.max))).first()
-    coordinates = F.array(*(_scaled(c, r[2 * k], r[2 * k + 1], bits) for k, c in enumerate(axes)))
-    records = atom_records(files.withColumn("code", hilbert_code(coordinates, 3, bits)))
-    weight = F.octet_length("record") + 16
-    histogram = {row["code"]: (row["bytes"], row["n"]) for row in records.groupBy("code").agg(F.sum(weight).alias("bytes"), F.count("*").alias("n")).collect()}  # at most 2^(3 * bits) rows
-    total = sum(b for b, _ in histogram.values())
+    r = files.agg(F.sum("n_bytes"), *(f(c.cast("double")) for c in axes for f in (F.min, F.max))).first()
+    total = r[0] or 0
     parts = max(1, math.ceil(total / target_bytes))
+    bits = min(7, max(1, math.ceil(math.log2(64 * parts) / 3)))
+    coordinates = F.array(*(_scaled(c, r[1 + 2 * k], r[2 + 2 * k], bits) for k, c in enumerate(axes)))
+    coded = scratch.save(files.where("n_atoms > 0").select("file_id", "n_atoms", "n_bytes", hilbert_code(coordinates, 3, bits).alias("code")), "codes")
+    histogram = {row["code"]: row["bytes"] for row in coded.groupBy("code").agg(F.sum("n_bytes").alias("bytes")).collect()}  # at most 2^(3 * bits) rows
     starts, at = [], 0
     for code in sorted(histogram):
-        starts.append((code, float(at), float(histogram[code][0])))
-        at += histogram[code][0]
-    places = spark.createDataFrame(starts, "code bigint, start double, bytes double")
-    share = (F.xxhash64("file_id", "line") / F.lit(2.0**64)) + F.lit(0.5)
-    spot = F.least(F.floor((F.col("start") + share * F.col("bytes")) / F.lit(max(1.0, total / parts))), F.lit(parts - 1)).cast("int")
-    placed = records.join(F.broadcast(places), "code").select("file_id", "code", "line", "record", spot.alias("part"))
-    out = scratch.save(placed.repartitionById(parts, F.col("part")).sortWithinPartitions("code", "file_id", "line").drop("part"), "compacted")
-    before, after = digest(records), digest(out)
-    if before != after or before[0] != sum(n for _, n in histogram.values()):
-        raise RuntimeError(f"rows differ: {before} before, {after} after")
+        starts.append((code, at))
+        at += histogram[code]
+    places = spark.createDataFrame(starts, "code bigint, cell bigint")
+    # where each file starts in its cell: running totals by blocks of numbered files, so a hot cell does not meet in one task
+    upto = running_total(coded, ["code"], ["file_id"], ["n_bytes"], scratch)
+    placed = upto.join(F.broadcast(places), "code").select("file_id", "code", (F.col("cell") + F.col("upto_n_bytes") - F.col("n_bytes")).alias("start"), "n_bytes", "n_atoms")
+    records = atom_records(files.select("file_id", "content").join(placed, "file_id"))
+    within = F.col("line") * F.lit(80 + ROW_BYTES)  # records are lines of at most 80 characters: a line's place in its file, near enough for the balance
+    spot = F.least(F.floor((F.col("start") + within) / F.lit(max(1.0, total / parts))), F.lit(parts - 1)).cast("int")
+    out = records.select("file_id", "code", "line", "record", spot.alias("part"))
+    out = scratch.save(out.repartitionById(parts, F.col("part")).sortWithinPartitions("code", "file_id", "line").drop("part"), "compacted")
+    same = F.col("s.n_atoms") == F.col("d.n_atoms")
+    for n in _MARKS[1:]:
+        same = same & (F.col(f"s.{n}") == F.col(f"d.{n}"))
+    pairs = files.where("n_atoms > 0").select("file_id", *_MARKS).alias("s").join(file_marks(out).alias("d"), F.col("s.file_id") == F.col("d.file_id"), "full_outer")
+    wrong = pairs.where(~F.coalesce(same, F.lit(False))).count()
+    if wrong:
+        raise RuntimeError(f"{wrong} files differ from their source")
     return out

@@ -28,3 +28,11 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 def p5_compacted(spark: SparkSession, folder: str) -> DataFrame:
     rows = compact(table(spark, folder, "all_pdb_data"))
     return rows.groupBy("file_id").agg(F.count("*").alias("n_atoms"), F.min("record").alias("first_record"), F.max("record").alias("last_record"))
+
+
+@query("p5_balance", _FILES + "SELECT ceil(sum(strlen(record) + 16) / 65536)::BIGINT AS n_files, true AS balanced FROM atom")
+def p5_balance(spark: SparkSession, folder: str) -> DataFrame:
+    """The same consolidation into files of 64 KiB: how many are written, and whether none holds more than one and a half times the mean or less than half of it."""
+    rows = compact(table(spark, folder, "all_pdb_data"), target_bytes=65536).withColumn("f", F.input_file_name())
+    sizes = rows.groupBy("f").agg(F.sum(F.octet_length("record") + 16).alias("n"))
+    return sizes.agg(F.count("*").alias("n_files"), ((F.max("n") <= 1.5 * F.avg("n")) & (F.min("n") >= 0.5 * F.avg("n"))).alias("balanced"))
