@@ -15,6 +15,16 @@ from chainlake.storage import Scratch
 _STATS = "file string, row_group int, n_rows bigint, one_group boolean, {groups}, least double, most double"
 
 
+def open_uri(uri: str):
+    """File system and path of a URI as Hadoop writes it; s3a and s3n are S3."""
+    import pyarrow.fs as pfs
+
+    for scheme in ("s3a://", "s3n://"):
+        if uri.startswith(scheme):
+            uri = "s3://" + uri[len(scheme) :]
+    return pfs.FileSystem.from_uri(uri)
+
+
 def write_clustered(rows: DataFrame, groups: list[str], score: str, ties: list[str], scratch: Scratch, name: str, block_bytes: int = 1 << 20) -> list[str]:
     """Writes rows clustered by group, best scores first, and returns the files.
 
@@ -36,13 +46,12 @@ def row_group_statistics(files: list[str], groups: list[str], score: str, rows:
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow.fs as pfs
         import pyarrow.parquet as pq
 
         for batch in batches:
             out = []
             for uri in batch["file"]:
-                fs, path = pfs.FileSystem.from_uri(uri)
+                fs, path = open_uri(uri)
                 meta = pq.read_metadata(path, filesystem=fs)
                 at = {meta.schema.column(k).name: k for k in range(meta.num_columns)}
                 for k in range(meta.num_row_groups):
@@ -62,8 +71,9 @@ def top_n(rows: DataFrame, groups: list[str], score: str, ties: list[str], n: in
 
     Rows are written once, clustered by group. A row group of one group is skipped when its best score is
     strictly below that group's current n-th score: first by statistics alone (another row group of at
-    least n rows, all of them better), then within a file, whose row groups are read best first. Row groups
-    of several groups always hold the start of one and are read. Of each file at most n rows of a group go on to the final ranking.
+    least n rows, all of them better), then within a file, whose row groups are read best first. A row group
+    of several groups never lies below every one's n-th score: rows are in order of group and score, so it holds the best rows of each
+    group that begins in it, and is read. Of each file at most n rows of a group go on to the final ranking.
 
     Groups with fewer rows come whole. Rows with a null group, and with a null or NaN score, have no rank
     and are left out. Repeated rows are ranked one by one. Only the named columns are returned, so others may clash.
@@ -80,10 +90,9 @@ def top_n(rows: DataFrame, groups: list[str], score: str, ties: list[str], n: in
     schema = rows.select(*columns).schema
 
     def read(key: tuple, plan: pd.DataFrame) -> pd.DataFrame:
-        import pyarrow.fs as pfs
         import pyarrow.parquet as pq
 
-        fs, path = pfs.FileSystem.from_uri(key[0])
+        fs, path = open_uri(key[0])
         best: list[pd.DataFrame] = []
         current: dict[tuple, list[float]] = {}
         with fs.open_input_file(path) as source:
