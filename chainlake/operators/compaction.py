@@ -115,8 +115,10 @@ def distinct_files(deliveries: DataFrame) -> DataFrame:
 
 
 def atom_records(files: DataFrame) -> DataFrame:
-    """One row per ATOM line of each file, with its line number and the file's place."""
-    lines = files.where("content IS NOT NULL").select("file_id", "code", "start", F.posexplode(F.split("content", "\r?\n|\r")).alias("line", "record"))
+    """One row per ATOM line of each file, with its line number, the file's code, and the record's place: the file's start and its share of the file's bytes by line number."""
+    lines = files.where("content IS NOT NULL").select("file_id", "code", "start", "n_bytes", F.split("content", "\r?\n|\r").alias("lines"))
+    lines = lines.select("file_id", "code", "start", "n_bytes", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("line", "record"))
+    lines = lines.select("file_id", "code", "line", "record", (F.col("start") + F.col("n_bytes") * F.col("line") / F.col("n_lines")).alias("place"))
     return lines.where(F.col("record").startswith("ATOM "))
 
 
@@ -161,8 +163,7 @@ def compact(deliveries: DataFrame, target_bytes: int = 128 << 20, scratch: Scrat
     upto = running_total(coded, ["code"], ["file_id"], ["n_bytes"], scratch)
     placed = upto.join(F.broadcast(places), "code").select("file_id", "code", (F.col("cell") + F.col("upto_n_bytes") - F.col("n_bytes")).alias("start"), "n_bytes", "n_atoms")
     records = atom_records(files.select("file_id", "content").join(placed, "file_id"))
-    within = F.col("line") * F.lit(80 + ROW_BYTES)  # records are lines of at most 80 characters: a line's place in its file, near enough for the balance
-    spot = F.least(F.floor((F.col("start") + within) / F.lit(max(1.0, total / parts))), F.lit(parts - 1)).cast("int")
+    spot = F.least(F.floor(F.col("place") / F.lit(max(1.0, total / parts))), F.lit(parts - 1)).cast("int")
     out = records.select("file_id", "code", "line", "record", spot.alias("part"))
     out = scratch.save(out.repartitionById(parts, F.col("part")).sortWithinPartitions("code", "file_id", "line").drop("part"), "compacted")
     same = F.col("s.n_atoms") == F.col("d.n_atoms")
