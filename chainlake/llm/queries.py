@@ -116,8 +116,22 @@ placed AS (SELECT least(p, q) AS protein_a, greatest(p, q) AS protein_b, row_id,
 """
 
 
+_P1 = f"""
+WITH rec AS (SELECT matrix_id AS m, {_id('protein1')} AS p, {_id('protein2')} AS q, is_contact, pae, distance, unnest(range(greatest(coalesce(len(is_contact), 0), coalesce(len(pae), 0)))) AS i FROM pairwise_contact_matrices WHERE is_contact IS NOT NULL OR (pae IS NOT NULL AND distance IS NOT NULL)),
+line AS (SELECT m, p, q, i, is_contact[i + 1] AS g, pae[i + 1] AS pr, distance[i + 1] AS dr FROM rec WHERE p IS NOT NULL AND q IS NOT NULL),
+cell AS (SELECT m, p, q, i, unnest(range(greatest(coalesce(len(g), 0), coalesce(len(pr), 0)))) AS j, g, pr, dr FROM line),
+hit AS (SELECT m, least(p, q) AS a, greatest(p, q) AS b, CASE WHEN p > q THEN j ELSE i END AS i, CASE WHEN p > q THEN i ELSE j END AS j FROM cell WHERE CASE WHEN g IS NOT NULL THEN g[j + 1] ELSE pr[j + 1] < 7.5 AND dr[j + 1] < 8 END),
+k AS (SELECT m, count(*) AS k FROM hit GROUP BY m HAVING count(*) >= 5), con AS (SELECT hit.* FROM hit JOIN k USING (m)),
+shared AS (SELECT x.m AS m1, y.m AS m2, count(*) AS c FROM con x JOIN con y USING (a, b, i, j) GROUP BY 1, 2),
+alike AS (SELECT m1, m2 FROM shared JOIN k k1 ON k1.m = m1 JOIN k k2 ON k2.m = m2 WHERE 2 * c >= k1.k + k2.k - c),
+grouped AS (SELECT m1 AS matrix_id, min(m2) AS cluster_id, count(*) AS n FROM alike GROUP BY 1)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        # the records of a cluster are all alike and alike to no other, so each record's alike records are its cluster
+        "p1_found": _P1 + "SELECT matrix_id, cluster_id FROM grouped WHERE n >= 2",
         "p2_found": _P2 + "SELECT protein_a, protein_b FROM scored WHERE n_ab >= 8 AND n_ab * n >= 4 * n_a * n_b",
         "p2_pairs": _P2
         + """SELECT *, round(n_ab * n / (n_a * n_b)::DOUBLE, 6) AS lift,
