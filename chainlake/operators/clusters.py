@@ -42,21 +42,34 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, block: i
     return best.groupBy(key).agg(F.min_by("nearest", F.struct("d", "nearest")).alias("nearest"))
 
 
-def agglomerate(distance: np.ndarray, k: int, linkage: str = "average", weights: np.ndarray | None = None) -> np.ndarray:
-    """CLU-1: labels of k clusters by Lance-Williams updates of a distance matrix; ties: the smallest pair of positions. A weight says how many equal points a row stands for."""
+def agglomerations(distance: np.ndarray, ks: list[int], linkage: str = "average", weights: np.ndarray | None = None) -> dict[int, np.ndarray]:
+    """CLU-1: labels of k clusters for each k, from one run of Lance-Williams updates of a distance matrix; ties: the smallest pair of positions.
+
+    A weight says how many equal points a row stands for. Every row remembers its nearest other, so a merge looks through
+    the rows once and not through the matrix.
+    """
     n = len(distance)
+    wanted = {max(1, min(k, n)) for k in ks}
     d = distance.astype(float).copy()
     if linkage == "ward":
         d = d**2
     np.fill_diagonal(d, np.inf)
-    size, members = np.ones(n) if weights is None else weights.astype(float), [[i] for i in range(n)]
+    size, parent = np.ones(n) if weights is None else weights.astype(float), np.arange(n)
     alive = np.ones(n, dtype=bool)
-    for _ in range(n - max(1, k)):
-        i, j = divmod(int(d.argmin()), n)
-        i, j = min(i, j), max(i, j)
-        if not np.isfinite(d[i, j]):
+    near = d.argmin(axis=1) if n else np.empty(0, dtype=int)
+    low = d[np.arange(n), near] if n else np.empty(0)
+    out: dict[int, np.ndarray] = {}
+    for left in range(n, 0, -1):
+        if left in wanted:
+            _, out[left] = np.unique(parent, return_inverse=True)  # a cluster's number is the order of its first member
+        if left == min(wanted):
+            break
+        i = int(low.argmin())
+        j = int(near[i])
+        if not np.isfinite(low[i]):
             rest = np.flatnonzero(alive)
             i, j = int(rest[0]), int(rest[1])
+        i, j = min(i, j), max(i, j)
         a, b, s, t = d[i], d[j], size[i], size[j]
         if linkage == "single":
             new = np.minimum(a, b)
@@ -72,11 +85,21 @@ def agglomerate(distance: np.ndarray, k: int, linkage: str = "average", weights:
         d[j], d[:, j] = np.inf, np.inf
         alive[j] = False
         size[i] += t
-        members[i] += members[j]
-    labels = np.empty(n, dtype=int)
-    for label, m in enumerate(sorted((m for m, x in zip(members, alive, strict=True) if x), key=min)):
-        labels[m] = label
-    return labels
+        parent[parent == j] = i
+        stale = np.flatnonzero(alive & ((near == i) | (near == j)))
+        closer = alive & ((new < low) | ((new == low) & (i < near)))
+        near[closer], low[closer] = i, new[closer]
+        for r in {*stale.tolist(), i}:
+            near[r] = d[r].argmin()
+            low[r] = d[r, near[r]]
+        low[j] = np.inf
+    return out
+
+
+def agglomerate(distance: np.ndarray, k: int, linkage: str = "average", weights: np.ndarray | None = None) -> np.ndarray:
+    """CLU-1: agglomerations() for one number of clusters."""
+    k = max(1, min(k, len(distance)))
+    return agglomerations(distance, [k], linkage, weights)[k]
 
 
 def silhouette(distance: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None) -> float:
@@ -98,22 +121,50 @@ def silhouette(distance: np.ndarray, labels: np.ndarray, weights: np.ndarray | N
 
 
 def best_count(
-    distance: np.ndarray, valency: int, linkage: str = "average", extra: int = 3, fewer: int = 2, improvement: float = 0.0, weights: np.ndarray | None = None
+    distance: np.ndarray, valency: int, linkage: str = "average", extra: int = 3, fewer: int = 2, improvement: float = 0.0, weights: np.ndarray | None = None, score: str = "silhouette"
 ) -> np.ndarray:
-    """CLU-2: labels with the number of clusters that the silhouette favours around the valency; the valency unless one is better. Equal points (weights) stay together."""
+    """CLU-2: labels with the number of clusters that a score favours around the valency; the valency unless one is better. Equal points (weights) stay together.
+
+    score: silhouette, calinski_harabasz, davies_bouldin (smaller is better, so its negative counts) or gap; all but the first
+    take the points of a classical scaling of the distances.
+    """
     n = len(distance)
     base = max(1, min(valency, n))
     low, high = (max(2, base - fewer) if base > 2 else base), min(base + extra, n)
-    best = agglomerate(distance, base, linkage, weights)
-    score = silhouette(distance, best, weights)
+    cuts = agglomerations(distance, [base, *range(max(2, low), high + 1)], linkage, weights)
+    points = None if score == "silhouette" else classical_scaling(distance, weights=weights)
+
+    def value(labels: np.ndarray) -> float:
+        if score == "silhouette":
+            return silhouette(distance, labels, weights)
+        if score == "calinski_harabasz":
+            return calinski_harabasz(points, labels, weights)
+        if score == "davies_bouldin":
+            return -davies_bouldin(points, labels, weights)
+        return gap_statistic(points, labels, lambda x, k: kmeans(x, k, starts=1)[0])
+
+    best = cuts[base]
+    top = value(best)
     for k in range(max(2, low), high + 1):
-        labels = agglomerate(distance, k, linkage, weights)
-        s = silhouette(distance, labels, weights)
-        if s > score * (1 + improvement) and s > score:
-            best, score = labels, s
+        s = value(cuts[k])
+        if s > top + abs(top) * improvement and s > top:
+            best, top = cuts[k], s
     return best
 
 
+def classical_scaling(distance: np.ndarray, dims: int = 8, weights: np.ndarray | None = None) -> np.ndarray:
+    """Points whose distances come near the given ones, by the largest eigenvalues of the centred squares."""
+    n = len(distance)
+    w = np.ones(n) if weights is None else weights.astype(float)
+    root = np.sqrt(w)
+    centre = np.eye(n) - w / w.sum()
+    values, vectors = np.linalg.eigh(-0.5 * root[:, None] * (centre @ distance**2 @ centre.T) * root)
+    top = np.argsort(-values)[: min(dims, n)]
+    vectors = vectors[:, top] / root[:, None]
+    vectors *= np.where(vectors[np.abs(vectors).argmax(axis=0), np.arange(len(top))] < 0, -1, 1)  # a sign of its own for each axis
+    return vectors * np.sqrt(np.maximum(values[top], 0))
+
+
 def kmeans(points: np.ndarray, k: int, seed: int = 42, rounds: int = 100, starts: int = 10) -> tuple[np.ndarray, float]:
     """CLU-7: labels and inertia of the best of several seeded k-means++ runs."""
     best, least = np.zeros(len(points), dtype=int), np.inf
@@ -297,6 +348,102 @@ def merge_similar(similarity, clusters: list[np.ndarray], threshold: float) -> l
     return [np.mean(g, axis=0) for g in groups]
 
 
+def contact_fraction(a: np.ndarray, b: np.ndarray) -> float:
+    """CLU-5 (MCFT): share of the smaller mask's contacts that the larger has; 1 for an empty one."""
+    x, y = (a > 0).ravel(), (b > 0).ravel()
+    n = min(x.sum(), y.sum())
+    return float((x & y).sum() / n) if n else 1.0
+
+
+def merge_small(similarity, masks: list[np.ndarray], sizes: list[int], threshold: float, share: float = 0.2) -> list[int]:
+    """CLU-5 (MCMS): new number of each cluster when the two most similar are joined until none reaches the threshold, and clusters of less than `share` of the largest then go to the most similar larger one."""
+    group = list(range(len(masks)))
+    means, n = {k: x.astype(float) for k, x in enumerate(masks)}, dict(enumerate(sizes))
+
+    def join(i: int, j: int) -> None:
+        means[i] = (means[i] * n[i] + means[j] * n[j]) / (n[i] + n[j])
+        n[i] += n[j]
+        del means[j], n[j]
+        for k, g in enumerate(group):
+            if g == j:
+                group[k] = i
+
+    while len(means) > 1:
+        keys = sorted(means)
+        s, i, j = max(((similarity(means[i], means[j]), -i, -j) for p, i in enumerate(keys) for j in keys[p + 1 :]))
+        if s < threshold:
+            break
+        join(-i, -j)
+    largest = max(n.values())
+    for k in sorted(n, key=lambda k: (n[k], k)):
+        others = [o for o in n if n[o] > n[k]]
+        if len(n) > 1 and n[k] < share * largest and others:
+            join(max(others, key=lambda o: (similarity(means[o], means[k]), -o)), k)
+    return [sorted(means).index(g) for g in group]
+
+
+def merge_close(cells: list[np.ndarray], threshold: float = 10.0, how: str = "median") -> list[int]:
+    """CLU-5 (MMCT): new number of each cluster when those whose contacts lie near each other's (mean or median Manhattan distance from the smaller to the larger at most the threshold) are joined, the nearest first.
+
+    cells: the (i, j) contacts of each cluster.
+    """
+    group = list(range(len(cells)))
+    held = dict(enumerate(cells))
+
+    def far(x: np.ndarray, y: np.ndarray) -> float:
+        small, large = (x, y) if len(x) <= len(y) else (y, x)
+        if not len(small):
+            return float("inf")
+        d = np.abs(small[:, None, :] - large[None, :, :]).sum(axis=2).min(axis=1)
+        return float(np.median(d) if how == "median" else d.mean())
+
+    while len(held) > 1:
+        keys = sorted(held)
+        d, i, j = min((far(held[i], held[j]), i, j) for p, i in enumerate(keys) for j in keys[p + 1 :])
+        if d > threshold:
+            break
+        held[i] = np.unique(np.concatenate([held[i], held[j]]), axis=0)
+        del held[j]
+        group = [i if g == j else g for g in group]
+    return [sorted(held).index(g) for g in group]
+
+
+def merge_counts(similarity, means: list[np.ndarray], thresholds: np.ndarray) -> list[int]:
+    """CLU-6: number of clusters left at each threshold when the two most similar are joined while they reach it: one run, for the joins are the same down to each threshold."""
+    groups, held = [[m] for m in means], [np.asarray(m, dtype=float) for m in means]
+    steps = []
+    while len(held) > 1:
+        s, i, j = max(((similarity((held[i], held[j])), -i, -j) for i in range(len(held)) for j in range(i + 1, len(held))))
+        i, j = -i, -j
+        steps.append(s)
+        groups[i] += groups.pop(j)
+        held[i] = np.mean(groups[i], axis=0)
+        held.pop(j)
+    out = []
+    for t in thresholds:
+        k = next((n for n, s in enumerate(steps) if s < t), len(steps))
+        out.append(len(means) - k)
+    return out
+
+
+def close_counts(cells: list[np.ndarray], thresholds: np.ndarray, how: str) -> list[int]:
+    """CLU-6: number of clusters that merge_close() leaves at each threshold, which falls as thresholds rise."""
+    out, last = [], None
+    for t in thresholds:
+        if last != 1:
+            last = len(set(merge_close(cells, float(t), how)))
+        out.append(last)
+    return out
+
+
+def without_outliers(labels: np.ndarray, weights: np.ndarray, large: int = 10) -> np.ndarray:
+    """CLU-5: clusters of a single point become -1 where some cluster has at least `large` points."""
+    n = {k: weights[labels == k].sum() for k in np.unique(labels)}
+    if max(n.values(), default=0) < large:
+        return labels
+    return np.array([-1 if n[k] == 1 else k for k in labels])
+
+
 def set_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """SET-5: intersection over union of two masks; 1 for two empty ones."""
     union = np.logical_or(a > 0, b > 0).sum()

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chainlake.functions import metrics as m
+from chainlake.plans import catalog
+from chainlake.plans import views as v
 from chainlake.plans.catalog import query, table
 from chainlake.plans.relations import passing_n
 from chainlake.plans.structures import _STATES, _states, lat_6
+from chainlake.sources import mmcif
 from chainlake.sources import text_files as tf
 from chainlake.storage import Scratch
 
@@ -72,10 +76,15 @@ def snk_1(spark, d):
     return rows.select("row_id", "rank", "min_pae")
 
 
-@query("snk_3_job_json")
+@query(
+    "snk_3_job_json",
+    "WITH s AS (" + catalog._SQL["lat_6_suggestions"] + "), e AS (SELECT combo, unnest(string_split(combo, '|')) AS p FROM s) SELECT replace(combo, '|', '__vs__') AS name, count(DISTINCT p) AS n_proteins, count(*) AS n_chains FROM e JOIN proteins ON prot_id = p GROUP BY combo",
+)
 def snk_3(spark, d):
+    """A job of each suggestion as JSON, read back."""
     combos = lat_6(spark, d).select(F.split("combo", "\\|").alias("combo"))
-    return tf.job_json(combos, table(spark, d, "proteins")).select("name", "job")
+    jobs = tf.job_json(combos, table(spark, d, "proteins")).select("name", F.from_json("job", "sequences array<struct<proteinChain: struct<sequence: string, count: bigint>>>").alias("j"))
+    return jobs.select("name", F.size("j.sequences").cast("bigint").alias("n_proteins"), F.aggregate("j.sequences", F.lit(0).cast("bigint"), lambda n, x: n + x["proteinChain"]["count"]).alias("n_chains"))
 
 
 @query(
@@ -109,3 +118,105 @@ def rep_1(spark, d):
     """The report index of the files that the passing combinations would have."""
     names = passing_n(spark, d).select(F.concat(F.lit("report/"), "p1", F.lit("__vs__"), "p2", F.lit("-contact_clusters.html")).alias("path")).distinct()
     return tf.report_index(names)
+
+
+@query(
+    "src_8_af3_ranks",
+    f"""WITH {v.PW2}, r AS (SELECT pred_id, rank, arg_min(iptm, row_id) AS iptm, arg_min(ptm, row_id) AS ptm FROM pw2 WHERE pred_id IS NOT NULL AND rank IS NOT NULL AND iptm IS NOT NULL AND ptm IS NOT NULL GROUP BY 1, 2)
+    SELECT 'p' || pred_id AS prediction, (rank - 1)::INT AS model, row_number() OVER (PARTITION BY pred_id ORDER BY iptm DESC, rank)::INT AS rank, iptm, ptm, 75.0::DOUBLE AS plddt, 2 AS n_residues FROM r""",
+)
+def src_8(spark, d):
+    """Models of each prediction as AF3 archives (zip), read back and ranked by ipTM; atom confidences become means per residue."""
+    scratch = Scratch(spark, "af3")
+    x = v.pairwise2(spark, d).where("pred_id IS NOT NULL AND rank IS NOT NULL AND iptm IS NOT NULL AND ptm IS NOT NULL")
+    best = x.groupBy("pred_id", "rank").agg(F.min_by("iptm", "row_id").alias("iptm"), F.min_by("ptm", "row_id").alias("ptm"))
+    models = best.groupBy("pred_id").agg(F.collect_list(F.struct((F.col("rank") - 1).alias("model"), "iptm", "ptm")).alias("models"))
+    folder = scratch.path("zips")
+    tf.make_folder(spark, folder)
+
+    def pack(batches):
+        import io
+        import json
+        import zipfile
+
+        import pandas as pd
+        from pyarrow import fs as pfs
+
+        system, root = pfs.FileSystem.from_uri(folder)
+        head = "data_m\nloop_\n_atom_site.group_PDB\n_atom_site.id\n_atom_site.label_asym_id\n_atom_site.label_seq_id\n"
+        for b in batches:
+            for pred, rows in zip(b["pred_id"], b["models"], strict=True):
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w") as z:
+                    for m in rows:
+                        z.writestr(f"p{pred}_full_data_{m['model']}.json", json.dumps({"atom_plddts": [70.0, 80.0, 75.0], "pae": [[0.5, 1.0], [1.0, 0.5]]}))
+                        z.writestr(f"p{pred}_summary_confidences_{m['model']}.json", json.dumps({"ptm": m["ptm"], "iptm": m["iptm"]}))
+                        z.writestr(f"p{pred}_model_{m['model']}.cif", head + "ATOM 1 A 1\nATOM 2 A 1\nATOM 3 B 1\n#\n")
+                with system.open_output_stream(f"{root}/p{pred}.zip") as out:
+                    out.write(held.getvalue())
+            yield pd.DataFrame({"pred_id": b["pred_id"]})
+
+    models.mapInPandas(pack, "pred_id bigint").write.format("noop").mode("overwrite").save()
+    got = mmcif.read_af3(spark, folder)
+    return got.select("prediction", "model", "rank", "iptm", "ptm", F.col("plddt")[0].alias("plddt"), F.size("plddt").alias("n_residues"))
+
+
+_LETTERS = "CASE res_name " + " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in m.AMINO_ACIDS.items()) + " END"
+
+
+@query(
+    "src_9_named_sequences",
+    f"""WITH {v.ATOMS}, r AS (SELECT file_id, chain, res_no, ins, min({_LETTERS}) AS l FROM atom WHERE {_LETTERS} IS NOT NULL AND res_no IS NOT NULL GROUP BY 1, 2, 3, 4), q AS (SELECT file_id, chain, string_agg(l, '' ORDER BY res_no, ins) AS sequence FROM r GROUP BY 1, 2),
+    o AS (SELECT DISTINCT sequence FROM q WHERE sequence NOT IN (SELECT seq FROM proteins WHERE seq IS NOT NULL) AND length(sequence) >= 3), c AS (SELECT sequence, arg_min(prot_id, (abs(length(seq) - length(sequence)), prot_id)) AS part FROM o JOIN proteins ON length(seq) >= 3 AND (contains(seq, sequence) OR contains(sequence, seq)) GROUP BY 1)
+    SELECT file_id, chain, coalesce(p.prot_id, c.part, 'unknown') AS prot_id FROM q LEFT JOIN proteins p ON p.seq = q.sequence LEFT JOIN c ON c.sequence = q.sequence""",
+)
+def src_9(spark, d):
+    """The protein of each chain of the delivered structures, by its sequence."""
+    from chainlake.sources.pdb import chain_sequences
+
+    chains = chain_sequences(v.atoms(spark, d), ["file_id"])
+    return mmcif.name_sequences(chains.select("file_id", "chain", "sequence"), table(spark, d, "proteins").select("prot_id", "seq")).select("file_id", "chain", "prot_id")
+
+
+@query("src_10_cif_round_trip", f"WITH {v.ATOMS} SELECT file_id, count(*) AS n_atoms, round(sum(x) + sum(y) + sum(z), 3) AS total FROM atom GROUP BY 1")
+def src_10(spark, d):
+    """Atoms as mmCIF texts, parsed, written as PDB lines and parsed again."""
+    from chainlake.sources.pdb import atom_fields, atom_line
+
+    cif = mmcif.cif_text(v.atoms(spark, d), "file_id")
+    lines = mmcif.parse_cif(cif).select(F.col("path").cast("bigint").alias("file_id"), F.struct(*atom_fields(atom_line())).alias("f"))
+    return lines.groupBy("file_id").agg(F.count("*").alias("n_atoms"), F.round(F.sum("f.x") + F.sum("f.y") + F.sum("f.z"), 3).alias("total"))
+
+
+@query("src_12_resolution", "SELECT prot_id, round(len / 1000, 3) AS resolution FROM proteins WHERE len IS NOT NULL")
+def src_12(spark, d):
+    """A graph resolution for every protein through a JSON object and back."""
+    scratch = Scratch(spark, "resolution")
+    p = table(spark, d, "proteins").where("len IS NOT NULL").select("prot_id", F.round(F.col("len") / 1000, 3).alias("r"))
+    pairs = p.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("prot_id", "r")))).alias("value"))  # one object of one number a protein
+    pairs.coalesce(1).write.text(scratch.path("preset"))
+    return tf.read_resolution(spark, scratch.path("preset"), p)
+
+
+_TABLES = ("agg_18_domain_table", "win_5_fallback_ranges", "srt_2_trajectory_order", "win_1_rolling_bias", "agg_14_pae_stability", "cls_1_edge_dynamics")
+
+
+@query("snk_2_tables", " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n_rows FROM ({catalog._SQL[n]})" for n in _TABLES))
+def snk_2(spark, d):
+    """Domains, fallback ranges, trajectories, partner bias, stability and edges as TSV tables, read back."""
+    scratch = Scratch(spark, "tables")
+    out = None
+    for n in _TABLES:
+        tf.write_tsv(catalog._QUERIES[n](spark, d), scratch.path(n), overwrite=True)
+        rows = spark.read.option("sep", "\t").option("header", "true").csv(scratch.path(n)).agg(F.lit(n).alias("name"), F.count("*").alias("n_rows"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("snk_4_json_parts", "WITH s AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS pos FROM supplier) SELECT format('_part_{:03d}', (pos // 30 + 1)::INT) AS part, count(*) AS n_items FROM s GROUP BY 1")
+def snk_4(spark, d):
+    """A JSON list of objects in files of thirty."""
+    s = table(spark, d, "supplier").select(F.to_json(F.struct("s_suppkey", "s_name")).alias("j"), "s_suppkey")
+    text = s.agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "j"))), lambda x: x["j"]), ","), F.lit("]")).alias("t"))
+    parts = tf.split_json(text, "t", 30)
+    return parts.select("part", F.size(F.from_json("json", "array<string>")).cast("bigint").alias("n_items"))

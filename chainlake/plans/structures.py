@@ -229,8 +229,8 @@ def _valency(spark, d):
     return c.max_valency(_interactions(spark, d)).join(agg_11(spark, d), ["a", "b"]).select("a", "b", F.col("max_valency").alias("valency"))
 
 
-def _per_pair(spark, d, label, kind="int", valency=None):
-    """Labels of all records (a, b, matrix_id, label) from a grouped function of a pair's different contact sets: label(distances, mask, numbers of records), and the pair's valency (1 if not listed) where such a table is given."""
+def _per_pair(spark, d, label, kind="int", valency=None, with_codes=False):
+    """Labels of all records (a, b, matrix_id, label) from a grouped function of a pair's different contact sets: label(distances, mask, numbers of records), the pair's valency (1 if not listed) where such a table is given, and the cells of the mask's columns (100000 i + j) where asked for."""
     cells = v.contacts(spark, d).groupBy("a", "b", "matrix_id").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("cells")).where(F.size("cells") >= 3)
     codes = cells.select("a", "b", "matrix_id", F.transform("cells", lambda x: x["i"].cast("bigint") * 100000 + x["j"]).alias("cells"))
     different = codes.groupBy("a", "b", "cells").agg(F.min("matrix_id").alias("matrix_id"), F.collect_list("matrix_id").alias("records"))
@@ -241,14 +241,14 @@ def _per_pair(spark, d, label, kind="int", valency=None):
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("matrix_id")
-        codes, at = np.unique(np.concatenate(rows["cells"].to_list()), return_inverse=True)
+        codes, at = np.unique(np.concatenate(rows["cells"].to_list()), return_inverse=True)  # the mask's columns, in order
         mask = np.zeros((len(rows), len(codes)), dtype=np.float32)
         mask[np.repeat(np.arange(len(rows)), rows["cells"].map(len)), at] = 1
         common = mask @ mask.T
         size = mask.sum(axis=1)
         distance = 1 - common / np.maximum(size[:, None] + size[None] - common, 1)
         np.fill_diagonal(distance, 0)
-        return rows[["a", "b", "records"]].assign(label=list(label(distance, mask, rows["records"].map(len).to_numpy(), *((int(rows["valency"].iloc[0]),) if has_valency else ()))))
+        return rows[["a", "b", "records"]].assign(label=list(label(distance, mask, rows["records"].map(len).to_numpy(), *((int(rows["valency"].iloc[0]),) if has_valency else ()), *((codes,) if with_codes else ()))))
 
     labels = different.groupBy("a", "b").applyInPandas(solve, f"a string, b string, records array<bigint>, label {kind}")
     return labels.select("a", "b", F.explode("records").alias("matrix_id"), "label")
@@ -285,32 +285,90 @@ def clu_4(spark, d):
     return ranked.join(n, ["a", "b", "label"]).join(best, ["a", "b", "label"]).select("a", "b", "cluster_n", "n_models", "representative")
 
 
+@query("clu_1_linkages")
+def clu_1c(spark, d):
+    """Labels of two clusters by each linkage (single, complete, average, ward) and by k-means of the scaled points."""
+
+    def label(dist, mask, w):
+        k = min(2, len(dist))
+        parts = [cl.agglomerate(dist, k, x, weights=w) for x in ("single", "complete", "average", "ward")]
+        points = cl.classical_scaling(dist, weights=w)
+        found = cl.kmeans(points, k)[0]
+        parts.append(np.unique(found, return_inverse=True)[1] if found[0] == 0 else 1 - np.unique(found, return_inverse=True)[1])
+        return np.stack(parts, axis=1).tolist()
+
+    names = ("single", "complete", "average", "ward", "kmeans")
+    return _per_pair(spark, d, label, "array<int>").select("a", "b", "matrix_id", *(F.col("label")[k].alias(n) for k, n in enumerate(names)))
+
+
+@query("clu_2_counts")
+def clu_2b(spark, d):
+    """Number of clusters of each pair by each score, starting from the pair's valency."""
+    names = ("silhouette", "calinski_harabasz", "davies_bouldin", "gap")
+
+    def label(dist, mask, w, valency):
+        return [[len(np.unique(cl.best_count(dist, valency, weights=w, score=x))) for x in names]] * len(dist)
+
+    counts = _per_pair(spark, d, label, "array<int>", _valency(spark, d)).groupBy("a", "b").agg(F.first("label").alias("k"))
+    return counts.select("a", "b", *(F.col("k")[i].alias(n) for i, n in enumerate(names)))
+
+
+_MERGES = ("iou", "most_similar", "contact_fraction", "closeness", "two_step")
+
+
+def _merged(parts, mask, w, codes, thresholds=(0.3, 0.3, 0.5, 10.0)):
+    """Number of clusters that each merging method leaves of the given ones."""
+    keys = np.unique(parts)
+    means = [np.average(mask[parts == k], axis=0, weights=w[parts == k]) for k in keys]
+    sizes = [int(w[parts == k].sum()) for k in keys]
+    cells = np.stack([codes // 100000, codes % 100000], axis=1)
+    iou, similar, fraction, close = thresholds
+    first = cl.merge_small(cl.set_jaccard, means, sizes, similar)
+    joined = [np.average([m for m, g in zip(means, first, strict=True) if g == k], axis=0, weights=[n for n, g in zip(sizes, first, strict=True) if g == k]) for k in sorted(set(first))]
+    held = [sum(n for n, g in zip(sizes, first, strict=True) if g == k) for k in sorted(set(first))]
+    return [
+        len(cl.merge_similar(cl.set_jaccard, means, iou)), len(joined), len(set(cl.merge_small(cl.contact_fraction, means, sizes, fraction))), len(set(cl.merge_close([cells[m > 0] for m in means], close))),
+        len(set(cl.merge_small(cl.contact_fraction, joined, held, fraction))),
+    ]
+
+
 @query("clu_5_merged_clusters")
 def clu_5(spark, d):
-    """Number of clusters left per pair when similar ones are merged (intersection over union of mean matrices)."""
+    """Number of clusters left per pair by each merging method: by intersection over union, most similar first with small ones absorbed, by contact fraction, by closeness, and in two steps (most similar, then contact fraction)."""
 
-    def label(dist, mask, w):
-        parts = cl.agglomerate(dist, min(4, len(dist)), weights=w)
-        means = [np.average(mask[parts == k], axis=0, weights=w[parts == k]) for k in np.unique(parts)]
-        return np.full(len(dist), len(cl.merge_similar(cl.set_jaccard, means, 0.3)))
+    def label(dist, mask, w, codes):
+        parts = cl.agglomerate(dist, min(10, len(dist)), weights=w)
+        return [_merged(parts, mask, w, codes)] * len(dist)
 
-    return _per_pair(spark, d, label).groupBy("a", "b").agg(F.max("label").alias("n_clusters"))
+    found = _per_pair(spark, d, label, "array<int>", with_codes=True).groupBy("a", "b").agg(F.max("label").alias("n"))
+    return found.select("a", "b", *(F.col("n")[k].alias(x) for k, x in enumerate(_MERGES)))
 
 
 @query("clu_6_threshold_sweep")
 def clu_6(spark, d):
-    """Clusters per merge threshold, and the threshold's mean squared error against the number of modes found by the silhouette."""
-    steps = [0.1, 0.3, 0.5, 0.7]
-
-    def label(dist, mask, w, valency):
-        parts = cl.agglomerate(dist, min(4, len(dist)), weights=w)
-        means = [np.average(mask[parts == k], axis=0, weights=w[parts == k]) for k in np.unique(parts)]
+    """Four merging measures at a hundred thresholds each: mean squared error of the number of clusters left against the number that the silhouette finds, and the best threshold of each measure (the smallest of equal ones)."""
+    steps = np.linspace(0.01, 1.0, 100)
+
+    def label(dist, mask, w, valency, codes):
+        parts = cl.agglomerate(dist, min(10, len(dist)), weights=w)
+        keys = np.unique(parts)
+        means = [np.average(mask[parts == k], axis=0, weights=w[parts == k]) for k in keys]
+        cells = np.stack([codes // 100000, codes % 100000], axis=1)
         true = len(np.unique(cl.best_count(dist, valency, weights=w)))
-        counts = [len(cl.merge_similar(cl.set_jaccard, means, t)) - true for t in steps]
-        return [counts] * len(dist)
-
-    errors = _per_pair(spark, d, label, "array<int>", _valency(spark, d)).groupBy("a", "b").agg(F.first("label").alias("e")).select("a", "b", F.posexplode("e").alias("k", "e"))
-    return errors.groupBy(F.array(*map(F.lit, steps))[F.col("k")].alias("threshold")).agg(F.avg(F.col("e") * F.col("e")).alias("mse"), F.count("*").alias("n_pairs"))
+        sets = [cells[m > 0] for m in means]
+        left = [
+            cl.merge_counts(lambda x: cl.set_jaccard(*x), means, steps), cl.merge_counts(lambda x: cl.contact_fraction(*x), means, steps),
+            cl.close_counts(sets, steps * 20, "mean"), cl.close_counts(sets, steps * 20, "median"),
+        ]
+        return [[n - true for row in left for n in row]] * len(dist)
+
+    errors = _per_pair(spark, d, label, "array<int>", _valency(spark, d), with_codes=True).groupBy("a", "b").agg(F.first("label").alias("e")).select("a", "b", F.posexplode("e").alias("at", "e"))
+    metric = F.array(*map(F.lit, ("iou", "contact_fraction", "mean_closeness", "median_closeness")))
+    scale = F.when(F.col("at") < 200, 1.0).otherwise(20.0)
+    each = errors.groupBy("at").agg(F.avg(F.col("e") * F.col("e")).alias("mse"), F.count("*").alias("n_pairs"))
+    rows = each.select(metric[F.floor(F.col("at") / 100).cast("int")].alias("metric"), F.round((F.col("at") % 100 + 1) / 100 * scale, 4).alias("threshold"), "mse", "n_pairs")
+    best = rows.groupBy("metric").agg(F.min_by("threshold", F.struct("mse", "threshold")).alias("best"))
+    return rows.join(best, "metric").select("metric", "threshold", "mse", "n_pairs", (F.col("threshold") == F.col("best")).alias("is_best"))
 
 
 @query("clu_7_curve_clusters")
@@ -325,6 +383,14 @@ def clu_7(spark, d):
     return curves.groupBy("prot_id", "n").applyInPandas(solve, "file_id bigint, chain string, prot_id string, cluster int")
 
 
+@query("clu_7_mean_curves")
+def clu_7b(spark, d):
+    """Mean and SD of pLDDT at each residue of each curve cluster."""
+    curves = _chain_points(spark, d).select("file_id", "chain", "prot_id", F.size("plddt").alias("n"), F.posexplode("plddt").alias("at", "plddt"))
+    x = curves.join(clu_7(spark, d).select("file_id", "chain", "cluster"), ["file_id", "chain"])
+    return x.groupBy("prot_id", "n", "cluster", "at").agg(F.round(F.avg("plddt"), 4).alias("mean"), F.round(F.stddev_pop("plddt"), 4).alias("sd"), F.count("*").alias("n_curves"))
+
+
 @query("clu_8_domains")
 def clu_8(spark, d):
     """Domains of each record of a protein with itself, from its PAE matrix; records of two proteins have no domains of their own."""
@@ -344,17 +410,18 @@ def clu_8(spark, d):
     return square.mapInPandas(solve, "matrix_id bigint, protein string, residue int, domain int")
 
 
-@query("clu_9_scaling")
-def clu_9(spark, d):
-    """Stress of a plane embedding of each pair's contact sets."""
+def _scaled(dist, w):
+    x = cl.smacof(dist, weights=w)
+    both = np.outer(w, w)
+    e = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    stress = float((both * (e - dist) ** 2).sum() / max((both * dist**2).sum(), 1e-12))
+    return [[*map(float, np.round(p, 4)), round(stress, 4)] for p in x]
 
-    def label(dist, mask, w):
-        x = cl.smacof(dist, weights=w)
-        both = np.outer(w, w)
-        e = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
-        return np.full(len(dist), round(float((both * (e - dist) ** 2).sum() / max((both * dist**2).sum(), 1e-12)), 4))
 
-    return _per_pair(spark, d, label, "double").groupBy("a", "b").agg(F.max("label").alias("stress"))
+@query("clu_9_scaling")
+def clu_9(spark, d):
+    """Plane coordinates of each record among those of its pair, and the stress of the embedding."""
+    return _per_pair(spark, d, lambda dist, mask, w: _scaled(dist, w), "array<double>").select("a", "b", "matrix_id", F.col("label")[0].alias("x"), F.col("label")[1].alias("y"), F.col("label")[2].alias("stress"))
 
 
 _PRESENT = v.PWN + """, md AS (SELECT least(p1, p2) AS a, greatest(p1, p2) AS b, pred_id, bool_or(coalesce(min_pae <= 7.5, false)) AS hit, max(combo) AS combo FROM pwn WHERE combo IS NOT NULL AND pred_id IS NOT NULL GROUP BY 1, 2, 3),

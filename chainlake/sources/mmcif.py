@@ -38,16 +38,16 @@ def cif_atoms(text: str) -> list[dict]:
 _ATOMS = "path string, record string, atom_no int, atom_name string, alt string, res_name string, chain string, res_no int, ins string, x double, y double, z double, occ double, bfactor double"
 
 
-def read_cif_atoms(spark: SparkSession, folder: str) -> DataFrame:
-    """SRC-9/SRC-10: the atoms of all mmCIF files below a folder, in the schema of PDB atoms; files that aren't mmCIF have none."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.cif").load(folder).select("path", "content")
+def parse_cif(files: DataFrame) -> DataFrame:
+    """SRC-9/SRC-10: the atoms of mmCIF texts (path, content as text or bytes), in the schema of PDB atoms; texts that aren't mmCIF have none."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         blank = lambda v: "" if v in (None, ".", "?") else v
         for batch in batches:
             out = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                for a in cif_atoms(bytes(content).decode("utf-8", "replace")):
+                text = content if isinstance(content, str) else bytes(content or b"").decode("utf-8", "replace")
+                for a in cif_atoms(text):
                     seq = blank(a.get("auth_seq_id")) or blank(a.get("label_seq_id"))
                     out.append((
                         path, a.get("group_PDB"), int(a["id"]), a.get("label_atom_id"), blank(a.get("label_alt_id")), a.get("label_comp_id"), blank(a.get("auth_asym_id")) or a.get("label_asym_id"), int(seq or 0),
@@ -58,15 +58,39 @@ def read_cif_atoms(spark: SparkSession, folder: str) -> DataFrame:
     return files.mapInPandas(parse, _ATOMS)
 
 
-def name_sequences(chains: DataFrame, proteins: DataFrame) -> DataFrame:
-    """SRC-9: the protein of each chain sequence: equal, else one within the other, else 'unknown'.
+def read_cif_atoms(spark: SparkSession, folder: str) -> DataFrame:
+    """SRC-9/SRC-10: parse_cif() over all mmCIF files below a folder."""
+    return parse_cif(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.cif").load(folder).select("path", "content"))
+
+
+_ITEMS = ("group_PDB", "id", "label_atom_id", "label_alt_id", "label_comp_id", "auth_asym_id", "auth_seq_id", "pdbx_PDB_ins_code", "Cartn_x", "Cartn_y", "Cartn_z", "occupancy", "B_iso_or_equiv")
+
+
+def cif_text(atoms: DataFrame, key: str) -> DataFrame:
+    """SRC-10: (path, content): the atoms of each key as an mmCIF text, in order of their lines."""
+    filled = lambda c: F.when(F.coalesce(F.trim(c), F.lit("")) == "", ".").otherwise(F.trim(c))
+    number = lambda c, d: F.coalesce(F.format_string(f"%.{d}f", F.col(c)), F.lit("0"))
+    quoted = F.when(F.contains("atom_name", F.lit("'")), F.concat(F.lit('"'), "atom_name", F.lit('"'))).otherwise(F.col("atom_name"))
+    row = F.concat_ws(" ", F.lit("ATOM"), "atom_no", quoted, filled(F.col("alt")), "res_name", filled(F.col("chain")), "res_no", filled(F.col("ins")), number("x", 3), number("y", 3), number("z", 3), number("occ", 2), number("bfactor", 2))
+    rows = atoms.groupBy(F.col(key).cast("string").alias("path")).agg(F.array_sort(F.collect_list(F.struct("line", row.alias("r")))).alias("rows"))
+    head = "data_model\nloop_\n" + "".join(f"_atom_site.{n}\n" for n in _ITEMS)
+    return rows.select("path", F.concat(F.lit(head), F.array_join(F.transform("rows", lambda x: x["r"]), "\n"), F.lit("\n#\n")).alias("content"))
+
+
+def name_sequences(chains: DataFrame, proteins: DataFrame, anchor: int = 3) -> DataFrame:
+    """SRC-9: the protein of each chain sequence: equal, else one within the other (nearest in length, then by ID), else 'unknown'.
 
-    Containment is only tried for the sequences without an equal one, against the protein table in the planner's choice of join.
+    Containment is only tried for the sequences without an equal one. A sequence can lie in another only if that one holds its
+    first `anchor` letters, so candidates come from an equi join on these; shorter sequences are known only by an equal one.
     """
-    p = proteins.select("prot_id", F.col("seq").alias("known"))
+    p = proteins.select("prot_id", F.col("seq").alias("known")).where("known IS NOT NULL")
     exact = chains.join(p, chains["sequence"] == p["known"], "left").drop("known")
-    open_ = exact.where("prot_id IS NULL").select("sequence").distinct()
-    part = open_.join(p, F.contains("known", "sequence") | F.contains("sequence", "known")).groupBy("sequence").agg(F.min_by("prot_id", F.struct(F.abs(F.length("known") - F.length("sequence")), "prot_id")).alias("part_id"))
+    open_ = exact.where(F.col("prot_id").isNull() & (F.length("sequence") >= anchor)).select("sequence").distinct()
+    long = p.where(F.length("known") >= anchor)
+    runs = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (anchor - 1)), lambda i: F.substr(F.col(c), i, F.lit(anchor))))).alias("g")
+    inside = open_.select("sequence", F.substring("sequence", 1, anchor).alias("g")).join(long.select("prot_id", "known", runs("known")), "g").where(F.contains("known", "sequence"))
+    around = open_.select("sequence", runs("sequence")).join(long.select("prot_id", "known", F.substring("known", 1, anchor).alias("g")), "g").where(F.contains("sequence", "known"))
+    part = inside.unionByName(around).groupBy("sequence").agg(F.min_by("prot_id", F.struct(F.abs(F.length("known") - F.length("sequence")), "prot_id")).alias("part_id"))
     return exact.join(part, "sequence", "left").withColumn("prot_id", F.coalesce("prot_id", "part_id", F.lit("unknown"))).drop("part_id")
 
 

@@ -122,6 +122,12 @@ def annotated(domains: DataFrame, hits: DataFrame) -> DataFrame:
     return x.select(domains["Protein_ID"], "Domain", "Start", "End", F.coalesce("name", F.lit("No InterPro data")).alias("InterPro"), F.coalesce(full, F.lit(False)).alias("full"))
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    """A folder in whatever file system the path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target)
+
+
 def write_tsv(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """SNK-1/SNK-2: a table as TSV; arrays become |-joined text. Fails if the path exists, unless overwrite."""
     flat = [F.array_join(F.col(f.name).cast("array<string>"), "|").alias(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f.name) for f in df.schema.fields]
