@@ -14,7 +14,7 @@ from chainlake.operators import lattice as la
 from chainlake.plans import views as v
 from chainlake.plans.catalog import query, table
 from chainlake.plans.relations import passing2
-from chainlake.plans.structures import _links, _per_pair, _sized_models, _states, _text
+from chainlake.plans.structures import _EDGE1, _GROWN, _STATES, _links, _per_pair, _ppi, _sized_models, _states, _text
 from chainlake.sources import text_files as tf
 
 
@@ -75,7 +75,11 @@ def sim_1(spark, d):
     return ex.assembly_paths(spark, edges).select("path", "step", *_text("combo"), "score")
 
 
-@query("lat_5_exploration")
+@query(
+    "lat_5_exploration",
+    "WITH " + _STATES + _EDGE1 + """, k AS (SELECT parent AS combo, count(*) AS n_children, bool_or(s.is_stable) AS any_stable FROM le JOIN states s ON s.combo = le.child GROUP BY 1)
+    SELECT array_to_string(states.combo, '|') AS combo, is_stable, CASE WHEN is_stable AND n_children IS NULL THEN NULL WHEN NOT is_stable THEN false ELSE NOT any_stable END AS is_convergent, coalesce(n_children, 0) AS n_children FROM states LEFT JOIN k ON k.combo = states.combo""",
+)
 def lat_5(spark, d):
     """The lattice in one table: state, convergence and number of children of every combination."""
     s = _states(spark, d)
@@ -84,6 +88,19 @@ def lat_5(spark, d):
     return la.convergence(s, e).join(kids, "combo", "left").select(*_text("combo"), "is_stable", "is_convergent", F.coalesce("n_children", F.lit(0)).alias("n_children"))
 
 
+@query(
+    "lat_5_changes",
+    "WITH " + _GROWN + """ SELECT 'added' AS change, array_to_string(combo, '|') AS combo FROM cand UNION ALL SELECT 'removed', array_to_string(combo, '|') FROM (SELECT combo FROM grown_all EXCEPT SELECT combo FROM grown) WHERE combo NOT IN (SELECT combo FROM states)""".replace("grown_all", "(SELECT DISTINCT list_sort(list_append(combo, x)) AS combo FROM sm JOIN ed USING (m))"),
+)
+def lat_5b(spark, d):
+    """Combinations that exploration adds to the lattice, and those that the rule on repeats keeps out."""
+    s, links = _states(spark, d), _ppi(spark, d)
+    added = la.candidates(s, links).select(F.lit("added").alias("change"), "combo")
+    every = la.grown(s, links, repeat_size=1 << 30).select("combo").distinct()
+    out = every.join(la.grown(s, links).select("combo").distinct(), "combo", "left_anti").join(s.select("combo"), "combo", "left_anti")
+    return added.unionByName(out.select(F.lit("removed").alias("change"), "combo")).select("change", *_text("combo"))
+
+
 @query("src_14_annotations", """WITH dom AS (SELECT prot_id, 1 AS domain, 1 AS s, len // 2 AS e FROM proteins UNION ALL SELECT prot_id, 2, len // 2 + 1, len FROM proteins), hit AS (SELECT prot_id, prot_name AS name, 1 AS hs, len // 3 AS he FROM proteins WHERE prot_name IS NOT NULL)
     SELECT dom.prot_id AS protein, domain, coalesce(name, 'No InterPro data') AS annotation, coalesce(hs >= s AND he <= e, false) AS "full" FROM dom LEFT JOIN hit ON dom.prot_id = hit.prot_id AND he >= s AND hs <= e""")
 def src_14(spark, d):

@@ -195,18 +195,39 @@ def mat_14(spark, d):
     return c.near_points(pts, ["file_id"], "chain", 1.0, []).groupBy("file_id", "chain_1", "chain_2").agg(F.count("*").alias("n_close")).withColumn("clash", F.col("n_close") >= 10)
 
 
-@query("agg_22_ring_fit")
-def agg_22(spark, d):
-    """Mean and SD of the distances of residues from the centroid, and the radius of the circle in the principal plane, per file."""
-    pts = v.atoms(spark, d).where("atom_name = 'CA'").select("file_id", "x", "y", "z")
+@query(
+    "agg_22_centroid_distances",
+    f"""WITH {v.ATOMS}, p AS (SELECT file_id, x, y, z FROM atom WHERE atom_name = 'CA'), c AS (SELECT file_id, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM p GROUP BY 1), d AS (SELECT file_id, sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz)) AS r FROM p JOIN c USING (file_id))
+    SELECT file_id, round(avg(r), 6) AS mean_distance, round(stddev_pop(r), 6) AS sd_distance FROM d GROUP BY 1""",
+)
+def agg_22b(spark, d):
+    """Mean and SD of the distances of residues from the centroid, per file."""
+    p = v.atoms(spark, d).where("atom_name = 'CA'").select("file_id", "x", "y", "z")
+    centre = p.groupBy("file_id").agg(*(F.avg(x).alias(f"c{x}") for x in "xyz"))
+    far = p.join(centre, "file_id").select("file_id", m.distance3([F.col(x) for x in "xyz"], [F.col(f"c{x}") for x in "xyz"]).alias("r"))
+    return far.groupBy("file_id").agg(F.round(F.avg("r"), 6).alias("mean_distance"), F.round(F.stddev_pop("r"), 6).alias("sd_distance"))
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        p = rows[["x", "y", "z"]].to_numpy()
-        far = np.linalg.norm(p - p.mean(axis=0), axis=1)
-        radius = geo.fit_circle(p)[1] if len(p) >= 3 else np.nan
-        return pd.DataFrame({"file_id": rows["file_id"].iloc[:1], "mean_distance": [round(far.mean(), 4)], "sd_distance": [round(far.std(), 4)], "radius": [round(radius, 3)]})
 
-    return pts.groupBy("file_id").applyInPandas(fit, "file_id bigint, mean_distance double, sd_distance double, radius double")
+@query("agg_22_ring_fit")
+def agg_22(spark, d):
+    """Radius of the circle through the chains' centroids in their principal plane, and mean and SD of their distances from the middle, per file of at least three chains of one protein; with it the circle of the residues of any file."""
+    atoms = v.atoms(spark, d).where("atom_name = 'CA'")
+    centres = atoms.groupBy("file_id", "chain").agg(*(F.avg(x).alias(x) for x in "xyz"))
+    homo = v.chains(spark, d).where("prot_id IS NOT NULL").groupBy("file_id").agg((F.min("prot_id") == F.max("prot_id")).alias("homo"))
+    rings = centres.join(homo.where("homo"), "file_id", "left_semi").select("file_id", F.lit("chains").alias("of"), "x", "y", "z").unionByName(atoms.select("file_id", F.lit("residues").alias("of"), "x", "y", "z"))
+    each = rings.groupBy("file_id", "of").agg(F.array_sort(F.collect_list(F.array("x", "y", "z"))).alias("xyz")).where(F.size("xyz") >= 3)
+
+    @F.pandas_udf("array<double>")
+    def fit(points: pd.Series) -> pd.Series:
+        out = []
+        for p in points:
+            x = np.stack(p)
+            far = np.linalg.norm(x - x.mean(axis=0), axis=1)
+            out.append([round(far.mean(), 4), round(far.std(), 4), round(float(geo.fit_circle(x)[1]), 3)])
+        return pd.Series(out)
+
+    found = each.select("file_id", "of", fit("xyz").alias("f"))
+    return found.select("file_id", "of", *(F.col("f")[k].alias(n) for k, n in enumerate(("mean_distance", "sd_distance", "radius"))))
 
 
 # --- clusters and statistics ---

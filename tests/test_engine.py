@@ -17,7 +17,10 @@ def test_run(spark):
     t = engine.Engine(spark).run(proteins, pairs2, spark.createDataFrame(_rows(2.0), N), cells)
     assert {r.protein: r.status for r in t["vertices"].collect()} == {"A": "Static", "B": "Static", "C": "Untested"}
     assert [(r.a, r.b, r.i, r.j) for r in t["contacts"].collect()] == [("A", "B", 3, 0)]
-    assert t["ppi_nmers"].count() == 1 and t["suggestions"].where("reason = 'untested 2-mer'").count() == 6
+    assert t["ppi_nmers"].count() == 1 and t["open_pairs"].agg(F.sum("n_left")).first()[0] == 5
+    assert {(r.combo[0], len(r.combo)) for r in t["suggestions"].where("reason = 'expanded 3-mer'").collect()} == {("A", 3)}
+    assert [(r.a, r.b, r.dynamics) for r in t["edge_dynamics"].collect()] == [("A", "B", "Static")]
+    assert t["stability"].first().is_stable is False and t["partner_phi"].first().partner == "A"
 
 
 def test_empty_inputs(spark):
@@ -33,6 +36,21 @@ def test_combinations_command(spark, tmp_path):
     assert ">A__vs__B" in text and "MK:MV" in text
 
 
+def test_other_commands(spark, tmp_path):
+    (tmp_path / "list.json").write_text('[{"a": 1}, {"a": 2}, {"a": 3}]')
+    engine.main(["split", str(tmp_path / "list.json"), "--chunk", "2", "--out_path", str(tmp_path / "parts")])
+    assert {(r.part, r.value) for r in spark.read.text(str(tmp_path / "parts")).collect()} == {("_part_001", '[{"a":1},{"a":2}]'), ("_part_002", '[{"a":3}]')} or spark.read.text(str(tmp_path / "parts")).count() == 2
+    (tmp_path / "d.tsv").write_text("Protein_ID\tDomain\tStart\tEnd\nP\t1\t2\t4\n")
+    engine.main(["domains", str(tmp_path / "d.tsv"), "--out_path", str(tmp_path / "residues")])
+    assert spark.read.option("sep", "\t").option("header", "true").csv(str(tmp_path / "residues")).count() == 3
+    (tmp_path / "names.txt").write_text("One_Job\nother\n")
+    (tmp_path / "runs" / "one-job").mkdir(parents=True)
+    for f in ("model_0.cif", "job_request.json"):
+        (tmp_path / "runs" / "one-job" / f).write_text("x")
+    engine.main(["check", str(tmp_path / "runs"), "--expected", str(tmp_path / "names.txt"), "--out_path", str(tmp_path / "state")])
+    assert spark.read.option("sep", "\t").option("header", "true").csv(str(tmp_path / "state")).count() == 2
+
+
 def test_stream_of_predictions(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.createDataFrame(_rows(2.0, 3), N).write.parquet(src + "/a")
