@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("compaction", "projections", "relations", "structures", "files", "explorations")
+_MODULES = ("compaction", "projections", "relations", "structures", "files", "explorations", "profiles")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -131,7 +131,7 @@ def make_folder(spark: SparkSession, path: str) -> None:
 def write_tsv(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """SNK-1/SNK-2: a table as TSV; arrays become |-joined text. Fails if the path exists, unless overwrite."""
     flat = [F.array_join(F.col(f.name).cast("array<string>"), "|").alias(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f.name) for f in df.schema.fields]
-    df.select(*flat).write.mode("overwrite" if overwrite else "errorifexists").option("sep", "\t").option("header", "true").csv(path)
+    df.select(*flat).write.mode("overwrite" if overwrite else "errorifexists").option("sep", "\t").option("header", "true").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)  # blanks are part of a value
 
 
 def job_json(combos: DataFrame, proteins: DataFrame, seed: int = 1) -> DataFrame:
