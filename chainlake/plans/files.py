@@ -198,12 +198,12 @@ def src_12(spark, d):
     return tf.read_resolution(spark, scratch.path("preset"), p)
 
 
-_TABLES = ("agg_18_domain_table", "win_5_fallback_ranges", "srt_2_trajectory_order", "win_1_rolling_bias", "agg_14_pae_stability", "cls_1_edge_dynamics")
+_TABLES = ("agg_19_residue_variation", "win_5_fallback_ranges", "srt_2_trajectory_order", "win_1_rolling_bias", "agg_14_pae_stability", "cls_1_edge_dynamics")
 
 
 @query("snk_2_tables", " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n_rows FROM ({catalog._SQL[n]})" for n in _TABLES))
 def snk_2(spark, d):
-    """Domains, fallback ranges, trajectories, partner bias, stability and edges as TSV tables, read back."""
+    """Residue statistics, fallback ranges, trajectories, partner bias, stability and edges as TSV tables, read back."""
     scratch = Scratch(spark, "tables")
     out = None
     for n in _TABLES:

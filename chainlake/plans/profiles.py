@@ -151,6 +151,24 @@ def win_7b(spark, d):
     return series.merge_loops(rows, ["file_id", "chain"], ["res_no"], "band", 1).select("file_id", "chain", "res_no", "merged", "run")
 
 
+_DOMAINS = "WITH isl AS (" + catalog._SQL["win_7_band_islands"] + f"), {v.ATOMS}, dom AS (SELECT i.file_id, i.chain, i.run AS domain, min(i.res_no) AS start, max(i.res_no) AS stop, round(avg(bfactor), 6) AS mean_plddt FROM isl i JOIN atom t ON t.file_id = i.file_id AND t.chain = i.chain AND t.res_no = i.res_no AND t.atom_name = 'CA' GROUP BY 1, 2, 3)"
+
+
+@query("agg_18_domain_table", _DOMAINS + " SELECT file_id, chain, domain, start, stop, mean_plddt FROM dom")
+def agg_18(spark, d):
+    """Domains of each chain: stretches of one confidence band (WIN-7), with their ends and mean pLDDT."""
+    a = v.atoms(spark, d).where("atom_name = 'CA'").select("file_id", "chain", "res_no", "bfactor")
+    rows = win_7b(spark, d).join(a, ["file_id", "chain", "res_no"])
+    return rows.groupBy("file_id", "chain", F.col("run").alias("domain")).agg(F.min("res_no").alias("start"), F.max("res_no").alias("stop"), F.round(F.avg("bfactor"), 6).alias("mean_plddt"))
+
+
+@query("jn_8_residues_in_domains", _DOMAINS + " SELECT t.file_id, line, domain FROM atom t JOIN dom ON dom.file_id = t.file_id AND dom.chain = t.chain AND res_no BETWEEN start AND stop")
+def jn_8(spark, d):
+    """Atoms with the domain of their chain whose interval holds their residue."""
+    dom = agg_18(spark, d).select("file_id", "chain", "domain", "start", "stop")
+    return v.atoms(spark, d).join(dom, ["file_id", "chain"]).where(F.col("res_no").between(F.col("start"), F.col("stop"))).select("file_id", "line", "domain")
+
+
 @query("mat_18_oscillations", "SELECT vec_id, i, round(i * 0.25, 8) AS x, round(0.1 * (label + 1) * sin(2 * pi() * 3 * i * 0.25), 8) AS line_y, round((1 + 0.1 * sin(2 * pi() * 8 * i * 0.25)) * cos(2 * pi() * i * 0.25 / 2), 8) AS circle_x, round((1 + 0.1 * sin(2 * pi() * 8 * i * 0.25)) * sin(2 * pi() * i * 0.25 / 2), 8) AS circle_y FROM embeddings, unnest(range(0, 9)) u(i)")
 def mat_18b(spark, d):
     """Points of a line and of a circle that oscillate around their course."""

@@ -225,9 +225,7 @@ def agg_15(spark, d):
 
 
 def _frequency(spark, d):
-    cells = v.cells(spark, d)
-    models = cells.where("p1 IS NOT NULL AND p2 IS NOT NULL").select("matrix_id", *ab(), "n_chains").distinct()
-    return c.contact_frequency(c.contact_cells(cells), models)
+    return c.contact_frequency(v.contacts(spark, d), v.shapes(spark, d).select("matrix_id", "a", "b", "n_chains"))
 
 
 @query(
@@ -249,12 +247,6 @@ def agg_17(spark, d):
     return whole.join(st.quantile(x, ["size"], "min_pae", 0.5, "median"), "size", "left").withColumn("median", F.round("median", 8))
 
 
-@query("agg_18_domain_table", f"WITH {v.ATOMS} SELECT file_id, chain, (res_no - 1) // 4 AS domain, min(res_no) AS start, max(res_no) AS stop, round(avg(bfactor), 8) AS mean_plddt FROM atom WHERE res_no >= 1 GROUP BY 1, 2, 3")
-def agg_18(spark, d):
-    a = v.atoms(spark, d).where("res_no >= 1")
-    return a.groupBy("file_id", "chain", F.expr("CAST((res_no - 1) DIV 4 AS INT)").alias("domain")).agg(F.min("res_no").alias("start"), F.max("res_no").alias("stop"), F.round(F.avg("bfactor"), 8).alias("mean_plddt"))
-
-
 @query(
     "agg_19_residue_variation",
     f"""WITH {v.ATOMS}, {v.CHAINS} SELECT prot_id, res_no, round(avg(bfactor), 8) AS mean, round(stddev_pop(bfactor) / (avg(bfactor) + 1e-8), 8) AS cv FROM atom a JOIN chain c ON c.file_id = a.file_id AND c.chain_id = a.chain WHERE prot_id IS NOT NULL GROUP BY 1, 2""",
@@ -452,12 +444,6 @@ def jn_7(spark, d):
     return near.select("file_id", "chain_1", "chain_2", "res_no_1", "res_no_2", F.round("dist", 8).alias("dist"))
 
 
-@query("jn_8_residues_in_domains", f"WITH {v.ATOMS}, dom AS (SELECT * FROM (VALUES (1, 1, 3), (2, 4, 7), (3, 8, 20)) t(domain, s, e)) SELECT file_id, line, domain FROM atom JOIN dom ON res_no BETWEEN s AND e")
-def jn_8(spark, d):
-    dom = spark.createDataFrame([(1, 1, 3), (2, 4, 7), (3, 8, 20)], "domain int, s int, e int")
-    return v.atoms(spark, d).join(F.broadcast(dom), F.col("res_no").between(F.col("s"), F.col("e"))).select("file_id", "line", "domain")
-
-
 @query(
     "jn_9_interval_overlap",
     f"""WITH {v.CHAINS}, seg AS (SELECT file_id, chain_id, prot_id, ix * 40 AS s, ix * 40 + least(length, 60) AS e FROM chain)

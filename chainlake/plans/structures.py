@@ -17,6 +17,7 @@ from chainlake.operators import statistics as st
 from chainlake.plans import views as v
 from chainlake.plans.catalog import query, table
 from chainlake.plans.relations import _AGG1, _AGG2, _AGG10, _MODELS, _combo, _frequency, _interactions, _models, _sizes, _SIZES, ab, agg_11, passing2, passing_n
+from chainlake.storage import Scratch
 
 # --- matrices ---
 
@@ -38,11 +39,11 @@ u AS (SELECT pr.m1, pr.m2, coalesce(k1.k, 0)::DOUBLE AS k1, coalesce(k2.k, 0)::D
 
 
 def _next_pairs(spark, d):
-    """Each record with the next of its pair, and the records' numbers of cells."""
-    cells = v.cells(spark, d).where("p1 IS NOT NULL AND p2 IS NOT NULL")
-    sized = cells.groupBy("matrix_id", *ab()).agg(F.count("*").alias("n_cells"))
+    """The contact cells (written once, for they are read several times), each record with the next of its pair, and the records' numbers of cells."""
+    sized = v.shapes(spark, d).select("matrix_id", "a", "b", "n_cells")
     nxt = sized.select(F.col("matrix_id").alias("matrix_1"), F.lead("matrix_id").over(Window.partitionBy("a", "b").orderBy("matrix_id")).alias("matrix_2")).where("matrix_2 IS NOT NULL")
-    return c.contact_cells(cells), nxt, sized
+    scratch = Scratch(spark, "pairs")
+    return scratch.save(v.contacts(spark, d).select("matrix_id", "i", "j"), "contacts"), scratch.save(nxt, "next"), sized
 
 
 @query(
@@ -101,8 +102,7 @@ k AS (SELECT a, b, i, j, count(*) AS k, count(*) FILTER (WHERE n_chains = 2) AS
     _FREQ + " SELECT a, b, i, j, CASE WHEN k2 > 0 AND nn = 0 THEN 4 WHEN kn > 0 AND n2 = 0 THEN 5 WHEN k2 > 0 AND kn > 0 THEN 1 WHEN kn > 0 THEN 2 WHEN k2 > 0 THEN 3 ELSE 0 END AS class FROM k JOIN n USING (a, b)",
 )
 def mat_15(spark, d):
-    cells = v.cells(spark, d).where("p1 IS NOT NULL AND p2 IS NOT NULL")
-    tested = cells.select(*ab(), "n_chains").groupBy("a", "b").agg(F.bool_or(F.col("n_chains") == 2).alias("t2"), F.bool_or(F.col("n_chains") > 2).alias("tn"))
+    tested = v.shapes(spark, d).groupBy("a", "b").agg(F.bool_or(F.col("n_chains") == 2).alias("t2"), F.bool_or(F.col("n_chains") > 2).alias("tn"))
     return _frequency(spark, d).join(tested, ["a", "b"]).select("a", "b", "i", "j", c.contact_class(F.col("freq2"), F.col("freqn"), F.col("t2"), F.col("tn")).alias("class"))
 
 
@@ -881,6 +881,6 @@ def rep_3(spark, d):
 
 @query("rep_5_edge_summary", _FREQ + " SELECT a, b, count(*) AS n_cells, round(avg(k / n), 8) AS mean_freq, any_value(n) AS n_models FROM k JOIN n USING (a, b) GROUP BY 1, 2")
 def rep_5(spark, d):
-    n = v.cells(spark, d).where("p1 IS NOT NULL AND p2 IS NOT NULL").groupBy(*ab()).agg(F.count_distinct("matrix_id").alias("n_models"))
+    n = v.shapes(spark, d).groupBy("a", "b").agg(F.count_distinct("matrix_id").alias("n_models"))
     f = _frequency(spark, d).groupBy("a", "b").agg(F.count("*").alias("n_cells"), F.round(F.avg("freq"), 8).alias("mean_freq"))
     return f.join(n, ["a", "b"])

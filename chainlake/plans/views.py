@@ -99,6 +99,18 @@ FROM (SELECT *, unnest(range(greatest(coalesce(len(gr), 0), coalesce(len(pr), 0)
 TOLD = "coalesce(pae < 7.5 AND dist < 8, given, false) AND coalesce(plddt > 0, true)"
 
 
+def shapes(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per contact record with both IDs that cells() has any cell of, and their number, from the lengths of its arrays: (matrix_id, a, b, rank, n_chains, n_cells)."""
+    told = table(spark, folder, "pairwise_contact_matrices").where("is_contact IS NOT NULL OR (pae IS NOT NULL AND distance IS NOT NULL)")
+    names = ("is_contact", "pae", "min_plddt", "distance")
+    lengths = (F.transform(F.coalesce(n, F.array()), lambda r: F.coalesce(F.size(r), F.lit(0))).alias(n) for n in names)
+    longest = F.transform(F.arrays_zip(*lengths), lambda r: F.greatest(*(F.coalesce(r[n], F.lit(0)) for n in names)))
+    n_cells = F.aggregate(longest, F.lit(0).cast("bigint"), lambda s, x: s + x)
+    rows = told.select("matrix_id", protein_id("protein1").alias("p1"), protein_id("protein2").alias("p2"), "rank", F.size("proteins_in_model").alias("n_chains"), n_cells.alias("n_cells"))
+    rows = rows.where("p1 IS NOT NULL AND p2 IS NOT NULL AND n_cells > 0")
+    return rows.select("matrix_id", F.least("p1", "p2").alias("a"), F.greatest("p1", "p2").alias("b"), "rank", "n_chains", "n_cells")
+
+
 def contacts(spark: SparkSession, folder: str) -> DataFrame:
     """The contact cells, turned so that the smaller ID has the rows."""
     from chainlake.operators.contacts import contact_cells
