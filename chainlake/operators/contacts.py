@@ -55,10 +55,11 @@ def near_points(points: DataFrame, keys: list[str], group: str, radius: float, e
 def interface_scores(points: DataFrame, keys: list[str], radius: float = 8.0) -> DataFrame:
     """PRJ-6: pDockQ and PPV of every two chains: contacts within the radius, mean pLDDT of the interface residues (each once)."""
     near = near_points(points, keys, "chain", radius, ["res_no", "bfactor"])
-    counts = near.groupBy(*keys, "chain_1", "chain_2").agg(F.count("*").alias("n_contacts"))
-    ends = near.select(*keys, "chain_1", "chain_2", F.inline(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"res_no_{s}").alias("res_no"), F.col(f"bfactor_{s}").alias("b")) for s in (1, 2)))))
-    plddt = ends.distinct().groupBy(*keys, "chain_1", "chain_2").agg(F.avg("b").alias("plddt"))
-    both = counts.join(plddt, [*keys, "chain_1", "chain_2"])
+    sides = [F.collect_set(F.struct(F.col(f"res_no_{s}").alias("r"), F.col(f"bfactor_{s}").alias("b"))).alias(f"e{s}") for s in (1, 2)]  # no more than the chains' residues
+    both = near.groupBy(*keys, "chain_1", "chain_2").agg(F.count("*").alias("n_contacts"), *sides)
+    values = F.filter(F.transform(F.concat("e1", "e2"), lambda x: x["b"]), lambda b: b.isNotNull())
+    mean = F.aggregate(F.array_sort(values), F.lit(0.0), lambda s, b: s + b) / F.nullif(F.size(values), F.lit(0))
+    both = both.withColumn("plddt", mean)
     score = F.round(pdockq(F.col("plddt"), F.col("n_contacts")), 3)
     return both.select(*keys, "chain_1", "chain_2", "n_contacts", "plddt", score.alias("pdockq"), ppv(score).alias("ppv"))
 

@@ -14,6 +14,7 @@ from chainlake.operators import contacts as c
 from chainlake.plans import views as v
 from chainlake.plans.catalog import query, table
 from chainlake.sources import pdb
+from chainlake.storage import Scratch
 
 
 @query("prj_1_sorted_pair", f"WITH {v.PW2} SELECT row_id, least(p1, p2) || '|' || greatest(p1, p2) AS pair FROM pw2")
@@ -69,7 +70,8 @@ _PPV = "CASE WHEN s IS NULL THEN NULL " + " ".join(f"WHEN {a} >= s THEN {b}" for
     SELECT file_id, chain_1, chain_2, n_contacts, round(plddt, 8) AS plddt, s AS pdockq, {_PPV} AS ppv FROM s""",
 )
 def prj_6(spark, d):
-    points = pdb.side_chain_points(v.atoms(spark, d))
+    points = pdb.side_chain_points(v.atoms(spark, d)).select("file_id", "chain", "res_no", "bfactor", "x", "y", "z")
+    points = Scratch(spark, "points").save(points, "points")  # the join reads them twice; texts are parsed once
     scores = c.interface_scores(points, ["file_id"])
     return scores.select("file_id", "chain_1", "chain_2", "n_contacts", F.round("plddt", 8).alias("plddt"), "pdockq", "ppv")
 
