@@ -353,21 +353,25 @@ def _search(items: Items, idf: np.ndarray, basis: np.ndarray, near: float, parap
                 parts = Passages(terms, items.run, least)
                 sums = _sum_rows(table, parts.chunks)
                 for s in range(0, len(parts), 4096):
-                    at = parts.at[s : s + 4096]
+                    mine, around = parts.words(slice(s, s + 4096)), parts.words(slice(s, s + 4096), around=True)
+                    whole = _unbroken(mine >= 0) >= shortest
+                    rows = np.flatnonzero(whole | (n_under[around] > 0).any(axis=1) | bool(len(always)))  # the others hold neither a run nor any passage's rarest answer
+                    if not len(rows):
+                        continue
+                    at = parts.at[s + rows]
                     cosine = unit(sums[at] + sums[at + 1]) @ targets
                     near_ones = np.flatnonzero(cosine.max(axis=1) >= near)
                     if len(near_ones) < len(cosine):
                         cosine = cosine[near_ones]
-                    owners = keys[start + parts.row[s + near_ones]]
-                    mine = parts.words(s + near_ones)
-                    whole = np.flatnonzero(_unbroken(mine >= 0) >= shortest)
+                    rows = rows[near_ones]
+                    owners, mine, around = keys[start + parts.row[s + rows]], mine[rows], around[rows]
+                    whole = np.flatnonzero(whole[rows])
                     for r, k, size in items.shared_runs(mine[whole]):
                         r = whole[r]
                         for o in items.runs[size].get(mine[r, k : k + size].astype(np.int64).tobytes(), ()):
                             best = cosine[r, firsts[o] : firsts[o + 1]].max()
                             if best >= near:
                                 note(int(owners[r]), o, float(best), True, 1.0)
-                    around = parts.words(s + near_ones, around=True)
                     left, right = asking(around)
                     alike = cosine[left, right] >= paraphrase
                     left, right = left[alike], right[alike]
