@@ -295,6 +295,16 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return int(before[-1])
 
 
+def common_subsequences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """common_subsequence() of the rows of two matrices, pair by pair; words that don't stand in the other agree with nothing."""
+    before = np.zeros((len(a), b.shape[1] + 1), dtype=np.int16)
+    for k in range(a.shape[1]):
+        x = a[:, k : k + 1]
+        found = np.where((b == x) & (x >= 0), before[:, :-1] + 1, 0)
+        before[:, 1:] = np.maximum.accumulate(np.maximum(found, before[:, 1:]), axis=1)
+    return before[:, -1].astype(np.int64)
+
+
 def _unbroken(known: np.ndarray) -> np.ndarray:
     """Length of the longest stretch of true values of each row."""
     best = now = np.zeros(len(known), dtype=np.int64)
@@ -377,11 +387,17 @@ def _search(items: Items, idf: np.ndarray, basis: np.ndarray, near: float, parap
                     left, right = left[alike], right[alike]
                     for t in range(0, len(left), 2048):
                         r, c = left[t : t + 2048], right[t : t + 2048]
-                        held = (wide[c][:, :, None] == around[r][:, None, :]).any(axis=2)  # a common subsequence has no more words than are there at all
+                        here, place = np.unique(r, return_inverse=True)
+                        there = np.zeros((len(here), len(idf) + 2), dtype=bool)  # which words stand around each passage; the last two columns are of no word
+                        there[np.arange(len(here))[:, None], around[here]] = True
+                        there[:, -2:] = False
+                        held = there[place[:, None], wide[c]]  # a common subsequence has no more words than are there at all
                         ok = (held.sum(axis=1) >= share * lengths[c]) & (held | ~asked[c]).all(axis=1)
-                        for r, c in zip(r[ok].tolist(), c[ok].tolist(), strict=True):
-                            p = items.passages[c]
-                            note(int(owners[r]), int(items.owner[c]), float(cosine[r, c]), False, common_subsequence(around[r], p) / len(p))
+                        r, c = r[ok], c[ok]
+                        part = common_subsequences(around[r], wide[c]) / lengths[c]
+                        enough = np.flatnonzero(part >= share)
+                        for k in enough.tolist():
+                            note(int(owners[r[k]]), int(items.owner[c[k]]), float(cosine[r[k], c[k]]), False, float(part[k]))
             if found:
                 ks, vs = list(found), list(found.values())
                 yield pa.RecordBatch.from_arrays(

@@ -86,3 +86,9 @@ def test_blocks_of_items_share_one_space(spark):
     assert len(one) >= 30
     assert [r[:2] + r[3:] for r in one] == [r[:2] + r[3:] for r in many]
     assert np.allclose([r[2] for r in one], [r[2] for r in many], atol=2e-4)
+
+
+def test_subsequences_of_many_pairs():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(-1, 6, (200, 12)), rng.integers(0, 6, (200, 7))
+    assert leaks.common_subsequences(a, b).tolist() == [leaks.common_subsequence(x, y) for x, y in zip(a, b, strict=True)]
