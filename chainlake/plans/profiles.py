@@ -75,13 +75,14 @@ def prj_22b(spark, d):
 
 @query(
     "agg_16_chain_plddts",
-    f"""WITH {v.ATOMS}, {v.CHAINS}, cm AS (SELECT file_id, chain, round(avg(bfactor), 4) AS p FROM atom WHERE atom_name = 'CA' GROUP BY 1, 2), k AS (SELECT file_id, rank, list_sort(list(prot_id)) AS combo FROM chain WHERE prot_id IS NOT NULL GROUP BY 1, 2)
+    f"""WITH {v.ATOMS}, {v.CHAINS}, cm AS (SELECT file_id, chain, ((sum(round(bfactor * 100)::BIGINT)::BIGINT * 200 + count(*)) // (2 * count(*))) / 10000 AS p FROM atom WHERE atom_name = 'CA' AND bfactor IS NOT NULL GROUP BY 1, 2), k AS (SELECT file_id, rank, list_sort(list(prot_id)) AS combo FROM chain WHERE prot_id IS NOT NULL GROUP BY 1, 2)
     SELECT cm.file_id, rank, array_to_string(combo, '|') AS combo, string_agg(format('{{:.4f}}', p), ',' ORDER BY chain) AS plddts FROM cm JOIN k USING (file_id) GROUP BY 1, 2, k.combo""",
 )
 def agg_16b(spark, d):
-    """Mean CA pLDDT of each chain of each model, in order of chains."""
+    """Mean CA pLDDT of each chain of each model, in order of chains; halves are rounded up in whole hundredths, so the text doesn't depend on the order of sums."""
     combos = v.chains(spark, d).where("prot_id IS NOT NULL").groupBy("file_id", "rank").agg(F.array_sort(F.collect_list("prot_id")).alias("combo"))
-    means = v.atoms(spark, d).where("atom_name = 'CA'").groupBy("file_id", "chain").agg(F.round(F.avg("bfactor"), 4).alias("p"))
+    sums = v.atoms(spark, d).where("atom_name = 'CA' AND bfactor IS NOT NULL").groupBy("file_id", "chain").agg(F.sum(F.round(F.col("bfactor") * 100).cast("bigint")).alias("s"), F.count("*").alias("n"))
+    means = sums.select("file_id", "chain", (F.expr("(s * 200 + n) DIV (2 * n)") / 10000).alias("p"))
     rows = means.join(combos, "file_id").groupBy("file_id", "rank", "combo").agg(F.array_sort(F.collect_list(F.struct("chain", "p"))).alias("l"))
     return rows.select("file_id", "rank", _combo(), F.array_join(F.transform("l", lambda x: F.format_string("%.4f", x["p"])), ",").alias("plddts"))
 
