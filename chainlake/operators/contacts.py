@@ -38,7 +38,7 @@ def near_points(points: DataFrame, keys: list[str], group: str, radius: float, e
     """JN-7/JN-19: pairs of points of different groups of one key within a radius (inclusive).
 
     Points fall into voxels of the radius' size; the left side is copied to its 27 neighbours, so the join is
-    by voxel and never all against all. group_1 < group_2. Points with a null coordinate are left out.
+    by voxel and never all against all, and by shuffle only, for files of points are small and their rows many. group_1 < group_2. Points with a null coordinate are left out.
     """
     voxel = [F.floor(F.col(c) / F.lit(radius)).alias(f"v{c}") for c in "xyz"]
     p = points.dropna(subset=["x", "y", "z"]).select(*keys, group, *extra, "x", "y", "z", *voxel)
@@ -47,7 +47,7 @@ def near_points(points: DataFrame, keys: list[str], group: str, radius: float, e
     for v in ("vx", "vy", "vz"):
         left = left.withColumn("d", F.explode(around)).withColumn(v, F.col(v) + F.col("d")).drop("d")
     right = p.select(*keys, *(F.col(c).alias(f"{c}_2") for c in (group, *extra, "x", "y", "z")), "vx", "vy", "vz")
-    both = left.join(right, [*keys, "vx", "vy", "vz"]).where(F.col(f"{group}_1") < F.col(f"{group}_2"))
+    both = left.hint("shuffle_merge").join(right, [*keys, "vx", "vy", "vz"]).where(F.col(f"{group}_1") < F.col(f"{group}_2"))
     dist = distance3([F.col(f"{c}_1") for c in "xyz"], [F.col(f"{c}_2") for c in "xyz"])
     return both.withColumn("dist", dist).where(F.col("dist") <= radius).drop("vx", "vy", "vz")
 
