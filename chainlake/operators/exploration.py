@@ -27,6 +27,25 @@ def principal_features(mask: np.ndarray, variance: float = 0.95, weights: np.nda
     return u[:, :k] * s[:k] / root
 
 
+def component_count(sets, weights: np.ndarray, variance: float = 0.95, block: int = 1024) -> int:
+    """MAT-6: number of components that principal_features() of the sets' mask has, from the products of its columns (or of its rows, where these are fewer), added up block by block."""
+    n, m, w = len(sets), len(sets.codes), weights.astype(float)
+    if n <= min(m, 3000):
+        return principal_features(sets.mask(), variance, weights).shape[1]
+    products = np.zeros((m, m))
+    for low in range(0, n, block):
+        x = sets.mask(low, low + block).astype(float)
+        products += x.T @ (x * w[low : low + block, None])
+    mean = np.diag(products) / w.sum()  # a mask's square is itself
+    varies = np.bincount(sets.at, minlength=m) < n
+    if not varies.any():
+        return 1
+    spread = np.sqrt(mean * (1 - mean))[varies]
+    values = np.linalg.eigvalsh((products / w.sum() - np.outer(mean, mean))[np.ix_(varies, varies)] / np.outer(spread, spread))[::-1]
+    values = np.maximum(values, 0)[:n]
+    return int(np.searchsorted(np.cumsum(values) / max(values.sum(), 1e-12), variance) + 1)
+
+
 def absorb_small(labels: np.ndarray, distance: np.ndarray, share: float = 0.2) -> np.ndarray:
     """CLU-5/JN-18: members of clusters smaller than a share of the largest join the cluster of their nearest large neighbour."""
     sizes = np.bincount(labels)

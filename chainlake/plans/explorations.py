@@ -21,7 +21,7 @@ from chainlake.sources import text_files as tf
 @query("mat_6_features")
 def mat_6(spark, d):
     """Number of components that hold 95 % of the variance of each pair's contact sets."""
-    return _per_pair(spark, d, lambda dist, mask, w: np.full(len(mask), ex.principal_features(mask, weights=w).shape[1])).groupBy("a", "b").agg(F.max("label").alias("n_components"))
+    return _per_pair(spark, d, lambda dist, sets, w: np.full(len(sets), ex.component_count(sets, w))).groupBy("a", "b").agg(F.max("label").alias("n_components"))
 
 
 def _domain_atoms(spark, d):
