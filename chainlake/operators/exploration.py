@@ -115,42 +115,55 @@ def force_layout(n: int, links: list[tuple[int, int]], dims: int = 3, steps: int
     return x - x.mean(axis=0)
 
 
-def assembly_paths(spark: SparkSession, edges: DataFrame, n_paths: int = 100, most_states: int = 100, stagnation: int = 5, seed: int = 42, most_edges: int = 100_000) -> DataFrame:
-    """SIM-1: (path, step, combo, score) of simulated assemblies, one seeded random path per row of work.
+def assembly_paths(spark: SparkSession, edges: DataFrame, n_paths: int = 100, most_states: int = 100, stagnation: int = 5, seed: int = 42) -> DataFrame:
+    """SIM-1: (path, step, combo, score) of simulated assemblies, one seeded random path each.
 
     edges: (a, b, weight). A path starts from a weighted random edge; each step adds the other end of an edge at a present protein, drawn by
     weight; the score is the mean weight of the edges among present proteins; a path ends when the score has not risen for `stagnation`
-    steps. The edge table of one system goes to every task: more than most_edges raise an error.
+    steps. One task reads the edges in order, as numbers of 16 bytes an edge, and walks all paths; nothing is collected.
     """
-    rows = edges.select("a", "b", F.col("weight").cast("double")).where("a IS NOT NULL AND b IS NOT NULL AND weight > 0").orderBy("a", "b", "weight").limit(most_edges + 1).collect()
-    if len(rows) > most_edges:
-        raise ValueError(f"more than {most_edges} edges")
-    table = [(r[0], r[1], r[2]) for r in rows]
-    weights = np.array([w for _, _, w in table])
+    import pyarrow as pa
+
+    rows = edges.select(F.col("a").cast("string"), F.col("b").cast("string"), F.col("weight").cast("double")).where("a IS NOT NULL AND b IS NOT NULL AND weight > 0")
 
     def simulate(batches):
+        number: dict[str, int] = {}
+        parts = []
         for batch in batches:
-            out = []
-            for path in batch["id"] if table else []:
-                rng = np.random.default_rng([seed, int(path)])
-                a, b, _ = table[rng.choice(len(table), p=weights / weights.sum())]
-                have, best, idle = [a, b], -np.inf, 0
-                for step in range(most_states):
-                    present = set(have)
-                    inside = [w for x, y, w in table if x in present and y in present]
-                    score = float(np.mean(inside)) if inside else 0.0
-                    out.append((int(path), step, sorted(have), round(score, 6)))
-                    idle = 0 if score > best + 1e-12 else idle + 1
-                    best = max(best, score)
-                    open_ = [k for k, (x, y, _) in enumerate(table) if x in present or y in present]
-                    if idle >= stagnation or not open_:
-                        break
-                    p = weights[open_] / weights[open_].sum()
-                    x, y, _ = table[open_[rng.choice(len(open_), p=p)]]
-                    have.append(y if x in present else x)
-            yield pd.DataFrame(out, columns=["path", "step", "combo", "score"])
-
-    return spark.range(n_paths).repartition(min(n_paths, 64)).mapInPandas(simulate, "path bigint, step int, combo array<string>, score double")
+            ends = []
+            for k in (0, 1):
+                coded = batch.column(k).dictionary_encode()
+                of = np.array([number.setdefault(x, len(number)) for x in coded.dictionary.to_pylist()], dtype=np.int32)
+                ends.append(of[coded.indices.to_numpy(zero_copy_only=False)])
+            parts.append((*ends, batch.column(2).to_numpy(zero_copy_only=False)))
+        if not sum(len(w) for _, _, w in parts):
+            return
+        a, b, weights = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        names, out = list(number), []
+        start = weights / weights.sum()
+        for path in range(n_paths):
+            rng = np.random.default_rng([seed, path])
+            k = rng.choice(len(weights), p=start)
+            have, best, idle = [a[k], b[k]], -np.inf, 0
+            present = np.zeros(len(names), dtype=bool)
+            for step in range(most_states):
+                present[have] = True
+                one, two = present[a], present[b]
+                inside = weights[one & two]
+                score = float(np.mean(inside)) if len(inside) else 0.0
+                out.append((path, step, sorted(names[x] for x in have), round(score, 6)))
+                idle = 0 if score > best + 1e-12 else idle + 1
+                best = max(best, score)
+                open_ = np.flatnonzero(one | two)
+                if idle >= stagnation or not len(open_):
+                    break
+                k = open_[rng.choice(len(open_), p=weights[open_] / weights[open_].sum())]
+                have.append(b[k] if one[k] else a[k])
+        columns = zip(("path", "step", "combo", "score"), zip(*out, strict=True), (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.float64()), strict=True)
+        yield pa.RecordBatch.from_pydict({name: pa.array(values, kind) for name, values, kind in columns})
+
+    return rows.repartition(1).sortWithinPartitions("a", "b", "weight").mapInArrow(simulate, "path bigint, step int, combo array<string>, score double")
 
 
 def reference_rmsd(atoms: DataFrame, keys: list[str], subject: list[str]) -> DataFrame:
